@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import kdtree_search, mixing, quality_rules, warc
 from ._util import table
 
 
@@ -40,7 +40,59 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM f
 """
 
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+k AS (SELECT *, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(size AS VARCHAR)) AS key FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, CAST(2 * source_size AS DOUBLE) AS cap FROM s),
+o AS (SELECT *, (SELECT 1.5 * sum(source_size) FROM s) AS budget, cap / weight AS ratio, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS at_cap,
+             coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+             sum(weight) OVER (ORDER BY cap / weight DESC, source DESC NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS free FROM w),
+l AS (SELECT arg_min((budget - capped) / free, at_cap) AS level FROM o WHERE (budget - capped) / free <= ratio),
+t AS (SELECT source, source_size, weight, CASE WHEN (SELECT level FROM l) * weight > cap OR (SELECT level FROM l) IS NULL THEN cap ELSE (SELECT level FROM l) * weight END AS target FROM o),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+q AS (SELECT *, CAST(floor(target - whole * source_size + 0.5) AS BIGINT) AS rest FROM p),
+g AS (SELECT source, key, sum(size) AS words, count(*) AS n FROM k GROUP BY source, key),
+c AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM g)
+SELECT k.doc_id, k.size, q.source_size, q.target,
+       CAST(q.whole * k.size + CASE WHEN c.start + c.words <= q.rest THEN k.size WHEN c.start <= q.rest THEN (q.rest - c.start) // c.n ELSE 0 END AS BIGINT) AS taken
+FROM k JOIN q ON k.source IS NOT DISTINCT FROM q.source JOIN c ON c.key = k.key AND c.source IS NOT DISTINCT FROM k.source
+"""
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = warc.archive_root(spark)
+    records = warc.typed(table(spark, sf_dir, "pages"))
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    manifest = warc.write_archive(records, root, shards)
+    back = warc.read_archive(manifest, root, with_payload=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = kdtree_search.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return kdtree_search.top_k(vectors, "vec_id % 50 = 0", k=5)
+
+
+OP8_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))) AS BIGINT) AS score
+      FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_source_mixing": op4_source_mixing,
+    "op7_warc": op7_warc,
+    "op8_exact_top_k": op8_exact_top_k,
 }
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op4_source_mixing": OP4_SQL, "op8_exact_top_k": OP8_SQL}
