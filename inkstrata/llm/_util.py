@@ -95,3 +95,13 @@ def fold(doc_id: Column, by: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sample_by_group(rows: DataFrame, group: str, per_group: int, key: Column) -> DataFrame:
+    """About per_group rows of each group: those whose key hashes below the group's rate, the same rows on every run.
+
+    Only groups and counts are joined, so no group meets in one task, and the sample's size doesn't grow with the input.
+    """
+    counts = rows.groupBy(group).agg(F.count("*").alias("_n")).withColumnRenamed(group, "_g")
+    draw = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    return rows.join(counts, rows[group] == counts["_g"]).where(draw < F.lit(float(per_group)) / F.col("_n")).drop("_g", "_n")

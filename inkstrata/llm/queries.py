@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdtree_search, mixing, quality_rules, warc
-from ._util import table
+from . import kdtree_search, language_id, mixing, packing, quality_rules, toxicity, warc
+from ._util import fold, table
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,10 +89,43 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
 """
 
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = language_id.fit(docs.where(~held_out))
+    out = language_id.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 4) != 2).select("doc_id", "toxic")
+    return toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.measured(docs.select("doc_id", "text"), toxicity_model(spark, sf_dir, docs))
+    predicted = F.when(F.col("score") >= toxicity.THRESHOLD, F.lit(1)).otherwise(F.lit(0)).cast("int")
+    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", predicted.alias("predicted"), "spans")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_source_mixing": op4_source_mixing,
+    "op6_packing": op6_packing,
     "op7_warc": op7_warc,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_language_id": op9_language_id,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op4_source_mixing": OP4_SQL, "op8_exact_top_k": OP8_SQL}
