@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._util import arrow_batch, arrow_rows, shared_dir
+from ._util import arrow_batch, arrow_rows, shared_dir, stored
 
 ROLL_BYTES = 64 << 20
 #: Fixed date, so that reruns give the same bytes.
@@ -58,7 +58,8 @@ def typed(pages: DataFrame, dedupe_from: int = 0) -> DataFrame:
     rows = pages.select("page_id", "url", html.alias("html"))
     rows = rows.select("*", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").cast("long").alias("size"))
     best = rows.where(F.col("size") >= dedupe_from).groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1")
-    best = best.select(F.col("digest").alias("b_digest"), "best", F.lit(True).alias("many"))
+    # as a written table its size is known: Catalyst broadcasts it only if that is small, and then no payload is shuffled here
+    best = stored(best.select(F.col("digest").alias("b_digest"), "best"), "warc-responses").withColumn("many", F.lit(True))
     rows = rows.join(best, rows["digest"] == best["b_digest"], "left")
     revisit = F.col("many").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
     return rows.select(
