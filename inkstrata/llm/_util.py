@@ -102,6 +102,6 @@ def sample_by_group(rows: DataFrame, group: str, per_group: int, key: Column) ->
 
     Only groups and counts are joined, so no group meets in one task, and the sample's size doesn't grow with the input.
     """
-    counts = rows.groupBy(group).agg(F.count("*").alias("_n")).withColumnRenamed(group, "_g")
+    counts = stored(rows.groupBy(group).agg(F.count("*").alias("_n")).withColumnRenamed(group, "_g"), "group-counts")
     draw = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     return rows.join(counts, rows[group] == counts["_g"]).where(draw < F.lit(float(per_group)) / F.col("_n")).drop("_g", "_n")

@@ -16,6 +16,7 @@ both labels the score is 0 for all. Repeated rows get equal scores; labels that
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import CACHE_WORDS, arrow_batch, arrow_rows, hash64, sample_by_group, stored
+from ._util import arrow_batch, arrow_rows, hash64, sample_by_group, stored
 from .language_id import ddl_of
 
 STRETCH = 64
 DIMS = 1 << 16
-PER_LABEL = 3000
-STRETCHES = 12_000
+PER_LABEL = 2000
+STRETCHES = 6000
+#: A worker's Tagger forgets its words beyond this count: about 150 MB.
+ROOM = 600_000
 #: A word becomes a label for tokens from this many toxic documents of the sample, and this log-odds, on.
 LEXICON_DOCS, LEXICON_ODDS = 5, 2.0
 #: Lengths of the beginnings of a word that are features and may be labels, too: invented compounds share them.
@@ -41,14 +44,16 @@ KINDS = 3
 
 _edges = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _word = re.compile(r"[^\x20\x09-\x0D]+")
+_marks = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalpha())
 
 
 def normal(word: bytes) -> str:
-    return _edges.sub("", word.decode("utf-8", "replace").lower())
+    w = word.lower().strip(_marks)
+    return w.decode() if w.isalpha() else _edges.sub("", w.decode("utf-8", "replace").lower())
 
 
 def place(kind: int, text: str) -> int:
-    return (hash64(b"%d:" % kind + text.encode("utf-8", "surrogatepass")) + kind) % DIMS
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"), kind) % DIMS
 
 
 def stems(w: str) -> list[str]:
@@ -109,7 +114,7 @@ def fit_crf(stretches: list[tuple[np.ndarray, np.ndarray]], rounds: int = 60, ra
     if not stretches:
         return weights, bias, trans
     n, length = len(stretches), max(len(y) for _, y in stretches)
-    places, tags, valid = np.zeros((n, length, stretches[0][0].shape[1]), np.int64), np.zeros((n, length)), np.zeros((n, length), bool)
+    places, tags, valid = np.zeros((n, length, stretches[0][0].shape[1]), np.int32), np.zeros((n, length)), np.zeros((n, length), bool)
     for i, (x, y) in enumerate(stretches):
         places[i, : len(y)], tags[i, : len(y)], valid[i, : len(y)] = x, y, True
     seen = np.zeros((2, 2))
@@ -161,26 +166,31 @@ class Tagger:
     """Marginals of whole texts; a word's weights are summed up once while it stays cached."""
 
     def __init__(self, model: Model):
-        self.model, self.ids, self.rows = model, {}, []
-        self.table = np.zeros((0, KINDS))
+        self.model, self.ids, self.new = model, {}, []
+        self.table, self.filled = np.zeros((1024, KINDS)), 0
+        self.weights = model.weights.tolist()
 
     def _id(self, word: bytes) -> int:
         before, after, *own = features(word)
-        w = self.model.weights
-        self.rows.append((w[own].sum() + self.model.bias, w[before], w[after]))
-        self.ids[word] = len(self.rows) - 1
-        return len(self.rows) - 1
+        w = self.weights
+        self.new.append((sum([w[i] for i in own]) + self.model.bias, w[before], w[after]))
+        self.ids[word] = i = len(self.ids)
+        return i
 
     def marginals(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array per text; the stretches of all texts run through the chain together."""
-        if len(self.ids) > CACHE_WORDS:
-            self.ids, self.rows, self.table = {}, [], np.zeros((0, KINDS))
+        if len(self.ids) > ROOM:
+            self.ids, self.filled = {}, 0
         get, known = self.ids.get, []
         for text in texts:
-            words = (text or "").encode("utf-8", "surrogatepass").split()
-            known.append(np.fromiter((i if (i := get(w)) is not None else self._id(w) for w in words), np.int64, len(words)))
-        if len(self.rows) > len(self.table):
-            self.table = np.vstack([self.table, np.array(self.rows[len(self.table) :]).reshape(-1, KINDS)])
+            words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+            known.append(np.fromiter([i if (i := get(w)) is not None else self._id(w) for w in words], np.int64, len(words)))
+        if self.new:
+            want = self.filled + len(self.new)
+            if want > len(self.table):
+                self.table = np.vstack([self.table[: self.filled], np.zeros((want, KINDS))])
+            self.table[self.filled : want] = self.new
+            self.filled, self.new = want, []
         scores = [unaries(self.table, ids) for ids in known]
         flat = np.concatenate(scores) if scores else np.zeros(0)
         ends = np.cumsum([len(x) for x in scores])
@@ -212,10 +222,11 @@ def chain(unary: np.ndarray, valid: np.ndarray, trans: np.ndarray) -> np.ndarray
     return (1 / (1 + np.exp(-(fore + aft)))).T
 
 
-def fit(labelled: DataFrame, per_label: int = PER_LABEL) -> Model:
-    """labelled: doc_id, text, toxic."""
-    rows = labelled.where(F.col("toxic").isin(0, 1) & F.col("text").isNotNull()).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    chosen = stored(sample_by_group(rows, "toxic", per_label, F.col("doc_id")), "toxicity-sample")
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
+    """docs: doc_id, text; labels: doc_id, toxic. The sample is drawn from the labels, so only its few ids meet the texts."""
+    rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    drawn = stored(sample_by_group(rows, "toxic", per_label, F.col("doc_id")), "toxicity-ids")
+    chosen = stored(docs.where("text is not null").select("doc_id", "text").join(drawn, "doc_id"), "toxicity-sample")
     sizes = dict(chosen.groupBy("toxic").count().collect())
     if len(sizes) < 2:
         return Model(np.zeros(DIMS), -2.0, np.zeros((2, 2)), np.array([-50.0, 0.0, 0.0, 0.0]))
@@ -252,7 +263,7 @@ def fit(labelled: DataFrame, per_label: int = PER_LABEL) -> Model:
     train = []
     for _, words, tags in drawn:
         own = [memo[w] if w in memo else memo.setdefault(w, features(w)) for w in bytes(words).split()]
-        x = np.array(own)
+        x = np.array(own, np.int32)
         x[1:, 0], x[:-1, 1] = x[:-1, 0].copy(), x[1:, 1].copy()
         x[0, 0] = x[-1, 1] = 0
         train.append((x, np.frombuffer(bytes(tags), np.uint8).astype(float)))
