@@ -111,7 +111,8 @@ def mixed_documents(docs: DataFrame, budget: float = BUDGET, weights: tuple[floa
     whole, rest = F.expr("taken div size"), F.col("taken") % F.col("size")
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     bare = F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r"))
-    first = F.concat(F.lit(r"^((?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){"), (F.col("copy") - 1).cast("string"), F.lit(r"}[^\x20\x09-\x0D]+)"))
-    text = F.when(F.col("copy") < 0, F.col("text")).otherwise(F.regexp_extract(bare, first, 1))
+    # what stands behind the first words is the last piece of a split into one more piece than words
+    tail = F.element_at(F.split(bare, GAP, (F.col("copy") + 1).cast("int")), -1)
+    text = F.when(F.col("copy") < 0, F.col("text")).otherwise(F.rtrim(F.substring(bare, F.lit(1), (F.length(bare) - F.length(tail)).cast("int")), F.lit(" \t\n\x0b\x0c\r")))
     out = rows.withColumn("copy", F.explode(copies))
     return out.select(*[text.alias(n) if n == "text" else (F.when(F.col("copy") < 0, F.col(n)).otherwise(F.length(text)).cast("long").alias(n) if n == "n_chars" else F.col(n)) for n in names])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, kdtree_search, language_id, mixing, packing, quality_rules, toxicity, warc
+from . import jaccard_join, kdtree_search, language_id, license_scan, mixing, packing, pitman_yor, quality_rules, toxicity, warc
 from ._util import fold, table
 
 
@@ -94,6 +94,17 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scanned(docs).select("doc_id", F.inline("matches"))
+
+
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = pitman_yor.scored(docs, "crc32(coalesce(cast(doc_id as string), '')) % 5 <> 1")
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -114,7 +125,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 4) != 2).select("doc_id", "toxic")
-    return toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.fit(docs, labels)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,9 +135,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", predicted.alias("predicted"), "spans")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_source_mixing": op4_source_mixing,
+    "op5_pitman_yor": op5_pitman_yor,
     "op6_packing": op6_packing,
     "op7_warc": op7_warc,
     "op8_exact_top_k": op8_exact_top_k,
