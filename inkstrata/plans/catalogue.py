@@ -343,3 +343,315 @@ def script_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.filter(F.split("p_name", ""), lambda c: c != "")).alias("pos", "ch"))
     rows = rows.withColumn("class", F.when(F.col("ch").isin(*"aeiou"), F.lit("vowel")).when(F.col("ch").between("a", "z"), F.lit("consonant")))
     return spans.filled_runs(rows, ["p_partkey"], "pos", "class", "ch")
+
+
+# --- counters and numbering -----------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH {LINES}, i AS (SELECT l_orderkey, line, l_linenumber % 3 AS level FROM lines),
+g AS (SELECT *, CASE level WHEN 0 THEN 0 WHEN 1 THEN sum((level < 1)::INTEGER) OVER w ELSE sum((level < 2)::INTEGER) OVER w END AS grp FROM i WINDOW w AS (PARTITION BY l_orderkey ORDER BY line)),
+n AS (SELECT l_orderkey, line, level, CAST(row_number() OVER (PARTITION BY l_orderkey, level, grp ORDER BY line) AS INTEGER) AS n FROM g)
+SELECT l_orderkey, line, level, n AS number, CASE level WHEN 0 THEN CAST(n AS VARCHAR) WHEN 1 THEN chr(CAST(97 + (n - 1) % 26 AS INTEGER)) ELSE {{roman}} END AS marker FROM n
+""".replace("{roman}", "lower(" + ROMAN_SQL + ")"))
+def list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested list numbers and their markers: decimal, letter, Roman by level."""
+    items = lines_of(spark, sf_dir).select("l_orderkey", "line", (F.col("l_linenumber") % 3).alias("level"))
+    rows = sequences.list_counters(items, ["l_orderkey"], "line", "level", max_level=3)
+    kind = F.element_at(F.array(F.lit("decimal"), F.lit("lowerLetter"), F.lit("lowerRoman")), F.col("level") + 1)
+    return rows.select("l_orderkey", "line", "level", "number", numbers.format_number(F.col("number"), kind).alias("marker"))
+
+
+@query("""
+WITH f AS (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2)
+SELECT user_id, event_type, first, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first, event_type) AS INTEGER) AS number FROM f
+""")
+def note_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.first_seen_numbers(t(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type")
+
+
+@query("""
+SELECT event_id, CAST(sum(CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS n_open FROM events
+""")
+def comment_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    change = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "error", -1).otherwise(0)
+    return sequences.open_ranges(t(spark, sf_dir, "events").withColumn("change", change), ["user_id"], "event_id", "change").select("event_id", "n_open")
+
+
+@query("""
+WITH c AS (SELECT source, doc_id AS id, doc_id AS ord FROM documents), a AS (SELECT source, l.doc_id AS id, min(l.quality * 1000000 + l.doc_id) AS first FROM labels AS l JOIN documents USING (doc_id) GROUP BY 1, 2),
+s AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY first, id) AS n FROM a),
+j AS (SELECT c.source, c.id, c.ord, s.n FROM c LEFT JOIN s USING (source, id))
+SELECT source, id, CAST(coalesce(n, coalesce(max(n) OVER (PARTITION BY source), 0) + sum((n IS NULL)::INTEGER) OVER (PARTITION BY source ORDER BY ord)) AS INTEGER) AS number FROM j
+""")
+def comment_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = t(spark, sf_dir, "documents")
+    anchors = t(spark, sf_dir, "labels").join(docs.select("doc_id", "source"), "doc_id").select("source", F.col("doc_id").alias("id"), (F.col("quality") * 1000000 + F.col("doc_id")).alias("at"))
+    comments = docs.select("source", F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"))
+    return sequences.comment_numbers(comments, anchors, ["source"]).select("source", "id", "number")
+
+
+@query("""
+WITH RECURSIVE styles AS (SELECT p_partkey AS style, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent FROM part),
+props AS (SELECT p_partkey AS style, unnest(['size', 'brand']) AS prop, unnest([CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS VARCHAR) END, CASE WHEN p_size % 7 = 0 THEN p_brand END]) AS value FROM part),
+chain AS (SELECT style, style AS at, 0 AS depth FROM styles UNION ALL SELECT c.style, s.parent, depth + 1 FROM chain AS c JOIN styles AS s ON c.at = s.style WHERE s.parent IS NOT NULL AND depth < 32)
+SELECT c.style, prop, arg_min(value, depth) AS value FROM chain AS c JOIN props AS p ON p.style = c.at WHERE value IS NOT NULL GROUP BY 1, 2
+""")
+def style_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest definition of each property up the chain of parents (here: half of a part's key)."""
+    part = t(spark, sf_dir, "part")
+    styles = part.select(F.col("p_partkey").alias("style"), F.when(F.col("p_partkey") > 1, F.expr("p_partkey div 2")).alias("parent"))
+    size, brand = F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("string")), F.when(F.col("p_size") % 7 == 0, F.col("p_brand"))
+    props = part.select(F.col("p_partkey").alias("style"), F.inline(F.array(F.struct(F.lit("size").alias("prop"), size.alias("value")), F.struct(F.lit("brand").alias("prop"), brand.alias("value")))))
+    return sequences.style_values(styles, props)
+
+
+@query("""
+SELECT o_orderkey, coalesce(c_name, 'unresolvable:' || o_custkey) AS target FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) ON o_custkey = c_custkey
+""")
+def rel_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationship ids resolve to their targets; those without one keep a marker with the id."""
+    known = t(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select("c_custkey", "c_name")
+    rows = t(spark, sf_dir, "orders").join(known, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return rows.select("o_orderkey", F.coalesce("c_name", F.concat(F.lit("unresolvable:"), F.col("o_custkey").cast("string"))).alias("target"))
+
+
+# --- tables and serialisation ---------------------------------------------------------------------------------------
+
+
+def _nation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table per region: a header row, then key and name of each nation."""
+    nation = t(spark, sf_dir, "nation")
+    cells = F.inline(F.array(F.struct(F.lit(0).alias("col"), F.col("n_nationkey").cast("string").alias("text")), F.struct(F.lit(1).alias("col"), F.concat("n_name", F.lit("|"), "n_name").alias("text"))))
+    body = nation.select("n_regionkey", (F.col("n_nationkey") + 1).alias("row"), cells)
+    head = nation.select("n_regionkey").distinct().select("n_regionkey", F.lit(0).alias("row"), F.inline(F.array(F.struct(F.lit(0).alias("col"), F.lit("key").alias("text")), F.struct(F.lit(1).alias("col"), F.lit("name").alias("text")))))
+    return body.unionByName(head)
+
+
+@query("""
+SELECT n_regionkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || replace(n_name || '|' || n_name, '|', chr(92) || '|') || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY 1
+""")
+def pipe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.pipe_tables(_nation_cells(spark, sf_dir), ["n_regionkey"])
+
+
+@query(f"""
+SELECT n_regionkey, '<raw>' || chr(10) || '{text.RAW_NOTE}' || chr(10) || 'key | name' || chr(10) || string_agg(n_nationkey || ' | ' || n_name || '|' || n_name, chr(10) ORDER BY n_nationkey) || chr(10) || '</raw>' AS markdown FROM nation GROUP BY 1
+""")
+def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.raw_tables(_nation_cells(spark, sf_dir), ["n_regionkey"])
+
+
+def _line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order as a table: a row per three lines, a cell per line; the line number gives the width, the return flag the kind."""
+    rows = lines_of(spark, sf_dir)
+    return rows.select("l_orderkey", F.expr("cast((line - 1) div 3 as int)").alias("row"), ((F.col("line") - 1) % 3).alias("col"), F.least(F.col("l_linenumber"), F.lit(2)).alias("col_span"), F.lit(1).alias("row_span"), (F.col("l_returnflag") != "A").alias("only_paragraphs"), "line")
+
+
+CELLS = LINES + ", cells AS (SELECT l_orderkey, CAST((line - 1) // 3 AS INTEGER) AS row, CAST((line - 1) % 3 AS INTEGER) AS col, least(l_linenumber, 2) AS col_span, l_returnflag <> 'A' AS only_paragraphs, line FROM lines)"
+
+
+@query(f"""
+WITH {CELLS}, r AS (SELECT l_orderkey, row, count(*) AS n, bool_and(col_span = 1 AND only_paragraphs) AS plain FROM cells GROUP BY 1, 2)
+SELECT l_orderkey, min(n) = max(n) AND bool_and(plain) AS simple FROM r GROUP BY 1
+""")
+def simple_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.simple_grids(_line_cells(spark, sf_dir), ["l_orderkey"])
+
+
+@query("""
+WITH r AS (SELECT l_suppkey, l_orderkey AS row, sum(least(l_linenumber, 2)) AS width FROM lineitem GROUP BY 1, 2), s AS (SELECT l_suppkey, count(*) AS n_rows, max(width) AS width FROM r GROUP BY 1)
+SELECT l_suppkey, n_rows, CAST(n_rows * width AS BIGINT) AS n_cells, n_rows >= 50 AND n_rows * width >= 500 AS giant FROM s
+""")
+def giant_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = t(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("row"), F.least(F.col("l_linenumber"), F.lit(2)).alias("col_span"))
+    return tables.giant_tables(cells, ["l_suppkey"])
+
+
+@query(f"""
+WITH {CELLS} SELECT l_orderkey, line, CAST(coalesce(sum(col_span) OVER (PARTITION BY l_orderkey, row ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS grid_col FROM cells
+""")
+def grid_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.placed(_line_cells(spark, sf_dir), ["l_orderkey"]).select("l_orderkey", "line", "grid_col")
+
+
+@query()
+def grid_place_row_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _line_cells(spark, sf_dir).withColumn("row_span", F.when(F.col("only_paragraphs"), 1).otherwise(2))
+    return tables.placed_with_row_spans(cells, "l_orderkey")
+
+
+@query(f"""
+WITH {CELLS}, m AS (SELECT *, CASE WHEN line % 4 = 0 THEN NULL WHEN line % 2 = 0 THEN 'continue' ELSE 'restart' END AS merge FROM cells),
+a AS (SELECT *, sum(CASE WHEN merge IS NOT DISTINCT FROM 'continue' THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey, col ORDER BY row) AS anchor FROM m),
+g AS (SELECT l_orderkey, col AS grid_col, anchor, min(row) AS row, arg_min(coalesce(merge, ''), row) AS merge, count(*) AS n FROM a WHERE anchor > 0 GROUP BY 1, 2, 3)
+SELECT l_orderkey, grid_col, row, CAST(CASE WHEN merge = 'restart' THEN n ELSE 1 END AS INTEGER) AS row_span FROM g
+""")
+def merged_row_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merge = F.when(F.col("line") % 4 == 0, F.lit(None).cast("string")).when(F.col("line") % 2 == 0, F.lit("continue")).otherwise(F.lit("restart"))
+    cells = _line_cells(spark, sf_dir).select("l_orderkey", F.col("col").alias("grid_col"), "row", merge.alias("merge"))
+    return tables.merged_row_spans(cells, ["l_orderkey"])
+
+
+@query("""
+WITH r AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS row, o_orderstatus = 'F' AS header FROM orders)
+SELECT o_custkey, CAST(coalesce(min(row) FILTER (WHERE NOT header), max(row) + 1) - min(row) AS INTEGER) AS header_rows FROM r GROUP BY 1
+""")
+def leading_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    return tables.leading_headers(t(spark, sf_dir, "orders").select("o_custkey", row.alias("row"), (F.col("o_orderstatus") == "F").alias("header")), ["o_custkey"], "row", "header")
+
+
+@query("""
+WITH c AS (SELECT p_brand, p_partkey, p_size, sum(p_size) OVER (PARTITION BY p_brand) AS total, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS upto, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) IS NULL AS last FROM part)
+SELECT p_brand, p_partkey, CAST(CASE WHEN last THEN least(floor(CAST(451.5 AS DOUBLE) * upto / total + 0.5), 451) ELSE floor(CAST(451.5 AS DOUBLE) * upto / total + 0.5) END AS BIGINT) AS edge FROM c
+""")
+def column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size")
+    return tables.column_edges(rows, ["p_brand"], "p_partkey", "p_size", 451.5).select("p_brand", "p_partkey", "edge")
+
+
+@query("""
+WITH r(region, prop, value, priority) AS (VALUES ('whole', 'fill', 'FFFFFF', 0), ('band2Horz', 'fill', 'EEEEEE', 4), ('firstRow', 'fill', '000000', 7), ('lastRow', 'fill', '777777', 8), ('firstCol', 'bold', 'true', 5), ('nwCell', 'fill', 'FF0000', 9)),
+c AS (SELECT n_nationkey AS cell, n_nationkey // 5 AS row, n_nationkey % 5 AS col FROM nation),
+h AS (SELECT cell, prop, value, priority FROM c JOIN r ON region = 'whole' OR (region = 'band2Horz' AND row % 2 = 1) OR (region = 'firstRow' AND row = 0) OR (region = 'lastRow' AND row = 4) OR (region = 'firstCol' AND col = 0) OR (region = 'nwCell' AND row = 0 AND col = 0))
+SELECT cell, prop, arg_max(value, priority) AS value FROM h GROUP BY 1, 2
+""")
+def style_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("cell"), F.expr("n_nationkey div 5").alias("row"), (F.col("n_nationkey") % 5).alias("col"), F.lit(5).alias("n_rows"), F.lit(5).alias("n_cols"))
+    regions = spark.createDataFrame([("whole", "fill", "FFFFFF"), ("band2Horz", "fill", "EEEEEE"), ("firstRow", "fill", "000000"), ("lastRow", "fill", "777777"), ("firstCol", "bold", "true"), ("nwCell", "fill", "FF0000")], "region string, prop string, value string")
+    return tables.style_regions(cells, regions)
+
+
+@query("""
+WITH b AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'heading' WHEN role = 'user' THEN 'listItem' ELSE 'paragraph' END AS kind, replace(text, chr(10), ' ') AS inline FROM conversations),
+p AS (SELECT conv_id, turn, kind, CASE kind WHEN 'heading' THEN '# ' || inline WHEN 'listItem' THEN '- ' || inline ELSE inline END AS piece FROM b),
+g AS (SELECT *, CASE WHEN lag(kind) OVER w IS NULL THEN '' WHEN kind = 'listItem' AND lag(kind) OVER w = 'listItem' THEN chr(10) ELSE chr(10) || chr(10) END AS glue FROM p WHERE piece <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, string_agg(glue || piece, '' ORDER BY turn) AS markdown FROM g GROUP BY 1
+""")
+def md_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation as a document: its first turn a heading, the user's turns list items, the others paragraphs."""
+    kind = F.when(F.col("turn") == 0, F.lit("heading")).when(F.col("role") == "user", F.lit("listItem")).otherwise(F.lit("paragraph"))
+    rows = t(spark, sf_dir, "conversations").select("conv_id", "turn", kind.alias("kind"), text.escaped(F.col("text"), False).alias("inline"))
+    level = F.when(F.col("kind") == "heading", 1).otherwise(0)
+    piece = spans.block_markdown(F.col("kind"), level, F.lit(False), F.lit(None).cast("string"), F.col("inline"), F.lit(None).cast("string"))
+    return spans.document_markdown(rows.withColumn("piece", piece), ["conv_id"], "turn")
+
+
+@query("""
+SELECT page_id, '<!-- Extracted from ' || url || ' by inkstrata. Best-effort Markdown. -->' || chr(10)
+  || CASE WHEN contains(html, '<raw>') THEN '<!-- <raw>…</raw> marks content whose original structure could not be mapped; treat it as literal. -->' || chr(10) ELSE '' END || chr(10) AS header FROM pages
+""")
+def extract_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "pages").select("page_id", text.extract_header(F.col("url"), F.col("html")).alias("header"))
+
+
+@query("""
+SELECT kind, lang, count(*) AS n FROM (SELECT lang, CASE WHEN trim(line) = '' THEN 'blank' WHEN contains(line, '|') THEN 'table' WHEN length(line) > 200 THEN 'paragraph' ELSE 'short' END AS kind FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY 1, 2
+""")
+def corpus_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line"))
+    kind = F.when(F.trim("line") == "", F.lit("blank")).when(F.contains("line", F.lit("|")), F.lit("table")).when(F.length("line") > 200, F.lit("paragraph")).otherwise(F.lit("short"))
+    return rows.select("lang", kind.alias("kind")).groupBy("kind", "lang").agg(F.count("*").alias("n"))
+
+
+# --- budgets, pages, edits ------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH b AS (SELECT conv_id, turn, length(text) AS len, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations)
+SELECT conv_id, turn, CAST(len AS INTEGER) AS len, CAST(before AS BIGINT) AS before FROM b WHERE before < 400
+""")
+def preview_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("len"))
+    return sequences.budgeted(rows, ["conv_id"], "turn", "len", 400)
+
+
+@query(f"""
+WITH {LINES}, y AS (SELECT l_orderkey, line, coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS height FROM lines)
+SELECT l_orderkey, line, CAST(floor((top - 2.0) / 60.0 + 0.000001) AS INTEGER) AS page, CAST(greatest(1, ceil(height / 60.0)) AS INTEGER) AS n_pages FROM y
+""")
+def pages_for_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("l_orderkey").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    top, height = F.coalesce(F.sum("l_quantity").over(w), F.lit(0.0)), F.sum("l_quantity").over(Window.partitionBy("l_orderkey"))
+    rows = lines_of(spark, sf_dir).select("l_orderkey", "line", top.alias("top"), height.alias("height"))
+    return rows.select("l_orderkey", "line", sequences.page_of(F.col("top"), 2.0, 60.0).alias("page"), sequences.page_count(F.col("height"), 60.0).alias("n_pages"))
+
+
+@query(f"""
+WITH {LINES}, m AS (SELECT *, sum(CASE WHEN line = 1 OR l_returnflag = 'N' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY line) AS grp FROM lines),
+g AS (SELECT l_orderkey, grp, min(line) AS first_row, count(*) AS n_rows, sum(l_quantity) AS height FROM m GROUP BY 1, 2),
+p AS (SELECT *, coalesce(sum(height) OVER (PARTITION BY l_orderkey ORDER BY first_row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM g),
+r AS (SELECT *, 60.0 - (top - floor(top / 60.0) * 60.0) AS room FROM p)
+SELECT l_orderkey, first_row, n_rows, height, top, height > room AS crosses, CASE WHEN height > room AND height <= 60 THEN room ELSE 0.0 END AS push FROM r
+""")
+def push_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unbreakable row groups, and how far each is pushed to the next page in one round."""
+    rows = lines_of(spark, sf_dir).withColumn("can_break", F.col("l_returnflag") == "N")
+    groups = sequences.row_groups(rows, ["l_orderkey"], "line", "can_break", "l_quantity")
+    return sequences.pushes(groups, ["l_orderkey"], "first_row", "height", 60.0).select("l_orderkey", "first_row", "n_rows", "height", "top", "crosses", "push")
+
+
+@query()
+def settled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines_of(spark, sf_dir).select("l_orderkey", F.col("line").cast("long").alias("line"), "l_quantity")
+    return sequences.settled(rows, "l_orderkey", "line", "l_quantity", 60.0)
+
+
+@query("""
+WITH e AS (SELECT c_nationkey AS doc, min(c_custkey) FILTER (WHERE c_custkey % 3 = 0) AS first, min(c_custkey) FILTER (WHERE c_custkey % 3 = 1) AS even, min(c_custkey) FILTER (WHERE c_custkey % 3 = 2) AS dflt FROM customer WHERE c_nationkey % 2 = 0 OR c_custkey % 3 = 2 GROUP BY 1),
+p AS (SELECT n_nationkey AS doc, unnest([0, 1, 2, 3]) AS page FROM nation)
+SELECT doc, page, coalesce(CASE WHEN page = 0 THEN first END, CASE WHEN page % 2 = 1 THEN even END, dflt) AS entry FROM p JOIN e USING (doc) WHERE coalesce(CASE WHEN page = 0 THEN first END, CASE WHEN page % 2 = 1 THEN even END, dflt) IS NOT NULL
+""")
+def header_footer_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    applies = F.when(F.col("c_custkey") % 3 == 0, F.lit("first")).when(F.col("c_custkey") % 3 == 1, F.lit("even")).otherwise(F.lit("default"))
+    entries = t(spark, sf_dir, "customer").where("c_nationkey % 2 = 0 or c_custkey % 3 = 2").groupBy(F.col("c_nationkey").alias("doc"), applies.alias("applies")).agg(F.min("c_custkey").alias("entry"))
+    pages = t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc"), F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("page"))
+    return sequences.picked_headers(pages, entries, ["doc"])
+
+
+@query(f"""
+WITH {LINES}, p AS (SELECT l_orderkey, line, l_returnflag, l_quantity, lag(l_returnflag) OVER w AS prev, lead(l_returnflag) OVER w AS next FROM lines WINDOW w AS (PARTITION BY l_orderkey ORDER BY line))
+SELECT l_orderkey, line, CASE WHEN prev = l_returnflag THEN 0.0 ELSE l_quantity END AS space_before, CASE WHEN next = l_returnflag THEN 0.0 ELSE l_quantity / 2 END AS space_after FROM p
+""")
+def contextual_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines_of(spark, sf_dir).select("l_orderkey", "line", "l_returnflag", F.col("l_quantity").alias("space_before"), (F.col("l_quantity") / 2).alias("space_after"))
+    return sequences.contextual_spacing(rows, ["l_orderkey"], "line", "l_returnflag", "space_before", "space_after").drop("l_returnflag")
+
+
+@query("""
+WITH b AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations)
+SELECT conv_id, turn, next || chr(10) || chr(10) || text AS swapped FROM b WHERE next IS NOT NULL
+""")
+def edit_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lit("\n\n").alias("gap"))
+    return sequences.swapped_with_next(rows, ["conv_id"], "turn", "text", "gap").select("conv_id", "turn", "swapped")
+
+
+@query("""
+WITH o AS (SELECT conv_id, turn, length(text) AS len, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM conversations),
+n AS (SELECT *, lead(start) OVER w AS next, lag(start + len) OVER w AS prev_end FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, CAST(CASE WHEN next IS NOT NULL THEN start ELSE coalesce(prev_end, start) END AS BIGINT) AS cut_start, CAST(coalesce(next, start + len) AS BIGINT) AS cut_end FROM n
+""")
+def edit_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("text") + 2).over(w), F.lit(0)).cast("long")
+    rows = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("len"), start.alias("start"))
+    return sequences.deletion_ranges(rows, ["conv_id"], "turn", "start", "len").select("conv_id", "turn", "cut_start", "cut_end")
+
+
+@query("""
+WITH g AS (SELECT conv_id, turn, text, CASE turn % 3 WHEN 0 THEN chr(10) WHEN 1 THEN ' ' ELSE NULL END AS gap FROM conversations),
+s AS (SELECT *, lag(gap) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM g)
+SELECT conv_id, turn, text || coalesce(CASE WHEN contains(gap, chr(10)) THEN gap END, CASE WHEN contains(before, chr(10)) THEN before END, chr(10) || chr(10)) || 'new block' AS edited FROM s
+""")
+def edit_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gap = F.when(F.col("turn") % 3 == 0, F.lit("\n")).when(F.col("turn") % 3 == 1, F.lit(" "))
+    rows = sequences.separator(t(spark, sf_dir, "conversations").withColumn("gap", gap), ["conv_id"], "turn", "gap")
+    return rows.select("conv_id", "turn", F.concat("text", "separator", F.lit("new block")).alias("edited"))
+
+
+@query("SELECT doc_id, 'edited' || substring(text, CAST(least(length(text), 10) + 1 AS BIGINT)) AS edited FROM documents")
+def edit_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.least(F.length("text"), F.lit(10))
+    return t(spark, sf_dir, "documents").select("doc_id", sequences.replaced(F.col("text"), F.lit(0), size, F.lit("edited")).alias("edited"))
