@@ -32,9 +32,10 @@ def _joined(order: str, text: Column, glue: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))), lambda s: s["t"]), glue)
 
 
-def pipe_tables(cells: DataFrame, part: list[str]) -> DataFrame:
-    """A pipe table per part; its first row is the header. cells: part, row, col, text."""
-    lines = cells.groupBy(*part, "row").agg(F.concat(F.lit("| "), _joined("col", escaped(F.col("text"), True), " | "), F.lit(" |")).alias("line"), F.count("*").alias("n"))
+def pipe_tables(cells: DataFrame, part: list[str], escape: bool = True) -> DataFrame:
+    """A pipe table per part; its first row is the header. cells: part, row, col, text (escape: not yet escaped)."""
+    own = escaped(F.col("text"), True) if escape else F.col("text")
+    lines = cells.groupBy(*part, "row").agg(F.concat(F.lit("| "), _joined("col", own, " | "), F.lit(" |")).alias("line"), F.count("*").alias("n"))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("n").cast("int")), " | "), F.lit(" |"))
     first = F.row_number().over(Window.partitionBy(*part).orderBy("row")) == 1
     lines = lines.withColumn("line", F.when(first, F.concat("line", F.lit("\n"), rule)).otherwise(F.col("line")))
