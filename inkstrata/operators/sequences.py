@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouped import stream_groups
+
 
 def as_of(left: DataFrame, right: DataFrame, part: list[str], at: str, value: str, default_first: bool = False) -> DataFrame:
     """Adds value: of right's last row with the same part and at <= left's; without one, null or (default_first) the first of all.
@@ -156,20 +160,17 @@ def pushes(groups: DataFrame, part: list[str], order: str, height: str, body: fl
 
 def settled(groups: DataFrame, part: str, order: str, height: str, body: float) -> DataFrame:
     """part (long), order (long), top, page after all pushes: each shifts what follows, so a document is laid out in order."""
-    import pandas as pd
-
-    def lay_out(doc: pd.DataFrame) -> pd.DataFrame:
-        at, out = 0.0, []
-        for row in doc.sort_values(order).itertuples():
-            h = float(getattr(row, height))
+    def lay_out(rows: list[tuple]) -> Iterator[tuple]:
+        at = 0.0
+        for doc, number, h in rows:
             room = body - at % body
             if room < h <= body:
                 at += room
-            out.append((getattr(row, part), getattr(row, order), at, int(at // body)))
+            yield doc, number, at, int(at // body)
             at += h
-        return pd.DataFrame(out, columns=[part, order, "top", "page"])
 
-    return groups.select(part, order, height).groupBy(part).applyInPandas(lay_out, f"{part} bigint, {order} bigint, top double, page int")
+    rows = groups.select(part, order, F.col(height).cast("double").alias("h"))
+    return stream_groups(rows, [part], [order], lay_out, f"{part} bigint, {order} bigint, top double, page int")
 
 
 def picked_headers(pages: DataFrame, entries: DataFrame, part: list[str]) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import RAW_CLOSE, RAW_NOTE, RAW_OPEN, escaped
+from .grouped import stream_groups
 
 MAX_SPAN = 512
 
@@ -60,19 +62,19 @@ def placed(cells: DataFrame, part: list[str]) -> DataFrame:
 def placed_with_row_spans(cells: DataFrame, part: str) -> DataFrame:
     """part (long), row, col, grid_col: anchors move right past what earlier rows' spans cover. A table is one group."""
 
-    def place(table: pd.DataFrame) -> pd.DataFrame:
+    def place(rows: list[tuple]) -> Iterator[tuple]:
         covered: set[tuple[int, int]] = set()
-        n_rows, out = int(table["row"].max()) + 1, []
-        for cell in table.sort_values(["row", "col"]).itertuples():
+        n_rows = rows[-1][1] + 1
+        for table, row, col, col_span, row_span in rows:
             at = 0
-            while (cell.row, at) in covered:
+            while (row, at) in covered:
                 at += 1
-            wide, high = (min(max(int(x), 1), MAX_SPAN) for x in (cell.col_span, cell.row_span))
-            covered |= {(r, c) for r in range(cell.row, min(cell.row + high, n_rows)) for c in range(at, at + wide)}
-            out.append((getattr(cell, part), cell.row, cell.col, at))
-        return pd.DataFrame(out, columns=[part, "row", "col", "grid_col"])
+            wide, high = (min(max(x, 1), MAX_SPAN) for x in (col_span, row_span))
+            covered |= {(r, c) for r in range(row, min(row + high, n_rows)) for c in range(at, at + wide)}
+            yield table, row, col, at
 
-    return cells.select(part, "row", "col", "col_span", "row_span").groupBy(part).applyInPandas(place, f"{part} bigint, row int, col int, grid_col int")
+    cells = cells.select(part, *[F.col(c).cast("int").alias(c) for c in ("row", "col", "col_span", "row_span")])
+    return stream_groups(cells, [part], ["row", "col"], place, f"{part} bigint, row int, col int, grid_col int")
 
 
 def merged_row_spans(cells: DataFrame, part: list[str]) -> DataFrame:
