@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import numbers, text, units
-from ..operators import sequences, spans, tables
+from ..functions import numbers, scripts, text, units
+from ..operators import layout, sequences, spans, tables
 from ..sources import kinds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -655,3 +655,128 @@ def edit_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edit_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.least(F.length("text"), F.lit(10))
     return t(spark, sf_dir, "documents").select("doc_id", sequences.replaced(F.col("text"), F.lit(0), size, F.lit("edited")).alias("edited"))
+
+
+# --- layout, attributes, splices ------------------------------------------------------------------------------------
+
+
+@query("""
+WITH d AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS top, p_retailprice / 100 AS header, CAST(1 + p_size % 4 AS INTEGER) AS n_pages FROM part),
+b AS (SELECT *, CASE WHEN p_partkey % 7 = 0 THEN 0.0 ELSE greatest(coalesce(top, 0.0) + 20.0, header + 15.0) + 24.0 END AS band FROM d)
+SELECT p_partkey, page, band, page * (700.0 + band) AS top FROM (SELECT *, unnest(range(n_pages)) AS page FROM (SELECT p_partkey, n_pages, band FROM b))
+""")
+def page_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets of each document with the band between them."""
+    top = F.when(F.col("p_size") % 5 != 0, F.col("p_size").cast("double"))
+    band = layout.band_height(top, F.lit(20.0), F.col("p_retailprice") / 100, F.lit(15.0), 24.0, F.col("p_partkey") % 7 != 0)
+    rows = t(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 4 + 1).alias("n_pages"), F.lit(700.0).alias("body"), band.alias("band"))
+    return layout.sheets(rows, "n_pages", "body", "band").select("p_partkey", F.col("page").cast("long").alias("page"), "band", "top")
+
+
+@query("""SELECT n_nationkey, n_name || ' — page ' || (n_nationkey + 1) || ' of ' || 25 AS running_head FROM nation""")
+def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    piece = lambda text, field=None: F.struct(text.alias("text"), F.lit(field).cast("string").alias("field"))
+    pieces = F.array(piece(F.col("n_name")), piece(F.lit(" — page ")), piece(F.lit("?"), "page"), piece(F.lit(" of ")), piece(F.lit("?"), "numpages"))
+    return t(spark, sf_dir, "nation").select("n_nationkey", layout.with_page_fields(pieces, F.col("n_nationkey") + 1, F.lit(25)).alias("running_head"))
+
+
+@query("""
+WITH p AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 OR o_orderstatus = 'O' AS opens FROM orders),
+s AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS sheet FROM p)
+SELECT o_custkey, CAST(sheet AS BIGINT) AS sheet, min(o_orderkey) AS first_page, count(*) AS n_pages FROM s GROUP BY 1, 2
+""")
+def joined_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "O").alias("opened"))
+    return layout.joined_sheets(pages, ["o_custkey"], "o_orderkey", "opened")
+
+
+@query("""
+WITH b AS (SELECT conv_id, turn FROM conversations WHERE role = 'user'), w AS (SELECT DISTINCT conv_id, unnest([1, 3, 50]) AS n FROM conversations)
+SELECT conv_id, n, coalesce(min(turn) FILTER (WHERE turn + 1 >= n), max(turn)) AS target FROM w LEFT JOIN b USING (conv_id) GROUP BY 1, 2
+""")
+def line_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "conversations").withColumn("skip", F.col("role") != "user")
+    wanted = rows.select("conv_id").distinct().withColumn("n", F.explode(F.array(F.lit(1), F.lit(3), F.lit(50))))
+    return layout.line_targets(rows, wanted, ["conv_id"], "turn", "skip")
+
+
+@query(f"""
+WITH {LINES}, s AS (SELECT l_orderkey, line, l_returnflag = 'R' AS bold, CASE WHEN l_linestatus = 'O' THEN '#' || l_suppkey END AS link, length(l_returnflag || l_partkey) AS len FROM lines),
+o AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY l_orderkey ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s)
+SELECT l_orderkey, 'bold' AS key, 'true' AS value, CAST(start AS BIGINT) AS start, CAST(start + len AS BIGINT) AS "end" FROM o WHERE bold
+UNION ALL SELECT l_orderkey, 'link', link, CAST(start AS BIGINT), CAST(start + len AS BIGINT) FROM o WHERE link IS NOT NULL
+""")
+def attribute_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines_of(spark, sf_dir).select("l_orderkey", "line", (F.col("l_returnflag") == "R").alias("bold"), F.when(F.col("l_linestatus") == "O", F.concat(F.lit("#"), F.col("l_suppkey").cast("string"))).alias("link"), F.length(F.concat("l_returnflag", F.col("l_partkey").cast("string"))).cast("long").alias("len"))
+    return layout.attribute_intervals(rows, ["l_orderkey"], ["line"], "len", ["bold", "link"])
+
+
+@query("""
+WITH o AS (SELECT conv_id, turn, length(text) AS len, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM conversations),
+e AS (SELECT conv_id, 10 AS edit_at, 4 AS removed, 7 AS added FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 3 <> 0)
+SELECT conv_id, turn, CAST(len AS BIGINT) AS len, CAST(CASE WHEN edit_at IS NOT NULL AND start > edit_at + removed THEN start + added - removed ELSE start END AS BIGINT) AS start,
+       coalesce(start <= edit_at + removed AND start + len >= edit_at, false) AS touched FROM o LEFT JOIN e USING (conv_id)
+""")
+def splice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block ranges after an edit: later ones shift, touched ones render anew."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    rows = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("len"), F.coalesce(F.sum(F.length("text") + 2).over(w), F.lit(0)).cast("long").alias("start"))
+    edits = rows.select("conv_id").distinct().where("conv_id % 3 <> 0").select("conv_id", F.lit(10).alias("edit_at"), F.lit(4).alias("removed"), F.lit(7).alias("added"))
+    return layout.spliced(rows, edits, ["conv_id"], "start", "len")
+
+
+@query()
+def definition_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("turn"), F.concat(F.lit("["), F.col("conv_id").cast("string"), F.lit("]: "), F.element_at(F.split("text", " "), 1)).alias("line"))
+    return layout.definition_lines(rows, "conv_id", "turn", "line")
+
+
+@query("""
+WITH s AS (SELECT p_brand AS name, p_type AS prop, p_partkey AS priority, p_name AS value FROM part) SELECT name, prop, arg_min(value, priority) AS value FROM s GROUP BY 1, 2
+""")
+def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.col("p_type").alias("prop"), F.col("p_partkey").alias("priority"), F.col("p_name").alias("value"))
+    return layout.first_wins(rows, ["name", "prop"], "priority", "value")
+
+
+@query("""
+WITH o AS (SELECT conv_id, turn, role, length(text) AS len, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM conversations),
+s AS (SELECT conv_id, start, start + 150 AS stop FROM o WHERE turn % 4 = 1)
+SELECT o.conv_id, o.turn, (SELECT max(s.start) FROM s WHERE s.conv_id = o.conv_id AND s.start <= o.start) IS NOT NULL
+  AND (SELECT max(s.start) FROM s WHERE s.conv_id = o.conv_id AND s.start <= o.start) + 150 >= o.start + o.len AS inside FROM o
+""")
+def span_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that lie wholly within a span."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    rows = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.sum(F.length("text") + 2).over(w), F.lit(0)).cast("long").alias("start"), F.length("text").alias("len"))
+    rows = rows.withColumn("end", F.col("start") + F.col("len"))
+    held = rows.where("turn % 4 = 1").select("conv_id", "start", (F.col("start") + 150).alias("end"))
+    return layout.contained(rows, held, ["conv_id"]).select("conv_id", "turn", F.col("span").isNotNull().alias("inside"))
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, event_type, CASE WHEN event_type = 'purchase' THEN event_id END AS mark FROM events)
+SELECT user_id, mark, min(event_id) FILTER (WHERE event_type <> 'purchase') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS span_at FROM e QUALIFY mark IS NOT NULL
+""")
+def pending_bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bookmark belongs to the next span that follows it: purchases as bookmarks, all other events as spans."""
+    rows = t(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") != "purchase").alias("is_span"), F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("mark"))
+    return layout.pending(rows, ["user_id"], "event_id", "is_span", "mark")
+
+
+@query("""
+SELECT p_partkey, coalesce(CASE WHEN p_size % 2 = 0 THEN p_brand END, CASE WHEN p_size % 3 = 0 THEN p_type END, CASE WHEN p_size % 5 = 0 THEN p_name END, CASE WHEN p_partkey % 2 = 0 THEN 'F2F2F2' END) AS fill,
+       CAST(floor(coalesce(CASE WHEN p_size % 2 = 0 THEN p_retailprice END, CASE WHEN p_size % 3 = 0 THEN 3.7 END, 7.0)) AS BIGINT) AS padding FROM part
+""")
+def cell_cascades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cell's fill and padding: its own, its table's, its style's, the header's theme."""
+    own = lambda n, c: F.when(F.col("p_size") % n == 0, c)
+    fill = layout.background(own(2, F.col("p_brand")), own(3, F.col("p_type")), own(5, F.col("p_name")), F.col("p_partkey") % 2 == 0, "F2F2F2")
+    return t(spark, sf_dir, "part").select("p_partkey", fill.alias("fill"), layout.padding(own(2, F.col("p_retailprice")), own(3, F.lit(3.7))).cast("long").alias("padding"))
+
+
+@query()
+def script_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters per language and script class, over the full Unicode table: distinct characters meet the ranges."""
+    chars = t(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("lang", "ch").agg(F.count("*").alias("n")).withColumn("cp", F.ascii("ch"))
+    return sequences.range_lookup(chars, scripts.range_table(spark), "cp", "class").groupBy("lang", "class").agg(F.sum("n").alias("n"))
