@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 #: White space between words: blank and the controls 9 to 13.
 GAP = r"[\x20\x09-\x0D]+"
-#: A Python worker forgets its cached words beyond this count, so its memory stays bounded.
-CACHE_WORDS = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,33 +39,10 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
 
 
-def split_words(text: str | None) -> list[bytes]:
-    """The words as UTF-8; bytes.split() cuts at exactly the white space of GAP."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
-def lower_words(text: str | None) -> list[bytes]:
-    """As split_words, with A-Z in lower case (bytes.lower() touches nothing else)."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
 def hash64(word: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, each computed once while it stays cached."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = hash64(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser: spreads every input bit over the 64 output bits."""
     x = x.astype(np.uint64, copy=True)
@@ -77,6 +52,75 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_rng = np.random.default_rng(20240601)
+_BYTE = _rng.integers(1, 1 << 64, 256, dtype=np.uint64)
+_GAP = np.zeros(256, bool)
+_GAP[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = 0x9E3779B97F4A7C15
+_UNDO = pow(_BASE, -1, 1 << 64)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that are hashed at once; longer texts are cut at white space.
+SEGMENT = 1 << 20
+
+
+def _power(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, _UNDO)):
+            steps = np.full(2 * n, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    return _powers
+
+
+def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a UTF-8 text start and end."""
+    word = ~_GAP[raw]
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    edge = np.concatenate(([0], edge)) if len(word) and word[0] else edge
+    if len(edge) % 2:
+        edge = np.append(edge, len(raw))
+    return edge[::2], edge[1::2]
+
+
+def segment_end(raw: np.ndarray) -> int | None:
+    """Where to cut a text that is too long to be hashed at once: at its first white space after SEGMENT bytes, if it has one."""
+    if len(raw) <= 2 * SEGMENT:
+        return None
+    gaps = np.flatnonzero(_GAP[raw[SEGMENT:-1]])
+    return SEGMENT + int(gaps[0]) if len(gaps) else None
+
+
+class RunningSums:
+    """Hashes of any stretches of a text: sums of its bytes' random values times powers of an odd base, from running sums."""
+
+    def __init__(self, raw: np.ndarray):
+        power, self.undo = _power(len(raw) + 1)
+        self.sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * power[: len(raw)], out=self.sums[1:])
+
+    def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) * self.undo[start]
+
+
+def word_hashes(raw: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of a UTF-8 text, in order, without a Python object per word."""
+    if (cut := segment_end(raw)) is not None:
+        return np.concatenate([word_hashes(raw[:cut]), word_hashes(raw[cut:])])
+    start, end = word_bounds(raw)
+    return mix64(RunningSums(raw).between(start, end)) if len(start) else np.zeros(0, np.uint64)
+
+
+def hash_of(word: bytes) -> int:
+    """The word_hashes() of one word, as a signed number."""
+    return int(word_hashes(np.frombuffer(word, np.uint8)).view(np.int64)[0])
+
+
+def raw_text(text: str | None, lower: bool = True) -> np.ndarray:
+    """A text as bytes, with A-Z in lower case (bytes.lower() touches nothing else)."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return np.frombuffer(raw.lower() if lower else raw, np.uint8)
+
+
 def arrow_rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     """The named columns of a batch as Python rows, converted a few rows at a time so that long texts don't pile up."""
     for at in range(0, batch.num_rows, 256):

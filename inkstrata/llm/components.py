@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Each round links every node's larger neighbours, then its smaller ones, to the least node it knows; nothing but two counters
-reaches the driver, each round's edges are a written table, and a hot node costs one partial aggregate and a join whose large
+Each round links every node's larger neighbours, then its smaller ones, to the least node it knows; nothing but the answer whether
+all are stars reaches the driver, each round's edges are a written table, and a hot node costs one partial aggregate and a join whose large
 parts the adaptive plan splits.
 """
 
@@ -25,17 +25,18 @@ def _linked(pairs: DataFrame, larger: bool) -> DataFrame:
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
 
 
+def _are_stars(pairs: DataFrame) -> bool:
+    """Whether every node is either a centre or has a single edge, to a centre."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("out")).unionByName(pairs.select(F.col("v").alias("node"), F.lit(0).alias("out")))
+    by_node = ends.groupBy("node").agg(F.sum("out").alias("n_out"), F.min("out").alias("least"))
+    return by_node.where("n_out > 1 or (n_out = 1 and least = 0)").isEmpty()
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of an edge between two nodes; root is the least node of its component. Ids are longs."""
     pairs = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
-        step = _linked(pairs, larger=True).where("u <> v").distinct()
-        step = _linked(step, larger=False).where("u <> v").distinct()
-        pairs = stored(step, "stars")
-        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before or not now[0]:
-            break
-        before = now
+    while not _are_stars(pairs):
+        step = _linked(_linked(pairs, larger=True).where("u <> v"), larger=False)
+        pairs = stored(step.where("u <> v").distinct(), "stars")
     roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -26,24 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import WordHashes, arrow_batch, arrow_rows, lower_words, mix64, stored
+from ._util import arrow_batch, arrow_rows, mix64, raw_text, stored, word_hashes
 from .components import components
 
 WIDTH = 3
 PERCENT = 90
 #: Bounds of a comparing task: sets, and shingles in all.
-BLOCK_SETS, BLOCK_SHINGLES = 1000, 1 << 20
+BLOCK_SETS, BLOCK_SHINGLES = 4000, 1 << 20
 
-_hashes = WordHashes()
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The distinct shingles of a whole text as sorted hashes."""
-    words = lower_words(text)
-    if not words:
+    h = word_hashes(raw_text(text))
+    if not len(h):
         return np.zeros(0, np.uint64)
-    h = _hashes.of(words).view(np.uint64)
     if len(h) < width:
         value = np.uint64(len(h))
         for x in h:
@@ -91,7 +89,7 @@ def index_keys(own: np.ndarray, classes: Classes) -> np.ndarray:
         if number < 0:
             continue
         differ, more = classes.plan(number)
-        salt = np.uint64(number + 1) * _STEP[2]
+        salt = np.uint64((number + 1) * int(_STEP[2]) % (1 << 64))
         if differ == 0:
             continue
         if differ == 1:
