@@ -134,6 +134,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     predicted = F.when(F.col("score") >= toxicity.THRESHOLD, F.lit(1)).otherwise(F.lit(0)).cast("int")
     return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", predicted.alias("predicted"), "spans")
 
+
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_ FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y WHERE 100 * both_ >= 90 * (nx.n + ny.n - both_)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.reach)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, (SELECT min(reach) FROM r WHERE r.doc_id = d.doc_id) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), b AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS best, sha1(html) AS hex FROM p),
+v AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substring(hex, CAST(5 * i + 1 AS BIGINT), 5) AS INTEGER)) AS groups FROM b)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(groups, lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda k: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((g >> k) & 31) + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to FROM v
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -146,4 +167,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op4_source_mixing": OP4_SQL, "op8_exact_top_k": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_source_mixing": OP4_SQL, "op7_warc": OP7_SQL, "op8_exact_top_k": OP8_SQL}
