@@ -1 +1 @@
-
+"""Column expressions, and functions over parsed trees."""

@@ -1 +1 @@
-
+"""Relational operators over blocks, spans, cells and positions."""

@@ -1 +1 @@
-
+"""Readers that turn bytes into rows."""
