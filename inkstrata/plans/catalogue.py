@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import numbers, scripts, text, units
+from ..functions import numbers, scripts, styles, text, units
 from ..operators import layout, sequences, spans, tables
 from ..sources import kinds
 
@@ -780,3 +780,78 @@ def script_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters per language and script class, over the full Unicode table: distinct characters meet the ranges."""
     chars = t(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("lang", "ch").agg(F.count("*").alias("n")).withColumn("cp", F.ascii("ch"))
     return sequences.range_lookup(chars, scripts.range_table(spark), "cp", "class").groupBy("lang", "class").agg(F.sum("n").alias("n"))
+
+
+# --- style values ---------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH p AS (SELECT p_partkey, ['none','double','dottedHeavy','dash','wavyDouble','words'][p_partkey % 6 + 1] AS u, ['start','end','both','center','left'][p_partkey % 5 + 1] AS a, p_partkey % 2 = 0 AS rtl, ['auto','exact','atLeast'][p_partkey % 3 + 1] AS rule, p_size FROM part)
+SELECT p_partkey, CASE u WHEN 'none' THEN NULL WHEN 'double' THEN 'double' WHEN 'dottedHeavy' THEN 'dotted' WHEN 'dash' THEN 'dashed' WHEN 'wavyDouble' THEN 'wavy' ELSE 'single' END AS underline,
+       CASE a WHEN 'center' THEN 'center' WHEN 'both' THEN 'justify' WHEN 'left' THEN 'left' WHEN 'start' THEN CASE WHEN rtl THEN 'right' ELSE 'left' END ELSE CASE WHEN rtl THEN 'left' ELSE 'right' END END AS alignment,
+       CASE rule WHEN 'auto' THEN 'multiple' ELSE rule END AS mode, CASE rule WHEN 'auto' THEN p_size / 240.0 ELSE p_size / 20.0 END AS height FROM p
+""")
+def style_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("p_partkey") % n + 1).cast("int"))
+    height = styles.line_height(pick(("auto", "exact", "atLeast"), 3), F.col("p_size").cast("double"))
+    return t(spark, sf_dir, "part").select("p_partkey", styles.underline(pick(("none", "double", "dottedHeavy", "dash", "wavyDouble", "words"), 6)).alias("underline"), styles.alignment(pick(("start", "end", "both", "center", "left"), 5), F.col("p_partkey") % 2 == 0).alias("alignment"), height["mode"].alias("mode"), height["value"].alias("height"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_partkey % 8 + 1 AS level, p_partkey % 3 = 0 AS paged, CASE WHEN p_partkey % 5 = 0 THEN 31.0 END AS own FROM part)
+SELECT p_partkey, coalesce(own, CASE WHEN paged THEN size ELSE size * [1.875, 1.5, 1.25, 1.15, 1.0, 1.0][least(level, 6)] END) AS heading_size,
+       CASE WHEN paged THEN size * 1.25 ELSE round(size * 1.25) END * CASE WHEN level = 2 THEN 0.7 ELSE 1.0 END AS span_size,
+       CASE WHEN level = 1 THEN size * 0.35 WHEN level = 2 THEN size * -0.15 ELSE 0.0 END AS baseline, least(greatest(size + 1, 10), 36) AS reading_size,
+       ['•', '◦', '▪'][level % 3 + 1] AS bullet, size + 3.0 - CASE WHEN paged THEN size ELSE 0.0 END AS first_indent FROM p
+""")
+def layout_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, level, paged = F.col("p_size").cast("double"), F.col("p_partkey") % 8 + 1, F.col("p_partkey") % 3 == 0
+    return t(spark, sf_dir, "part").select(
+        "p_partkey", styles.heading_size(level, F.when(F.col("p_partkey") % 5 == 0, F.lit(31.0)), size, paged).alias("heading_size"), styles.span_size(size, F.lit(1.25), paged, level == 2).alias("span_size"),
+        styles.baseline(size, level == 1, level == 2).alias("baseline"), styles.reading_size(size, F.lit(1)).alias("reading_size"), styles.bullet(level, F.lit(None).cast("boolean")).alias("bullet"), styles.first_indent(size, F.lit(3.0), F.when(paged, size)).alias("first_indent"),
+    )
+
+
+@query("""
+WITH p AS (SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN '' ELSE p_name END AS a, CASE WHEN p_size % 6 = 0 THEN NULL ELSE p_brand END AS b, p_type AS c, p_partkey % 4 AS slot FROM part)
+SELECT p_partkey, coalesce(nullif([a, b, c][slot + 1], ''), nullif(a, ''), nullif(b, ''), c) AS font, CASE WHEN p_partkey % 2 = 0 THEN a ELSE 'Times New Roman' END AS east_asian,
+       upper(CASE slot WHEN 0 THEN '111111' WHEN 1 THEN 'eeeeee' WHEN 2 THEN 'abcdef' END) AS colour FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN coalesce(a, '') END AS q, a, b, c, slot FROM p)
+""")
+def font_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fonts by slot with their fallbacks, the East Asian rule, and theme colours."""
+    a, b = F.when(F.col("p_size") % 4 == 0, F.lit("")).otherwise(F.col("p_name")), F.when(F.col("p_size") % 6 != 0, F.col("p_brand"))
+    slot = (F.col("p_partkey") % 4).cast("int")
+    scheme = F.create_map(F.lit("dk1"), F.lit("111111"), F.lit("lt1"), F.lit("EEEEEE"))
+    name = F.when(slot == 0, F.lit("text1")).when(slot == 1, F.lit("background1")).otherwise(F.lit("accent9"))
+    east = styles.east_asian_slot(F.lit("Times New Roman"), a, F.when(F.col("p_partkey") % 2 == 0, a).otherwise(F.lit("-")))
+    return t(spark, sf_dir, "part").select("p_partkey", styles.slot_font(F.array(a, b, F.col("p_type")), slot, F.lit("fallback")).alias("font"), east.alias("east_asian"), styles.theme_colour(name, scheme, F.when(slot == 2, F.lit("abcdef")).otherwise(F.lit("auto"))).alias("colour"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, CAST(n - 1 AS INTEGER) AS n, regexp_matches(line, '^ {0,3}#|^ {0,3}>|\||^ {0,3}(?:[-*_=][ \t]*)+$|^ {0,3}(?:[-*+]|\d{1,9}[.)])[ \t]') AS interrupts, regexp_matches(line, '^ {0,3}(`{3,}|~{3,})') AS fence FROM l
+""")
+def paragraph_interrupts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return rows.select("doc_id", "n", styles.interrupts_paragraph(F.col("line")).alias("interrupts"), F.col("line").rlike("^ {0,3}(`{3,}|~{3,})").alias("fence"))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_linenumber, min(l_extendedprice) AS top, max(l_extendedprice) AS bottom, count(*) AS n FROM lineitem GROUP BY 1, 2)
+SELECT l_orderkey, min(top) AS top, max(bottom) AS bottom, max(l_linenumber) AS columns, CAST(sum(n) AS BIGINT) AS n_cells FROM r GROUP BY 1
+""")
+def table_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A laid-out table's top and bottom, over those of its rows, and its column count."""
+    rows = t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_extendedprice").alias("top"), F.max("l_extendedprice").alias("bottom"), F.count("*").alias("n"))
+    return rows.groupBy("l_orderkey").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.max("l_linenumber").alias("columns"), F.sum("n").alias("n_cells"))
+
+
+@query("""
+SELECT doc_id, CAST(sum(length(line)) AS BIGINT) AS n_chars, max(CASE WHEN length(line) > 0 THEN length(line) END) AS longest, count(*) FILTER (WHERE trim(line) <> '') AS n_drawn
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1
+""")
+def block_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: length of all blocks, the longest one, and how many draw something."""
+    rows = t(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    n = F.length("line")
+    return rows.groupBy("doc_id").agg(F.sum(n).alias("n_chars"), F.max(F.when(n > 0, n)).cast("long").alias("longest"), F.count(F.when(styles.draws_something(F.col("line"), F.lit(False), F.lit("paragraph")), 1)).alias("n_drawn"))
