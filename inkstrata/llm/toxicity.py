@@ -16,7 +16,6 @@ both labels the score is 0 for all. Repeated rows get equal scores; labels that
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,54 +24,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import arrow_batch, arrow_rows, hash64, sample_by_group, stored
+from ._util import RunningSums, arrow_batch, arrow_rows, hash64, mix64, sample_by_group, segment_end, stored, word_bounds
 from .language_id import ddl_of
 
 STRETCH = 64
 DIMS = 1 << 16
 PER_LABEL = 2000
 STRETCHES = 6000
-#: A worker's Tagger forgets its words beyond this count: about 150 MB.
-ROOM = 600_000
 #: A word becomes a label for tokens from this many toxic documents of the sample, and this log-odds, on.
 LEXICON_DOCS, LEXICON_ODDS = 5, 2.0
 #: Lengths of the beginnings of a word that are features and may be labels, too: invented compounds share them.
 BEGINNINGS = (3, 4, 5, 6, 7)
 THRESHOLD = 0.3
-#: Weights per word: own, ending, before, after.
-KINDS = 3
 
 _edges = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _word = re.compile(r"[^\x20\x09-\x0D]+")
-_marks = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalpha())
+_ascii_marks = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalpha())
+_marks = np.zeros(256, bool)
+_marks[list(_ascii_marks)] = True
+#: How many marks are stripped from either end of a token for its features.
+STRIPPED = 6
 
 
 def normal(word: bytes) -> str:
-    w = word.lower().strip(_marks)
+    w = word.lower().strip(_ascii_marks)
     return w.decode() if w.isalpha() else _edges.sub("", w.decode("utf-8", "replace").lower())
 
 
-def place(kind: int, text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass"), kind) % DIMS
-
-
 def stems(w: str) -> list[str]:
     """What may mark a word as toxic: itself and its beginnings, marked by a star."""
     return [w, *(w[:k] + "*" for k in BEGINNINGS if len(w) >= k)]
 
 
-def features(word: bytes) -> tuple[int, ...]:
-    """Places of a word as the token before, as the token after, and as the token itself (whole, ending, beginnings)."""
-    w = normal(word)
-    own = [place(0, w), place(1, w[-3:]), *(place(4 + k, w[:k]) for k in BEGINNINGS)]
-    return place(2, w), place(3, w), *own
-
+def features(text: str | None) -> np.ndarray:
+    """Per token of a whole text, its places as the token before, as the token after, and its own (whole, ending, beginnings).
 
-def unaries(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Toxic minus clean potential of each token of one text. table: per word its weight as token, as before, as after."""
-    score = table[ids, 0].copy()
-    score[1:] += table[ids[:-1], 1]
-    score[:-1] += table[ids[1:], 2]
+    Beginnings and the ending are counted in bytes; a beginning longer than the token has the place of none.
+    """
+    return _features(np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8))
+
+
+def _features(raw: np.ndarray) -> np.ndarray:
+    if (cut := segment_end(raw)) is not None:
+        return np.concatenate([_features(raw[:cut]), _features(raw[cut:])])
+    start, end = word_bounds(raw)
+    for _ in range(STRIPPED):
+        end = end - ((end > start) & _marks[raw[end - 1]])
+        start = start + ((end > start) & _marks[raw[np.minimum(start, len(raw) - 1)]])
+    sums = RunningSums(raw)
+    whole = sums.between(start, end)
+    parts = [whole, whole, whole, sums.between(np.maximum(start, end - 3), end)]
+    parts += [np.where(start + k <= end, sums.between(start, np.minimum(start + k, end)), np.uint64(0)) for k in BEGINNINGS]
+    out = np.empty((len(start), len(parts)), np.int32)
+    for kind, h in enumerate(parts):
+        out[:, kind] = mix64(h + np.uint64(kind)) % np.uint64(DIMS)
+    return out
+
+
+def unaries(places: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    """Toxic minus clean potential of each token of one text."""
+    score = weights[places[:, 2:]].sum(1) + bias
+    score[1:] += weights[places[:-1, 0]]
+    score[:-1] += weights[places[1:, 1]]
     return score
 
 
@@ -163,35 +176,14 @@ class Model:
 
 
 class Tagger:
-    """Marginals of whole texts; a word's weights are summed up once while it stays cached."""
+    """Marginals of whole texts."""
 
     def __init__(self, model: Model):
-        self.model, self.ids, self.new = model, {}, []
-        self.table, self.filled = np.zeros((1024, KINDS)), 0
-        self.weights = model.weights.tolist()
-
-    def _id(self, word: bytes) -> int:
-        before, after, *own = features(word)
-        w = self.weights
-        self.new.append((sum([w[i] for i in own]) + self.model.bias, w[before], w[after]))
-        self.ids[word] = i = len(self.ids)
-        return i
+        self.model = model
 
     def marginals(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array per text; the stretches of all texts run through the chain together."""
-        if len(self.ids) > ROOM:
-            self.ids, self.filled = {}, 0
-        get, known = self.ids.get, []
-        for text in texts:
-            words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-            known.append(np.fromiter([i if (i := get(w)) is not None else self._id(w) for w in words], np.int64, len(words)))
-        if self.new:
-            want = self.filled + len(self.new)
-            if want > len(self.table):
-                self.table = np.vstack([self.table[: self.filled], np.zeros((want, KINDS))])
-            self.table[self.filled : want] = self.new
-            self.filled, self.new = want, []
-        scores = [unaries(self.table, ids) for ids in known]
+        scores = [unaries(features(text), self.model.weights, self.model.bias) for text in texts]
         flat = np.concatenate(scores) if scores else np.zeros(0)
         ends = np.cumsum([len(x) for x in scores])
         starts = np.concatenate([np.arange(e - len(x), e, STRETCH) for e, x in zip(ends, scores, strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
@@ -242,31 +234,30 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     odds = F.log((F.col("bad") + 0.5) / (sizes[1] + 1)) - F.log((F.col("good") + 0.5) / (sizes[0] + 1))
     # at most as many words as the bounded sample's toxic documents hold LEXICON_DOCS times
     lexicon = {r[0] for r in by_word.where((F.col("bad") >= LEXICON_DOCS) & (odds >= LEXICON_ODDS)).select("word").collect()}
-    schema = pa.schema([("key", pa.int64()), ("words", pa.binary()), ("tags", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("places", pa.binary()), ("tags", pa.binary())])
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, text, toxic in arrow_rows(batch, "doc_id", "text", "toxic"):
-                words = text.encode("utf-8", "surrogatepass").split()
+                words, places = text.encode("utf-8", "surrogatepass").split(), features(text)
                 for a in range(0, len(words), STRETCH):
                     own = words[a : a + STRETCH]
                     hit = [not lexicon.isdisjoint(stems(normal(w))) for w in own]
                     key = hash64(f"{doc_id}:{a}".encode())
                     if any(hit) or key % 16 == 0:
-                        rows.append((key, b" ".join(own), bytes(h and toxic for h in hit)))
+                        rows.append((key, places[a : a + STRETCH].tobytes(), bytes(h and toxic for h in hit)))
             if rows:
                 yield arrow_batch(schema, list(zip(*rows, strict=True)))
 
-    drawn = chosen.mapInArrow(stretches, "key bigint, words binary, tags binary").orderBy("key", "words").limit(STRETCHES).collect()
-    memo: dict[bytes, tuple] = {}
+    picked = chosen.mapInArrow(stretches, "key bigint, places binary, tags binary").orderBy("key", "places").limit(STRETCHES).collect()
     train = []
-    for _, words, tags in drawn:
-        own = [memo[w] if w in memo else memo.setdefault(w, features(w)) for w in bytes(words).split()]
-        x = np.array(own, np.int32)
+    for _, places, tags in picked:
+        y = np.frombuffer(bytes(tags), np.uint8).astype(float)
+        x = np.frombuffer(bytes(places), np.int32).reshape(len(y), -1).copy()
         x[1:, 0], x[:-1, 1] = x[:-1, 0].copy(), x[1:, 1].copy()
         x[0, 0] = x[-1, 1] = 0
-        train.append((x, np.frombuffer(bytes(tags), np.uint8).astype(float)))
+        train.append((x, y))
     weights, bias, trans = fit_crf(train)
     model = Model(weights.astype(np.float32), bias, trans, np.zeros(4))
     seen = measured(chosen.select("text", "toxic"), model).select("toxic", "largest", "expected", "n_tokens").collect()
