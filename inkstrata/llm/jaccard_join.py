@@ -278,14 +278,33 @@ def decided(sets: DataFrame, percent: int, parts: int, block_sets: int = BLOCK_S
         out = [("link", key[0], a, b, None, None) for a, b in links]
         return out + [("doubt", key[0], pivots[p]["id"], pivots[q]["id"], None, None) for p, q in doubtful(pivots, between, percent)]
 
+    def met_blocks(key: tuple, rows: list[dict]) -> list[tuple]:
+        comp, i, j = key
+        each = list(zip(rows, _arrays(rows), strict=True))
+        left, right = ([(r, x) for r, x in each if r["block"] == b] for b in (i, j))
+        most, out = 1 - percent / 100 + 1e-9, []
+        for n, (r, x) in enumerate(left):
+            for q, y in left[:n] if i == j else right:
+                reach = most + r["radius"] + q["radius"]
+                if 1 - min(len(x), len(y)) / max(len(x), len(y)) > reach:
+                    continue
+                if linked(x, y, percent):
+                    out.append(("link", comp, r["lo"], q["lo"], None, None))
+                elif distance(x, y) <= reach:
+                    out.append(("doubt", comp, r["lo"], q["lo"], None, None))
+        return out
+
     first = stored(blocks(sets), "jaccard-blocks")
     found = stored(_grouped(first.where("n_blocks = 1").select("comp", "lo", "own"), ["comp"], whole, parts), "jaccard-links").select("kind", "a", "b")
     items = first.where("n_blocks > 1").select("comp", "lo", "own", F.lit(0.0).alias("radius"))
     large, n_before = items.select("comp", "lo", "own"), None
     while n_items := items.count():
         items = blocks(items)
-        if n_before is not None and n_items > 0.8 * n_before:
-            items = items.withColumn("n_blocks", F.lit(1)).withColumn("block", F.lit(0))  # pivots no longer thin out
+        if n_before is not None and n_items > 0.8 * n_before:  # pivots no longer thin out: all their blocks meet in pairs
+            met = items.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks").cast("long") - 1)))
+            met = met.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "lo", "own", "radius")
+            found = found.unionByName(stored(_grouped(met, ["comp", "i", "j"], met_blocks, parts), "jaccard-met").select("kind", "a", "b"))
+            break
         n_before = n_items
         ready = items.where("n_blocks = 1")
         top = stored(_grouped(ready.select("comp", "lo", "own", "radius"), ["comp"], last_round, parts), "jaccard-top")
