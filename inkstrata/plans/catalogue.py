@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import numbers, scripts, styles, text, units
+from ..functions import numbers, scripts, slots, styles, text, units
 from ..operators import layout, sequences, spans, tables
 from ..sources import kinds
 
@@ -855,3 +855,34 @@ def block_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     n = F.length("line")
     return rows.groupBy("doc_id").agg(F.sum(n).alias("n_chars"), F.max(F.when(n > 0, n)).cast("long").alias("longest"), F.count(F.when(styles.draws_something(F.col("line"), F.lit(False), F.lit("paragraph")), 1)).alias("n_drawn"))
+
+
+# --- font slots -----------------------------------------------------------------------------------------------------
+
+WORD_VALUES = ", ".join(f"({a}, {b}, '{p}', '{h}')" for a, b, p, h in slots.WORD_SLOTS)
+
+
+def _distinct_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count("*").alias("n")).withColumn("cp", F.ascii("ch"))
+
+
+@query(f"""
+WITH r(a, b, plain, hinted) AS (VALUES {WORD_VALUES}), c AS (SELECT unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY ch)
+SELECT CASE WHEN unicode(ch) > 65535 THEN 'eastAsia' ELSE coalesce(plain, 'hAnsi') END AS slot, CASE WHEN unicode(ch) > 65535 THEN 'eastAsia' ELSE coalesce(hinted, 'hAnsi') END AS hinted_slot, CAST(sum(n) AS BIGINT) AS n
+FROM n LEFT JOIN r ON unicode(ch) BETWEEN a AND b GROUP BY 1, 2
+""")
+def word_slot_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters by the slot that Word takes their font from, without and with the East Asian hint."""
+    rows = slots.looked_up(_distinct_chars(spark, sf_dir), slots.word_table(spark), "cp", ["plain", "hinted"])
+    slot = lambda hint: slots.word_slot(F.col("cp"), F.col("plain"), F.col("hinted"), F.lit(hint))
+    return rows.select(slot(False).alias("slot"), slot(True).alias("hinted_slot"), "n").groupBy("slot", "hinted_slot").agg(F.sum("n").alias("n"))
+
+
+@query()
+def slot_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters by OpenDocument slot, Hangul slot and whether they may stand for a font."""
+    rows = slots.looked_up(_distinct_chars(spark, sf_dir), slots.odf_table(spark), "cp", ["slot"])
+    rows = sequences.range_lookup(rows, scripts.range_table(spark), "cp", "class")
+    absorbs = scripts.absorbs(F.col("class"))
+    odf, hangul = slots.odf_slot(F.col("cp"), F.col("slot"), absorbs), slots.hangul_slot(F.col("cp"), F.col("class"), absorbs)
+    return rows.select(odf.alias("odf"), hangul.alias("hangul"), slots.sample_eligible(F.col("cp"), absorbs).alias("eligible"), "n").groupBy("odf", "hangul", "eligible").agg(F.sum("n").alias("n"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from inkstrata.functions import numbers, scripts, text, units
+from inkstrata.functions import numbers, scripts, slots, styles, text, units
 from inkstrata.operators import layout, sequences, spans, tables
 
 
@@ -98,3 +98,35 @@ def test_document_markdown_joins_items(spark):
     rows = [(1, 0, "heading", "# h"), (1, 1, "listItem", "- a"), (1, 2, "listItem", "- b"), (1, 3, "paragraph", ""), (1, 4, "paragraph", "p")]
     got = spans.document_markdown(spark.createDataFrame(rows, "d int, o int, kind string, piece string"), ["d"], "o").first()
     assert got.markdown == "# h\n\n- a\n- b\n\np"
+
+
+def test_slots(spark):
+    chars = [("A", "latin"), (" ", "common"), ("\uac00", "hangul"), ("\u05d0", "hebrew"), ("\u2192", "common"), ("\u00b1", "common"), ("\U00020000", "han"), ("\u0301", "inherited"), ("\ue000", "common")]
+    df = spark.createDataFrame([(c, ord(c), k) for c, k in chars], "ch string, cp int, class string")
+    rows = slots.looked_up(slots.looked_up(df, slots.odf_table(spark), "cp", ["slot"]), slots.word_table(spark), "cp", ["plain", "hinted"])
+    absorbs = scripts.absorbs(F.col("class"))
+    cp = F.col("cp")
+    got = {r[0]: tuple(r)[1:] for r in rows.select("ch", slots.odf_slot(cp, F.col("slot"), absorbs), slots.hangul_slot(cp, F.col("class"), absorbs), slots.word_slot(cp, F.col("plain"), F.col("hinted"), F.lit(False)), slots.word_slot(cp, F.col("plain"), F.col("hinted"), F.lit(True)), slots.sample_eligible(cp, absorbs)).collect()}
+    assert got["A"] == ("latin", "latin", "ascii", "ascii", True) and got[" "] == (None, None, "ascii", "ascii", False)
+    assert got["\uac00"] == ("asian", "hangul", "eastAsia", "eastAsia", True) and got["\u05d0"] == ("complex", "other", "ascii", "ascii", True)
+    assert got["\u2192"] == (None, "symbol", "hAnsi", "eastAsia", False) and got["\u00b1"][2:4] == ("hAnsi", "eastAsia")
+    assert got["\U00020000"] == ("asian", "hanja", "eastAsia", "eastAsia", True) and got["\u0301"][:2] == (None, None) and got["\ue000"][4] is False
+
+
+def test_slot_tables_are_sorted():
+    for table in (slots.ODF_TYPES, slots.WORD_SLOTS):
+        assert all(a[0] <= a[1] < b[0] for a, b in zip(table, table[1:], strict=False))
+    assert (len(slots.ODF_TYPES), sum(b - a + 1 for a, b, _ in slots.ODF_TYPES)) == (28, 92_879)
+
+
+def test_style_values(spark):
+    rows = [("dotDash", "start", True, 5), ("none", "both", False, 0)]
+    df = spark.createDataFrame(rows, "u string, a string, r boolean, v int")
+    got = [tuple(x) for x in df.select(styles.underline(F.col("u")), styles.alignment(F.col("a"), F.col("r")), styles.line_height(F.lit("auto"), F.col("v") * 48.0)["value"]).collect()]
+    assert got == [("dotted", "right", 1.0), (None, "justify", None)]
+    assert one(spark, styles.first_family(F.lit(" , 'A, B', c"))) == "A, B"
+    assert one(spark, styles.resolved_path(F.lit("~/x"), "/home/u", F.lit("/d/"))) == "/home/u/x" and one(spark, styles.resolved_path(F.lit("x"), "/h", F.lit("/d/"))) == "/d/x"
+    stops = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(p).alias("position"), F.lit(x).alias("leader")) for k, p, x in (("right", 400, "dot"), ("clear", 100, "none"), ("left", 200, "none"))])
+    assert [tuple(s) for s in one(spark, styles.tab_stops(stops))] == [(10.0, "left", None), (20.0, "right", "dot")]
+    assert [s.position for s in one(spark, styles.filled_margin(styles.tab_stops(stops), F.lit(100.0)))] == [10.0, 88.0]
+    assert tuple(one(spark, styles.relative_size(F.lit(5000.0), F.lit(400.0), F.lit(10.0), F.lit(20.0)))) == (200.0, 400.0)
