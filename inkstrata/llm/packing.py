@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import arrow_batch, arrow_rows, hash64, stored
+from ._util import SEGMENT, RunningSums, arrow_batch, hash64, mix64, segment_end, stored, word_bounds
 
 SEQ_LEN = 4096
 END_ID = 2
@@ -41,17 +41,20 @@ ITEM_DDL = "doc_id bigint, place bigint, doc_tokens bigint, crcs array<bigint>,
 PIECE_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-class Encoder(dict):
-    """Chunk between white space -> its ids as bytes. No rule of the vocabulary reaches over white space, so a text's ids are
-    those of its chunks, joined; each chunk is encoded once while it stays cached.
+class Encoder:
+    """Ids of whole texts. No rule of the vocabulary reaches over white space, so a text's ids are those of its chunks, joined.
 
-    A chunk that ends in plain punctuation after a letter or digit is its core and its tail, which are cached apart. Chunks of letters
-    are encoded together, as one text, and told apart by the ids that end a word; if those don't come out even, one by one.
+    A chunk that ends in plain punctuation after a letter or digit is a core and a tail. Cores and tails are found and hashed as arrays;
+    each distinct one is encoded once while it stays cached, and a text's ids are gathered from the cache's flat array. New
+    chunks of letters are encoded together, as one text, and told apart by the ids that end a word; if those don't come out even,
+    one by one.
     """
 
     TAIL = b".,!?;:#$%&*|"
-    #: Beyond this count a cache is emptied: about 180 MB each.
-    ROOM = 800_000
+    #: Marks that a tail may have; a chunk with more is taken whole.
+    MARKS = 8
+    #: Beyond this count of chunks the cache is emptied: about 100 MB.
+    ROOM = 700_000
     _made: dict[str, Encoder] = {}
 
     @classmethod
@@ -61,50 +64,118 @@ class Encoder(dict):
         return cls._made[path]
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cores: dict[bytes, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.folds = self.tokenizer.encode("Ab", add_special_tokens=False).ids == self.tokenizer.encode("ab", add_special_tokens=False).ids
-
-    def _encode_cores(self, cores: list[bytes]) -> None:
-        texts = [c.decode("utf-8", "replace") for c in cores]
-        plain = [i for i, t in enumerate(texts) if t.isalpha()]
-        rest = set(range(len(texts)))
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in plain)], add_special_tokens=False)[0].ids, "<u4")
+        self.marks, self.plain = np.zeros(256, bool), np.zeros(256, bool)
+        self.marks[list(self.TAIL)] = True
+        self.plain[[c for c in range(128) if chr(c).isalnum()]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the cache; slot 0 is the empty chunk."""
+        self.slots: dict[int, int] = {}
+        self.start, self.length, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 1
+        self.flat, self.filled = np.zeros(4096, np.uint32), 0
+
+    def _encode(self, chunks: list[bytes]) -> list[np.ndarray]:
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        letters = [i for i, t in enumerate(texts) if t.isalpha()]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        if letters:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in letters)], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.nonzero(self.ends[ids])[0] + 1
-            if len(stops) == len(plain):
-                raw, rest = ids.tobytes(), rest.difference(plain)
-                for i, a, b in zip(plain, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
-                    self.cores[cores[i]] = raw[4 * a : 4 * b]
-        one_by_one = sorted(rest)
-        for i, e in zip(one_by_one, self.tokenizer.encode_batch_fast([texts[i] for i in one_by_one], add_special_tokens=False), strict=True):
-            self.cores[cores[i]] = np.array(e.ids, "<u4").tobytes()
-
-    def encoded(self, text: str | None) -> np.ndarray:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        words = (raw.lower() if self.folds else raw).split()
-        if len(self) > self.ROOM:
-            self.clear()
-        if len(self.cores) > self.ROOM:
-            self.cores.clear()
-        parts = {}
-        for w in [w for w in set(words) if w not in self]:
-            core = w.rstrip(self.TAIL)
-            parts[w] = (core, w[len(core) :]) if core[-1:].isalnum() else (w, b"")
-        if parts:
-            need = {c for c, _ in parts.values()} | {t for _, t in parts.values() if t}
-            if new := sorted(need.difference(self.cores)):
-                self._encode_cores(new)
-            for w, (core, tail) in parts.items():
-                self[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
+            if len(stops) == len(letters):
+                for i, a, b in zip(letters, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
+                    out[i] = ids[a:b]
+        rest = [i for i, o in enumerate(out) if o is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.uint32)
+        return out
+
+    def _slots_of(self, hashes: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The slots of chunks of raw by their hashes; new ones are encoded."""
+        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        keys, get = distinct.tolist(), self.slots.get
+        slots = [get(k) for k in keys]
+        new = [i for i, s in enumerate(slots) if s is None]
+        if new:
+            data, at = raw.tobytes(), first[new]
+            found = self._encode([data[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            sizes = np.array([len(f) for f in found], np.int64)
+            want, total = self.used + len(new), self.filled + int(sizes.sum())
+            if want > len(self.start):
+                self.start, self.length = (np.concatenate([x[: self.used], np.zeros(want, np.int64)]) for x in (self.start, self.length))
+            if total > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.filled], np.zeros(total, np.uint32)])
+            self.flat[self.filled : total] = np.concatenate(found)
+            self.start[self.used : want] = self.filled + np.cumsum(sizes) - sizes
+            self.length[self.used : want] = sizes
+            for n, i in enumerate(new):
+                slots[i] = self.slots[keys[i]] = self.used + n
+            self.used, self.filled = want, total
+        return np.array(slots, np.int64)[back]
+
+    def _segment(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words of raw, where each word's ids end, and where the words start."""
+        if len(self.slots) > self.ROOM:
+            self.forget()
+        start, end = word_bounds(raw)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64), start
+        core = end
+        for _ in range(self.MARKS):
+            core = core - ((core > start) & self.marks[raw[core - 1]])
+        core = np.where((core > start) & self.plain[raw[np.maximum(core - 1, 0)]], core, end)
+        sums = RunningSums(raw)
+        tailed = np.flatnonzero(core < end)
+        starts, stops = np.concatenate([start, core[tailed]]), np.concatenate([core, end[tailed]])
+        slots = self._slots_of(mix64(sums.between(starts, stops)), raw, starts, stops)
+        pairs = np.zeros((len(start), 2), np.int64)
+        pairs[:, 0] = slots[: len(start)]
+        pairs[tailed, 1] = slots[len(start) :]
+        chosen = pairs.ravel()
+        sizes = self.length[chosen]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.start[chosen] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        return ids, ends[1::2], start
+
+    def encoded(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; texts are taken together up to SEGMENT bytes, and longer ones cut at white space."""
+        out: list[np.ndarray] = []
+        held: list[bytes] = []
+
+        def flush() -> None:
+            ids, ends, start = self._segment(np.frombuffer(b"\n".join(held), np.uint8))
+            stops = np.cumsum([len(h) + 1 for h in held])
+            words = np.searchsorted(start, stops)
+            out.extend(np.split(ids, np.concatenate(([0], ends))[words][:-1]))
+            held.clear()
+
+        size = 0
+        for text in texts:
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            raw = raw.lower() if self.folds else raw
+            if held and size + len(raw) > SEGMENT:
+                flush()
+                size = 0
+            if len(raw) > SEGMENT:
+                rest, parts = np.frombuffer(raw, np.uint8), []
+                while (cut := segment_end(rest)) is not None:
+                    parts.append(self._segment(rest[:cut])[0])
+                    rest = rest[cut:]
+                out.append(np.concatenate([*parts, self._segment(rest)[0]]))
+            else:
+                held.append(raw)
+                size += len(raw)
+        if held:
+            flush()
+        return out
 
 
 def items(docs: DataFrame, tokenizer: str, end_id: int = END_ID, seq_len: int = SEQ_LEN) -> DataFrame:
@@ -113,14 +184,16 @@ def items(docs: DataFrame, tokenizer: str, end_id: int = END_ID, seq_len: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            rows = []
-            for doc_id, text in arrow_rows(batch, "doc_id", "text"):
-                ids = np.append(encoder.encoded(text), np.uint32(end_id)).astype("<u4")
-                place, at = hash64(b"%d:%d" % (part, at)), at + 1
-                cut = len(ids) // seq_len * seq_len
-                crcs = [zlib.crc32(ids[a : a + seq_len].tobytes()) for a in range(0, len(ids), seq_len)]
-                rows.append((doc_id, place, len(ids), crcs, ids[cut:].tobytes() if is_filler(place) and cut < len(ids) else None))
-            if rows:
+            for first in range(0, batch.num_rows, 256):
+                some = batch.slice(first, 256)
+                doc_ids, texts = (some.column(some.schema.get_field_index(n)).to_pylist() for n in ("doc_id", "text"))
+                rows = []
+                for doc_id, own in zip(doc_ids, encoder.encoded(texts), strict=True):
+                    ids = np.append(own, np.uint32(end_id)).astype("<u4")
+                    place, at = hash64(b"%d:%d" % (part, at)), at + 1
+                    cut = len(ids) // seq_len * seq_len
+                    crcs = [zlib.crc32(ids[a : a + seq_len].tobytes()) for a in range(0, len(ids), seq_len)]
+                    rows.append((doc_id, place, len(ids), crcs, ids[cut:].tobytes() if is_filler(place) and cut < len(ids) else None))
                 yield arrow_batch(ITEM, list(zip(*rows, strict=True)))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, ITEM_DDL)
