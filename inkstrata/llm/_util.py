@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: White space between words: blank and the controls 9 to 13.
 GAP = r"[\x20\x09-\x0D]+"
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,11 +29,24 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets no Arrow batch of this session hold more than BATCH_ROWS rows: texts are long, and a batch is held several times, by the
+    JVM outside its heap and by Python. Smaller settings stay."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts the lineage and outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Writes df as a table in the shared folder and reads it back: cuts the lineage and outlives lost executors. The table goes
+    when the session's JVM ends."""
+    spark = df.sparkSession
+    bounded_batches(spark)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def words_of(text: Column) -> Column:
@@ -138,6 +153,7 @@ def fold(doc_id: Column, by: int) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
