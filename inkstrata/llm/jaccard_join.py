@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import arrow_batch, arrow_rows, mix64, raw_text, stored, word_hashes
+from ._util import arrow_batch, arrow_rows, lean, mix64, raw_text, stored, word_hashes
 from .components import components
 
 WIDTH = 3
@@ -126,7 +126,7 @@ def indexed(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     rows.append((doc_id, len(own), *digest(own), index_keys(own, classes) if len(own) else []))
                 yield arrow_batch(DOC, list(zip(*rows, strict=True)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DOC_DDL)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), DOC_DDL)
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
@@ -137,7 +137,7 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
                 ids = [digest(x) for x in own]
                 yield arrow_batch(SET, [[i[0] for i in ids], [i[1] for i in ids], [x.tobytes() for x in own]])
 
-    return docs.select("text").mapInArrow(run, "hi bigint, lo bigint, own binary")
+    return docs.select("text").mapInArrow(lean(run), "hi bigint, lo bigint, own binary")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -249,7 +249,7 @@ def _grouped(rows: DataFrame, keys: list[str], work: Callable[[tuple, list[dict]
         if held and (out := work(key, held)):
             yield arrow_batch(LINK, list(zip(*out, strict=True)))
 
-    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, LINK_DDL)
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(lean(run), LINK_DDL)
 
 
 def _arrays(rows: list[dict], field: str = "own") -> list[np.ndarray]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import arrow_batch, arrow_rows, sample_by_group
+from ._util import arrow_batch, arrow_rows, lean, sample_by_group
 
 DIMS = 1 << 13
 PER_LANG = 400
@@ -124,7 +124,7 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
             if rows:
                 yield arrow_batch(schema, list(zip(*rows, strict=True)))
 
-    found = sorted(chosen.select("lang", "text").mapInArrow(count, "lang string, places binary, totals binary").collect())
+    found = sorted(chosen.select("lang", "text").mapInArrow(lean(count), "lang string, places binary, totals binary").collect())
     totals = np.zeros((len(found), DIMS), np.float32)
     for row, (_, places, values) in zip(totals, found, strict=True):
         row[np.frombuffer(places, np.uint16)] = np.frombuffer(values, np.float32)
@@ -143,7 +143,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 
     rows = docs.select(*names)
-    return rows.mapInArrow(run, f"{ddl_of(rows)}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(lean(run), f"{ddl_of(rows)}, lang_pred string, score double, rejected boolean")
 
 
 def ddl_of(df: DataFrame) -> str:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import SEGMENT, RunningSums, arrow_batch, hash64, mix64, segment_end, stored, word_bounds
+from ._util import SEGMENT, RunningSums, arrow_batch, hash64, lean, mix64, segment_end, stored, word_bounds
 
 SEQ_LEN = 4096
 END_ID = 2
@@ -53,8 +53,8 @@ class Encoder:
     TAIL = b".,!?;:#$%&*|"
     #: Marks that a tail may have; a chunk with more is taken whole.
     MARKS = 8
-    #: Beyond this count of chunks the cache is emptied: about 100 MB.
-    ROOM = 700_000
+    #: Beyond this count of chunks the cache is emptied: about 60 MB.
+    ROOM = 400_000
     _made: dict[str, Encoder] = {}
 
     @classmethod
@@ -196,7 +196,7 @@ def items(docs: DataFrame, tokenizer: str, end_id: int = END_ID, seq_len: int =
                     rows.append((doc_id, place, len(ids), crcs, ids[cut:].tobytes() if is_filler(place) and cut < len(ids) else None))
                 yield arrow_batch(ITEM, list(zip(*rows, strict=True)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, ITEM_DDL)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(encode), ITEM_DDL)
 
 
 def is_filler(place: int) -> bool:

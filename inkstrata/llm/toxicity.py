@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import RunningSums, arrow_batch, arrow_rows, hash64, mix64, sample_by_group, segment_end, stored, word_bounds
+from ._util import RunningSums, arrow_batch, arrow_rows, hash64, lean, mix64, sample_by_group, segment_end, stored, word_bounds
 from .language_id import ddl_of
 
 STRETCH = 64
@@ -230,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
                 own = {x for w in {normal(w) for w in set(text.encode("utf-8", "surrogatepass").split())} - {""} for x in stems(w)}
                 yield arrow_batch(word_schema, [list(own), [toxic] * len(own)])
 
-    by_word = chosen.mapInArrow(distinct_words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    by_word = chosen.mapInArrow(lean(distinct_words), "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (sizes[1] + 1)) - F.log((F.col("good") + 0.5) / (sizes[0] + 1))
     # at most as many words as the bounded sample's toxic documents hold LEXICON_DOCS times
     lexicon = {r[0] for r in by_word.where((F.col("bad") >= LEXICON_DOCS) & (odds >= LEXICON_ODDS)).select("word").collect()}
@@ -250,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
             if rows:
                 yield arrow_batch(schema, list(zip(*rows, strict=True)))
 
-    picked = chosen.mapInArrow(stretches, "key bigint, places binary, tags binary").orderBy("key", "places").limit(STRETCHES).collect()
+    picked = chosen.mapInArrow(lean(stretches), "key bigint, places binary, tags binary").orderBy("key", "places").limit(STRETCHES).collect()
     train = []
     for _, places, tags in picked:
         y = np.frombuffer(bytes(tags), np.uint8).astype(float)
@@ -309,4 +309,4 @@ def measured(docs: DataFrame, model: Model) -> DataFrame:
                 own = [part.column(i) for i in range(part.num_columns)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(model.probability(largest, expected, lengths)), pa.array(largest), pa.array(expected), pa.array(lengths.astype(np.int64)), pa.array(spans, span)], names=[*part.schema.names, *mine])
 
-    return rows.mapInArrow(run, f"{ddl_of(rows)}, score double, largest double, expected double, n_tokens bigint, spans array<struct<start:bigint,end:bigint,marginal:double>>")
+    return rows.mapInArrow(lean(run), f"{ddl_of(rows)}, score double, largest double, expected double, n_tokens bigint, spans array<struct<start:bigint,end:bigint,marginal:double>>")
