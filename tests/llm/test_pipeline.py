@@ -2,6 +2,7 @@
 
 import collections
 import os
+import random
 
 import pytest
 
@@ -32,3 +33,32 @@ def test_stages(spark):
     for r in packed:
         per_row[r.doc_id] += r.length
     assert set(per_row) == set(ids["mixing"]) and corpus_pipeline.run(spark, DATA).count() == len(packed)
+
+
+def test_near_duplicates_by_five_words_and_four_fifths(spark):
+    rng, rows = random.Random(8), []
+    for g in range(12):
+        base = rng.choices([f"w{i}" for i in range(400)], k=240)
+        for c in range(6):
+            text = list(base)
+            for at in rng.sample(range(240), rng.randrange(0, 9)):
+                text[at] = f"x{rng.randrange(400)}"
+            rows.append((100 * g + c, " ".join(text), "en", "s", 1))
+    up = {r[0]: r[0] for r in rows}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    def linked(width, percent):
+        own = {r[0]: {tuple(w[i : i + width]) for w in [r[1].split()] for i in range(len(w) - width + 1)} for r in rows}
+        return {(a, b) for a in own for b in own if a < b and 100 * len(own[a] & own[b]) >= percent * len(own[a] | own[b])}
+
+    assert linked(5, 80) - linked(3, 90)
+    for a, b in linked(5, 80):
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted({root(r[0]) for r in rows})
