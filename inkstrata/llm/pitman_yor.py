@@ -1,21 +1,22 @@
 """A hierarchical Pitman-Yor language model: Chinese-restaurant seatings sampled by Gibbs, averaged predictive probabilities.
 
-Dishes are the VOCAB most frequent training words, the end of a text, and one dish RARE for all other words. A context is the word
-before: one of the CONTEXTS most frequent ones, the start, or one of TAILS classes of other words by their last bytes. Every
-context is a restaurant; all share one parent restaurant, whose base is uniform. Rare words are dishes of a second restaurant that
-the RARE dish opens, with a uniform base over all training words not among the frequent ones, and one unseen word. So
-
-    P(word | context) = P(dish | context) * (P(word | rare) if the dish is RARE else 1).
+Dishes are all training words and the end of a text. A context is the word before, or the start. Every context is a restaurant; all
+share one parent restaurant, whose base is uniform over the training words, the end, and one unseen word.
 
 Seating: a Gibbs sweep seats the customers of every (context, dish) anew, given the parent's predictive probabilities and the other
-tables, then the parent's customers (the contexts' tables) and the rare words. Customers of a dish are seated in blocks of at most
-a twentieth of those already seated, so a dish of a million customers takes some 200 steps, for all dishes at once. After
-BURN_IN sweeps, SAMPLES sweeps give predictive probabilities, which are averaged.
-
-At scale: word counts are shuffled once (a row per distinct word and block of texts), and each block of texts gets back its own
-words' counts; only the table of contexts by dishes is broadcast, whose size is bounded by CONTEXTS, TAILS and VOCAB. Texts are shuffled once, into
-blocks of bounded size. Defined results: a null text is empty (one token, its end). Repeated rows count as often as they stand. Without
-training rows every token is unknown. Only doc_id and text are read; other columns are ignored.
+tables, then the parent's customers (the contexts' tables). Customers of a dish are seated in blocks of at most a twentieth of
+those already seated, so a dish of a million customers takes some 200 steps, for all dishes at once. After BURN_IN sweeps,
+SAMPLES sweeps give predictive probabilities, which are averaged. Draws are hashes of the cell, the sweep and the customer,
+so results don't depend on how rows are dealt out.
+
+At scale: texts are shuffled once, into blocks of bounded size. A block sends its distinct bigrams, packed, to buckets of their hash,
+which sum the counts of all blocks. A cell of one customer has one table whatever is drawn, so only cells of two and more are rows
+that the sweeps join with their context's tables and the parent's probabilities; what the others add to a word is its count
+less theirs. Likewise words seen once share one probability. Buckets answer each block with its bigrams' counts and tables in the
+block's own order. Words and bigrams are compared by 64-bit hashes. Nothing is capped, broadcast or sent to the driver but sums.
+
+Defined results: a null text is empty (one token, its end). Repeated rows count as often as they stand. Without training rows
+every token is unknown. Only doc_id and text are read; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,17 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import arrow_batch, arrow_rows, hash_of, lean, raw_text, stored, word_bounds, word_hashes
+from ._util import arrow_batch, arrow_rows, hash_of, lean, mix64, raw_text, stored, word_hashes
 
-VOCAB, CONTEXTS, TAILS = 4095, 512, 64
 BURN_IN, SAMPLES = 4, 4
 DISCOUNT, STRENGTH = 0.7, 5.0
 #: Texts per block, in code points: bounds a scoring task's memory.
 BLOCK_CHARS = 16_000_000
-END_HASH = hash_of(b"\0<end of text>\0")
-
-_marks = np.zeros(256, bool)
-_marks[list(b".,!?;:#$%&*|")] = True
+#: Code points of the corpus per bucket of bigrams, and cells seated at once.
+BUCKET_CHARS, SEATED_CELLS = 4_000_000, 200_000
+END_HASH, START_HASH = hash_of(b"\0<end of text>\0"), hash_of(b"\0<start of text>\0")
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -46,11 +45,27 @@ def tokens(text: str | None) -> np.ndarray:
     return np.append(word_hashes(raw_text(text)).view(np.int64), END_HASH)
 
 
-def reseated(customers: np.ndarray, open_: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+def _drawn(seeds: np.ndarray, first: np.ndarray, block: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """How many of block customers, from number first on, draw below p."""
+    out = np.zeros(len(block), np.int64)
+    ends = np.cumsum(block)
+    at = 0
+    while at < len(block):  # as many draws at once as fit the memory, one dish at least
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2_000_000, "right")))
+        own = np.repeat(np.arange(at, to), block[at:to])
+        number = first[own] + np.arange(len(own)) - np.repeat(ends[at:to] - block[at:to] - (ends[at - 1] if at else 0), block[at:to])
+        draw = (mix64(seeds[own] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) * 2.0**-53
+        out[at:to] = np.bincount(own[draw < p[own]] - at, minlength=to - at)
+        at = to
+    return out
+
+
+def reseated(customers: np.ndarray, open_: np.ndarray, discount: float, rng: np.random.Generator | np.ndarray) -> np.ndarray:
     """Tables per dish after seating its customers in turn, by blocks.
 
     open_: per dish, the weight of a new table, (strength + discount * other tables) * parent's probability, but for the part
     that this dish's own tables add. Customer i joins a table with weight i - discount * tables, or opens one with open_.
+    rng: a generator, or a seed per dish whose hashes are the draws.
     """
     tables = (customers > 0).astype(np.int64)
     seated, live = tables.copy(), np.nonzero(customers > 1)[0]
@@ -58,14 +73,14 @@ def reseated(customers: np.ndarray, open_: np.ndarray, discount: float, rng: np.
         n, t = seated[live], tables[live]
         block = np.minimum(np.maximum(1, n // 20), customers[live] - n)
         p = open_[live] / np.maximum(open_[live] + n - discount * t, 1e-300)
-        tables[live] += rng.binomial(block, np.clip(p, 0, 1))
+        tables[live] += rng.binomial(block, np.clip(p, 0, 1)) if isinstance(rng, np.random.Generator) else _drawn(rng[live], n, block, p)
         seated[live] += block
         live = live[seated[live] < customers[live]]
     return tables
 
 
 class Dense:
-    """The contexts' restaurants and their parent, over a bounded table of contexts by dishes."""
+    """The contexts' restaurants and their parent over one small table: what the distributed sweeps do, on one machine."""
 
     def __init__(self, context: np.ndarray, dish: np.ndarray, count: np.ndarray, n_contexts: int, n_dishes: int):
         self.context, self.dish, self.count = context, dish, count.astype(np.int64)
@@ -95,38 +110,6 @@ class Dense:
         return out / max(1, sweeps - burn_in)
 
 
-class Lexicon:
-    """The frequent words' places: dishes 0.. (END is 0), RARE the last; contexts: the first words, start, then tail classes."""
-
-    def __init__(self, words: np.ndarray, n_contexts: int = CONTEXTS, tails: int = TAILS):
-        self.words = np.concatenate(([END_HASH], words)).astype(np.int64)
-        order = np.argsort(self.words)
-        self.sorted, self.place = self.words[order], order
-        self.rare, self.n_dishes = len(self.words), len(self.words) + 1
-        self.known_contexts = min(n_contexts + 1, len(self.words))
-        self.start, self.tails = self.known_contexts, tails
-        self.n_contexts = self.start + 1 + tails
-
-    def dishes(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.sorted, hashes)
-        at[at == len(self.sorted)] = 0
-        return np.where(self.sorted[at] == hashes, self.place[at], self.rare)
-
-    def coded(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, dish and context of each token of a whole text."""
-        raw = raw_text(text)
-        hashes = word_hashes(raw).view(np.int64)
-        dishes = self.dishes(hashes)
-        start, end = word_bounds(raw)
-        for _ in range(4):  # the tail is taken before up to four marks
-            end = end - ((end > start + 1) & _marks[raw[end - 1]])
-        tail = np.zeros(len(start), np.int64)
-        for back in (1, 2, 3):
-            tail = tail * 263 + np.where(end - back >= start, raw[np.maximum(end - back, 0)], 0)
-        context = np.where(dishes < self.known_contexts, dishes, self.start + 1 + tail % self.tails)
-        return np.append(hashes, END_HASH), np.append(dishes, 0), np.concatenate(([self.start], context))
-
-
 def _counted(docs: DataFrame, learns: str) -> DataFrame:
     """(word, n): training counts of every word and the end, summed per batch before they are shuffled."""
     schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
@@ -152,131 +135,253 @@ def _counted(docs: DataFrame, learns: str) -> DataFrame:
     return docs.where(learns).select("text").mapInArrow(lean(run), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _paired(docs: DataFrame, learns: str, lexicon: Lexicon) -> DataFrame:
-    """(cell, n): training counts of context * n_dishes + dish, as dense tables per task, of which the filled cells are sent."""
-    schema = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
+
+def pairs_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context and dish of each token of whole texts in turn, and the tokens of each text."""
+    own = [tokens(t) for t in texts]
+    contexts = [np.concatenate(([START_HASH], t[:-1])) for t in own]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *contexts]), np.concatenate([none, *own]), np.array([len(t) for t in own], np.int64)
+
+
+def pair_keys(context: np.ndarray, dish: np.ndarray) -> np.ndarray:
+    return mix64(mix64(context.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + dish.view(np.uint64))
+
+
+REQUEST = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *[(n, pa.binary()) for n in ("us", "ws", "ns")]])
+CELL_DDL = "bucket bigint, block bigint, us binary, ws binary, ns binary"
+
+
+def _requests(blocked: DataFrame, n_buckets: int) -> DataFrame:
+    """A row per block and bucket with its distinct bigrams and their training counts, and one row per block (ws and ns null) with
+    its distinct words, which only rides along."""
+
+    def sent(block: int, texts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        u, w = (np.concatenate([t[i] for t in texts]) for i in (0, 1))
+        learns = np.concatenate([t[2] for t in texts])
+        key, first, place = np.unique(pair_keys(u, w), return_index=True, return_inverse=True)
+        n = np.bincount(place, learns, len(key)).astype(np.int32)
+        u, w = u[first], w[first]
+        yield arrow_batch(REQUEST, [[block % n_buckets], [block], [np.unique(np.concatenate((u, w))).tobytes()], [None], [None]])
+        bucket = ((key >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
+        ends = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
+        filled = np.flatnonzero(ends[1:] > ends[:-1])
+        for i in filled.tolist():
+            cut = slice(ends[i], ends[i + 1])
+            yield arrow_batch(REQUEST, [[i], [block], [u[cut].tobytes()], [w[cut].tobytes()], [n[cut].tobytes()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(lexicon.n_contexts * lexicon.n_dishes, np.int64)
-        held, size = [], 0
+        held: dict[int, list[tuple]] = {}
         for batch in batches:
-            for (text,) in arrow_rows(batch, "text"):
-                _, dish, context = lexicon.coded(text)
-                held.append(context * lexicon.n_dishes + dish)
-                size += len(dish)
-                if size > 2_000_000:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
-        cell = np.nonzero(total)[0]
-        yield arrow_batch(schema, [cell, total[cell]])
+            for block, text, learns in arrow_rows(batch, "block", "text", "learns"):
+                u, w, _ = pairs_of([text])
+                held.setdefault(block, []).append((u, w, np.full(len(w), learns)))
+        while held:
+            yield from sent(*held.popitem())
+
+    # all columns, though doc_id is not needed: the shuffle of the texts is then the same as the scores' and is reused
+    return blocked.mapInArrow(lean(run), CELL_DDL)
+
+
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    """The cells of a bucket: one row (block null) with those of two customers or more, and a row per block with the place of its
+    bigrams among them, or -1 for a cell of one customer, -2 for none. Rows of words pass."""
+    words, rows = rows[rows["ns"].isna()], rows[rows["ns"].notna()]
+    if not len(rows):
+        return words
+    each = [[np.frombuffer(x, t) for x in rows[n]] for n, t in (("us", np.int64), ("ws", np.int64), ("ns", np.int32))]
+    u, w, n = (np.concatenate(x) for x in each)
+    _, first, place = np.unique(pair_keys(u, w), return_index=True, return_inverse=True)
+    total = np.bincount(place, n, len(first)).astype(np.int64)
+    many = total > 1
+    code = np.where(many, np.cumsum(many) - 1, np.where(total == 1, -1, -2)).astype(np.int32)[place]
+    cuts = np.split(code, np.cumsum([len(x) for x in each[2]])[:-1])
+    bucket, at = rows["bucket"].iloc[0], first[many]
+    out = [(bucket, None, u[at].tobytes(), w[at].tobytes(), total[many].tobytes())]
+    out += [(bucket, block, None, None, c.tobytes()) for block, c in zip(rows["block"], cuts, strict=True)]
+    frame = pd.DataFrame(out, columns=["bucket", "block", "us", "ws", "ns"])
+    return pd.concat([frame.assign(block=frame["block"].astype("Int64")), words.astype({"block": "Int64"})])[list(words.columns)]
+
+
+CELLS = pa.schema([(n, pa.int64()) for n in ("bucket", "pos", "u", "w", "c", "t", "tsum")])
+CELLS_DDL = "bucket bigint, pos bigint, u bigint, w bigint, c bigint, t bigint, tsum bigint"
+
+
+def _unpacked(packed: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, *arrays in arrow_rows(batch, "bucket", "us", "ws", "ns"):
+                u, w, c = (np.frombuffer(x, np.int64) for x in arrays)
+                for at in range(0, len(c), 10_000):
+                    cut, size = slice(at, at + 10_000), len(c[at : at + 10_000])
+                    yield arrow_batch(CELLS, [np.full(size, bucket), np.arange(at, at + size), u[cut], w[cut], c[cut], np.ones(size, np.int64), np.zeros(size, np.int64)])
+
+    return packed.where("block is null").select("bucket", "us", "ws", "ns").mapInArrow(lean(run), CELLS_DDL)
 
-    return docs.where(learns).select("text").mapInArrow(lean(run), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
 
+def _seated(cells: DataFrame, words: DataFrame, sweep: int, adds: bool, discount: float, strength: float) -> DataFrame:
+    """The cells with new tables, from their contexts' tables and the parent's probabilities; adds: to the sum of the samples, too."""
 
-REQUEST = pa.schema([("block", pa.int64()), ("word", pa.int64())])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def seat(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            a = {n: rows[n].to_numpy() for n in rows.column_names}
+            seeds = mix64(pair_keys(a["u"], a["w"]) + np.uint64(sweep + 1))
+            t = reseated(a["c"], (strength + discount * a["own"]) * a["parent"], discount, seeds)
+            out = [a["bucket"], a["pos"], a["u"], a["w"], a["c"], t, a["tsum"] + (t if adds else 0)]
+            for at in range(0, len(t), 10_000):
+                yield arrow_batch(CELLS, [x[at : at + 10_000] for x in out])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= SEATED_CELLS:
+                yield from seat(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield from seat(pa.Table.from_batches(held))
+
+    rows = cells.join(words.select(F.col("word").alias("u"), F.col("own")), "u").join(words.select(F.col("word").alias("w"), "parent"), "w")
+    return rows.select("bucket", "pos", "u", "w", "c", "tsum", "own", "parent").mapInArrow(lean(run), CELLS_DDL)
 
 
-def _requests(blocked: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The distinct words of each block of texts that are not frequent ones."""
+def _topped(words: DataFrame, sweep: int, opens: float, discount: float) -> DataFrame:
+    """words with top_tables, the parent's tables for top customers a word."""
+    schema = pa.schema([("word", pa.int64()), ("top_tables", pa.int64())])
+    names = [c for c in words.columns if c != "word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            own: dict[int, list[np.ndarray]] = {}
-            for block, text in arrow_rows(batch, "block", "text"):
-                h = tokens(text)
-                own.setdefault(block, []).append(np.unique(h[lexicon.dishes(h) == lexicon.rare]))
-            for block, parts in own.items():
-                held[block] = np.unique(np.concatenate([held.get(block, np.zeros(0, np.int64)), *parts]))
-        for block, words in held.items():
-            yield arrow_batch(REQUEST, [np.full(len(words), block), words])
+            word, top = (batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("word", "top"))
+            seeds = mix64(mix64(word.view(np.uint64)) + np.uint64(1000 + sweep))
+            tables = reseated(top, np.full(len(top), opens), discount, seeds)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tables, pa.int64())], names=[*batch.schema.names, schema.names[1]])
+
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.select("word", *names).schema) + ", top_tables bigint"
+    return words.select("word", *names).mapInArrow(lean(run), ddl)
+
+
+def _dropped(df: DataFrame) -> None:
+    """Deletes a stored() table that nothing reads any more."""
+    spark, files = df.sparkSession, df.inputFiles()
+    if files:
+        where = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _sampled(packed: DataFrame, counts: DataFrame, n_words: int, n_ends: int, discount: float, strength: float) -> tuple[DataFrame, DataFrame, list[tuple[float, float]]]:
+    """The cells with tsum, the words seen twice or more with own0.. and parent0.. of each sample, and per sample the parent's
+    probability of a word seen once, and of an unseen one."""
+    base, once = 1.0 / (n_words + 1), counts.where((F.col("n") == 1) & (F.col("word") != END_HASH)).count()
+    cells = stored(_unpacked(packed), "lm-cells")
+    side = lambda of, word: of.select(F.col(word).alias("word"), *[(F.col(c) if k == word else F.lit(0)).cast("long").alias(f"{c}_{k}") for k in "uw" for c in "ct"])
+    sums = lambda of, *names: side(of, "u").unionByName(side(of, "w")).groupBy("word").agg(*[F.sum(n).alias(n) for n in names])
+    many = counts.where((F.col("n") > 1) | (F.col("word") == END_HASH)).withColumn("n_u", F.when(F.col("word") == END_HASH, 0).otherwise(F.col("n")).cast("long"))
+    many = many.unionByName(counts.sparkSession.range(1).select(F.lit(START_HASH).cast("long").alias("word"), F.lit(0).cast("long").alias("n"), F.lit(n_ends).cast("long").alias("n_u")))
+    fixed = many.join(sums(cells, "c_u", "c_w", "t_u", "t_w"), "word", "left").na.fill(0)
+    # a cell of one customer has one table: those of a word are its count less the customers of its larger cells
+    fixed = fixed.select("word", (F.col("n_u") - F.col("c_u")).alias("s_u"), (F.col("n") - F.col("c_w")).alias("s_w"), (F.col("n_u") - F.col("c_u") + F.col("t_u")).alias("own"), F.lit(base).alias("parent"))
+    words, all_tables, history, samples = stored(fixed, "lm-words"), float(n_words), [], []
+    for sweep in range(BURN_IN + SAMPLES):
+        adds = sweep >= BURN_IN
+        new_cells = stored(_seated(cells, words, sweep, adds, discount, strength), "lm-cells")
+        moved = words.drop("own", "parent").join(sums(new_cells, "t_u", "t_w"), "word", "left").na.fill(0, ["t_u", "t_w"])
+        moved = moved.withColumn("own", F.col("s_u") + F.col("t_u")).withColumn("top", F.col("s_w") + F.col("t_w")).drop("t_u", "t_w")
+        topped = stored(_topped(moved, sweep, (strength + discount * all_tables) * base, discount), "lm-top")
+        top, tables = topped.agg(F.sum("top"), F.sum("top_tables")).first()
+        top, all_tables = top + once, float(tables + once)
+        fresh, seats = (strength + discount * all_tables) * base, strength + top
+        new_words = topped.withColumn("parent", (F.col("top") - discount * F.col("top_tables") + fresh) / seats).drop("top", "top_tables")
+        if adds:
+            k = sweep - BURN_IN
+            history.append(k)
+            new_words = new_words.withColumn(f"own{k}", F.col("own")).withColumn(f"parent{k}", F.col("parent"))
+            samples.append(((1 - discount + fresh) / seats, fresh / seats))
+        new_words = stored(new_words, "lm-words")
+        for old in (cells, words, topped):
+            _dropped(old)
+        counts.sparkSession._jvm.System.gc()  # shuffle files go when nothing in the driver refers to them
+        cells, words = new_cells, new_words
+    return cells, words.select("word", *[f"{n}{k}" for k in history for n in ("own", "parent")]), samples
+
+
+def _words_asked(packed: DataFrame) -> DataFrame:
+    schema = pa.schema([("block", pa.int64()), ("word", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, raw in arrow_rows(batch, "block", "us"):
+                words = np.frombuffer(raw, np.int64)
+                for at in range(0, len(words), 10_000):
+                    part = words[at : at + 10_000]
+                    yield arrow_batch(schema, [np.full(len(part), block), part])
+
+    return packed.where("block is not null and ns is null").select("block", "us").mapInArrow(lean(run), "block bigint, word bigint")
 
-    # all columns, though doc_id is not needed: the shuffle of the texts is then the same as the scores' and is reused
-    return blocked.mapInArrow(lean(run), "block bigint, word bigint")
+
+def _answers(packed: DataFrame, cells: DataFrame) -> DataFrame:
+    """(block, bucket, cs, ts): counts and summed tables of each block's bigrams in a bucket, in the order of their keys."""
+
+    def run(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        place = found["pos"].to_numpy(np.int64)
+        c, t = np.zeros(len(place) + 2, np.int64), np.zeros(len(place) + 2, np.int64)
+        c[place], t[place] = found["c"].to_numpy(np.int64), found["tsum"].to_numpy(np.int64)
+        c[-1], t[-1] = 1, SAMPLES
+        each = [np.frombuffer(x, np.int32) for x in rows["ns"]]
+        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "cs": [c[x].tobytes() for x in each], "ts": [t[x].astype(np.int32).tobytes() for x in each]})
+
+    asked = packed.where("block is not null and ns is not null").select("bucket", "block", "ns")
+    return asked.groupBy("bucket").cogroup(cells.select("bucket", "pos", "c", "tsum").groupBy("bucket")).applyInPandas(run, "block bigint, bucket bigint, cs binary, ts binary")
 
 
 SCORE_DDL = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def scored(docs: DataFrame, learns: str, vocab: int = VOCAB, contexts: int = CONTEXTS, tails: int = TAILS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """SCORE_DDL and train_tokens for every row of docs. learns: SQL condition on doc_id that names the training rows."""
+def scored(
+    docs: DataFrame, learns: str, vocab: int | None = None, contexts: int | None = None, tails: int | None = None,
+    block_chars: int = BLOCK_CHARS, bucket_chars: int = BUCKET_CHARS, discount: float = DISCOUNT, strength: float = STRENGTH,
+) -> DataFrame:
+    """SCORE_DDL and train_tokens for every row of docs. learns: SQL condition on doc_id that names the training rows.
+
+    vocab, contexts and tails once bounded the model; they are accepted and have no effect.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = stored(_counted(docs, learns), "lm-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # the top rows by count are the model's vocabulary: its bounded size is a parameter
-    top = counts.where(F.col("word") != END_HASH).orderBy(F.desc("n"), "word").limit(vocab).collect()
-    lexicon = Lexicon(np.array([r[0] for r in top], np.int64), contexts, tails)
-    frequent = np.zeros(lexicon.n_dishes, np.int64)
-    frequent[1 : lexicon.rare] = [r[1] for r in top]
-    frequent[0] = sum(r[1] for r in counts.where(F.col("word") == END_HASH).collect())
-    cells = _paired(docs, learns, lexicon).toArrow()  # at most contexts * dishes rows
-    cell, n = cells["cell"].to_numpy(), cells["n"].to_numpy()
-    order = np.argsort(cell)
-    cell, n = cell[order], n[order]
-    dense = Dense(cell // lexicon.n_dishes, cell % lexicon.n_dishes, n, lexicon.n_contexts, lexicon.n_dishes)
-    table = np.log10(dense.predictive()).astype(np.float32)
-    # the restaurant of rare words: customers are their training tokens
-    rare_words, rare_tokens = distinct - len(top) - (1 if frequent[0] else 0), total - int(frequent.sum())
-    rare = _rare_tables(counts, frequent[1:].tolist()[: len(top)], rare_words, rare_tokens)
-    spark_table = docs.sparkSession.sparkContext.broadcast(table)  # bounded: contexts * dishes floats
-
+    total, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == END_HASH, F.col("n"))), F.lit(0))).first()
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-size // block_chars))
+    n_blocks, n_buckets = max(1, -(-size // block_chars)), max(1, -(-size // bucket_chars))
     where: Column = F.pmod(F.xxhash64(F.coalesce("doc_id", F.length("text")), F.lit(5)), F.lit(n_blocks)).alias("block")
-    blocked = docs.select("doc_id", "text", where).repartition(n_blocks, "block")
-    answers = _requests(blocked, lexicon).join(counts, "word", "left").select("block", "word", F.coalesce("n", F.lit(0)).alias("n"))
+    blocked = docs.select("doc_id", "text", F.coalesce(F.expr(learns), F.lit(False)).alias("learns"), where).repartition(n_blocks, "block")
+    packed = _requests(blocked, n_buckets).repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(_summed, CELL_DDL)
+    packed = stored(packed, "lm-packed")
+    cells, words, samples = _sampled(packed, counts, distinct, ends, discount, strength)
+    asked = _words_asked(packed)
+    known = asked.join(counts, "word", "left").join(words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # no null words: pandas would hold the hashes as floats
+    answers = known.unionByName(_answers(packed, cells).withColumn("word", F.lit(0).cast("long")), allowMissingColumns=True)
 
     def score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        words, n = known["word"].to_numpy(np.int64), known["n"].to_numpy(np.int64)
-        order = np.argsort(words)
-        words, n = words[order], n[order]
-        plain = np.log10((np.append(n, 0) + 0.5) / (total + 0.5 * (distinct + 1)))
-        opened = np.log10(rare(np.append(n, 0)))
-        plain_frequent = np.log10((frequent + 0.5) / (total + 0.5 * (distinct + 1)))
-        log_table, out = spark_table.value, []
-        for doc_id, text in zip(texts["doc_id"], texts["text"], strict=True):
-            h, dish, context = lexicon.coded(text)
-            is_rare = dish == lexicon.rare
-            at = np.searchsorted(words, h[is_rare])
-            base = plain_frequent[dish[~is_rare]].sum() + plain[at].sum()
-            model = log_table[context, dish].sum(dtype=np.float64) + opened[at].sum()
-            known_n = int((frequent[dish[~is_rare]] > 0).sum() + (n[at] > 0).sum())
-            out.append((doc_id, len(h), known_n, float(base), float(model)))
-        frame = pd.DataFrame(out, columns=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-        return frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+        packed_rows = known["cs"].notna().to_numpy()
+        each, known = known[packed_rows].sort_values("bucket"), known[~packed_rows].sort_values("word")
+        word, n = known["word"].to_numpy(np.int64), known["n"].to_numpy(np.int64)
+        u, w, lengths = pairs_of(list(texts["text"]))
+        _, first, place = np.unique(pair_keys(u, w), return_index=True, return_inverse=True)
+        at_u, at_w = np.searchsorted(word, u[first]), np.searchsorted(word, w[first])
+        c, t = (np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in each[name]]]) for name, kind in (("cs", np.int64), ("ts", np.int32)))
+        customers = np.where(word == START_HASH, ends, np.where(word == END_HASH, 0, n))
+        shared = np.zeros(len(first))
+        for k, (once, unseen) in enumerate(samples):
+            own = known[f"own{k}"].to_numpy(np.float64, na_value=np.nan)
+            own = np.where(np.isnan(own), customers, own)
+            parent = known[f"parent{k}"].to_numpy(np.float64, na_value=np.nan)
+            parent = np.where(np.isnan(parent), np.where(n > 0, once, unseen), parent)
+            shared += (strength + discount * own[at_u]) * parent[at_w]
+        pair = np.log10((len(samples) * c - discount * t + shared) / (len(samples) * (strength + customers[at_u])))
+        plain = np.log10((n + 0.5) / (total + 0.5 * (distinct + 1)))
+        start = np.cumsum(lengths) - lengths
+        summed = lambda x: np.add.reduceat(x[place], start)
+        frame = pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "n_tokens": lengths})
+        return frame.assign(n_known=summed((n[at_w] > 0).astype(np.int64)), base_score=summed(plain[at_w]), score=summed(pair))
 
     found = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, SCORE_DDL)
     return found.withColumn("train_tokens", F.lit(int(total)).cast("long"))
-
-
-def _rare_tables(counts: DataFrame, frequent: list[int], n_words: int, n_tokens: int, discount: float = DISCOUNT, strength: float = STRENGTH):
-    """The averaged predictive probability of a rare word by its training count.
-
-    A word's tables depend on its count and the base alone, so words of one count are alike: the sampler runs on the histogram of
-    counts. Its rows are distinct counts, far fewer than words; counts of rare words are below those of the VOCAB frequent ones.
-    """
-    histogram = {r[0]: r[1] for r in counts.where(F.col("word") != END_HASH).groupBy("n").agg(F.count("*")).collect()}
-    for n in frequent:
-        histogram[n] -= 1
-    customers = np.array(sorted(n for n, words in histogram.items() if words), np.int64)
-    words = np.array([histogram[n] for n in customers.tolist()], np.int64)
-    rng, base = np.random.default_rng(13), 1.0 / (n_words + 1)
-    sums, tables = {}, float(n_words)
-    for sweep in range(BURN_IN + SAMPLES):
-        # tables per word of each count: the mean over a few seatings
-        per = np.mean([reseated(customers, np.full(len(customers), (strength + discount * tables) * base), discount, rng) for _ in range(8)], 0)
-        tables = float((per * words).sum())
-        if sweep >= BURN_IN:
-            fresh = (strength + discount * tables) * base
-            for c, t in zip(customers.tolist(), per.tolist(), strict=True):
-                sums[c] = sums.get(c, 0.0) + (c - discount * t + fresh) / (strength + n_tokens)
-            sums[0] = sums.get(0, 0.0) + fresh / (strength + n_tokens)
-    keys = np.array(sorted(sums) or [0], np.int64)
-    values = np.array([sums[k] for k in keys.tolist()] if sums else [1.0]) / SAMPLES
-
-    def probability(n: np.ndarray) -> np.ndarray:
-        return values[np.searchsorted(keys, n)]
-
-    return probability

@@ -118,6 +118,27 @@ def test_language_model(spark, prose):
     assert (alone[0].n_tokens, alone[0].n_known, alone[0].train_tokens) == (3, 0, 0) and math.isfinite(alone[0].score)
 
 
+def test_language_model_knows_the_contexts_of_rare_words(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"p{k} q{k}" for k in rng.choices(range(60), k=20))) for i in range(80)]
+    tests = [(-1 - k, f"p{k} q{j}") for k in range(20) for j in (k, (k + 7) % 60)]
+    got = collections.defaultdict(list)
+    for r in pitman_yor.scored(spark.createDataFrame(rows + tests, DOCS), "doc_id >= 0", vocab=8, contexts=6, tails=4, block_chars=900, bucket_chars=700).collect():
+        got[r.doc_id].append(r.score)
+    for k in range(20):
+        fits, other = sorted(got[-1 - k], reverse=True)
+        assert fits > other + 1
+    # the same as the sampler on one machine
+    words = sorted({w for _, t in rows for w in t.split()} | {""})
+    code = {w: i for i, w in enumerate(words)}
+    cells = collections.Counter((code[a] if a else len(words), code[b]) for _, t in rows for ws in [t.split()] for a, b in zip(["", *ws], [*ws, ""], strict=True))
+    (u, w), n = zip(*cells, strict=True), np.array(list(cells.values()))
+    table = np.log10(pitman_yor.Dense(np.array(u), np.array(w), n, len(words) + 1, len(words) + 1).predictive())
+    for i, t in rows[:20]:
+        ws = [code[x] for x in t.split()]
+        assert abs(got[i][0] - sum(table[a, b] for a, b in zip([len(words), *ws], [*ws, code[""]], strict=True))) < 0.02 * abs(got[i][0])
+
+
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     context, dish = np.divmod(np.unique(rng.integers(0, 5 * 20, 60)), 20)
