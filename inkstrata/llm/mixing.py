@@ -70,6 +70,9 @@ def plan_mix(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     t, s = F.col("target"), F.col("source_size")
     whole = F.when(s > 0, F.floor(t / s)).otherwise(F.lit(0)).cast("long")
     src = sources.withColumn("whole", whole).withColumn("rest", F.floor(t - F.col("whole") * s + 0.5).cast("long"))
+    # a fraction that rounds to all words is one more repetition; the target is at most max_epochs times s, so that is, too
+    full = (s > 0) & (F.col("rest") >= s)
+    src = src.withColumn("whole", F.when(full, F.col("whole") + 1).otherwise(F.col("whole"))).withColumn("rest", F.when(full, 0).otherwise(F.col("rest")).cast("long"))
     head = F.substring("key", 1, DIGITS).alias("head")
     groups = sizes.groupBy("source", head).agg(F.sum("size").alias("words"))
     sum_before = F.sum("words").over(Window.partitionBy("source").orderBy("head").rowsBetween(Window.unboundedPreceding, -1))

@@ -127,6 +127,18 @@ def test_mixing_meets_targets(spark):
     assert mixing.mixture(documents(spark, [])).count() == 0
 
 
+def test_mixing_carries_a_fraction_that_rounds_to_all_words(spark):
+    for sizes in ([1], [3], [2, 1], [1, 1, 1]):
+        for i in (8, 9, 13, 16, 19):
+            target = sum(sizes) * i / 10
+            df = mixing.sized(documents(spark, [(k, "w " * n, None) for k, n in enumerate(sizes)]))
+            src = spark.createDataFrame([(None, sum(sizes), 1.0, float(target))], "source string, source_size bigint, weight double, target double")
+            got = mixing.apply_mix(df, mixing.plan_mix(df, src)).collect()
+            assert sum(r.taken for r in got) == int(target + 0.5), (sizes, target)
+            if target >= sum(sizes) - 0.5:
+                assert all(r.taken >= r.size for r in got)
+
+
 def test_mixed_documents_hold_what_was_taken(spark):
     rows = [(i, f"d{i}\n" + " ".join("w" for _ in range(i % 37 + 1)), "abc"[i % 3]) for i in range(200)]
     docs = documents(spark, rows).withColumn("key", F.lit("clash")).withColumn("taken", F.lit(1))
