@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._util import arrow_batch, arrow_rows, lean, mix64, raw_text, stored, word_hashes
 from .components import components
@@ -343,7 +344,8 @@ def _doubts(sets: DataFrame, links: DataFrame, doubts: DataFrame, percent: int,
 
 
 def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id, and hi and lo (the set's digest), for every row of docs."""
+    """doc_id, n_shingles, component_id, hi and lo (the set's digest), g1 and g2 (the component, whose id others may share where ids
+    repeat), for every row of docs."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = stored(indexed(docs, width, percent), "jaccard-index")
@@ -365,20 +367,42 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block_se
     filled = filled.select("doc_id", "n_shingles", "hi", "lo", F.when(F.col("root").isNull(), F.col("hi")).otherwise(F.lit(0)).alias("g1"), F.coalesce("root", "lo").alias("g2"))
     filled = stored(filled, "jaccard-groups")
     least = filled.groupBy("g1", "g2").agg(F.min("doc_id").alias("component_id")).withColumnsRenamed({"g1": "h1", "g2": "h2"})
-    named = filled.join(least, (F.col("g1") == F.col("h1")) & (F.col("g2") == F.col("h2"))).select("doc_id", "n_shingles", "component_id", "hi", "lo")
-    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "hi", "lo")
+    named = filled.join(least, (F.col("g1") == F.col("h1")) & (F.col("g2") == F.col("h2"))).select("doc_id", "n_shingles", "component_id", "hi", "lo", "g1", "g2")
+    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "hi", "lo", F.lit(None).cast("long").alias("g1"), F.lit(None).cast("long").alias("g2"))
     return named.unionByName(empty)
 
 
+def _with_set(docs: DataFrame, width: int) -> DataFrame:
+    """docs with _size, _hi and _lo, the size and the digest of each row's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingle_set(text, width) for (text,) in arrow_rows(batch, "text")]
+            ids = [digest(x) for x in own]
+            more = [pa.array(x, pa.int64()) for x in ([len(x) for x in own], [i[0] for i in ids], [i[1] for i in ids])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "_size", "_hi", "_lo"])
+
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in ("_size", "_hi", "_lo"))]))
+
+
 def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs without all but one document of each component: the one with the smallest id stays. Rows without words stay.
 
-    Rows that repeat an id and a set stay once. Rows without an id can't be told apart by it: of equal texts among them one stays.
+    Rows that repeat an id and a set stay once. Rows with one id and different sets are decided each for itself; of those that share a
+    component and its smallest id, the one with the smallest digest stays. Rows without an id can't be told apart by it: of equal
+    texts among them one stays.
     """
-    found = stored(joined(docs, width, percent).where("n_shingles > 0").select("doc_id", "component_id", "hi", "lo"), "jaccard-joined")
-    drop = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("d_id")).distinct(), "jaccard-dropped")
-    again = stored(found.groupBy("doc_id", "hi", "lo").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("a_id")).distinct(), "jaccard-repeated")
-    named = docs.where("doc_id is not null").join(drop, F.col("doc_id") == F.col("d_id"), "left_anti")
-    once = named.join(again, F.col("doc_id") == F.col("a_id"), "left_anti")
-    repeated = named.join(again, F.col("doc_id") == F.col("a_id"), "left_semi").unionByName(docs.where("doc_id is null"))
-    return once.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    names = docs.columns
+    found = stored(joined(docs, width, percent).where("doc_id is not null"), "jaccard-joined")
+    # an id of one row needs no set
+    odd = stored(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("a_id")), "jaccard-repeated")
+    split = lambda of, how: of.join(odd, F.col("doc_id") == F.col("a_id"), how)
+    drop = stored(found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("d_id")).distinct(), "jaccard-dropped")
+    rows = docs.where("doc_id is not null")
+    once = split(rows, "left_anti").join(drop, F.col("doc_id") == F.col("d_id"), "left_anti")
+    stay = split(found.where("n_shingles > 0 and doc_id = component_id"), "left_semi").groupBy("g1", "g2").agg(F.min(F.struct("doc_id", "hi", "lo")).alias("s"))
+    stay = stored(stay.select(F.col("s.doc_id").alias("k_id"), F.col("s.hi").alias("k_hi"), F.col("s.lo").alias("k_lo")), "jaccard-stays")
+    own = _with_set(split(rows, "left_semi"), width)
+    kept = own.join(stay, (F.col("doc_id") == F.col("k_id")) & (F.col("_hi") == F.col("k_hi")) & (F.col("_lo") == F.col("k_lo")), "left_semi")
+    repeated = own.where("_size = 0").unionByName(kept.where("_size > 0").dropDuplicates(["doc_id", "_hi", "_lo"])).select(names)
+    return once.unionByName(repeated).unionByName(docs.where("doc_id is null").dropDuplicates(["doc_id", "text"]))

@@ -83,6 +83,13 @@ def test_deduplicated_keeps_one_of_each(spark):
     assert kept == sorted({c for _, _, c in brute_components(rows, 90)})
 
 
+def test_deduplicated_decides_texts_that_share_an_id(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(3, a, "s"), (5, f"{a} z", "s"), (5, b, "s"), (7, c, "s"), (7, f"{c} z", "s"), (9, d, "s"), (9, d, "s"), (9, e, "s"), (5, "", "s"), (1, f"{e} z", "s")]
+    got = sorted((r.doc_id, r.text[:1]) for r in jaccard_join.deduplicated(documents(spark, rows)).collect())
+    assert got == [(1, "e"), (3, "a"), (5, ""), (5, "b"), (7, "c"), (9, "d")]
+
+
 def test_short_sets_differ_in_one(spark):
     base = [f"a{i}" for i in range(14)]
     rows = [(1, " ".join(base), "s"), (2, " ".join(base[:-1]), "s"), (3, " ".join(base[1:]), "s"), (4, " ".join([*base[:6], "z", *base[7:]]), "s")]
