@@ -19,6 +19,7 @@ smallest id unless it has no other. An empty table gives no rows. Only doc_id an
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -77,7 +78,12 @@ class Classes:
             self.of(self.bounds[-1] if number + 1 >= len(self.bounds) else 1)
             small = self.bounds[number + 1] - 1
             differ = (small + small * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
-            self.plans[number] = differ, 3 + (differ + 1) // 400
+            more = 3 + (differ + 1) // 400
+            for _ in range(4 if self.bounds[number] < 6 * differ else 0):
+                n = differ + more  # more than the empty blocks to expect: those would have to be keys else, which all sets share
+                empty = n * math.exp(-self.bounds[number] / n)
+                more = max(more, 3 + int(1.3 * empty + 3 * math.sqrt(empty)))
+            self.plans[number] = differ, more
         return self.plans[number]
 
 
