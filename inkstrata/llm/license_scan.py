@@ -3,15 +3,19 @@
 Templates are tokenised (lower-cased runs of letters and digits), their k-grams hashed, and of each window of ``WINDOW`` k-grams the
 least hash is kept. The inverted index maps each kept hash to its templates and places. All k-grams of a document are looked
 up, so any run of K + WINDOW - 1 tokens that it shares with a template is found; hits vote for (template, diagonal). Around each candidate's diagonals a banded local alignment (match, mismatch, gap) of the document's tokens with the
-template's gives the matched template tokens and the span of the document.
+template's gives the matched template tokens and the span of the document. A match's tokens are then marked as used, and the band is aligned
+again until nothing more passes, so notices that follow each other are all reported.
 
 The index depends on the templates only, a fixed list, and is sent with the tasks; documents are scanned whole, one by one, and
 nothing is shuffled. Defined results: null, empty and unmatched texts have an empty list of matches. Repeated rows get equal lists; one
-document may match several templates, or one several times; of matches that overlap, the one with more matched tokens stays. Other columns pass through.
+document may match several templates, or one several times; of matches that overlap, the one with more matched tokens stays (then the
+one with more coverage, the earlier one, the smaller name). A notice with more than about BAND foreign tokens inside comes back as one match for
+each part that passes by itself. An empty table gives no rows. Other columns pass through; an own column named matches is replaced.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from collections.abc import Iterator
@@ -114,32 +118,40 @@ def build_index(templates: dict[str, str] | None = None) -> Index:
 def banded(doc: np.ndarray, template: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int, int, int]:
     """The best local alignment with document place - template place within band of the diagonal.
 
-    Returns score, matched tokens, first and last document place (exclusive), and template tokens covered.
+    Returns score, matched tokens, first and last document place (exclusive), and the diagonal halfway along the match. A row of the band is a few
+    array operations: runs of document tokens without a counterpart are a running maximum.
     """
     width = 2 * band + 1
-    score = np.zeros(width, np.int64)
-    state = np.zeros((width, 3), np.int64)  # matched, first document place, first template place
+    step = np.arange(width)
+    score, state = np.zeros(width, np.int64), np.zeros((3, width), np.int64)  # matched, first document place, first template place
     best = (0, 0, 0, 0, 0)
     for j in range(len(template)):
-        new, keep = np.zeros(width, np.int64), np.zeros((width, 3), np.int64)
-        for b in range(width):
-            i = j + diagonal - band + b
-            if not 0 <= i < len(doc):
-                continue
-            same = doc[i] == template[j]
-            top, src = score[b] + (MATCH if same else MISMATCH), (state[b, 0] + same, *(state[b, 1:] if score[b] > 0 else (i, j)))
-            if b + 1 < width and score[b + 1] + GAP_COST > top:  # template token without a counterpart
-                top, src = score[b + 1] + GAP_COST, tuple(state[b + 1])
-            if b and new[b - 1] + GAP_COST > top:  # document token without a counterpart
-                top, src = new[b - 1] + GAP_COST, tuple(keep[b - 1])
-            if top > 0:
-                new[b], keep[b] = top, src
-                if top > best[0]:
-                    best = (int(top), int(src[0]), int(src[1]), i + 1, j + 1 - int(src[2]))
-        score, state = new, keep
+        i = j + diagonal - band + step
+        valid = (i >= 0) & (i < len(doc))
+        if not valid.any():
+            score, state = np.zeros(width, np.int64), np.zeros((3, width), np.int64)
+            continue
+        same = valid & (doc[np.clip(i, 0, len(doc) - 1)] == template[j])
+        top = score + np.where(same, MATCH, MISMATCH)
+        source = np.stack((state[0] + same, np.where(score > 0, state[1], i), np.where(score > 0, state[2], j)))
+        above = np.append(score[1:] + GAP_COST, GAP_COST)  # template token without a counterpart
+        skips = above > top
+        top = np.where(valid, np.where(skips, above, top), -len(template) - width)
+        source = np.where(skips, np.append(state[:, 1:], np.zeros((3, 1), np.int64), 1), source)
+        reach = np.maximum.accumulate(top - GAP_COST * step)  # document tokens without a counterpart
+        origin = np.maximum.accumulate(np.where(top - GAP_COST * step == reach, step, 0))
+        top = np.where(valid, np.maximum(reach + GAP_COST * step, 0), 0)
+        score, state = top, np.where(top > 0, source[:, origin], 0)
+        b = int(np.argmax(score))
+        if score[b] > best[0]:
+            best = (int(score[b]), int(state[0, b]), int(state[1, b]), int(i[b]) + 1, (int(state[1, b]) - int(state[2, b]) + int(i[b]) - j) // 2)
     return best
 
 
+#: Stands for document tokens that a match has used up; no crc32 has this value.
+USED = np.uint64(1 << 40)
+
+
 def scan(text: str | None, index: Index, min_percent: int = MIN_PERCENT, min_tokens: int = MIN_TOKENS) -> list[dict]:
     """The matches of one whole text: template, coverage (matched share of its tokens, in percent), span in code points."""
     if not text or not (words := _token.findall(text)):
@@ -159,20 +171,26 @@ def scan(text: str | None, index: Index, min_percent: int = MIN_PERCENT, min_tok
             votes[key] = votes.get(key, 0) + 1
     _, spans = token_spans(text)
     found: list[dict] = []
+    free: dict[int, np.ndarray] = {}  # per template, the document's tokens that none of its matches has used
     for (owner, group), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
-        template = index.codes[owner]
-        middle = group * BAND + BAND // 2
-        first = max(0, middle - BAND)
-        part = codes[first : middle + len(template) + BAND + 1]
-        score, matched, a, b, _ = banded(part, template, middle - first, BAND)
+        template, own = index.codes[owner], free.setdefault(owner, codes.copy())
         need = 100 if len(template) < SHORT else min_percent
-        if not score or 100 * matched < need * len(template) and matched < min_tokens:
-            continue
-        start, end = spans[first + a][0], spans[first + b - 1][1]
-        found.append({"template": index.names[owner], "coverage": 100.0 * matched / len(template), "matched_tokens": matched, "start": start, "end": end})
+        while True:  # a notice may stand several times along one band of diagonals
+            middle = group * BAND + BAND // 2
+            for _ in range(2):  # the second time around the match that was found, which may lie at the band's edge
+                first = max(0, middle - BAND)
+                score, matched, a, b, at = banded(own[first : middle + len(template) + BAND + 1], template, middle - first, BAND)
+                middle = first + at
+            if not score or 100 * matched < need * len(template) and matched < min_tokens:
+                break
+            found.append({"template": index.names[owner], "coverage": 100.0 * matched / len(template), "matched_tokens": matched, "start": spans[first + a][0], "end": spans[first + b - 1][1]})
+            own[first + a : first + b] = USED
     best: list[dict] = []
+    taken: list[tuple[int, int]] = []  # spans of best, sorted and apart
     for f in sorted(found, key=lambda f: (-f["matched_tokens"], -f["coverage"], f["start"], f["template"])):
-        if all(f["end"] <= g["start"] or g["end"] <= f["start"] for g in best):
+        k = bisect.bisect(taken, (f["start"], f["end"]))
+        if (k == 0 or taken[k - 1][1] <= f["start"]) and (k == len(taken) or f["end"] <= taken[k][0]):
+            taken.insert(k, (f["start"], f["end"]))
             best.append(f)
     return sorted(best, key=lambda f: (f["start"], f["template"]))
 

@@ -72,6 +72,70 @@ def test_license_scan(spark):
     assert got[24] == got[20] * 2 and all(got[i] == [] for i, _ in ODD)
 
 
+def test_repeated_notices_are_all_found(spark):
+    index = license_scan.build_index()
+    names = lambda text: [f["template"] for f in license_scan.scan(text, index)]
+    assert names("All rights reserved. " * 12) == ["All-rights-reserved"] * 12
+    assert names("Released under the MIT License. Released under the MIT License.") == ["MIT-short"] * 2
+    assert license_scan.scanned(spark.createDataFrame([], DOCS)).count() == 0
+    mit = license_scan.TEMPLATES["MIT"].split()
+    parts = license_scan.scan(" ".join([*mit[:60], *(f"foreign{i}" for i in range(30)), *mit[60:]]), index)
+    assert [p["template"] for p in parts] == ["MIT", "MIT"] and sum(p["matched_tokens"] for p in parts) >= len(license_scan.token_spans(" ".join(mit))[0]) - 2
+
+
+def brute_notices(codes, templates):
+    """Whole-text alignments of every template, without bands or fingerprints: (start, end, name) in tokens."""
+    found = []
+    for name, template in templates.items():
+        own = list(codes)
+        while True:
+            n, m = len(own), len(template)
+            score = np.zeros((n + 1, m + 1), int)
+            state = {}
+            best = (0,)
+            for j in range(1, m + 1):
+                for i in range(1, n + 1):
+                    same = own[i - 1] == template[j - 1]
+                    options = [(score[i - 1, j - 1] + (2 if same else -1), state[i - 1, j - 1] if score[i - 1, j - 1] > 0 else (0, i - 1), same)]
+                    options += [(score[i, j - 1] - 1, state.get((i, j - 1)), 0), (score[i - 1, j] - 1, state.get((i - 1, j)), 0)]
+                    top = max(range(3), key=lambda k: (options[k][0], -k))
+                    if options[top][0] > 0:
+                        score[i, j] = options[top][0]
+                        state[i, j] = (options[top][1][0] + options[top][2], options[top][1][1])
+                        if score[i, j] > best[0]:
+                            best = (score[i, j], state[i, j][0], state[i, j][1], i)
+            if not best[0] or 100 * best[1] < (100 if m < license_scan.SHORT else license_scan.MIN_PERCENT) * m and best[1] < license_scan.MIN_TOKENS:
+                break
+            found.append((best[1], best[1] / m, best[2], best[3], name))
+            own[best[2] : best[3]] = [None] * (best[3] - best[2])
+    kept = []
+    for f in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[4])):
+        if all(f[3] <= g[2] or g[3] <= f[2] for g in kept):
+            kept.append(f)
+    return sorted((f[2], f[3], f[4]) for f in kept)
+
+
+def test_scan_matches_whole_alignments():
+    rng = random.Random(21)
+    words = [f"v{i}" for i in range(60)]
+    templates = {f"t{k}": [f"n{rng.randrange(40)}" for _ in range(n)] for k, n in enumerate((4, 5, 9, 16, 30))}
+    index = license_scan.build_index({k: " ".join(t) for k, t in templates.items()})
+    for _ in range(25):
+        text: list[str] = []
+        for _ in range(rng.randrange(1, 6)):
+            own = list(rng.choice(list(templates.values())))
+            if len(own) >= 9:
+                own[rng.randrange(len(own))] = "changed"
+                if rng.random() < 0.5:
+                    own.insert(rng.randrange(len(own)), "added")
+            text += rng.choices(words, k=rng.choice((0, 0, 3, 15))) + own * rng.choice((1, 1, 2, 3))
+        line = " ".join(text)
+        _, spans = license_scan.token_spans(line)
+        starts, ends = {s: i for i, (s, _) in enumerate(spans)}, {e: i + 1 for i, (_, e) in enumerate(spans)}
+        got = [(starts[f["start"]], ends[f["end"]], f["template"]) for f in license_scan.scan(line, index)]
+        assert got == brute_notices(text, templates), line
+
+
 def test_every_template_is_found_whole():
     index = license_scan.build_index()
     for name, text in license_scan.TEMPLATES.items():
