@@ -21,11 +21,13 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a fresh local one only where that is unset (tests, one machine)."""
+    """The folder in spark.checkpoint.dir; a fresh local one only where that is unset and all runs on this machine, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="inkstrata-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -51,6 +53,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def passing(docs: DataFrame, names: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(docs) with docs' own columns unchanged, whatever they are called: all but the named ones travel under private names, so
+    none clashes with what work adds, and only docs' columns come back."""
+    aliases = {c: c if c in names else f"_own_{i}_" for i, c in enumerate(docs.columns)}
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
+    out = work(docs.select(*[quoted[c].alias(a) for c, a in aliases.items()]))
+    return out.select(*[F.col(a).alias(c) for c, a in aliases.items()])
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array (null: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import arrow_batch, arrow_rows, lean, mix64, raw_text, stored, word_hashes
+from ._util import arrow_batch, arrow_rows, lean, mix64, passing, raw_text, stored, word_hashes
 from .components import components
 
 WIDTH = 3
+#: Groups with more than this share of all rows get their answer without a shuffle.
+HOT_GROUPS = 2000
 PERCENT = 90
 #: Bounds of a comparing task: sets, and shingles in all.
 BLOCK_SETS, BLOCK_SHINGLES = 4000, 1 << 20
@@ -372,8 +374,16 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block_se
     filled = filled.join(roots, filled["lo"] == F.col("r_lo"), "left")
     filled = filled.select("doc_id", "n_shingles", "hi", "lo", F.when(F.col("root").isNull(), F.col("hi")).otherwise(F.lit(0)).alias("g1"), F.coalesce("root", "lo").alias("g2"))
     filled = stored(filled, "jaccard-groups")
-    least = filled.groupBy("g1", "g2").agg(F.min("doc_id").alias("component_id")).withColumnsRenamed({"g1": "h1", "g2": "h2"})
-    named = filled.join(least, (F.col("g1") == F.col("h1")) & (F.col("g2") == F.col("h2"))).select("doc_id", "n_shingles", "component_id", "hi", "lo", "g1", "g2")
+    least = filled.groupBy("g1", "g2").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).withColumnsRenamed({"g1": "h1", "g2": "h2"})
+    least = stored(least, "jaccard-least")
+    same = lambda of: (F.col("g1") == of["h1"]) & (F.col("g2") == of["h2"])
+    # a group of more than one in HOT_GROUPS of all rows would fill a task of the join by itself; there are fewer than HOT_GROUPS of those
+    hot = F.col("n") * HOT_GROUPS > F.lit(filled.count())
+    large, other = least.where(hot).drop("n"), least.where(~hot).drop("n")
+    want = ["doc_id", "n_shingles", "component_id", "hi", "lo", "g1", "g2"]
+    named = filled.join(F.broadcast(large), same(large)).select(*want)
+    rest = filled.join(F.broadcast(large), same(large), "left_anti")
+    named = named.unionByName(rest.join(other, same(other)).select(*want))
     empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "hi", "lo", F.lit(None).cast("long").alias("g1"), F.lit(None).cast("long").alias("g2"))
     return named.unionByName(empty)
 
@@ -396,19 +406,22 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
     Rows that repeat an id and a set stay once. Rows with one id and different sets are decided each for itself; of those that share a
     component and its smallest id, the one with the smallest digest stays. Rows without an id can't be told apart by it: of equal
-    texts among them one stays.
+    texts among them one stays. Own columns of any name pass through.
     """
-    names = docs.columns
     found = stored(joined(docs, width, percent).where("doc_id is not null"), "jaccard-joined")
     # an id of one row needs no set
     odd = stored(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("a_id")), "jaccard-repeated")
     split = lambda of, how: of.join(odd, F.col("doc_id") == F.col("a_id"), how)
     drop = stored(found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("d_id")).distinct(), "jaccard-dropped")
-    rows = docs.where("doc_id is not null")
-    once = split(rows, "left_anti").join(drop, F.col("doc_id") == F.col("d_id"), "left_anti")
     stay = split(found.where("n_shingles > 0 and doc_id = component_id"), "left_semi").groupBy("g1", "g2").agg(F.min(F.struct("doc_id", "hi", "lo")).alias("s"))
     stay = stored(stay.select(F.col("s.doc_id").alias("k_id"), F.col("s.hi").alias("k_hi"), F.col("s.lo").alias("k_lo")), "jaccard-stays")
-    own = _with_set(split(rows, "left_semi"), width)
-    kept = own.join(stay, (F.col("doc_id") == F.col("k_id")) & (F.col("_hi") == F.col("k_hi")) & (F.col("_lo") == F.col("k_lo")), "left_semi")
-    repeated = own.where("_size = 0").unionByName(kept.where("_size > 0").dropDuplicates(["doc_id", "_hi", "_lo"])).select(names)
-    return once.unionByName(repeated).unionByName(docs.where("doc_id is null").dropDuplicates(["doc_id", "text"]))
+
+    def kept(rows: DataFrame) -> DataFrame:
+        known = rows.where("doc_id is not null")
+        once = split(known, "left_anti").join(drop, F.col("doc_id") == F.col("d_id"), "left_anti")
+        own = _with_set(split(known, "left_semi"), width)
+        chosen = own.join(stay, (F.col("doc_id") == F.col("k_id")) & (F.col("_hi") == F.col("k_hi")) & (F.col("_lo") == F.col("k_lo")), "left_semi")
+        repeated = own.where("_size = 0").unionByName(chosen.where("_size > 0").dropDuplicates(["doc_id", "_hi", "_lo"])).select(rows.columns)
+        return once.unionByName(repeated).unionByName(rows.where("doc_id is null").dropDuplicates(["doc_id", "text"]))
+
+    return passing(docs, ("doc_id", "text"), kept)

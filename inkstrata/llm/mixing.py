@@ -7,7 +7,7 @@ at the edge gives the first words of its text.
 
 Defined results: a null or wordless text has size 0 and gives nothing. Null sources form one source, ranked last. Rows that
 repeat id, source and size share a key and get equal amounts. An empty table gives an empty result. A ``total`` over what
-all caps allow leaves every source at its cap. Other columns pass through ``apply_mix``; its own columns are dropped again.
+all caps allow leaves every source at its cap. Other columns pass through ``mixed_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import GAP, stored
+from ._util import GAP, passing, stored
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -43,11 +43,17 @@ def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
 def targets(sizes: DataFrame, budget: float = BUDGET, weights: tuple[float, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """One row per source: source, source_size, weight, target.
 
-    The ranking window runs over one row per source, never over documents. Each round of the filling is one aggregate of
-    that table, of which two numbers reach the driver.
+    Sources are ranked by range partitions: a place in its partition and the number of rows in those before. Each round of the
+    filling is one aggregate of the sources' table, of which a few numbers reach the driver.
     """
     total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    order, place = F.col("source").asc_nulls_last(), F.monotonically_increasing_id()
+    total = total.repartitionByRange(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order)
+    total = stored(total.select("*", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "source-ranks")
+    before = dict(total.groupBy("part").count().collect())  # a row per partition
+    starts = [(p, sum(n for q, n in before.items() if q < p)) for p in before] or [(0, 0)]
+    start = F.create_map(*[F.lit(x).cast("long") for pair in starts for x in pair])[F.col("part")]
+    rank = start + F.col("place")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
     table = stored(total.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * float(max_epochs)).alias("cap")), "sources")
     level, before = 0.0, -1
@@ -105,17 +111,24 @@ def mixture(docs: DataFrame, budget: float = BUDGET, weights: tuple[float, ...]
 
 
 def mixed_documents(docs: DataFrame, budget: float = BUDGET, weights: tuple[float, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """The mixed corpus: docs' columns, a row per whole repetition, and the first words of the text for a part of one."""
-    names = docs.columns
+    """The mixed corpus: docs' columns, a row per whole repetition, and the first words of the text for a part of one.
+
+    Own columns of any name pass through, but for n_chars: a part's is the number of code points of its text.
+    """
     sizes = stored(sized(docs, seed), "sizes")
     plan = plan_mix(sizes, targets(sizes, budget, weights, max_epochs))
-    full = docs.withColumn("size", word_count(F.col("text"))).withColumn("key", draw_key(F.col("doc_id"), F.col("size"), seed))
-    rows = apply_mix(full, plan).where(F.col("taken") > 0)
-    whole, rest = F.expr("taken div size"), F.col("taken") % F.col("size")
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    bare = F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r"))
-    # what stands behind the first words is the last piece of a split into one more piece than words
-    tail = F.element_at(F.split(bare, GAP, (F.col("copy") + 1).cast("int")), -1)
-    text = F.when(F.col("copy") < 0, F.col("text")).otherwise(F.rtrim(F.substring(bare, F.lit(1), (F.length(bare) - F.length(tail)).cast("int")), F.lit(" \t\n\x0b\x0c\r")))
-    out = rows.withColumn("copy", F.explode(copies))
-    return out.select(*[text.alias(n) if n == "text" else (F.when(F.col("copy") < 0, F.col(n)).otherwise(F.length(text)).cast("long").alias(n) if n == "n_chars" else F.col(n)) for n in names])
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        full = rows.withColumn("size", word_count(F.col("text"))).withColumn("key", draw_key(F.col("doc_id"), F.col("size"), seed))
+        mixed = apply_mix(full, plan).where(F.col("taken") > 0)
+        whole, rest = F.expr("taken div size"), F.col("taken") % F.col("size")
+        copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+        bare = F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r"))
+        # what stands behind the first words is the last piece of a split into one more piece than words
+        tail = F.element_at(F.split(bare, GAP, (F.col("copy") + 1).cast("int")), -1)
+        text = F.when(F.col("copy") < 0, F.col("text")).otherwise(F.rtrim(F.substring(bare, F.lit(1), (F.length(bare) - F.length(tail)).cast("int")), F.lit(" \t\n\x0b\x0c\r")))
+        out = mixed.withColumn("copy", F.explode(copies))
+        parts = {"text": text, "n_chars": F.when(F.col("copy") < 0, F.col("n_chars")).otherwise(F.length(text)).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in rows.columns else {"text": text}
+        return out.select(*[parts[n].alias(n) if n in parts else F.col(n) for n in rows.columns])
+
+    return passing(docs, ("doc_id", "source", "text", "n_chars"), repeated)

@@ -24,7 +24,7 @@ def test_stages(spark):
     assert all(seen[n].columns == columns for n in ("toxicity", "language_id", "near_duplicates", "mixing"))
     assert set(ids["start"]) > set(ids["toxicity"]) >= set(ids["language_id"]) > set(ids["near_duplicates"]) >= set(ids["mixing"])
     assert len(ids["language_id"]) > 0.8 * len(ids["start"])
-    groups = jaccard_join.joined(seen["language_id"]).collect()
+    groups = jaccard_join.joined(seen["language_id"], width=5, percent=80).collect()
     assert set(ids["near_duplicates"]) == {r.component_id for r in groups}
     words = lambda d: sum(len(r.text.split()) for r in d.select("text").collect())
     assert abs(words(seen["mixing"]) - 1.5 * words(seen["near_duplicates"])) <= 2 * 20
@@ -62,3 +62,22 @@ def test_near_duplicates_by_five_words_and_four_fifths(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted({root(r[0]) for r in rows})
+
+
+OWN = ["score", "n_tokens", "largest", "spans", "rejected", "lang_pred", "size", "key", "copy", "taken", "target", "source_size", "whole", "edge_key", "p_source", "d_id", "a_id", "_hi", "component_id", "a.b", "Matches"]
+
+
+def test_stages_leave_own_columns_alone(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 60")
+    odd = spark.createDataFrame([(None, "no id at all but some words", "en", "s", 5), (9001, None, None, None, None), (9002, "", "en", "s", 0), (9003, "twice the same row", "en", "s", 1), (9003, "twice the same row", "en", "s", 1)], docs.schema)
+    docs = docs.unionByName(odd).withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in OWN})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.dtypes == docs.dtypes, name
+        for r in out.collect():
+            assert [r[c] for c in OWN] == [f"{c}:{'none' if r.doc_id is None else r.doc_id}" for c in OWN], name
+    none = docs.where("doc_id < 0")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, DATA).count() == 0, name
