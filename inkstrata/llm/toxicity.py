@@ -1,15 +1,16 @@
 """Toxic spans by a linear-chain conditional random field, aggregated to document scores.
 
 Tokens are the words of a text, lower-cased and stripped of what is not a letter at their ends. Two tags (clean, toxic) form
-a chain over stretches of STRETCH tokens; features are the token, its ending and
+a chain over the whole text; features are the token, its ending and
 beginnings, and the tokens before and after, hashed. Token labels come from document
 labels: words, or beginnings of words, far more frequent (by documents) in toxic than in clean training rows are tagged toxic where they occur in a toxic
-document, and clean elsewhere. Forward-backward gives each token's marginal. A document's largest marginal and expected number of
+document, and clean elsewhere. Forward-backward gives each token's marginal: the messages of a text are carried from stretch to
+stretch of STRETCH tokens by the stretches' transfer matrices, so all stretches of all texts run side by side and none is a border. A document's largest marginal and expected number of
 toxic tokens go through a logistic calibration fitted on the training rows' labels; tokens with a marginal of at least 0.5 are
 the offending spans (offsets in code points).
 
 The model is fitted on a bounded sample: about PER_LABEL rows of each label, chosen by a hash of the id, and at most STRETCHES
-stretches of them. Defined results: null, empty and wordless texts get the score of a document without a toxic token. Without rows of
+stretches of them, with the features that they have in their whole texts. Potentials are cut at 30, far beyond what a fit gives. Defined results: null, empty and wordless texts get the score of a document without a toxic token. Without rows of
 both labels the score is 0 for all. Repeated rows get equal scores; labels that are null or whose document is missing teach nothing.
 """
 
@@ -83,10 +84,15 @@ def _features(raw: np.ndarray) -> np.ndarray:
 
 def unaries(places: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
     """Toxic minus clean potential of each token of one text."""
-    score = weights[places[:, 2:]].sum(1) + bias
-    score[1:] += weights[places[:-1, 0]]
-    score[:-1] += weights[places[1:, 1]]
-    return score
+    return weights[beside(places)].sum(1) + bias
+
+
+def beside(places: np.ndarray) -> np.ndarray:
+    """The places of each token's features, with those of its neighbours in the whole text; place DIMS stands for none."""
+    out = places.copy()
+    out[1:, 0], out[:-1, 1] = places[:-1, 0], places[1:, 1]
+    out[:1, 0] = out[-1:, 1] = DIMS
+    return out
 
 
 def forward_backward(unary: np.ndarray, valid: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,7 +129,7 @@ def fit_crf(stretches: list[tuple[np.ndarray, np.ndarray]], rounds: int = 60, ra
 
     stretches: per token the places of its features, and tags.
     """
-    weights, bias, trans = np.zeros(DIMS), -2.0, np.zeros((2, 2))
+    weights, bias, trans = np.zeros(DIMS + 1), -2.0, np.zeros((2, 2))
     if not stretches:
         return weights, bias, trans
     n, length = len(stretches), max(len(y) for _, y in stretches)
@@ -182,24 +188,59 @@ class Tagger:
         self.model = model
 
     def marginals(self, texts: list[str | None]) -> list[np.ndarray]:
-        """One array per text; the stretches of all texts run through the chain together."""
+        """One array per text."""
         scores = [unaries(features(text), self.model.weights, self.model.bias) for text in texts]
-        flat = np.concatenate(scores) if scores else np.zeros(0)
-        ends = np.cumsum([len(x) for x in scores])
-        starts = np.concatenate([np.arange(e - len(x), e, STRETCH) for e, x in zip(ends, scores, strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
-        stops = np.minimum(np.concatenate([starts[1:], [len(flat)]]) if len(starts) else starts, starts + STRETCH)
-        out = np.zeros(len(flat))
-        for a in range(0, len(starts), 2048):
-            begin, stop = starts[a : a + 2048], stops[a : a + 2048]
-            at = begin[:, None] + np.arange(STRETCH)
-            valid = at < stop[:, None]
-            unary = np.where(valid, flat[np.minimum(at, len(flat) - 1)], 0.0)
-            out[at[valid]] = chain(unary, valid, self.model.trans)[valid]
-        return np.split(out, ends[:-1]) if scores else []
-
-
-def chain(unary: np.ndarray, valid: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """The marginals of forward_backward() alone, on log-ratios of the two tags: one number per token and direction."""
+        return whole_chains(scores, self.model.trans)
+
+
+def whole_chains(unaries: list[np.ndarray], trans: np.ndarray) -> list[np.ndarray]:
+    """The marginals of each text's whole chain. The stretches of all texts run together: first for what a stretch does to a message,
+    then, text by text in step, for the messages at the stretches' borders, then for those within."""
+    lengths = np.array([len(u) for u in unaries], np.int64)
+    if not lengths.sum():
+        return [np.zeros(0) for _ in unaries]
+    flat, ends, pieces = np.concatenate(unaries), np.cumsum(lengths), -(-lengths // STRETCH)
+    last = np.cumsum(pieces)
+    number = np.arange(last[-1]) - np.repeat(last - pieces, pieces)  # of a stretch in its text
+    begin = np.repeat(ends - lengths, pieces) + number * STRETCH
+    at = begin[:, None] + np.arange(STRETCH)
+    valid = at < np.repeat(ends, pieces)[:, None]
+    unary = np.where(valid, flat[np.minimum(at, len(flat) - 1)], 0.0)
+    transfer = _transfers(unary, valid, number == 0, trans)
+    fore, aft = np.ones((len(number), 2)), np.ones((len(number), 2))  # messages into each stretch from either side
+    order = np.argsort(-pieces, kind="stable")
+    for k in range(1, int(pieces.max())):
+        live = order[: np.searchsorted(-pieces[order], -k, "left")]  # texts of more than k stretches
+        here = (last - pieces)[live] + k
+        fore[here] = np.einsum("ni,nij->nj", fore[here - 1], transfer[here - 1])
+        fore[here] /= fore[here].sum(1, keepdims=True)
+        back = last[live] - 1 - k
+        aft[back] = np.einsum("nij,nj->ni", transfer[back + 1], aft[back + 1])
+        aft[back] /= aft[back].sum(1, keepdims=True)
+    ratio = lambda m: np.log(np.maximum(m[:, 1], 1e-300) / np.maximum(m[:, 0], 1e-300))
+    out = np.zeros(len(flat))
+    out[at[valid]] = chain(unary, valid, trans, np.where(number == 0, np.nan, ratio(fore)), ratio(aft))[valid]
+    return np.split(out, ends[:-1])
+
+
+def _transfers(unary: np.ndarray, valid: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Per stretch the matrix by which a forward message (clean, toxic) leaves it, up to a factor; a text's first token has no step before it."""
+    m, grow = np.exp(trans), np.exp(np.clip(unary, -30, 30))
+    out = np.tile(np.eye(2), (len(unary), 1, 1))
+    for t in range(unary.shape[1]):
+        step = out @ m
+        if t == 0:
+            step[first] = out[first]
+        step[:, :, 1] *= grow[:, t, None]
+        out = np.where(valid[:, t, None, None], step / step.sum((1, 2), keepdims=True), out)
+    return out
+
+
+def chain(unary: np.ndarray, valid: np.ndarray, trans: np.ndarray, fore_in: np.ndarray | None = None, aft_in: np.ndarray | None = None) -> np.ndarray:
+    """The marginals of forward_backward() alone, on log-ratios of the two tags: one number per token and direction.
+
+    fore_in and aft_in: the messages that reach each row from the left (nan: none, the row begins its text) and from the right.
+    """
     a, b = trans[0], trans[1]
     step = lambda x: np.log((np.exp(a[1]) + np.exp(b[1] + x)) / (np.exp(a[0]) + np.exp(b[0] + x)))
     back = lambda x: np.log((np.exp(b[0]) + np.exp(b[1] + x)) / (np.exp(a[0]) + np.exp(a[1] + x)))
@@ -207,8 +248,13 @@ def chain(unary: np.ndarray, valid: np.ndarray, trans: np.ndarray) -> np.ndarray
     ok = np.ascontiguousarray(valid.T)
     fore, aft = np.zeros_like(u), np.zeros_like(u)
     fore[0] = u[0]
+    if fore_in is not None:
+        inner = ~np.isnan(fore_in)
+        fore[0, inner] += step(fore_in[inner])
     for t in range(1, len(u)):
         fore[t] = np.where(ok[t], u[t] + step(fore[t - 1]), 0.0)
+    if aft_in is not None:
+        aft[-1] = np.where(ok[-1], aft_in, 0.0)
     for t in range(len(u) - 2, -1, -1):
         aft[t] = np.where(ok[t + 1], back(u[t + 1] + aft[t + 1]), 0.0)
     return (1 / (1 + np.exp(-(fore + aft)))).T
@@ -221,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     chosen = stored(docs.where("text is not null").select("doc_id", "text").join(drawn, "doc_id"), "toxicity-sample")
     sizes = dict(chosen.groupBy("toxic").count().collect())
     if len(sizes) < 2:
-        return Model(np.zeros(DIMS), -2.0, np.zeros((2, 2)), np.array([-50.0, 0.0, 0.0, 0.0]))
+        return Model(np.zeros(DIMS + 1), -2.0, np.zeros((2, 2)), np.array([-50.0, 0.0, 0.0, 0.0]))
     word_schema = pa.schema([("word", pa.string()), ("toxic", pa.int32())])
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
         for batch in batches:
             rows = []
             for doc_id, text, toxic in arrow_rows(batch, "doc_id", "text", "toxic"):
-                words, places = text.encode("utf-8", "surrogatepass").split(), features(text)
+                words, places = text.encode("utf-8", "surrogatepass").split(), beside(features(text))
                 for a in range(0, len(words), STRETCH):
                     own = words[a : a + STRETCH]
                     hit = [not lexicon.isdisjoint(stems(normal(w))) for w in own]
@@ -254,10 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     train = []
     for _, places, tags in picked:
         y = np.frombuffer(bytes(tags), np.uint8).astype(float)
-        x = np.frombuffer(bytes(places), np.int32).reshape(len(y), -1).copy()
-        x[1:, 0], x[:-1, 1] = x[:-1, 0].copy(), x[1:, 1].copy()
-        x[0, 0] = x[-1, 1] = 0
-        train.append((x, y))
+        train.append((np.frombuffer(bytes(places), np.int32).reshape(len(y), -1), y))
     weights, bias, trans = fit_crf(train)
     model = Model(weights.astype(np.float32), bias, trans, np.zeros(4))
     seen = measured(chosen.select("text", "toxic"), model).select("toxic", "largest", "expected", "n_tokens").collect()
