@@ -6,10 +6,12 @@ and renames when the file is complete. The rows a task returns (one per file) fo
 only files named there exist for readers, so what lost or repeated attempts leave behind is never read.
 
 Of records with equal payloads (at least ``dedupe_from`` bytes) the one with the largest page_id is a response; the others
-are revisits that name it and hold no payload. Defined results: null html is an empty payload; a null url is written as an empty target; a null
+are revisits that name it (WARC-Refers-To with its target and date, by which any reader finds it) and hold no payload. Each file
+begins with a warcinfo record. The reader checks every file's bytes against the manifest's digest and every record's digests and
+lengths. Defined results: null html is an empty payload; a null url is written as an empty target; a null
 page_id ranks below all others, and a revisit of it refers to null; rows that share the
 response's page_id and payload are responses as well.
-An empty table gives an empty archive and manifest. Only page_id, url and html are read.
+An empty table gives an empty archive and manifest. Only page_id, url and html are read; page ids travel in a WARC-Page header.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ def _opened(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def typed(pages: DataFrame, dedupe_from: int = 0) -> DataFrame:
-    """page_id, url, html, digest (of the payload, hex), record_type, refers_to.
+    """page_id, url, html, digest (of the payload, hex), size, record_type, refers_to, refers_url.
 
     The response of each payload is found by a partial aggregate over (digest, size) with no payload in it, so a payload that
     a third of all pages share costs one row per task; the join back on the digest is one that the adaptive plan can split.
@@ -57,29 +59,59 @@ def typed(pages: DataFrame, dedupe_from: int = 0) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"))
     rows = rows.select("*", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").cast("long").alias("size"))
-    best = rows.where(F.col("size") >= dedupe_from).groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1")
+    best = rows.where(F.col("size") >= dedupe_from).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("top"), F.count("*").alias("n")).where("n > 1")
     # as a written table its size is known: Catalyst broadcasts it only if that is small, and then no payload is shuffled here
-    best = stored(best.select(F.col("digest").alias("b_digest"), "best"), "warc-responses").withColumn("many", F.lit(True))
+    best = stored(best.select(F.col("digest").alias("b_digest"), F.col("top.page_id").alias("best"), F.col("top.url").alias("best_url")), "warc-responses").withColumn("many", F.lit(True))
     rows = rows.join(best, rows["digest"] == best["b_digest"], "left")
     revisit = F.col("many").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
     return rows.select(
         "page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "digest", "size",
         F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
-        F.when(revisit, F.col("best")).alias("refers_to"),
+        F.when(revisit, F.col("best")).alias("refers_to"), F.when(revisit, F.col("best_url")).alias("refers_url"),
     )
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes | None, kind: str, refers_to: int | None, digest: str, size: int) -> bytes:
-    """One record, as its own gzip member. A revisit holds the HTTP headers only; its digest and length are the full payload's."""
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{url}|{kind}|{digest}")
+def _name(page_id: int | None, url: str | None, kind: str, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}|{kind}|{digest}')}>"
+
+
+def _safe(url: str | None) -> str:
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def _member(head: list[str], block: bytes) -> bytes:
+    """A record as its own gzip member."""
+    raw = "\r\n".join(["WARC/1.1", *head, f"WARC-Block-Digest: sha1:{digest_of(block)}", f"Content-Length: {len(block)}"]).encode("utf-8", "surrogatepass")
+    return gzip.compress(raw + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
+
+
+def _record(page_id: int | None, url: str | None, payload: bytes | None, kind: str, refers_to: int | None, refers_url: str | None, digest: str, size: int) -> bytes:
+    """One record. A revisit holds the HTTP headers only; its digest and length are the full payload's."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size + (payload or b"")
-    safe = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {safe}"]
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {_name(page_id, url, kind, digest)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_safe(url)}"]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page: {'' if refers_to is None else refers_to}"]
-    head += [f"WARC-Page: {'' if page_id is None else page_id}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{digest_of(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    raw = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
-    return gzip.compress(raw, 6, mtime=0)
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_name(refers_to, refers_url, 'response', digest)}"]
+        head += [f"WARC-Refers-To-Target-URI: {_safe(refers_url)}", f"WARC-Refers-To-Date: {DATE}", f"WARC-Refers-To-Page: {'' if refers_to is None else refers_to}"]
+    head += [f"WARC-Page: {'' if page_id is None else page_id}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
+    return _member(head, block)
+
+
+def _info(file: str) -> bytes:
+    """The first record of a file."""
+    head = ["WARC-Type: warcinfo", f"WARC-Record-ID: {_name(None, file, 'warcinfo', '')}", f"WARC-Date: {DATE}", f"WARC-Filename: {file}", "Content-Type: application/warc-fields"]
+    return _member(head, b"software: inkstrata\r\nformat: WARC File Format 1.1\r\n")
+
+
+class _Hashed:
+    """A stream that hashes what is read from it."""
+
+    def __init__(self, stream: io.RawIOBase):
+        self.stream, self.sha = stream, hashlib.sha1()
+
+    def read(self, n: int) -> bytes:
+        data = self.stream.read(n)
+        self.sha.update(data)
+        return data
 
 
 class _Roller:
@@ -94,10 +126,15 @@ class _Roller:
             self.name = f"part-{self.shard:06d}-{self.seq:05d}.warc.gz"
             self.temp = posixpath.join(self.root, f".{self.name}.{self.attempt}.tmp")
             self.out, self.n, self.size, self.sha = self.fs.open_output_stream(self.temp), 0, 0, hashlib.sha1()
+            self._put(_info(self.name))
+        self._put(member)
+        self.n += 1
+        return self.close() if self.size >= self.roll else None
+
+    def _put(self, member: bytes) -> None:
         self.out.write(member)
         self.sha.update(member)
-        self.n, self.size = self.n + 1, self.size + len(member)
-        return self.close() if self.size >= self.roll else None
+        self.size += len(member)
 
     def close(self) -> dict | None:
         if self.out is None:
@@ -120,12 +157,15 @@ def write_archive(records: DataFrame, root: str, n_shards: int, roll_bytes: int
         roller = _Roller(root, task.partitionId(), task.taskAttemptId(), roll_bytes)
         done = []
         for batch in batches:
-            for page_id, url, html, kind, refers_to, digest, size in arrow_rows(batch, "page_id", "url", "html", "record_type", "refers_to", "digest", "size"):
+            for page_id, url, html, kind, refers_to, refers_url, digest, size in arrow_rows(batch, "page_id", "url", "html", "record_type", "refers_to", "refers_url", "digest", "size"):
                 payload = None if html is None else html.encode("utf-8", "surrogatepass")
                 name = base64.b32encode(bytes.fromhex(digest)).decode() if payload is None else digest_of(payload)
-                done.append(roller.add(_record(page_id, url, payload, kind, refers_to, name, size)))
-        done = [x for x in [*done, roller.close()] if x]
-        yield arrow_batch(MANIFEST, [[x[f.name] for x in done] for f in MANIFEST])
+                if (row := roller.add(_record(page_id, url, payload, kind, refers_to, refers_url, name, size))) is not None:
+                    done.append(row)
+        if (row := roller.close()) is not None:
+            done.append(row)
+        if done:
+            yield arrow_batch(MANIFEST, [[x[f.name] for x in done] for f in MANIFEST])
 
     order = ["url", "page_id", "digest", "record_type"]
     ranged = records.repartitionByRange(n_shards, *order).sortWithinPartitions(*order)
@@ -148,14 +188,16 @@ def _members(stream: io.RawIOBase, chunk: int = 1 << 20) -> Iterator[bytes]:
         raise ValueError("truncated WARC member")
 
 
-def parse_record(raw: bytes) -> tuple:
-    """The RECORD fields of one record. Its digests and lengths are recomputed and must agree with the headers; a revisit has
+def parse_record(raw: bytes) -> tuple | None:
+    """The RECORD fields of one record (None: a warcinfo record). Its digests and lengths are recomputed and must agree with the headers; a revisit has
     no payload of its own, so there the headers' values stand."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split("\r\n")[1:])
+    fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     if rest[len(block):] != b"\r\n\r\n" or fields["WARC-Block-Digest"] != f"sha1:{digest_of(block)}":
         raise ValueError(f"damaged record {fields.get('WARC-Record-ID')}")
+    if fields["WARC-Type"] == "warcinfo":
+        return None
     http, _, payload = block.partition(b"\r\n\r\n")
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     size = int(http.rpartition(b"Content-Length: ")[2])
@@ -173,11 +215,13 @@ def read_archive(manifest: DataFrame, root: str, with_payload: bool = True) -> D
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = _opened(root)
         for batch in batches:
-            for name, want in arrow_rows(batch, "path", "n_records"):
+            for name, want, sha1 in arrow_rows(batch, "path", "n_records", "sha1"):
                 rows, held, total = [], 0, 0
-                with filesystem.open_input_stream(posixpath.join(base, name), compression=None) as stream:
+                with filesystem.open_input_stream(posixpath.join(base, name), compression=None) as plain:
+                    stream = _Hashed(plain)
                     for raw in _members(stream):
-                        row = parse_record(raw)
+                        if (row := parse_record(raw)) is None:
+                            continue
                         total += 1
                         held += len(row[2] or b"")
                         rows.append(row if with_payload else (*row[:2], None, *row[3:]))
@@ -188,9 +232,11 @@ def read_archive(manifest: DataFrame, root: str, with_payload: bool = True) -> D
                     yield arrow_batch(RECORD, list(zip(*rows, strict=True)))
                 if total != want:
                     raise ValueError(f"{name}: {total} records, the manifest has {want}")
+                if stream.sha.hexdigest() != sha1:
+                    raise ValueError(f"{name}: damaged, its digest is not the manifest's")
 
     # a named number of partitions: the manifest is tiny, and by its size alone all files would go to one task
-    files = manifest.select("path", "n_records")
+    files = manifest.select("path", "n_records", "sha1")
     return files.repartition(max(1, files.count()), "path").mapInArrow(read, RECORD_DDL)
 
 

@@ -214,7 +214,7 @@ def test_warc_round_trip(spark, tmp_path):
     got = {}
     for run in range(2):
         root = f"file://{tmp_path}/{run}"
-        manifest = warc.write_archive(warc.typed(spark.createDataFrame(rows, PAGES)), root, 3, roll_bytes=4000)
+        manifest = warc.write_archive(warc.typed(spark.createDataFrame(rows, PAGES).withColumns({"digest": F.lit(1), "size": F.lit("x"), "best": F.lit(2)})), root, 3, roll_bytes=4000)
         files = sorted((r.path, r.sha1) for r in manifest.collect())
         got.setdefault("files", files)
         assert files == got["files"] and len(files) > 6
@@ -231,6 +231,19 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back), key=key) == sorted(want, key=key)
     payload = {r.page_id: r.payload for r in back if r.record_type == "response"}
     assert all(payload[i] == (html or "").encode() for i, _, html in rows if i in payload and i is not None)
+    import gzip
+
+    one = gzip.decompress((tmp_path / "1" / files[0][0]).read_bytes())
+    assert one.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and b"WARC-Refers-To: <urn:uuid:" in b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "1").glob("part-*"))
+    ids = {line for p in (tmp_path / "1").glob("part-*") for line in gzip.decompress(p.read_bytes()).split(b"\r\n")}
+    assert all(b"WARC-Record-ID: " + x.partition(b": ")[2] in ids for x in ids if x.startswith(b"WARC-Refers-To: "))
+    swapped = sorted((tmp_path / "1").glob("part-*"))[:2]
+    raw = swapped[0].read_bytes()
+    member = gzip.compress(gzip.decompress(raw).replace(b"WARC-Target-URI: http://h0", b"WARC-Target-URI: http://x0"), mtime=0)
+    assert member != raw
+    swapped[0].write_bytes(member)  # a header that no record's digest covers
+    with pytest.raises(Exception, match="damaged|records"):
+        warc.read_archive(spark.read.parquet(f"{tmp_path}/1/manifest"), f"file://{tmp_path}/1").collect()
     damaged = next((tmp_path / "0").glob("part-*"))
     raw = bytearray(damaged.read_bytes())
     raw[len(raw) // 2] ^= 1

@@ -257,6 +257,27 @@ def test_chain_matches_forward_backward_and_enumeration():
     assert np.allclose(toxicity.chain(unary, valid, trans)[valid], marginal[valid])
 
 
+def test_whole_chains_have_no_borders():
+    rng = np.random.default_rng(5)
+    trans = np.array([[2.0, -1.5], [-1.0, 2.5]])
+    texts = [rng.normal(size=n) for n in (0, 1, 63, 64, 65, 200, 0, 700, 128)]
+    for own, got in zip(texts, toxicity.whole_chains(texts, trans), strict=True):
+        assert len(own) == len(got)
+        if len(own):
+            want, _, _ = toxicity.forward_backward(own[None, :], np.ones((1, len(own)), bool), trans)
+            assert np.allclose(got, want[0])
+    assert [len(x) for x in toxicity.whole_chains([np.zeros(0)] * 2, trans)] == [0, 0] and toxicity.whole_chains([], trans) == []
+
+
+def test_features_of_long_texts_and_neighbours():
+    words = [f"w{i}" for i in range(7)]
+    text = " ".join(words * 60_000)  # beyond the bytes that are hashed at once
+    places = toxicity.features(text)
+    assert len(places) == 420_000 and (places[:7] == places[-7:]).all()
+    x = toxicity.beside(places[:3])
+    assert x[0, 0] == x[2, 1] == toxicity.DIMS and x[1, 0] == places[0, 0] and x[1, 1] == places[2, 1] and (x[:, 2:] == places[:3, 2:]).all()
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     plain, bad = [f"wort{i}" for i in range(300)], ["scumbag", "loserish", "idiotic"]
@@ -281,6 +302,8 @@ def test_toxicity(spark):
     assert all(r.score < 0.3 for r in toxicity.measured(docs.where("doc_id in (1001, 1002, 1003)"), model).collect())
     none = toxicity.fit(docs, marks.where("toxic = 0"))
     assert {round(r.score, 6) for r in toxicity.measured(docs, none).collect()} == {0.0}
+    nothing = toxicity.fit(docs.where("doc_id < 0"), marks.where("doc_id < 0"))
+    assert toxicity.measured(docs.where("doc_id < 0"), model).count() == 0 and toxicity.measured(docs, nothing).count() == docs.count()
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
