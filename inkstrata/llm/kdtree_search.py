@@ -1,16 +1,19 @@
 """Exact top-k by inner product: a KD-tree per shard, searched best first, with the kth score passed on between shards.
 
-Vectors are dealt to shards by a hash of their id. A shard's tree splits at the median of its widest dimension down to
-leaves of LEAF rows; every node keeps its tight bounding box and smallest id. The bound of a query and a box is the sum over
+Median splits of a bounded sample cut space into at most CELLS cells; a cell's vectors are dealt to shards of about SHARD_ROWS rows by
+their row's number. A shard's tree splits at the median of its widest dimension down to
+leaves of LEAF rows; every node keeps its tight bounding box. The bound of a query and a box is the sum over
 dimensions of the larger of query*low and query*high: no vector in the box scores more. A queue visits nodes by falling bound and
-stops when the bound is below the kth score so far. Queries first search one shard; the kth score found there prunes the
-others. Queries travel in blocks of QUERY_BLOCK rows, shards as rows of packed arrays, and both meet by an equi-join on the
-block's number, so no task holds more than a block and a shard.
+stops when the bound is below the kth score so far. Queries, in blocks of QUERY_BLOCK of one cell, first search that cell's shards. The
+kth scores found there and the cells' boxes, a table of at most CELLS rows, decide which further cells a block must meet; what no
+query's bound reaches is never joined. Queries and shards travel as rows of packed arrays and meet by an equi-join on the cell.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, as queries or candidates.
 Shorter vectors count as padded with zeros. A null id takes no part. Rows with equal ids are separate candidates, but none of
-them answers a query with that id. Fewer candidates than k give fewer rows. Only the id and the vector are read.
-Scores are computed in doubles: exact while the dimension times the square of the largest component stays below 2**53.
+them answers a query with that id. Query rows that share an id are one query: a candidate counts once, by its best score
+for any of their vectors. Fewer candidates than k give fewer rows. Only the id and the vector are read.
+Scores are computed in doubles; where dimension times the largest components of both sides reaches 2**53 they might not be exact, and
+the search fails with that message. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import stored
+from ._util import arrow_batch, arrow_rows, stored
 
 LEAF = 256
 SHARD_ROWS = 4_096
 QUERY_BLOCK = 512
-HIT = "block bigint, query_id bigint, vec_id bigint, score bigint"
+#: A bounded sample of vectors whose median splits make at most CELLS cells of space.
+SAMPLE_ROWS, CELLS = 20_000, 256
+HIT = "query_id bigint, row bigint, vec_id bigint, score bigint"
 
 
 def integer_vectors(rows: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
@@ -62,9 +67,9 @@ class Tree:
         self.span = np.array([n[:4] for n in nodes], np.int64)
         self.low, self.high = np.array([n[4] for n in nodes]), np.array([n[5] for n in nodes])
 
-    def search(self, q: np.ndarray, own: int, k: int, floor: float, bounds: np.ndarray) -> list[tuple[float, int]]:
-        """The k best (score, -id) with score >= floor. bounds: of q and each node's box."""
-        best: list[tuple[float, int]] = []
+    def search(self, q: np.ndarray, own: int, k: int, floor: float, bounds: np.ndarray) -> list[tuple[float, int, int]]:
+        """The k best (score, id, row) with score >= floor. bounds: of q and each node's box."""
+        best: list[tuple[float, int, int]] = []
         queue = [(-bounds[0], 0)]
         while queue:
             bound, node = heapq.heappop(queue)
@@ -77,13 +82,13 @@ class Tree:
                 continue
             score = self.points[a:b] @ q
             least = best[0][0] if len(best) == k else floor
-            for i in np.nonzero((score >= least) & (self.ids[a:b] != own))[0]:
-                hit = (float(score[i]), -int(self.ids[a + i]))
+            for i in np.nonzero((score >= least) & (self.ids[a:b, 0] != own))[0]:
+                hit = (float(score[i]), -int(self.ids[a + i, 0]), -int(self.ids[a + i, 1]))
                 if len(best) < k:
                     heapq.heappush(best, hit)
                 elif hit > best[0]:
                     heapq.heapreplace(best, hit)
-        return best
+        return [(s, -x, -r) for s, x, r in best]
 
 
 def _points(flat: list[np.ndarray], dim: int) -> np.ndarray:
@@ -93,20 +98,82 @@ def _points(flat: list[np.ndarray], dim: int) -> np.ndarray:
     return out
 
 
+Splits = list[tuple[int, float, int, int]]
+
+
+def median_splits(points: np.ndarray, cells: int) -> Splits:
+    """A KD-tree over a sample, as nodes (dimension, border, low child, high child); a child below 0 is cell -1 - child."""
+    nodes: Splits = []
+    n_cells = 0
+
+    def grow(own: np.ndarray, share: int) -> int:
+        nonlocal n_cells
+        spread = own.max(0) - own.min(0) if len(own) else np.zeros(1)
+        dim = int(np.argmax(spread))
+        if share < 2 or spread[dim] <= 0:
+            n_cells += 1
+            return -n_cells
+        border = float(np.median(own[:, dim]))
+        high = own[:, dim] >= border
+        if high.all():  # the median is the least value
+            high = own[:, dim] > border
+            border = float(own[high, dim].min())
+        me = len(nodes)
+        nodes.append((dim, border, 0, 0))
+        low = grow(own[~high], share // 2)
+        nodes[me] = (dim, border, low, grow(own[high], share - share // 2))
+        return me
+
+    grow(points, cells)
+    return nodes
+
+
+def cells_of(points: np.ndarray, splits: Splits) -> np.ndarray:
+    out = np.full(len(points), -1 if not splits else 0, np.int64)
+    for me, (dim, border, low, high) in enumerate(splits):  # parents stand before their children
+        here = np.flatnonzero(out == me)
+        out[here] = np.where(points[here, dim] >= border, high, low)
+    return -1 - out
+
+
+def _placed(vectors: DataFrame, splits: Splits, dim: int) -> DataFrame:
+    """vectors with the cell of each, and a number of its row."""
+    schema = pa.schema([("cell", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = _points([np.array(v, float)[:dim] for v in batch.column(batch.schema.get_field_index("v")).to_pylist()], dim)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells_of(points, splits), schema.field(0).type)], names=[*batch.schema.names, "cell"])
+
+    # numbers of rows in partitions, which keep shards bounded even where ids repeat
+    return vectors.mapInArrow(run, "vec_id bigint, v array<bigint>, cell bigint").withColumn("row", F.monotonically_increasing_id())
+
+
 def _packed(rows: DataFrame, key: str) -> DataFrame:
-    """One row per key: its ids and vectors as binaries. A key has a bounded number of rows, by the choice of the number of keys."""
+    """One row per (cell, key): its rows' numbers, ids and vectors as binaries, and their box. A key has a bounded number of rows, by
+    the choice of the number of keys."""
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         dim = max(map(len, group["v"]))
-        group = group.sort_values("vec_id", kind="stable")
-        return pd.DataFrame({key: [group[key].iloc[0]], "ids": [group["vec_id"].to_numpy(np.int64).tobytes()], "points": [_points(list(group["v"]), dim).tobytes()], "dim": [dim]})
+        group = group.sort_values(["vec_id", "row"], kind="stable")
+        points = _points(list(group["v"]), dim)
+        ids = {n: [group[n].to_numpy(np.int64).tobytes()] for n in ("row", "vec_id")}
+        # what a shorter vector lacks counts as zeros, so boxes of different length are padded with zeros as well
+        return pd.DataFrame({"cell": [group["cell"].iloc[0]], key: [group[key].iloc[0]], "rows": ids["row"], "ids": ids["vec_id"], "points": [points.tobytes()], "low": [points.min(0).tobytes()], "high": [points.max(0).tobytes()], "dim": [dim]})
+
+    return rows.groupBy("cell", key).applyInPandas(pack, f"cell bigint, {key} bigint, rows binary, ids binary, points binary, low binary, high binary, dim bigint")
 
-    return rows.groupBy(key).applyInPandas(pack, f"{key} bigint, ids binary, points binary, dim bigint")
+
+def _dealt(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """rows with the number of their shard (or block) in their cell: as many as keep each at about size rows."""
+    counts = {r.cell: -(-r.n // size) for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most CELLS rows
+    n = F.create_map(*[F.lit(x).cast("long") for pair in (counts or {0: 1}).items() for x in pair])[F.col("cell")]
+    return rows.withColumn(key, F.pmod(F.xxhash64("row"), n))
 
 
 def _searched(pairs: DataFrame, k: int) -> DataFrame:
-    """pairs: block, q_ids, q_points, q_dim, floors (query_id and kth score, where known), shard's ids, points, dim -> HIT rows."""
-    out = pa.schema([("block", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    """pairs: a query block's columns (q_), floors (kth scores, where known), a shard's columns -> HIT rows."""
+    out = pa.schema([(n, pa.int64()) for n in ("query_id", "row", "vec_id", "score")])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tree = None, None
@@ -114,15 +181,16 @@ def _searched(pairs: DataFrame, k: int) -> DataFrame:
             for i in range(batch.num_rows):
                 row = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
                 dim = max(row["dim"], row["q_dim"])
-                if (row["shard"], dim) != last:
+                if (row["cell"], row["shard"], dim) != last:
                     own = np.frombuffer(row["points"]).reshape(-1, row["dim"])
-                    tree, last = Tree(np.frombuffer(row["ids"], np.int64), np.pad(own, ((0, 0), (0, dim - row["dim"])))), (row["shard"], dim)
+                    ids = np.stack((np.frombuffer(row["ids"], np.int64), np.frombuffer(row["rows"], np.int64)), 1)
+                    tree, last = Tree(ids, np.pad(own, ((0, 0), (0, dim - row["dim"])))), (row["cell"], row["shard"], dim)
                 q = np.pad(np.frombuffer(row["q_points"]).reshape(-1, row["q_dim"]), ((0, 0), (0, dim - row["q_dim"])))
-                q_ids = np.frombuffer(row["q_ids"], np.int64)
-                floors = {x["query_id"]: float(x["kth"]) for x in row["floors"] or ()}
-                up, down = np.maximum(q, 0), np.minimum(q, 0)
-                bounds = up @ tree.high.T + down @ tree.low.T
-                hits = [(row["block"], int(q_ids[j]), -x, int(s)) for j in range(len(q_ids)) for s, x in tree.search(q[j], int(q_ids[j]), k, floors.get(int(q_ids[j]), -np.inf), bounds[j])]
+                if dim * np.abs(q).max() * max(np.abs(tree.low).max(), np.abs(tree.high).max()) >= 2.0**53:
+                    raise ValueError("components too large: scores would not be exact")
+                q_ids, floors = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["floors"]) if row["floors"] else np.full(len(q), -np.inf)
+                bounds = np.maximum(q, 0) @ tree.high.T + np.minimum(q, 0) @ tree.low.T
+                hits = [(int(q_ids[j]), r, x, int(s)) for j in range(len(q_ids)) for s, x, r in tree.search(q[j], int(q_ids[j]), k, floors[j], bounds[j])]
                 if hits:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*hits, strict=True)], schema=out)
 
@@ -130,28 +198,84 @@ def _searched(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
-    """The k best hits per query; a task drops all but its own k best before they are shuffled."""
-    order = Window.partitionBy("block", "query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """The k best rows per query; a task drops all but its own k best before they are shuffled. Each row counts once, by its best score."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"), F.asc("row"))
+    once = hits.groupBy("query_id", "row", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, is_query: str, k: int = 5, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score. vectors: integer_vectors(); is_query: SQL condition on vec_id that names the queries."""
-    base = stored(vectors, "vectors")
-    n_shards = max(1, -(-base.count() // shard_rows))
+def _with_floors(blocks: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """blocks with the kth score that each of their queries has so far, in their order (floors: packed doubles)."""
+    kth = found.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("k_id"), "kth")
+    ids = pa.schema([("b_cell", pa.int64()), ("b_block", pa.int64()), ("place", pa.int64()), ("q_id", pa.int64())])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell, block, raw in arrow_rows(batch, "cell", "block", "q_ids"):
+                q = np.frombuffer(raw, np.int64)
+                yield arrow_batch(ids, [np.full(len(q), cell), np.full(len(q), block), np.arange(len(q)), q])
+
+    each = blocks.select("cell", "block", "q_ids").mapInArrow(unpack, "b_cell bigint, b_block bigint, place bigint, q_id bigint")
+    each = each.join(kth, F.col("q_id") == F.col("k_id"), "left").groupBy("b_cell", "b_block").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf"))).alias("kth")))).alias("kths"))
+    return blocks.join(each, (F.col("cell") == F.col("b_cell")) & (F.col("block") == F.col("b_block"))).drop("b_cell", "b_block").withColumn("kths", F.col("kths.kth"))
+
+
+def _near(blocks: DataFrame, boxes: list[tuple[int, np.ndarray, np.ndarray]]) -> DataFrame:
+    """A row per block and cell whose box may hold a vector that one of its queries still needs (cells: searched already)."""
+    names = ["cell", "block", "q_points", "q_dim"]
+    out = pa.schema([("home", pa.int64()), ("home_block", pa.int64()), ("floors", pa.binary()), ("to_cell", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell, block, q_points, q_dim, kths in arrow_rows(batch, *names, "kths"):
+                floors = np.array(kths)
+                q = np.frombuffer(q_points).reshape(-1, q_dim)
+                for to, low, high in boxes:
+                    n = min(len(low), q_dim)  # beyond it one of both is zero
+                    part = q[:, :n]
+                    bound = np.maximum(part, 0) @ high[:n] + np.minimum(part, 0) @ low[:n]
+                    if to != cell and (bound >= floors).any():
+                        yield arrow_batch(out, [[x] for x in (cell, block, floors.tobytes(), to)])
+
+    return blocks.select(*names, "kths").mapInArrow(run, "home bigint, home_block bigint, floors binary, to_cell bigint")
+
+
+def _boxes(shards: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """The box of every cell, from its shards' boxes: at most CELLS rows and two vectors each."""
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        dim = max(rows["dim"])
+        wide = lambda name: np.stack([np.pad(np.frombuffer(x), (0, dim - len(x) // 8)) for x in rows[name]])
+        return pd.DataFrame({"cell": [rows["cell"].iloc[0]], "low": [wide("low").min(0).tobytes()], "high": [wide("high").max(0).tobytes()]})
+
+    rows = shards.select("cell", "low", "high", "dim").groupBy("cell").applyInPandas(merge, "cell bigint, low binary, high binary").collect()
+    return [(r.cell, np.frombuffer(bytes(r.low)), np.frombuffer(bytes(r.high))) for r in rows]
+
+
+def planned(vectors: DataFrame, is_query: str, k: int, shard_rows: int, query_block: int, cells: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The shards, the query blocks, the hits of each query in its own cell, and the pairs of query blocks and further cells that must still meet."""
+    plain = stored(vectors, "vectors")
+    n_rows = plain.count()
+    rate = min(1.0, SAMPLE_ROWS / max(1, n_rows))
+    drawn = plain.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))).select("v").limit(2 * SAMPLE_ROWS).collect()
+    dim = max((len(r.v) for r in drawn), default=1)
+    sample = _points([np.array(r.v, float) for r in drawn], dim)
+    splits = median_splits(sample, max(1, min(cells, -(-n_rows // shard_rows)))) if len(sample) else []
+    base = stored(_placed(plain, splits, dim), "vector-cells")
+    shards = stored(_packed(_dealt(base, "shard", shard_rows), "shard"), "shards")
     queries = base.where(is_query)
-    n_blocks = max(1, -(-queries.count() // query_block))
-    # as the ids of queries may repeat, rows with the same id answer once
-    queries = queries.dropDuplicates(["vec_id", "v"])
-    shards = stored(_packed(base.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n_shards))), "shard"), "shards")
-    blocks = stored(_packed(queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks))), "block").select("block", F.col("ids").alias("q_ids"), F.col("points").alias("q_points"), F.col("dim").alias("q_dim")), "query-blocks")
-    home = F.pmod(F.col("block"), F.lit(n_shards))
-    first = blocks.withColumn("shard", home).join(shards, "shard").withColumn("floors", F.lit(None).cast("array<struct<query_id:bigint,kth:bigint>>"))
+    blocks = _packed(_dealt(queries, "block", query_block), "block").select("cell", "block", F.col("ids").alias("q_ids"), F.col("points").alias("q_points"), F.col("dim").alias("q_dim"))
+    blocks = stored(blocks, "query-blocks")
+    first = blocks.withColumnsRenamed({"cell": "home"}).withColumn("floors", F.lit(None).cast("binary")).join(shards, F.col("home") == shards["cell"])
     found = stored(_best(_searched(first, k), k), "first-hits")
+    pairs = stored(_near(_with_floors(blocks, found, k), _boxes(shards)), "near-pairs")
+    return shards, blocks, found, pairs
 
-    kth = found.groupBy("block", "query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k)
-    known = kth.groupBy("block").agg(F.collect_list(F.struct("query_id", "kth")).alias("floors"))
-    spread = blocks.join(known, "block", "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long")))).where(F.col("shard") != home)
-    rest = _searched(spread.join(shards, "shard"), k)
-    both = found.select("block", "query_id", "vec_id", "score").unionByName(rest)
+
+def top_k(vectors: DataFrame, is_query: str, k: int = 5, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK, cells: int = CELLS) -> DataFrame:
+    """query_id, rank, vec_id, score. vectors: integer_vectors(); is_query: SQL condition on vec_id that names the queries."""
+    shards, blocks, found, pairs = planned(vectors, is_query, k, shard_rows, query_block, cells)
+    asked = pairs.join(blocks.withColumnRenamed("cell", "b_cell"), (F.col("home") == F.col("b_cell")) & (F.col("home_block") == F.col("block")))
+    rest = _searched(asked.drop("b_cell").join(shards, F.col("to_cell") == F.col("cell")), k)
+    both = found.select("query_id", "row", "vec_id", "score").unionByName(rest)
     return _best(both, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
