@@ -16,11 +16,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import arrow_batch, arrow_rows, lean, sample_by_group
+from ._util import arrow_batch, arrow_rows, lean, sample_by_group, stored
 
 DIMS = 1 << 13
 PER_LANG = 400
@@ -92,26 +93,26 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarra
     return centres
 
 
-def fit_vectors(langs: list[str], totals: np.ndarray, clusters: int = CLUSTERS) -> Model:
-    idf = np.log((1 + len(totals)) / (1 + (totals > 0).sum(0))) + 1
-    model = Model([], idf, np.zeros((0, DIMS)), np.zeros(0))
-    x = np.array([model.vector(t) for t in totals])
-    names, centroids, floors = [], [], []
-    for lang in sorted(set(langs)):
-        own = x[[i for i, g in enumerate(langs) if g == lang]]
-        centres = k_means(own, clusters)
-        near, cosine = np.argmax(own @ centres.T, 1), np.max(own @ centres.T, 1)
-        for i, centre in enumerate(centres):
-            names.append(lang)
-            centroids.append(centre)
-            floors.append(REJECT * float(cosine[near == i].min()) if (near == i).any() else 0.0)
-    return Model(names, idf.astype(np.float32), np.array(centroids, np.float32).reshape(-1, DIMS), np.array(floors))
-
-
-def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """labelled: doc_id, text, lang. The sample's n-gram counts reach the driver as sparse arrays, per_lang rows a language."""
+def inverse_frequency(n_texts: int, found_in: np.ndarray) -> np.ndarray:
+    return np.log((1 + n_texts) / (1 + found_in)) + 1
+
+
+def centroids_of(x: np.ndarray, clusters: int = CLUSTERS) -> tuple[np.ndarray, np.ndarray]:
+    """The centroids of one language's vectors, and their floors."""
+    centres = k_means(x, clusters)
+    near, cosine = np.argmax(x @ centres.T, 1), np.max(x @ centres.T, 1)
+    return centres, np.array([REJECT * float(cosine[near == i].min()) if (near == i).any() else 0.0 for i in range(len(centres))])
+
+
+SAMPLE_DDL = "lang string, places binary, totals binary"
+
+
+def fit(labelled: DataFrame, per_lang: int = PER_LANG, clusters: int = CLUSTERS) -> Model:
+    """labelled: doc_id, text, lang. The sample's n-gram counts are a written table of sparse rows; each language is clustered by one task over
+    its about per_lang rows. The places' document frequencies and at most clusters centroids a language reach the driver."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    chosen = sample_by_group(rows, "lang", per_lang, F.col("doc_id"))
+    # rows without an id are drawn by their text
+    chosen = sample_by_group(rows, "lang", per_lang, F.coalesce(F.col("doc_id").cast("string"), F.md5("text")))
     schema = pa.schema([("lang", pa.string()), ("places", pa.binary()), ("totals", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,11 +125,35 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
             if rows:
                 yield arrow_batch(schema, list(zip(*rows, strict=True)))
 
-    found = sorted(chosen.select("lang", "text").mapInArrow(lean(count), "lang string, places binary, totals binary").collect())
-    totals = np.zeros((len(found), DIMS), np.float32)
-    for row, (_, places, values) in zip(totals, found, strict=True):
-        row[np.frombuffer(places, np.uint16)] = np.frombuffer(values, np.float32)
-    return fit_vectors([r[0] for r in found], totals)
+    sample = stored(chosen.select("lang", "text").mapInArrow(lean(count), SAMPLE_DDL), "language-sample")
+    frequency = pa.schema([("n_texts", pa.int64()), ("found_in", pa.list_(pa.int64()))])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, seen = 0, np.zeros(DIMS, np.int64)
+        for batch in batches:
+            for (places,) in arrow_rows(batch, "places"):
+                n += 1
+                seen[np.frombuffer(places, np.uint16)] += 1
+        if n:
+            yield arrow_batch(frequency, [[n], [seen]])
+
+    parts = sample.select("places").coalesce(8).mapInArrow(lean(found), "n_texts bigint, found_in array<bigint>").collect()
+    if not parts:
+        return Model([], np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0))
+    idf = inverse_frequency(sum(r[0] for r in parts), np.sum([r[1] for r in parts], 0))
+
+    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
+        model, rows = Model([], idf, np.zeros((0, DIMS)), np.zeros(0)), rows.sort_values(["places", "totals"], kind="stable")
+        x = np.zeros((len(rows), DIMS), np.float32)
+        for own, places, values in zip(x, rows["places"], rows["totals"], strict=True):
+            own[np.frombuffer(places, np.uint16)] = np.frombuffer(values, np.float32)
+            own[:] = model.vector(own)
+        centres, floors = centroids_of(x, clusters)
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "number": range(len(centres)), "centre": [c.astype(np.float32).tobytes() for c in centres], "floor": floors})
+
+    made = sorted(sample.groupBy("lang").applyInPandas(cluster, "lang string, number int, centre binary, floor double").collect())
+    centres = np.array([np.frombuffer(bytes(r.centre), np.float32) for r in made], np.float32).reshape(-1, DIMS)
+    return Model([r.lang for r in made], idf.astype(np.float32), centres, np.array([r.floor for r in made]))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

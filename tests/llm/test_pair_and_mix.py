@@ -268,6 +268,24 @@ def test_search_matches_brute_force(spark):
             hits = sorted((-int(a[: len(b)] @ b[: len(a)]), i) for i, b in ok if i != q)[:5]
             want |= {(q, r + 1): (i, -s) for r, (s, i) in enumerate(hits)}
     assert have == want
+    same = kdtree_search.integer_vectors(spark.createDataFrame([(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 2.0])], "vec_id bigint, embedding array<float>"), "vec_id", "embedding")
+    assert sorted(map(tuple, kdtree_search.top_k(same, "vec_id % 50 = 0").collect())) == [(50, 1, 1, 3 * 65536), (50, 2, 2, 2 * 65536)]
+    with pytest.raises(Exception, match="too large"):
+        kdtree_search.top_k(kdtree_search.integer_vectors(spark.createDataFrame([(50, [1e9]), (1, [1e9])], "vec_id bigint, embedding array<float>"), "vec_id", "embedding"), "vec_id % 50 = 0").collect()
     few = kdtree_search.integer_vectors(df.where("vec_id in (0, 1)"), "vec_id", "embedding")
     assert kdtree_search.top_k(few, "vec_id % 50 = 0").count() == 1
     assert kdtree_search.top_k(few.where("vec_id < 0"), "vec_id % 50 = 0").count() == 0
+
+
+def test_search_skips_cells_that_no_query_needs(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 8)) * 8
+    points = np.concatenate([c + rng.normal(size=(60, 8)) * 0.2 for c in centres])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id bigint, embedding array<float>")
+    vectors = kdtree_search.integer_vectors(df, "vec_id", "embedding")
+    shards, blocks, found, pairs = kdtree_search.planned(vectors, "vec_id % 50 = 0", 5, 60, 4, 40)
+    assert pairs.count() < 0.5 * blocks.count() * shards.select("cell").distinct().count()
+    whole = np.floor(256 * points.astype(np.float32).astype(float)).astype(int)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in kdtree_search.top_k(vectors, "vec_id % 50 = 0", 5, 60, 4, 40).collect()}
+    want = {(q, r + 1): (i, -s) for q in range(0, len(whole), 50) for r, (s, i) in enumerate(sorted((-int(whole[q] @ x), i) for i, x in enumerate(whole) if i != q)[:5])}
+    assert got == want

@@ -240,6 +240,41 @@ def test_language_identification(spark):
     assert language_id.predict(df.where("doc_id < 0"), model).count() == 0
 
 
+def test_language_vectors_match_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(LANGS[g], k=rng.randrange(3, 20))), g) for i in range(60) for g in [rng.choice(list(LANGS))]] + [(None, "der haus wasser", "de")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.fit(df, per_lang=1000, clusters=1)
+    assert model.langs == sorted(LANGS)
+
+    def grams(text):
+        line = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        return collections.Counter(line[i : i + n] for n in (1, 2, 3) for i in range(len(line) - n + 1))
+
+    own = [grams(t) for _, t, _ in rows]
+    df_of = collections.Counter(g for c in own for g in c)
+    idf = {g: math.log((1 + len(rows)) / (1 + n)) + 1 for g, n in df_of.items()}
+
+    def vector(c):
+        v = {g: math.log1p(n) * idf[g] for g, n in c.items() if g in idf}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {g: x / norm for g, x in v.items()}
+
+    centres = {}
+    for lang in LANGS:
+        total = collections.Counter()
+        for c, (_, _, g) in zip(own, rows, strict=True):
+            if g == lang:
+                total.update(vector(c))
+        norm = math.sqrt(sum(x * x for x in total.values()))
+        centres[lang] = {g: x / norm for g, x in total.items()}
+    for c, (_, text, _) in zip(own, rows, strict=True):
+        cosine = {lang: sum(x * centre.get(g, 0) for g, x in vector(c).items()) for lang, centre in centres.items()}
+        lang, score, rejected = model.predict(text)
+        best = max(cosine, key=cosine.get)
+        assert lang == best and abs(score - cosine[best]) < 0.02 and not rejected  # hashed places may clash
+
+
 def test_chain_matches_forward_backward_and_enumeration():
     rng = np.random.default_rng(2)
     unary, trans = rng.normal(size=(3, 5)), rng.normal(size=(2, 2))
