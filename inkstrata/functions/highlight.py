@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-# Comment marks, quotes and keywords per language family, and aliases of language names.
+# Comment marks, quotes and common keywords of each language, chosen here, and aliases of language names.
 C_WORDS = "if else for while do switch case default break continue return struct class enum public private protected static const void int long float double char bool true false null new this try catch throw import package interface extends implements final"
 LANGUAGES = {
     "c": ("//", ("/*", "*/"), "\"'", C_WORDS),

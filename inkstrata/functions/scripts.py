@@ -4,13 +4,32 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Classes and the scripts they take; every other script is ``other``. What absorbs takes its neighbour's class.
-CLASSES = {"latin": ("Latin",), "hangul": ("Hangul",), "han": ("Han",), "kana": ("Hiragana", "Katakana"), "cyrillic": ("Cyrillic",), "greek": ("Greek",), "arabic": ("Arabic",), "hebrew": ("Hebrew",), "thai": ("Thai",), "devanagari": ("Devanagari",)}
-ABSORBING = ("common", "inherited")
+# Classes and the scripts they take. Every other script, and what has none, is ``other``.
+CLASSES = {
+    "latin": ("Latin",), "hangul": ("Hangul",), "han": ("Han",), "kana": ("Hiragana", "Katakana"),
+    "eastAsianOther": ("Bopomofo", "Yi", "Nushu", "Tangut", "Khitan_Small_Script", "Lisu", "Miao", "Nyiakeng_Puachue_Hmong"),
+    "complex": (
+        "Arabic", "Hebrew", "Syriac", "Thaana", "Nko", "Samaritan", "Mandaic",
+        "Devanagari", "Bengali", "Gurmukhi", "Gujarati", "Oriya", "Tamil", "Telugu",
+        "Kannada", "Malayalam", "Sinhala", "Thai", "Lao", "Tibetan", "Myanmar", "Khmer",
+        "Adlam", "Hanifi_Rohingya", "Mongolian", "Tifinagh", "Yezidi", "Garay", "Todhri",
+        "Tai_Tham", "Tai_Le", "New_Tai_Lue", "Tai_Viet", "Javanese", "Balinese", "Sundanese",
+        "Batak", "Buginese", "Rejang", "Lepcha", "Limbu", "Syloti_Nagri", "Kaithi", "Chakma",
+        "Sharada", "Takri", "Tirhuta", "Modi", "Grantha", "Ahom", "Newa", "Bhaiksuki",
+        "Marchen", "Masaram_Gondi", "Gunjala_Gondi", "Soyombo", "Zanabazar_Square", "Dogra",
+        "Makasar", "Wancho", "Chorasmian", "Dives_Akuru", "Vithkuqi", "Old_Uyghur", "Tangsa",
+        "Toto", "Cypro_Minoan", "Kawi", "Nag_Mundari", "Sunuwar", "Tulu_Tigalari",
+        "Gurung_Khema", "Kirat_Rai", "Ol_Onal", "Beria_Erfe", "Sidetic", "Tai_Yo",
+        "Tolong_Siki",
+    ),
+    "common": ("Common",), "inherited": ("Inherited",),
+}
+ABSORBING = ("common", "inherited", "extend")
 # The script tags under which theme fonts are looked up.
 THEME_TAGS = {"latin": "Latn", "hangul": "Hang", "kana": "Jpan"}
 LAST = 0x10FFFF
@@ -18,27 +37,26 @@ LAST = 0x10FFFF
 
 @lru_cache(maxsize=1)
 def ranges() -> list[tuple[int, int, str]]:
-    """Gapless (start, end, class) over all code points: ``common`` and ``inherited`` absorb, surrogates count as common."""
-    of = [(name, regex.compile("|".join(f"\\p{{Script={s}}}" for s in scripts))) for name, scripts in CLASSES.items()]
-    of += [("common", regex.compile(r"\p{Script=Common}|\p{Script=Unknown}")), ("inherited", regex.compile(r"\p{Script=Inherited}"))]
-    out: list[tuple[int, int, str]] = []
-    for cp in range(LAST + 1):
-        if 0xD800 <= cp <= 0xDFFF:
-            name = "common"
-        elif cp < 0x80:
-            name = "latin" if chr(cp).isalpha() else "common"
-        else:
-            ch = chr(cp)
-            name = out[-1][2] if out and out[-1][2] in dict(of) and dict(of)[out[-1][2]].match(ch) else next((n for n, r in of if r.match(ch)), "other")
-        if out and out[-1][2] == name:
-            out[-1] = (out[-1][0], cp, name)
-        else:
-            out.append((cp, cp, name))
-    return out
+    """Gapless (start, end, class) over all code points. Characters that extend a cluster are ``extend`` whatever their script, so no
+    run begins with one; unassigned and private ones are ``other``. What absorbs takes its neighbour's class."""
+    every = "".join(map(chr, range(LAST + 1)))
+    names = [*CLASSES, "other", "extend"]
+    of = np.full(LAST + 1, names.index("other"), np.int8)
+    rules = [(name, f"\\p{{Script={s}}}+") for name, scripts in CLASSES.items() for s in scripts] + [("extend", "\\p{Grapheme_Extend}+")]
+    for name, rule in rules:
+        try:
+            found = regex.compile(rule)
+        except regex.error:  # a script younger than the installed tables: its characters are unassigned there
+            continue
+        for m in found.finditer(every):
+            of[m.start() : m.end()] = names.index(name)
+    starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    ends = np.append(starts[1:] - 1, LAST)
+    return [(int(a), int(b), names[of[a]]) for a, b in zip(starts, ends, strict=True)]
 
 
 def range_table(spark: SparkSession) -> DataFrame:
-    """A fixed table of some thousand rows, whatever the input."""
+    """A fixed table of some two thousand rows, whatever the input."""
     return spark.createDataFrame(ranges(), "start int, end int, class string")
 
 

@@ -120,7 +120,7 @@ def word_table(spark: SparkSession) -> DataFrame:
 
 
 def looked_up(chars: DataFrame, table: DataFrame, code: str, values: list[str]) -> DataFrame:
-    """Left range join of distinct code points with a fixed table of some dozens of rows."""
+    """Left range join of distinct code points with one of the fixed tables above, of some dozens of rows."""
     keys = chars.select(code).distinct()
     found = keys.join(F.broadcast(table), F.col(code).between(F.col("start"), F.col("end")), "left").select(code, *values)
     return chars.join(found, code, "left")

@@ -80,17 +80,84 @@ def math_spans(text: Column) -> Column:
     return F.filter(F.transform(F.concat(found, single), lambda f: F.btrim(f, F.lit(" \t\n"))), lambda f: f != "")
 
 
+#: Code fences, code spans, and links and images with their targets: nothing in them becomes a link.
+SHIELDED = r"(?ms)^ {0,3}```.*?(?:^ {0,3}```[^\n]*$|\z)|`+[^`\n]*`+|!?\[[^\]\n]*\]\([^)\n]*\)"
+
+
 def autolinks(text: Column) -> Column:
-    """Web addresses and absolute paths in a text, without the punctuation at their ends."""
-    found = F.regexp_extract_all(text, F.lit(r"(?<![\w/:.~])(?:https?://[^\s<>\"')\]]+|(?:~|/[\w.-]+)/[\w./-]+)"), F.lit(0))
-    return F.filter(F.transform(found, lambda f: F.rtrim(f, F.lit(".,;:!?)"))), lambda f: f != "")
+    """Web addresses, and absolute, home and explicitly relative paths, in a text, without the punctuation at their ends. Not in code or
+    in what is a link already; paths begin at a word's start, so none is found inside a word or address."""
+    prose = F.regexp_replace(text, SHIELDED, "\u00a0")
+    found = F.regexp_extract_all(prose, F.lit(r"(?<![\w/:.~-])(?:https?://[^\s<>\"')\]\u00a0]+|(?:~|\.{1,2})?/[\w.-]+(?:/[\w.-]+)*/?)"), F.lit(0))
+    return F.filter(F.transform(found, lambda f: F.rtrim(f, F.lit(".,;:!?)"))), lambda f: F.contains(f, F.lit("/")))
+
+
+def _width_spec(spec: Column) -> Column:
+    """A struct (points, share): 300, 300px and 50%; anything else has neither."""
+    bare = F.btrim(spec, F.lit(" \t\n"))
+    digits = F.regexp_extract(bare, r"^([+-]?(?:\d+\.?\d*|\.\d+))(?:px|%)?$", 1)
+    number = F.nullif(digits, F.lit("")).try_cast("double")
+    share = bare.endswith("%")
+    return F.struct(F.when(~share, number).alias("points"), F.when(share, number / 100).alias("share"))
+
+
+def image_hint(alt: Column, behind: Column | None = None) -> Column:
+    """A struct (alt, points, share, rest): the width that an image states behind the last bar of its alternative text (``name|300``,
+    ``name|300x200``, ``name|50%``), else in a leading block of attributes in the text behind it (``{width=50%}``), which goes."""
+    behind = F.lit("") if behind is None else F.coalesce(behind, F.lit(""))
+    bar = F.regexp_extract(alt, r"(?s)^.*\|([^|]*)$", 1)
+    spec = _width_spec(F.regexp_extract(F.btrim(bar, F.lit(" \t\n")), r"^x*([^x]*)", 1))
+    sized = spec["points"].isNotNull() | spec["share"].isNotNull()
+    block = F.regexp_extract(behind, r"(?s)^ *\{([^}]*)\}", 1)
+    has_block = behind.rlike(r"^ *\{[^}]*\}")
+    own = _width_spec(F.regexp_extract(block, r"(?i)width\s*=\s*\"?([0-9.]+%?(?:px)?)\"?", 1))
+    rest = F.when(has_block, F.regexp_replace(behind, r"(?s)^ *\{[^}]*\}", "")).otherwise(behind)
+    return F.struct(
+        F.when(sized, F.btrim(F.regexp_extract(alt, r"(?s)^(.*)\|[^|]*$", 1), F.lit(" \t\n"))).otherwise(alt).alias("alt"),
+        F.when(sized, spec["points"]).when(has_block, own["points"]).alias("points"), F.when(sized, spec["share"]).when(has_block, own["share"]).alias("share"), rest.alias("rest"),
+    )
+
+
+def image_tag(html: Column) -> Column:
+    """A struct (src, alt, points, share) of an img tag; null for what is none, or has no source."""
+    value = lambda name: F.regexp_extract(html, rf"(?i){name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", 0)
+    bare = lambda name: F.regexp_replace(F.regexp_replace(value(name), rf"(?i)^{name}\s*=\s*", ""), r"^[\"'](.*)[\"']$", "$1")
+    spec = _width_spec(bare("width"))
+    is_tag = html.rlike("(?i)<img") & (value("src") != "")
+    return F.when(is_tag, F.struct(bare("src").alias("src"), bare("alt").alias("alt"), spec["points"].alias("points"), spec["share"].alias("share")))
+
+
+def line_start(text: Column, at: Column) -> Column:
+    """Where the line that holds a place begins (code points from 0; a place beyond the text is its end). Lines end with line feeds."""
+    head = F.substring(text, F.lit(1), F.greatest(F.lit(0), F.least(at, F.length(text))))
+    return F.length(head) - F.length(F.substring_index(head, "\n", -1))
+
+
+def line_end(text: Column, at: Column) -> Column:
+    place = F.greatest(F.lit(0), F.least(at, F.length(text)))
+    return place + F.length(F.substring_index(F.substring(text, place + 1, F.length(text)), "\n", 1))
+
+
+def previous_line(text: Column, at: Column) -> Column:
+    """The line's start, or, from there, the start of the line before."""
+    start = line_start(text, at)
+    return F.when(at != start, start).when(at == 0, F.lit(0)).otherwise(line_start(text, at - 1))
+
+
+def next_line(text: Column, at: Column) -> Column:
+    """The line's end, or, from there, the end of the line behind."""
+    end = line_end(text, at)
+    return F.when(at != end, end).when(end >= F.length(text), end).otherwise(line_end(text, end + 1))
 
 
-def image_hint(alt: Column) -> Column:
-    """Width and height after a bar in an image's alternative text (``name|300x200`` or ``name|300``)."""
-    w = F.regexp_extract(alt, r"\|\s*(\d+)(?:x\d+)?\s*$", 1)
-    h = F.regexp_extract(alt, r"\|\s*\d+x(\d+)\s*$", 1)
-    return F.struct(F.try_to_number(F.nullif(w, F.lit("")), F.lit("999999999")).cast("double").alias("width"), F.try_to_number(F.nullif(h, F.lit("")), F.lit("999999999")).cast("double").alias("height"))
+def sentence_step(starts: Column, at: Column, length: Column) -> Column:
+    """A struct (start, next) from the sentences' sorted starts: where the sentence that holds a place begins (from a start: the one
+    before), and where the next begins (none: the text's end)."""
+    place = F.greatest(F.lit(0), F.least(at, length))
+    before = F.filter(starts, lambda s: s < place)
+    upto = F.filter(starts, lambda s: s <= place)
+    first = F.coalesce(F.when(F.array_contains(starts, place), F.coalesce(F.get(before, F.size(before) - 1), F.get(starts, F.lit(0)))), F.get(upto, F.size(upto) - 1), F.lit(0))
+    return F.struct(first.alias("start"), F.coalesce(F.get(F.filter(starts, lambda s: s > place), F.lit(0)), length).alias("next"))
 
 
 def artifact_key(source: Column, version: str) -> Column:

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grouped import stream_groups
+from .written import written
+
+
+#: Rows of a range table that is broadcast.
+FEW_RANGES = 100_000
 
 
 def as_of(left: DataFrame, right: DataFrame, part: list[str], at: str, value: str, default_first: bool = False) -> DataFrame:
@@ -26,9 +31,11 @@ def as_of(left: DataFrame, right: DataFrame, part: list[str], at: str, value: st
 
 
 def range_lookup(rows: DataFrame, ranges: DataFrame, key: str, value: str) -> DataFrame:
-    """Adds value of the range (start, end, value) that holds key. Distinct keys meet the ranges, not the rows."""
+    """Adds value of the range (start, end, value) that holds key. Distinct keys meet the ranges, not the rows; ranges of at most
+    FEW_RANGES rows are broadcast, others are met by Catalyst's own choice."""
     keys = rows.select(key).distinct()
-    found = keys.join(F.broadcast(ranges), F.col(key).between(F.col("start"), F.col("end")), "left").select(key, value)
+    few = ranges.limit(FEW_RANGES + 1).count() <= FEW_RANGES
+    found = keys.join(F.broadcast(ranges) if few else ranges, F.col(key).between(F.col("start"), F.col("end")), "left").select(key, value)
     return rows.join(found, key, "left")
 
 
@@ -185,18 +192,22 @@ def picked_headers(pages: DataFrame, entries: DataFrame, part: list[str]) -> Dat
 def style_values(styles: DataFrame, props: DataFrame, depth: int = 32) -> DataFrame:
     """style, prop, value: the nearest definition along the basedOn chain. styles: style, parent; props: style, prop, value.
 
-    The chain is walked one join per level until no style has an ancestor left; depth guards against cycles.
+    Pointers double: a (style, property) without a value points to an ancestor and takes its value, or else its pointer, so each round
+    covers twice as many ancestors; depth of them at least, which also ends cycles. Each round is one join, and a written table.
     """
-    chain = styles.select("style", F.col("style").alias("at"), F.lit(0).alias("depth"))
-    all_levels, step = chain, chain
-    parents = styles.select(F.col("style").alias("s"), "parent")
-    for level in range(1, depth + 1):
-        step = step.join(parents, F.col("at") == F.col("s")).where(F.col("parent").isNotNull() & (F.col("parent") != F.col("style"))).select("style", F.col("parent").alias("at"), F.lit(level).alias("depth"))
-        if step.isEmpty():
+    own = props.where("value is not null").groupBy("style", "prop").agg(F.first("value").alias("value"))
+    names = sorted(r[0] for r in own.select("prop").distinct().collect())  # kinds of properties, a format's few dozen
+    up = styles.select("style", F.when(F.col("parent") != F.col("style"), F.col("parent")).alias("up"))
+    pairs = up.select("*", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")).alias("prop"))
+    state = written(pairs.join(own, ["style", "prop"], "left"), "style-chains")
+    for _ in range(max(1, (depth - 1).bit_length() + 1)):
+        open_ = F.col("value").isNull() & F.col("up").isNotNull()
+        if state.where(open_).isEmpty():
             break
-        all_levels = all_levels.unionByName(step)
-    rows = all_levels.join(props.withColumnRenamed("style", "s"), F.col("at") == F.col("s")).where(F.col("value").isNotNull())
-    return rows.groupBy("style", "prop").agg(F.min_by("value", "depth").alias("value"))
+        above = state.select(F.col("style").alias("a_style"), F.col("prop").alias("a_prop"), F.col("up").alias("a_up"), F.col("value").alias("a_value"))
+        met = state.join(above, open_ & (F.col("up") == F.col("a_style")) & (F.col("prop") == F.col("a_prop")), "left")
+        state = written(met.select("style", F.when(open_ & F.col("a_value").isNull(), F.col("a_up")).otherwise(F.col("up")).alias("up"), "prop", F.coalesce("value", "a_value").alias("value")), "style-chains")
+    return state.where("value is not null").select("style", "prop", "value")
 
 
 def census(chars: DataFrame, key: list[str], char: str) -> DataFrame:

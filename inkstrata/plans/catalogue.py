@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, scripts, slots, styles, text, units
 from ..operators import layout, sequences, spans, tables
+from ..operators import units as text_units
 from ..sources import kinds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,10 +47,26 @@ FROM l
 """)
 def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain text as one block per source line, with its range in the source."""
-    rows = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("block_id", "line"))
-    w = Window.partitionBy("doc_id").orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)
-    size = text.utf16_length(F.col("line"))
-    return rows.select("doc_id", "block_id", F.coalesce(F.sum(size + 1).over(w), F.lit(0)).cast("long").alias("src_start"), size.alias("src_len"), "line")
+    return text_units.units(t(spark, sf_dir, "documents").select("doc_id", "text"), "text", text_units.lines, ("block_id", "src_start", "src_len", "line"))
+
+
+CRLF = "regexp_replace({0}, '[\\n]([a-m])', '\r\n\\1', 'g')"
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, string_split({CRLF.format('text')}, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+q AS (SELECT doc_id, CASE WHEN parts[-1] = '' AND len(parts) > 1 THEN parts[:-2] ELSE parts END AS parts, len(parts) AS n FROM p),
+l AS (SELECT doc_id, n, unnest(parts) AS raw, generate_subscripts(parts, 1) - 1 AS block_id FROM q),
+m AS (SELECT *, CASE WHEN block_id < n - 1 AND suffix(raw, chr(13)) THEN raw[:-2] ELSE raw END AS line FROM l)
+SELECT doc_id, CAST(block_id AS INTEGER) AS block_id,
+       CAST(coalesce(sum({U16.format('raw')} + 1) OVER (PARTITION BY doc_id ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS src_start,
+       CAST({U16.format('line')} AS INTEGER) AS src_len
+FROM m
+""")
+def crlf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of texts with mixed terminators: each line feed before one of a to m becomes two characters, which both count."""
+    rows = t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n([a-m])", "\r\n$1").alias("text"))
+    return text_units.units(rows, "text", text_units.lines, ("block_id", "src_start", "src_len", "line"), keep_text=False)
 
 
 @query(f"""
@@ -72,23 +89,19 @@ FROM u
 """
 
 
-def _units(spark: SparkSession, sf_dir: str, stop: str) -> DataFrame:
-    docs = t(spark, sf_dir, "documents")
-    parts = F.filter(F.regexp_extract_all("text", F.lit(f"(?s)(.*?(?:{stop})|.+$)"), F.lit(1)), lambda p: p != "")
-    rows = docs.select("doc_id", F.posexplode(parts).alias("pos", "piece"))
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(text.utf16_length(F.col("piece"))).over(w), F.lit(0)).cast("int")
-    return rows.select("doc_id", (F.col("pos") + 1).alias("unit"), start.alias("start"), text.utf16_length(text.trimmed_end(F.col("piece"))).alias("len"))
+def _units(spark: SparkSession, sf_dir: str, cut: text_units.Cut) -> DataFrame:
+    rows = text_units.units(t(spark, sf_dir, "documents").select("doc_id", "text"), "text", cut, ("unit", "start", "len", "piece"), keep_text=False)
+    return rows.select("doc_id", (F.col("unit") + 1).alias("unit"), F.col("start").cast("int").alias("start"), "len")
 
 
 @query(_unit_sql(r"\.[ \n]*"))
 def sentence_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _units(spark, sf_dir, text.SENTENCE_STOP)
+    return _units(spark, sf_dir, text_units.stretches(text_units.SENTENCE))
 
 
 @query(_unit_sql(r"\n{2,}"))
 def paragraph_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _units(spark, sf_dir, text.PARAGRAPH_STOP)
+    return _units(spark, sf_dir, text_units.stretches(text_units.PARAGRAPH))
 
 
 @query(r"""
@@ -119,14 +132,25 @@ def inline_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(r"\$\$[^\n$]+\$\$")).alias("n_math"), F.regexp_count("text", F.lit("[|]")).alias("n_bars"))
 
 
-@query()
+@query("""
+SELECT p_partkey, 0 AS n, CASE WHEN p_partkey % 3 = 0 THEN 'x_' || p_size ELSE p_brand || chr(10) || p_size END AS latex FROM part
+""")
 def math_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.math_spans(F.col("text"))).alias("n", "latex"))
+    """Display math of texts: a block on lines of its own, one line, or an open end, which is none."""
+    block = F.concat(F.lit("see\n$$\n"), F.col("p_brand"), F.lit("\n"), F.col("p_size").cast("string"), F.lit("\n  $$ \nand $$ open"))
+    line = F.concat(F.lit("costs $5\n  $$x_"), F.col("p_size").cast("string"), F.lit("$$\n$$ $$\n"))
+    rows = t(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, line).otherwise(block).alias("text"))
+    return rows.select("p_partkey", F.posexplode(text.math_spans(F.col("text"))).alias("n", "latex"))
 
 
-@query()
+@query("""
+SELECT page_id, CAST(n AS INTEGER) AS n, link FROM (SELECT page_id, unnest([url || '/a', '/usr/p' || page_id || '/b.md', './d' || page_id || '/x.md']) AS link, unnest([0, 1, 2]) AS n FROM pages)
+""")
 def path_autolinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "pages").select("page_id", F.posexplode(text.autolinks(F.col("html"))).alias("n", "link"))
+    """Addresses and paths in prose; not in code, in links, or within words."""
+    n = F.col("page_id").cast("string")
+    line = F.concat(F.lit("and/or see "), F.col("url"), F.lit("/a, /usr/p"), n, F.lit("/b.md; then ./d"), n, F.lit("/x.md. [t](/no/"), n, F.lit(") but `/not/code` // no\n```\n/nor/fenced\n```\nend"))
+    return t(spark, sf_dir, "pages").select("page_id", F.posexplode(text.autolinks(line)).alias("n", "link"))
 
 
 @query("""
@@ -303,8 +327,7 @@ def inline_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH c AS (SELECT lang, unnest(string_split(text, '')) AS ch FROM documents) SELECT lang, ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY lang, ch
 """)
 def char_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''")
-    return sequences.census(rows, ["lang"], "ch")
+    return text_units.char_counts(t(spark, sf_dir, "documents").select("lang", "text"), "text")
 
 
 @query("""
@@ -326,7 +349,7 @@ SELECT class, sum(n)::BIGINT AS n FROM n LEFT JOIN r ON unicode(ch) BETWEEN a AN
 def script_ranges_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters per class: distinct characters meet the ranges, then their counts are summed."""
     ranges = spark.createDataFrame(RANGES, "start int, end int, class string")
-    chars = t(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count("*").alias("n")).withColumn("cp", F.ascii("ch"))
+    chars = _distinct_chars(spark, sf_dir)
     return sequences.range_lookup(chars, ranges, "cp", "class").groupBy("class").agg(F.sum("n").alias("n"))
 
 
@@ -378,17 +401,17 @@ def comment_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.open_ranges(t(spark, sf_dir, "events").withColumn("change", change), ["user_id"], "event_id", "change").select("event_id", "n_open")
 
 
-@query("""
-WITH c AS (SELECT source, doc_id AS id, doc_id AS ord FROM documents), a AS (SELECT source, l.doc_id AS id, min(l.quality * 1000000 + l.doc_id) AS first FROM labels AS l JOIN documents USING (doc_id) GROUP BY 1, 2),
-s AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY first, id) AS n FROM a),
-j AS (SELECT c.source, c.id, c.ord, s.n FROM c LEFT JOIN s USING (source, id))
-SELECT source, id, CAST(coalesce(n, coalesce(max(n) OVER (PARTITION BY source), 0) + sum((n IS NULL)::INTEGER) OVER (PARTITION BY source ORDER BY ord)) AS INTEGER) AS number FROM j
+@query(f"""
+WITH {LINES}, a AS (SELECT l_orderkey, line AS id, min(l_suppkey * 100 + line) AS first FROM lines WHERE l_linestatus = 'O' OR l_returnflag = 'R' GROUP BY 1, 2),
+s AS (SELECT l_orderkey, id, row_number() OVER (PARTITION BY l_orderkey ORDER BY first, id) AS n FROM a),
+j AS (SELECT l.l_orderkey, l.line AS id, s.n FROM lines AS l LEFT JOIN s ON s.l_orderkey = l.l_orderkey AND s.id = l.line)
+SELECT l_orderkey, id, CAST(coalesce(n, coalesce(max(n) OVER (PARTITION BY l_orderkey), 0) + sum((n IS NULL)::INTEGER) OVER (PARTITION BY l_orderkey ORDER BY id)) AS INTEGER) AS number FROM j
 """)
 def comment_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = t(spark, sf_dir, "documents")
-    anchors = t(spark, sf_dir, "labels").join(docs.select("doc_id", "source"), "doc_id").select("source", F.col("doc_id").alias("id"), (F.col("quality") * 1000000 + F.col("doc_id")).alias("at"))
-    comments = docs.select("source", F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"))
-    return sequences.comment_numbers(comments, anchors, ["source"]).select("source", "id", "number")
+    """A document's comments (an order's lines): anchored ones by first appearance, then the others in file order."""
+    rows = lines_of(spark, sf_dir).withColumn("id", F.col("line"))
+    anchors = rows.where("l_linestatus = 'O' or l_returnflag = 'R'").select("l_orderkey", "id", (F.col("l_suppkey") * 100 + F.col("line")).alias("at"))
+    return sequences.comment_numbers(rows.select("l_orderkey", "id", F.col("line").alias("ord")), anchors, ["l_orderkey"]).select("l_orderkey", "id", "number")
 
 
 @query("""
@@ -475,7 +498,15 @@ def grid_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.placed(_line_cells(spark, sf_dir), ["l_orderkey"]).select("l_orderkey", "line", "grid_col")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {CELLS}, c AS (SELECT *, CASE WHEN only_paragraphs THEN 1 ELSE 2 END AS row_span, row_number() OVER (PARTITION BY l_orderkey ORDER BY row, col) AS k, max(row) OVER (PARTITION BY l_orderkey) + 1 AS n_rows FROM cells),
+s(l_orderkey, k, row, col, grid_col, taken) AS (
+  SELECT l_orderkey, k, row, col, 0, list_transform(range(col_span * least(row_span, n_rows - row)), lambda i: [row + i // col_span, i % col_span]) FROM c WHERE k = 1
+  UNION ALL
+  SELECT l_orderkey, k, row, col, place, list_concat(taken, list_transform(range(col_span * least(row_span, n_rows - row)), lambda i: [row + i // col_span, place + i % col_span]))
+  FROM (SELECT n.*, s.taken, list_min(list_filter(range(60), lambda x: NOT list_contains(s.taken, [CAST(n.row AS BIGINT), x]))) AS place FROM s JOIN c AS n ON n.l_orderkey = s.l_orderkey AND n.k = s.k + 1))
+SELECT l_orderkey, row, col, CAST(grid_col AS INTEGER) AS grid_col FROM s
+""")
 def grid_place_row_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _line_cells(spark, sf_dir).withColumn("row_span", F.when(F.col("only_paragraphs"), 1).otherwise(2))
     return tables.placed_with_row_spans(cells, "l_orderkey")
@@ -502,13 +533,13 @@ def leading_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.leading_headers(t(spark, sf_dir, "orders").select("o_custkey", row.alias("row"), (F.col("o_orderstatus") == "F").alias("header")), ["o_custkey"], "row", "header")
 
 
-@query("""
-WITH c AS (SELECT p_brand, p_partkey, p_size, sum(p_size) OVER (PARTITION BY p_brand) AS total, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS upto, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) IS NULL AS last FROM part)
-SELECT p_brand, p_partkey, CAST(CASE WHEN last THEN least(floor(CAST(451.5 AS DOUBLE) * upto / total + 0.5), 451) ELSE floor(CAST(451.5 AS DOUBLE) * upto / total + 0.5) END AS BIGINT) AS edge FROM c
+@query(f"""
+WITH {LINES}, c AS (SELECT l_orderkey, line, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS total, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY line) AS upto, lead(line) OVER (PARTITION BY l_orderkey ORDER BY line) IS NULL AS last FROM lines)
+SELECT l_orderkey, line, CAST(CASE WHEN last THEN least(floor(CAST(451.5 AS DOUBLE) * upto / total + 0.5), 451) ELSE floor(CAST(451.5 AS DOUBLE) * upto / total + 0.5) END AS BIGINT) AS edge FROM c
 """)
 def column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size")
-    return tables.column_edges(rows, ["p_brand"], "p_partkey", "p_size", 451.5).select("p_brand", "p_partkey", "edge")
+    """A table (an order) whose columns (its lines) share a width by their quantities."""
+    return tables.column_edges(lines_of(spark, sf_dir), ["l_orderkey"], "line", "l_quantity", 451.5).select("l_orderkey", "line", "edge")
 
 
 @query("""
@@ -592,7 +623,14 @@ def push_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.pushes(groups, ["l_orderkey"], "first_row", "height", 60.0).select("l_orderkey", "first_row", "n_rows", "height", "top", "crosses", "push")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {LINES}, s(l_orderkey, line, h, top) AS (
+  SELECT l_orderkey, line, l_quantity, CAST(0 AS DOUBLE) FROM lines WHERE line = 1
+  UNION ALL
+  SELECT n.l_orderkey, n.line, n.l_quantity, CASE WHEN 60 - (s.top + s.h) % 60 < n.l_quantity AND n.l_quantity <= 60 THEN s.top + s.h + 60 - (s.top + s.h) % 60 ELSE s.top + s.h END
+  FROM s JOIN lines AS n ON n.l_orderkey = s.l_orderkey AND n.line = s.line + 1)
+SELECT l_orderkey, CAST(line AS BIGINT) AS line, top, CAST(floor(top / 60) AS INTEGER) AS page FROM s
+""")
 def settled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines_of(spark, sf_dir).select("l_orderkey", F.col("line").cast("long").alias("line"), "l_quantity")
     return sequences.settled(rows, "l_orderkey", "line", "l_quantity", 60.0)
@@ -725,9 +763,23 @@ def splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.spliced(rows, edits, ["conv_id"], "start", "len")
 
 
-@query()
+@query("""
+WITH RECURSIVE l AS (SELECT conv_id, turn, CASE (turn + conv_id) % 7 WHEN 0 THEN '[' || turn || ']: http://x' WHEN 1 THEN '[b]: u "t"' WHEN 2 THEN '' WHEN 3 THEN 'prose' WHEN 4 THEN '```py' WHEN 5 THEN '[c]: v' ELSE '```' END AS line,
+                           row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+s(conv_id, turn, k, fenced, free, hit) AS (
+  SELECT conv_id, turn, k, starts_with(line, '`'), line = '' OR starts_with(line, '['), starts_with(line, '[') FROM l WHERE k = 1
+  UNION ALL
+  SELECT n.conv_id, n.turn, n.k, CASE WHEN s.fenced THEN n.line <> '```' ELSE starts_with(n.line, '`') END,
+         CASE WHEN s.fenced THEN n.line = '```' WHEN starts_with(n.line, '`') THEN false WHEN starts_with(n.line, '[') THEN s.free ELSE n.line = '' END,
+         NOT s.fenced AND s.free AND starts_with(n.line, '[')
+  FROM s JOIN l AS n ON n.conv_id = s.conv_id AND n.k = s.k + 1)
+SELECT conv_id, CAST(turn AS INTEGER) AS turn FROM s WHERE hit
+""")
 def definition_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("turn"), F.concat(F.lit("["), F.col("conv_id").cast("string"), F.lit("]: "), F.element_at(F.split("text", " "), 1)).alias("line"))
+    """Link definitions among blank lines, prose and fences."""
+    kind = (F.col("turn") + F.col("conv_id")) % 7
+    line = F.when(kind == 0, F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("]: http://x"))).when(kind == 1, F.lit('[b]: u "t"')).when(kind == 2, F.lit("")).when(kind == 3, F.lit("prose")).when(kind == 4, F.lit("```py")).when(kind == 5, F.lit("[c]: v")).otherwise(F.lit("```"))
+    rows = t(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("turn"), line.alias("line"))
     return layout.definition_lines(rows, "conv_id", "turn", "line")
 
 
@@ -775,10 +827,16 @@ def cell_cascades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").select("p_partkey", fill.alias("fill"), layout.padding(own(2, F.col("p_retailprice")), own(3, F.lit(3.7))).cast("long").alias("padding"))
 
 
-@query()
+SCRIPT_VALUES = ", ".join(f"({a}, '{c}')" for a, _, c in scripts.ranges())
+
+
+@query(f"""
+WITH r(a, class) AS (VALUES {SCRIPT_VALUES}), c AS (SELECT lang, unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT lang, unicode(ch) AS cp, count(*) AS n FROM c WHERE ch <> '' GROUP BY 1, 2)
+SELECT lang, class, CAST(sum(n) AS BIGINT) AS n FROM n ASOF JOIN r ON n.cp >= r.a GROUP BY 1, 2
+""")
 def script_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters per language and script class, over the full Unicode table: distinct characters meet the ranges."""
-    chars = t(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("lang", "ch").agg(F.count("*").alias("n")).withColumn("cp", F.ascii("ch"))
+    chars = text_units.char_counts(t(spark, sf_dir, "documents").select("lang", "text"), "text").withColumn("cp", F.ascii("ch"))
     return sequences.range_lookup(chars, scripts.range_table(spark), "cp", "class").groupBy("lang", "class").agg(F.sum("n").alias("n"))
 
 
@@ -863,7 +921,7 @@ WORD_VALUES = ", ".join(f"({a}, {b}, '{p}', '{h}')" for a, b, p, h in slots.WORD
 
 
 def _distinct_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count("*").alias("n")).withColumn("cp", F.ascii("ch"))
+    return text_units.char_counts(t(spark, sf_dir, "documents").select("text"), "text").withColumn("cp", F.ascii("ch"))
 
 
 @query(f"""
@@ -878,7 +936,19 @@ def word_slot_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(slot(False).alias("slot"), slot(True).alias("hinted_slot"), "n").groupBy("slot", "hinted_slot").agg(F.sum("n").alias("n"))
 
 
-@query()
+ODF_VALUES = ", ".join(f"({a}, {b}, '{c}')" for a, b, c in slots.ODF_TYPES)
+_in = lambda blocks: " OR ".join(f"cp BETWEEN {a} AND {b}" for a, b in blocks)
+
+
+@query(f"""
+WITH s(a, class) AS (VALUES {SCRIPT_VALUES}), o(a, b, slot) AS (VALUES {ODF_VALUES}), c AS (SELECT unnest(string_split(text, '')) AS ch FROM documents),
+n AS (SELECT unicode(ch) AS cp, count(*) AS n FROM c WHERE ch <> '' GROUP BY 1),
+k AS (SELECT n.*, class, slot, class IN ('common', 'inherited', 'extend') AS soft FROM (SELECT n.*, s.class FROM n ASOF JOIN s ON n.cp >= s.a) AS n LEFT JOIN o ON cp BETWEEN o.a AND o.b)
+SELECT CASE WHEN cp <= 32 OR cp BETWEEN 127 AND 159 OR (cp >= 128 AND soft) THEN NULL ELSE slot END AS odf,
+       CASE WHEN soft THEN CASE WHEN {_in(slots.SYMBOL_BLOCKS)} THEN 'symbol' END ELSE CASE class WHEN 'hangul' THEN 'hangul' WHEN 'latin' THEN 'latin' WHEN 'han' THEN 'hanja' WHEN 'kana' THEN 'japanese' ELSE 'other' END END AS hangul,
+       NOT ({_in(slots.PRIVATE)}) AND NOT soft AS eligible, CAST(sum(n) AS BIGINT) AS n
+FROM k GROUP BY 1, 2, 3
+""")
 def slot_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters by OpenDocument slot, Hangul slot and whether they may stand for a font."""
     rows = slots.looked_up(_distinct_chars(spark, sf_dir), slots.odf_table(spark), "cp", ["slot"])

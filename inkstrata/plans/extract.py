@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import extract_header
 from ..operators import spans, tables
+from ..operators.written import written
 from ..sources import docx, encoding, hwp, kinds, markdown, odt
 
 INLINE = ["bold", "italic", "strikethrough", "code", "link"]
@@ -64,7 +65,8 @@ def extracted(files: DataFrame) -> DataFrame:
     """
     shut = files.where("not opens").select("path", F.lit(None).cast("string").alias("output"), F.lit(1).alias("status"), F.lit("unsupported").alias("error"))
     plain = encoding.texts(files.where("opens and kind <> 'office'")).select("path", F.col("text").alias("output"), F.lit(0).alias("status"), F.lit(None).cast("string").alias("error"))
-    office = markdown_of(blocks_of(files.where("opens and kind = 'office'")))
+    # the readers run once, into a table that all branches of the serialisation read
+    office = markdown_of(written(blocks_of(files.where("opens and kind = 'office'")), "blocks"))
     name = F.element_at(F.split("path", "/"), -1)
     full = F.concat(extract_header(name, F.col("markdown")), F.col("markdown"))
     office = office.select("path", F.when(F.col("error").isNull(), full).alias("output"), F.when(F.col("error").isNull(), 0).otherwise(1).alias("status"), "error")

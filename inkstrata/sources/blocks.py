@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SPAN = "struct<text:string,bold:boolean,italic:boolean,underline:boolean,strikethrough:boolean,superscript:boolean,subscript:boolean,code:boolean,link:string,bookmarks:array<string>,comment_ids:array<string>,color:string,size:double,font:string,page_field:string>"
 SPAN_FIELDS = [f.split(":")[0] for f in SPAN.removeprefix("struct<").removesuffix(">").split(",")]
@@ -36,41 +37,100 @@ def joined_spans(spans: list[dict]) -> list[dict]:
 
 
 class Sink:
-    """Collects a document's rows and numbers its blocks in order."""
+    """Collects a document's rows and numbers its blocks in order.
+
+    Cells and rows of a table that repeat are collected once, with how often and at what distance of numbers and places they stand;
+    expanded() and repeated() write them out.
+    """
+
+    LAST = 2**31 - 1
 
     def __init__(self) -> None:
         self.rows: list[dict] = []
         self.at: tuple[int | None, int | None, int | None] = (None, None, None)
+        self.next = 0
 
     def add(self, kind: str, spans: list[dict] | None = None, **fields: object) -> int:
-        number = len(self.rows)
+        number = self.next
         table, row, col = self.at
         self.rows.append({"block_id": number, "table_id": table, "row": row, "col": col, "kind": kind, "spans": joined_spans(spans or []), **fields})
+        self.next += 1
         return number
 
     def table(self, rows: list[list[dict]], header_rows: int, fill: Callable[[object], None]) -> None:
-        """rows of cells: col_span, row_span and body, which fill() turns into blocks inside the cell."""
+        """rows of cells: col_span, row_span and body, which fill() turns into blocks inside the cell. Optional: times, how often a
+        cell stands side by side, and row_times, in a row's first cell, how often the row does."""
         outer = self.at
         number = self.add("table", header_rows=header_rows)
-        for r, cells in enumerate(rows):
-            for c, cell in enumerate(cells):
+        r = 0
+        for cells in rows:
+            row_times, from_row, row_id, c = cells[0].get("row_times", 1) if cells else 1, len(self.rows), self.next, 0
+            for cell in cells:
+                times, from_cell, cell_id = cell.get("times", 1), len(self.rows), self.next
                 self.at = (number, r, c)
                 self.add("cell", row_span=cell["row_span"], col_span=cell["col_span"])
                 fill(cell["body"])
+                step = self.next - cell_id
+                for own in self.rows[from_cell:] if times > 1 else ():
+                    own |= {"col_times": times, "col_step": step}
+                self.next = cell_id + times * step
+                c += times
+            step = self.next - row_id
+            for own in self.rows[from_row:] if row_times > 1 else ():
+                own |= {"row_times": row_times, "row_step": step}
+            self.next = row_id + row_times * step
+            if self.next > self.LAST:
+                raise ValueError("tooLarge")
+            r += row_times
         self.at = outer
 
 
-def read_with(files: DataFrame, reader: Callable[[bytes], list[dict]]) -> DataFrame:
-    """BLOCK_DDL rows of each file (path, content); a file that can't be read gives one row with its error."""
+REPEATS = ["row_times", "row_step", "col_times", "col_step"]
+
+
+def expanded(rows: list[dict]) -> list[dict]:
+    """All rows that repetitions stand for, in order of their numbers."""
+    out = []
+    for row in rows:
+        own = {k: v for k, v in row.items() if k not in REPEATS}
+        for i in range(row.get("row_times") or 1):
+            for j in range(row.get("col_times") or 1):
+                moved = {"block_id": row["block_id"] + i * row.get("row_step", 0) + j * row.get("col_step", 0)}
+                if i or j:
+                    moved |= {"row": row["row"] + i, "col": row["col"] + j}
+                out.append({**own, **moved})
+    return sorted(out, key=lambda r: r["block_id"])
+
+
+def repeated(blocks: DataFrame) -> DataFrame:
+    """expanded() of a table with the columns REPEATS: repetitions become rows in the JVM, not in a reader's memory."""
+    each = lambda times: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(times), F.lit(1)) - 1))
+    rows = blocks.withColumn("_i", each("row_times")).withColumn("_j", each("col_times"))
+    at = F.col("block_id") + F.col("_i") * F.coalesce("row_step", F.lit(0)) + F.col("_j") * F.coalesce("col_step", F.lit(0))
+    moved = {"block_id": at, "row": F.col("row") + F.col("_i"), "col": F.col("col") + F.col("_j")}
+    return rows.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in blocks.columns if c not in REPEATS])
+
+
+def read_with(files: DataFrame, reader: Callable[[bytes], list[dict]], repeats: bool = False) -> DataFrame:
+    """BLOCK_DDL rows of each file (path, content); a file that can't be read, for whatever reason, gives one row with its error.
+
+    repeats: the reader's rows may have the fields REPEATS.
+    """
+    fields, ints = (FIELDS + REPEATS, _INTS + REPEATS) if repeats else (FIELDS, _INTS)
+
+    def framed(path: str, rows: list[dict]) -> pd.DataFrame:
+        frame = pd.DataFrame([{**dict.fromkeys(fields), **r, "path": path} for r in rows], columns=fields)
+        return frame.astype({c: "Int32" for c in ints}).astype({"width": "float64", "height": "float64"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    rows = reader(bytes(content) if content is not None else b"")
-                except (ValueError, KeyError) as e:
-                    rows = [{"error": getattr(e, "kind", str(e) or type(e).__name__)}]
-                frame = pd.DataFrame([{**dict.fromkeys(FIELDS), **r, "path": path} for r in rows], columns=FIELDS)
-                yield frame.astype({c: "Int32" for c in _INTS}).astype({"width": "float64", "height": "float64"})
-
-    return files.select("path", "content").repartition("path").mapInPandas(run, BLOCK_DDL)
+                    frame = framed(path, reader(bytes(content) if content is not None else b""))
+                except Exception as e:  # damaged files come in every shape; one of them must not end the job
+                    frame = framed(path, [{"error": getattr(e, "kind", None) or (str(e) if isinstance(e, ValueError) else "") or type(e).__name__}])
+                yield frame
+
+    ddl = BLOCK_DDL + "".join(f", {c} int" for c in REPEATS) if repeats else BLOCK_DDL
+    out = files.select("path", "content").mapInPandas(run, ddl)
+    return repeated(out) if repeats else out

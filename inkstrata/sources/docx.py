@@ -10,8 +10,9 @@ from .blocks import Sink, read_with, span
 from .xml import Node, parsed
 
 SKIPPED = {"w:pPr", "w:rPr", "w:del", "w:moveFrom", "w:moveFromRangeStart", "w:moveFromRangeEnd", "w:bookmarkEnd", "w:proofErr", "w:sectPr"}
-# The symbol font's codes with a plain counterpart; all others show as a box.
-SYMBOLS = {"F0A7": "▪", "F0B7": "•", "F0A8": "◻", "F0D8": "➢", "F0FC": "✓", "F0E0": "→", "F06C": "●", "F06E": "■", "F071": "❑", "F076": "❖", "F0FE": "☑"}
+# The Wingdings codes with a plain counterpart; other codes, and all of other fonts, show as a box.
+SYMBOL_FONT = "wingdings"
+SYMBOLS = {"F0FC": "\u2713", "F0FB": "\u2717", "F09F": "\u2022", "F06E": "\u25a0", "F06F": "\u25a1", "F0EF": "\u21e6", "F0F0": "\u21e8", "F0F1": "\u21e7", "F0F2": "\u21e9", "F028": "\U0001f57f", "F02A": "\U0001f582"}
 NOTE_TYPES = {"separator", "continuationSeparator", "continuationNotice"}
 
 
@@ -306,7 +307,7 @@ class Reader:
                 case "w:softHyphen":
                     emit("­")
                 case "w:sym":
-                    emit(SYMBOLS.get((c.get("w:char") or "").upper(), "▯"))
+                    emit(SYMBOLS.get((c.get("w:char") or "").upper(), "▯") if (c.get("w:font") or "").lower() == SYMBOL_FONT else "▯")
                 case "w:footnoteReference" | "w:endnoteReference":
                     kind, key = c.name[2:-9], c.get("w:id") or ""
                     if key in self.notes[kind]:

@@ -5,22 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from .archive import Archive
-from .blocks import Sink, read_with, span
+from .blocks import Sink, expanded, read_with, span
 from .xml import Node, parsed
 
 SKIPPED = {"office:annotation", "text:tracked-changes", "office:forms", "office:scripts", "text:sequence-decls", "text:variable-decls", "text:user-field-decls"}
 MAX_DEPTH = 64
-#: Repetition counts beyond this are cut to it, so that a sheet's filler rows can't fill the memory.
-MAX_REPEAT = 1024
+#: More blanks than this in one place are an error, not a text.
+MAX_BLANKS = 1 << 24
 
 
 def _times(node: Node, name: str) -> int:
     try:
-        return max(1, min(MAX_REPEAT, int(node.get(name, "1") or 1)))
+        return max(1, int(node.get(name, "1") or 1))
     except ValueError:
         return 1
 
 
+def _blanks(node: Node) -> str:
+    n = _times(node, "text:c")
+    if n > MAX_BLANKS:
+        raise ValueError("tooLarge")
+    return " " * n
+
+
 class Reader:
     def __init__(self, data: bytes):
         archive = Archive(data)
@@ -90,9 +97,13 @@ class Reader:
     def list(self, node: Node, level: int, style: str | None) -> None:
         style = node.get("text:style-name") or style
         for item in node.nodes("text:list-item", "text:list-header"):
-            for c in item.nodes("text:p", "text:list"):
+            for c in item.nodes("text:p", "text:h", "text:list", "table:table"):
                 if c.name == "text:p":
                     self.paragraph(c, None, item=(level, style))
+                elif c.name == "text:h":
+                    self.paragraph(c, c.get("text:outline-level", "1"))
+                elif c.name == "table:table":
+                    self.table(c)
                 elif level < MAX_DEPTH:
                     self.list(c, level + 1, style)
 
@@ -137,7 +148,7 @@ class Reader:
                 case "text:a":
                     out += self.spans(c, None, "text", graphics, {**marks, "link": c.get("xlink:href")})
                 case "text:s":
-                    out.append(span(" " * _times(c, "text:c"), **marks))
+                    out.append(span(_blanks(c), **marks))
                 case "text:tab":
                     out.append(span("\t", **marks))
                 case "text:line-break":
@@ -190,9 +201,9 @@ class Reader:
                     cells = []
                     for cell in c.nodes("table:table-cell"):
                         own = {"row_span": _times(cell, "table:number-rows-spanned"), "col_span": _times(cell, "table:number-columns-spanned"), "body": cell}
-                        cells += [own] * _times(cell, "table:number-columns-repeated")
+                        cells.append({**own, "times": _times(cell, "table:number-columns-repeated")})
                     n = _times(c, "table:number-rows-repeated")
-                    rows.extend([cells] * n)
+                    rows.append([{**cell, "row_times": n} for cell in cells])
                     headers += n if header else 0
                 elif c.name in ("table:table-header-rows", "table:table-rows", "table:table-row-group"):
                     walk(c, header or c.name == "table:table-header-rows")
@@ -202,8 +213,9 @@ class Reader:
 
 
 def read(data: bytes) -> list[dict]:
-    return Reader(data).read()
+    """All rows of one document, with its repetitions written out."""
+    return expanded(Reader(data).read())
 
 
 def blocks(files: DataFrame) -> DataFrame:
-    return read_with(files, read)
+    return read_with(files, lambda data: Reader(data).read(), repeats=True)

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-HEAD = 65_536
-
 
 def sniffed(content: Column) -> Column:
     """Kinds that common viewers don't show: WMF, EMF, PCX, SVG, an embedded object; null for all others."""
@@ -53,8 +51,8 @@ def _sized(head: pd.Series) -> pd.DataFrame:
 
 
 def probed(content: Column) -> Column:
-    """The pixel size, from at most the first 64 KiB."""
-    return _sized(F.substring(content, 1, HEAD))
+    """The pixel size of whole contents: a JPEG's size may stand behind segments of any length."""
+    return _sized(content)
 
 
 def data_uri_bytes(uri: Column) -> Column:

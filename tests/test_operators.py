@@ -27,7 +27,9 @@ def test_text_functions(spark):
     assert [tuple(p) for p in one(spark, text.pieces(F.lit("One. 3.14!\nx"), text.SENTENCE_STOP))] == [(0, "One. "), (5, "3."), (7, "14!\nx")]
     assert one(spark, text.math_spans(F.lit("$$\na\nb\n$$\nt\n $$x$$ \n$$\nopen"))) == ["a\nb", "x"]
     assert one(spark, text.autolinks(F.lit("see https://a.b/c?d=1, and /usr/lib/x.so."))) == ["https://a.b/c?d=1", "/usr/lib/x.so"]
-    assert tuple(one(spark, text.image_hint(F.lit("alt|300x200")))) == (300.0, 200.0) and tuple(one(spark, text.image_hint(F.lit("alt|30")))) == (30.0, None)
+    hint = lambda *parts: tuple(one(spark, text.image_hint(*map(F.lit, parts))))
+    assert hint("alt|300x200") == ("alt", 300.0, None, "") and hint("a|b|50%") == ("a|b", None, 0.5, "") and hint("a|b", "{width=30px} x") == ("a|b", 30.0, None, " x")
+    assert tuple(one(spark, text.image_tag(F.lit("<IMG src='u.png' width=40% alt=x>")))) == ("u.png", "x", None, 0.4) and one(spark, text.image_tag(F.lit("<b>"))) is None
     assert one(spark, text.preview_text(F.lit("a\n\n```\ncode\n\nmore"), 12, "…")) == "a…"
     assert one(spark, text.preview_text(F.lit("```\n" + "x" * 50), 20, "…")) == "```\n" + "x" * 16 + "\n```…"
 
@@ -53,7 +55,8 @@ def test_script_ranges():
     table = scripts.ranges()
     assert table[0][0] == 0 and table[-1][1] == scripts.LAST and all(a[1] + 1 == b[0] and a[2] != b[2] for a, b in zip(table, table[1:], strict=False))
     of = lambda c: next(k for a, b, k in table if a <= ord(c) <= b)
-    assert [of(c) for c in "aé가漢かЖ́1Ⅰ"] == ["latin", "latin", "hangul", "han", "kana", "cyrillic", "inherited", "common", "latin"]
+    assert [of(c) for c in "aé가漢かЖ\u03011Ⅰ"] == ["latin", "latin", "hangul", "han", "kana", "other", "extend", "common", "latin"]
+    assert [of(c) for c in "\u094d\u0591\u0e31\u0483"] == ["extend"] * 4 and [of(c) for c in "\ue000\u05d0\u0f40\ua000"] == ["other", "complex", "complex", "eastAsianOther"]
 
 
 def test_counters_restart_below(spark):
