@@ -96,8 +96,8 @@ def parts(files: DataFrame, wanted: list[str] | None = None) -> DataFrame:
                                 rows.append((path, i, name, archive.read(name), None))
                             except ArchiveError as e:
                                 rows.append((path, i, name, None, e.kind))
-                except ArchiveError as e:
-                    rows.append((path, None, None, None, e.kind))
+                except Exception as e:  # a directory may be damaged in any way
+                    rows.append((path, None, None, None, getattr(e, "kind", "truncated")))
                 frame = pd.DataFrame(rows, columns=["path", "ord", "part", "content", "error_kind"])
                 yield frame.assign(ord=frame["ord"].astype("Int32"))
 

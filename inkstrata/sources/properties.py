@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .archive import Archive, ArchiveError
+from .archive import Archive
 from .docx import number
 from .xml import Node, parsed
 
@@ -125,8 +125,8 @@ def properties(files: DataFrame) -> DataFrame:
             for path, ext, content in zip(batch["path"], batch["ext"], batch["content"], strict=True):
                 try:
                     rows = list((open_document if ext == "odt" else word)(bytes(content) if content is not None else b""))
-                except (ArchiveError, ValueError) as e:
-                    rows = [{"error": getattr(e, "kind", str(e))}]
+                except Exception as e:  # as the readers: one damaged file costs only itself
+                    rows = [{"error": getattr(e, "kind", None) or (str(e) if isinstance(e, ValueError) else "") or type(e).__name__}]
                 frame = pd.DataFrame([{**dict.fromkeys(FIELDS), **r, "path": path} for r in rows], columns=FIELDS)
                 yield frame.astype({"number": "Int32", "value": "float64"})
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from inkstrata.plans.catalogue import ORACLE_SQL, QUERIES
+from inkstrata.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
