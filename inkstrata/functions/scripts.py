@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -55,6 +57,31 @@ def ranges() -> list[tuple[int, int, str]]:
     return [(int(a), int(b), names[of[a]]) for a, b in zip(starts, ends, strict=True)]
 
 
+@lru_cache(maxsize=1)
+def _starts() -> list[int]:
+    return [a for a, _, _ in ranges()]
+
+
+def class_of(char: str) -> str:
+    return ranges()[bisect(_starts(), ord(char)) - 1][2]
+
+
+def split(text: str, family: Callable[[str], str | None]) -> list[tuple[str, str | None]]:
+    """(piece, family) of a text: a piece ends where the family changes. A character without one joins the piece in progress, at the
+    beginning the first one behind it; a text without any is one piece without a family."""
+    out: list[tuple[str, str | None]] = []
+    begin, current = 0, None
+    for i, char in enumerate(text):
+        own = family(char)
+        if own is None or own == current:
+            continue
+        if current is not None:
+            out.append((text[begin:i], current))
+            begin = i
+        current = own
+    return [*out, (text[begin:], current)] if text else out
+
+
 def range_table(spark: SparkSession) -> DataFrame:
     """A fixed table of some two thousand rows, whatever the input."""
     return spark.createDataFrame(ranges(), "start int, end int, class string")

@@ -1,5 +1,5 @@
 """All registered queries of the document engine and their SQL."""
 
-from . import catalogue, reader_queries  # noqa: F401  (importing the second registers its queries)
+from . import catalogue, format_queries, reader_queries  # noqa: F401  (importing the others registers their queries)
 
 QUERIES, ORACLE_SQL = catalogue.QUERIES, catalogue.ORACLE_SQL

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from .archive import Archive
 from .docx import number
+from .hwp import running_heads
 from .xml import Node, parsed
 
 DDL = "path string, kind string, id string, author string, date_iso string, text string, number int, applies string, name string, value double, error string"
@@ -118,13 +119,13 @@ def open_document(data: bytes) -> Iterator[dict]:
 
 
 def properties(files: DataFrame) -> DataFrame:
-    """DDL rows of each docx-like or odt file (path, ext, content); a broken file gives one row with its error."""
+    """DDL rows of each office file (path, ext, content); a broken file gives one row with its error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, ext, content in zip(batch["path"], batch["ext"], batch["content"], strict=True):
                 try:
-                    rows = list((open_document if ext == "odt" else word)(bytes(content) if content is not None else b""))
+                    rows = list({"odt": open_document, "hwp": running_heads, "hwpx": running_heads}.get(ext, word)(bytes(content) if content is not None else b""))
                 except Exception as e:  # as the readers: one damaged file costs only itself
                     rows = [{"error": getattr(e, "kind", None) or (str(e) if isinstance(e, ValueError) else "") or type(e).__name__}]
                 frame = pd.DataFrame([{**dict.fromkeys(FIELDS), **r, "path": path} for r in rows], columns=FIELDS)
