@@ -66,6 +66,13 @@ def class_of(char: str) -> str:
     return ranges()[bisect(_starts(), ord(char)) - 1][2]
 
 
+@lru_cache(maxsize=1 << 16)
+def firm_class(char: str) -> str | None:
+    """The class of a character that doesn't absorb."""
+    name = class_of(char)
+    return None if name in ABSORBING else name
+
+
 def split(text: str, family: Callable[[str], str | None]) -> list[tuple[str, str | None]]:
     """(piece, family) of a text: a piece ends where the family changes. A character without one joins the piece in progress, at the
     beginning the first one behind it; a text without any is one piece without a family."""

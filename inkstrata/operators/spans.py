@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.scripts import firm_class, split
 from ..functions.text import inline_markdown
 
 
@@ -39,6 +44,25 @@ def filled_runs(chars: DataFrame, part: list[str], order: str, value: str, text:
     return runs.groupBy(*part, "island").agg(F.min(order).alias(order), F.first(value).alias(value), joined.alias(text)).drop("island")
 
 
+def script_pieces(rows: DataFrame, text: str) -> DataFrame:
+    """rows' other columns, n, class and piece: each text cut where the script class of its characters changes, in one pass over it."""
+    own = [f for f in rows.schema.fields if f.name != text]
+    schema = T.StructType([*own, T.StructField("n", T.IntegerType()), T.StructField("class", T.StringType()), T.StructField("piece", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, found = [], []
+            for i, value in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                cut = split(value, firm_class) if value else []
+                places += [i] * len(cut)
+                found += [(n, name, piece) for n, (piece, name) in enumerate(cut)]
+            kept = [batch.column(k).take(pa.array(places, pa.int64())) for k in range(len(own))]
+            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int32(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*kept, *columns], names=[f.name for f in schema.fields])
+
+    return rows.select(*[f.name for f in own], text).mapInArrow(run, schema)
+
+
 def block_inline(spans: DataFrame, part: list[str], order: str, in_cell: bool = False) -> DataFrame:
     """Inline Markdown per block: spans equal in what Markdown can express are merged first, then marked up and joined."""
     merged = coalesced(spans, part, order, ["code", "bold", "italic", "strikethrough", "link"])

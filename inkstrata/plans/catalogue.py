@@ -164,11 +164,15 @@ def new_artifact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT doc_id, text, substring(text, 1, 2000) AS cut FROM documents)
-SELECT doc_id, CASE WHEN length(text) <= 2000 THEN text ELSE cut || chr(10) || chr(10) || '[preview ends here]' END AS preview FROM c
+WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '```' || chr(10) || text ELSE replace(text, '. ', '.' || chr(10) || chr(10)) END AS text FROM documents),
+c AS (SELECT doc_id, text, substring(text, 1, 2000) AS cut FROM t), b AS (SELECT *, string_split(cut, chr(10) || chr(10)) AS parts FROM c),
+k AS (SELECT *, CASE WHEN len(parts) > 1 AND array_to_string(parts[:-2], chr(10) || chr(10)) <> '' THEN array_to_string(parts[:-2], chr(10) || chr(10)) ELSE cut END AS kept FROM b)
+SELECT doc_id, CASE WHEN length(text) <= 2000 THEN text ELSE kept || CASE WHEN (len(string_split(kept, '```')) - 1) % 2 = 1 THEN chr(10) || '```' ELSE '' END || chr(10) || chr(10) || '[preview ends here]' END AS preview FROM k
 """)
 def preview_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "documents").select("doc_id", text.preview_text(F.col("text"), 2000).alias("preview"))
+    """Texts cut for a preview: back to a blank line if there is one, an open fence closed."""
+    own = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("```\n"), "text")).otherwise(F.replace("text", F.lit(". "), F.lit(".\n\n")))
+    return t(spark, sf_dir, "documents").select("doc_id", text.preview_text(own, 2000).alias("preview"))
 
 
 # --- numbers and units ----------------------------------------------------------------------------------------------
@@ -368,6 +372,19 @@ def script_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.filled_runs(rows, ["p_partkey"], "pos", "class", "ch")
 
 
+@query(f"""
+WITH r(a, class) AS (VALUES {", ".join(f"({a}, '{c}')" for a, _, c in scripts.ranges())}), c AS (SELECT conv_id, turn, unnest(range(1, length(text) + 1)) AS pos, text FROM (SELECT conv_id, turn, text || ' 한글(ㄱ) 漢字カナ ' || turn AS text FROM conversations)),
+k AS (SELECT conv_id, turn, pos, substring(text, pos, 1) AS ch, unicode(substring(text, pos, 1)) AS cp FROM c), s AS (SELECT k.*, CASE WHEN class NOT IN ('common', 'inherited', 'extend') THEN class END AS class FROM k ASOF JOIN r ON k.cp >= r.a),
+f AS (SELECT *, coalesce(last_value(class IGNORE NULLS) OVER (PARTITION BY conv_id, turn ORDER BY pos), first_value(class IGNORE NULLS) OVER (PARTITION BY conv_id, turn ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS run FROM s),
+i AS (SELECT *, CASE WHEN run = lag(run) OVER w THEN 0 ELSE 1 END AS starts FROM f WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos)), n AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS island FROM i)
+SELECT conv_id, turn, CAST(island - 1 AS INTEGER) AS n, run AS class, CAST(length(string_agg(ch, '' ORDER BY pos)) AS INTEGER) AS len, string_agg(ch, '' ORDER BY pos) AS piece FROM n GROUP BY 1, 2, 3, 4
+""")
+def unicode_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut where the script class changes; what absorbs never begins a piece."""
+    rows = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" 한글(ㄱ) 漢字カナ "), F.col("turn").cast("string")).alias("text"))
+    return spans.script_pieces(rows, "text").select("conv_id", "turn", "n", "class", F.length("piece").alias("len"), "piece")
+
+
 # --- counters and numbering -----------------------------------------------------------------------------------------
 
 
