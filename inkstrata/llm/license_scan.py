@@ -163,19 +163,20 @@ def scan(text: str | None, index: Index, min_percent: int = MIN_PERCENT, min_tok
     kept = np.nonzero(index.hashes[at] == h)[0] if len(index.hashes) else at[:0]
     if not len(kept):
         return []
-    votes: dict[tuple[int, int], int] = {}
+    votes: dict[tuple[int, int], list[int]] = {}  # places of the hits
     for p in kept.tolist():
         a, b = np.searchsorted(index.hashes, h[p]), np.searchsorted(index.hashes, h[p], "right")
         for r in range(a, b):
             key = int(index.owner[r]), (p - int(index.place[r])) // BAND
-            votes[key] = votes.get(key, 0) + 1
+            votes.setdefault(key, []).append(p)
     _, spans = token_spans(text)
     found: list[dict] = []
     free: dict[int, np.ndarray] = {}  # per template, the document's tokens that none of its matches has used
-    for (owner, group), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
+    for (owner, group), hits in sorted(votes.items(), key=lambda v: (-len(v[1]), v[0])):
         template, own = index.codes[owner], free.setdefault(owner, codes.copy())
         need = 100 if len(template) < SHORT else min_percent
-        while True:  # a notice may stand several times along one band of diagonals
+        # a notice may stand several times along one band of diagonals: as often as fingerprints are left that no match has used
+        while any(own[p] != USED and own[p + K - 1] != USED for p in hits):
             middle = group * BAND + BAND // 2
             for _ in range(2):  # the second time around the match that was found, which may lie at the band's edge
                 first = max(0, middle - BAND)
