@@ -143,6 +143,19 @@ def hash_of(word: bytes) -> int:
     return int(word_hashes(np.frombuffer(word, np.uint8)).view(np.int64)[0])
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Sorted numbers of 48 bits as differences, byte by byte of all, so that the leading bytes compress away."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(6, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :6] = planes.T
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def raw_text(text: str | None, lower: bool = True) -> np.ndarray:
     """A text as bytes, with A-Z in lower case (bytes.lower() touches nothing else)."""
     raw = (text or "").encode("utf-8", "surrogatepass")

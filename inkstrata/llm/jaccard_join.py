@@ -1,6 +1,10 @@
 """Exact Jaccard self-join of word-shingle sets, with set-relation skipping; links become components.
 
-Index. A set is sorted by shingle hash, and so cut by position into blocks: hash ranges whose number follows from the set's size,
+Screen. Blocks of documents send their shingles, each once a block, in sorted order and packed, to buckets of the inverted index. A bucket answers
+how many of each document's shingles stand in some other document. A linked set has percent of its shingles or more in one other, so
+documents below that are linked with nothing: most of a corpus, whatever passages it shares, is skipped here.
+
+Index. A set of the others is sorted by shingle hash, and so cut by position into blocks: hash ranges whose number follows from the set's size,
 so that linked sets agree on more blocks than they can differ on. Lists of the inverted index are keyed by (size class, block, block
 content): sets that share single shingles or a common passage, but no whole block, are skipped block by block and never
 meet. Sets of fewer than about 19 shingles are keyed by what is left without one shingle, as they may differ in one at most.
@@ -10,6 +14,8 @@ of bounded blocks: a set similar to a pivot takes the pivot's component as its a
 distance, only members of clusters near enough are ever compared with each other, and only until one link joins them. Larger
 components pass their blocks' pivots, with the radius of what they stand for, to further rounds; cluster pairs that stay
 in doubt are compared member by member, in blocks. All links that decide a component are checked on the whole sets.
+Where links are to be counted, each set's overlaps with its component come from inverted lists that are skipped by position to the sizes that
+can link, and are derived from the overlaps of a highly similar set that was answered before, by the lists of their differences only.
 
 Shingles are compared by 64-bit hashes, sets by 128-bit digests. Defined results: null and wordless texts have no set and link with
 nothing (component: the row's own id). Rows with equal ids are separate members. Null ids count for links, never as a component's
@@ -23,17 +29,19 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import arrow_batch, arrow_rows, lean, mix64, passing, raw_text, stored, word_hashes
-from .components import components
+from ._util import arrow_batch, arrow_rows, lean, mix64, packed, passing, raw_text, stored, unpacked, word_hashes
+from .components import HOT_KEYS, components
 
 WIDTH = 3
-#: Groups with more than this share of all rows get their answer without a shuffle.
-HOT_GROUPS = 2000
+#: Text of the corpus per bucket of shingles in bytes, shingles of a block that are screened at once, and documents of a block at most.
+BUCKET_BYTES, SCREEN_SHINGLES, OWNERS = 4_000_000, 1_000_000, (1 << 16) - 1
 PERCENT = 90
 #: Bounds of a comparing task: sets, and shingles in all.
 BLOCK_SETS, BLOCK_SHINGLES = 4000, 1 << 20
@@ -115,27 +123,116 @@ def index_keys(own: np.ndarray, classes: Classes) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-DOC = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("keys", pa.list_(pa.int64()))])
-DOC_DDL = "doc_id bigint, n_shingles bigint, hi bigint, lo bigint, keys array<bigint>"
+MESSAGE = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), *[(n, pa.binary()) for n in ("sizes", "his", "los", "shared", "keys", "owners")]])
+MESSAGE_DDL = "bucket bigint, block bigint, ids array<bigint>, sizes binary, his binary, los binary, shared binary, keys binary, owners binary"
+ROW_DDL = "doc_id bigint, n_shingles bigint, hi bigint, lo bigint, shared bigint"
 SET = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("own", pa.binary())])
 LINK = pa.schema([("kind", pa.string()), ("comp", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("radius", pa.float64()), ("own", pa.binary())])
 LINK_DDL = "kind string, comp bigint, a bigint, b bigint, radius double, own binary"
 
 
-def indexed(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """DOC rows: size, digest and index keys of each document's set."""
+class Screen:
+    """Collects a task's documents into blocks of bounded size, and tells buckets of shingles which of them a block holds."""
+
+    def __init__(self, width: int, n_buckets: int, part: int, block_shingles: int):
+        self.width, self.n_buckets, self.room, self.block = width, n_buckets, block_shingles, part << 32
+        self.ids: list[int | None] = []
+        self.sets: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, doc_id: int | None, text: str | None) -> Iterator[pa.RecordBatch]:
+        self.ids.append(doc_id)
+        self.sets.append(shingle_set(text, self.width))
+        self.held += len(self.sets[-1])
+        if self.held >= self.room or len(self.ids) == OWNERS:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        sizes = np.array([len(x) for x in self.sets], np.int64)
+        every = np.concatenate([np.zeros(0, np.uint64), *self.sets]) >> np.uint64(16)
+        owners = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+        order = np.argsort(every, kind="stable")
+        every, owners = every[order], owners[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(every)), bool), every[1:] != every[:-1])))
+        times = np.diff(np.append(first, len(every)))
+        # a shingle of several documents of this block is known to be shared; it is sent once, without an owner
+        shared = np.bincount(owners[np.repeat(times > 1, times)], minlength=len(sizes)).astype(np.int64)
+        keys, own = every[first], np.where(times > 1, np.uint16(OWNERS), owners[first])
+        digests = np.array([digest(x) for x in self.sets], np.int64).reshape(-1, 2)
+        rows = [(self.block % self.n_buckets, self.block, self.ids, sizes.tobytes(), digests[:, 0].tobytes(), digests[:, 1].tobytes(), shared.tobytes(), None, None)]
+        ends = np.searchsorted(((keys >> np.uint64(16)) * np.uint64(self.n_buckets)) >> np.uint64(32), np.arange(self.n_buckets + 1, dtype=np.uint64))
+        for bucket in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+            cut = slice(ends[bucket], ends[bucket + 1])
+            rows.append((bucket, self.block, *[None] * 5, packed(keys[cut]), own[cut].tobytes()))
+        yield arrow_batch(MESSAGE, list(zip(*rows, strict=True)))
+        self.ids, self.sets, self.held, self.block = [], [], 0, self.block + 1
+
+
+def _answered(rows: pd.DataFrame) -> pd.DataFrame:
+    """MESSAGE rows for a bucket's shingles: per block, how many of each of its documents' stand in another block as well. Rows of documents pass."""
+    mine = rows["keys"].notna()
+    docs, asked = rows[~mine], rows[mine]
+    if not len(asked):
+        return docs
+    keys, owners = [unpacked(x) for x in asked["keys"]], [np.frombuffer(x, np.uint16) for x in asked["owners"]]
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    ranked = every[order]
+    first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    times = np.diff(np.append(first, len(ranked)))
+    shared = np.empty(len(every), bool)
+    shared[order] = np.repeat(times > 1, times)
+    out = []
+    for block, own, hit in zip(asked["block"], owners, np.split(shared, np.cumsum([len(x) for x in keys])[:-1]), strict=True):
+        if len(found := own[hit & (own != OWNERS)]):
+            out.append((asked["bucket"].iloc[0], block, None, None, None, None, np.bincount(found).astype(np.int64).tobytes(), None, None))
+    return pd.DataFrame([*docs.itertuples(index=False, name=None), *out], columns=MESSAGE.names)
+
+
+def _rows_of(rows: pd.DataFrame) -> pd.DataFrame:
+    """The documents of a block, with the sums of all buckets' answers."""
+    mine = rows["ids"].notna()
+    own = rows[mine].iloc[0]
+    sizes, his, los, shared = (np.frombuffer(own[n], np.int64) for n in ("sizes", "his", "los", "shared"))
+    shared = shared.copy()
+    for raw in rows[~mine]["shared"]:
+        found = np.frombuffer(raw, np.int64)
+        shared[: len(found)] += found
+    ids = pd.array([None if pd.isna(x) else int(x) for x in own["ids"]], "Int64")
+    return pd.DataFrame({"doc_id": ids, "n_shingles": sizes, "hi": his, "lo": los, "shared": shared})
+
+
+def screened(docs: DataFrame, width: int, bucket_bytes: int = BUCKET_BYTES, block_shingles: int = SCREEN_SHINGLES) -> DataFrame:
+    """ROW_DDL of each document: size and digest of its set, and how many of its shingles another document has, too."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_buckets = max(1, -(-size // bucket_bytes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        screen = Screen(width, n_buckets, TaskContext.get().partitionId(), block_shingles)
+        for batch in batches:
+            for doc_id, text in arrow_rows(batch, "doc_id", "text"):
+                yield from screen.add(doc_id, text)
+        if screen.ids:
+            yield from screen.flush()
+
+    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), MESSAGE_DDL)
+    # several buckets to a partition: their hashes would deal one each unevenly
+    answered = sent.repartition(max(1, n_buckets // 8), "bucket").groupBy("bucket").applyInPandas(_answered, MESSAGE_DDL)
+    return answered.groupBy("block").applyInPandas(_rows_of, ROW_DDL)
+
+
+def keyed(sets: DataFrame, percent: int) -> DataFrame:
+    """(lo, keys) of each set: the index lists that it stands in."""
+    schema = pa.schema([("lo", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(percent)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                rows = []
-                for doc_id, text in arrow_rows(batch.slice(at, 1024), "doc_id", "text"):
-                    own = shingle_set(text, width)
-                    rows.append((doc_id, len(own), *digest(own), index_keys(own, classes) if len(own) else []))
-                yield arrow_batch(DOC, list(zip(*rows, strict=True)))
+            for at in range(0, batch.num_rows, 256):
+                rows = [(lo, index_keys(np.frombuffer(own, np.uint64), classes)) for lo, own in arrow_rows(batch.slice(at, 256), "lo", "own")]
+                yield arrow_batch(schema, list(zip(*rows, strict=True)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), DOC_DDL)
+    return sets.select("lo", "own").mapInArrow(lean(run), "lo bigint, keys array<bigint>")
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
@@ -182,24 +279,105 @@ class Union:
         self.up[self.root(a)] = self.root(b)
 
 
+class Lists:
+    """The inverted index of some sets, by size: for each shingle the sorted positions of the sets that hold it, so that a query skips in
+    each list to the positions of sizes that it can link with."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.percent, self.order = percent, np.argsort([len(x) for x in sets], kind="stable")
+        self.sizes = np.array([len(sets[i]) for i in self.order], np.int64)
+        every = np.concatenate([sets[i] for i in self.order])
+        at = np.repeat(np.arange(len(sets)), self.sizes)
+        self.shingles, rank = np.unique(every, return_inverse=True)
+        self.n = len(sets)
+        self.places = np.sort(rank * self.n + at)
+
+    def reach(self, size: int, times: int = 1) -> tuple[int, int]:
+        """The positions of sets that may link with one of a size (times: with one that links with one that may, and so on)."""
+        low, high = float(size), float(size)
+        for _ in range(times):
+            low, high = low * self.percent / 100, high * 100 / self.percent
+        return int(np.searchsorted(self.sizes, low - 1e-6)), int(np.searchsorted(self.sizes, high + 1e-6, "right"))
+
+    def overlaps(self, shingles: np.ndarray, low: int, high: int) -> np.ndarray:
+        """How many of the shingles each set at the positions holds."""
+        rank = np.searchsorted(self.shingles, shingles)
+        rank = rank[(rank < len(self.shingles)) & (self.shingles[np.minimum(rank, len(self.shingles) - 1)] == shingles)]
+        start, end = np.searchsorted(self.places, rank * self.n + low), np.searchsorted(self.places, rank * self.n + high)
+        length = end - start
+        if not length.sum():
+            return np.zeros(high - low, np.int64)
+        at = np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+        return np.bincount(self.places[at] % self.n - low, minlength=high - low)
+
+
+#: Answered sets that are kept for others to derive theirs from.
+REFERENCES = 8
+
+
+class Answers:
+    """Overlaps of sets with all sets in some lists.
+
+    They are derived from those of the most similar set that was answered: less the lists of what only that one holds, plus the lists of
+    what only this one does. Without a similar one all of a set's lists are read.
+    """
+
+    def __init__(self, lists: Lists):
+        self.lists = lists
+        self.kept: list[tuple[np.ndarray, int, int, np.ndarray]] = []
+
+    def overlaps(self, own: np.ndarray, low: int, high: int, wide: tuple[int, int]) -> np.ndarray:
+        """With the sets at positions low to high; wide: the positions that are answered if all lists are read."""
+        common = [overlap(own, k[0]) for k in self.kept]
+        near = max(range(len(common)), key=lambda i: common[i] / max(len(own), len(self.kept[i][0])), default=None)
+        if near is not None:
+            other, from_, to, every = self.kept[near]
+            if from_ <= low and high <= to and 2 * common[near] > len(other) + len(own) // 2:
+                gone, new = np.setdiff1d(other, own, assume_unique=True), np.setdiff1d(own, other, assume_unique=True)
+                return every[low - from_ : high - from_] - self.lists.overlaps(gone, low, high) + self.lists.overlaps(new, low, high)
+        every = self.lists.overlaps(own, *wide)
+        self.kept = [*self.kept[1 - REFERENCES :], (own, *wide, every)]
+        return every[low - wide[0] : high - wide[0]]
+
+
+def answers(queries: list[np.ndarray], lists: Lists) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, positions of the sets in lists that it links with) for each query."""
+    known = Answers(lists)
+    for q in sorted(range(len(queries)), key=lambda q: len(queries[q])):
+        own = queries[q]
+        low, high = lists.reach(len(own))
+        both = known.overlaps(own, low, high, lists.reach(len(own), 2))
+        yield q, low + np.flatnonzero((both > 0) & (100 * both >= lists.percent * (len(own) + lists.sizes[low:high] - both)))
+
+
 def pivoted(ids: list[int], sets: list[np.ndarray], radii: list[float], percent: int) -> tuple[list[tuple[int, int]], list[dict], dict[tuple[int, int], float]]:
-    """Clusters around pivots: links (member, pivot), pivots (id, set, radius, members with their distance), and pivot distances.
+    """Clusters around pivots: links (member, pivot), pivots (id, set, radius, members with their distance), and the distances of pivots that
+    are near enough for their clusters to hold linked members.
 
     Every set is a pivot, or linked with the one whose members it joins.
     """
     links, pivots, between = [], [], {}
+    lists = Lists(sets, percent)
+    known, place = Answers(lists), np.empty(len(sets), np.int64)
+    place[lists.order] = np.arange(len(sets))
+    most = 1 - percent / 100 + 1e-9
+    reach = 3 * most + 2 * max(radii, default=0.0)  # a member is as far as most from its pivot, and may stand for others
+    at, n = np.empty(len(sets), np.int64), 0
     for i in sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i])):
-        far = []
-        for k, p in enumerate(pivots):
-            far.append(distance(sets[i], p["own"]))
-            if linked(sets[i], p["own"], percent):
-                links.append((ids[i], p["id"]))
-                p["members"].append((i, far[-1]))
-                p["radius"] = max(p["radius"], far[-1] + radii[i])
-                break
+        own = sets[i]
+        both = known.overlaps(own, 0, len(sets), (0, len(sets)))[at[:n]]
+        union = len(own) + lists.sizes[at[:n]] - both
+        hit, far = 100 * both >= percent * union, 1.0 - both / union
+        if hit.any():
+            p = pivots[k := int(np.argmax(hit))]
+            links.append((ids[i], p["id"]))
+            p["members"].append((i, float(far[k])))
+            p["radius"] = max(p["radius"], float(far[k]) + radii[i])
         else:
-            between |= {(k, len(pivots)): d for k, d in enumerate(far)}
-            pivots.append({"id": ids[i], "own": sets[i], "radius": radii[i], "members": [(i, 0.0)]})
+            between |= {(k, n): float(far[k]) for k in np.flatnonzero(far <= reach).tolist()}
+            pivots.append({"id": ids[i], "own": own, "radius": radii[i], "members": [(i, 0.0)]})
+            at[n] = place[i]
+            n += 1
     return links, pivots, between
 
 
@@ -289,18 +467,21 @@ def decided(sets: DataFrame, percent: int, parts: int, block_sets: int = BLOCK_S
 
     def met_blocks(key: tuple, rows: list[dict]) -> list[tuple]:
         comp, i, j = key
-        each = list(zip(rows, _arrays(rows), strict=True))
-        left, right = ([(r, x) for r, x in each if r["block"] == b] for b in (i, j))
+        left, right = ([r for r in rows if r["block"] == b] for b in (i, j))
+        if not left or not right:
+            return []
         most, out = 1 - percent / 100 + 1e-9, []
-        for n, (r, x) in enumerate(left):
-            for q, y in left[:n] if i == j else right:
-                reach = most + r["radius"] + q["radius"]
-                if 1 - min(len(x), len(y)) / max(len(x), len(y)) > reach:
-                    continue
-                if linked(x, y, percent):
-                    out.append(("link", comp, r["lo"], q["lo"], None, None))
-                elif distance(x, y) <= reach:
-                    out.append(("doubt", comp, r["lo"], q["lo"], None, None))
+        lists = Lists(_arrays(right), percent)
+        known, ids = Answers(lists), np.array([right[k]["lo"] for k in lists.order], np.int64)
+        radii = np.array([right[k]["radius"] for k in lists.order])
+        for r, x in zip(left, _arrays(left), strict=True):
+            both = known.overlaps(x, 0, lists.n, (0, lists.n))
+            union = len(x) + lists.sizes - both
+            once = ids < r["lo"] if i == j else np.ones(lists.n, bool)
+            hit = once & (100 * both >= percent * union)
+            near = once & ~hit & (1.0 - both / union <= most + r["radius"] + radii)
+            out += [("link", comp, r["lo"], q, None, None) for q in ids[hit].tolist()]
+            out += [("doubt", comp, r["lo"], q, None, None) for q in ids[near].tolist()]
         return out
 
     first = stored(blocks(sets), "jaccard-blocks")
@@ -351,25 +532,56 @@ def _doubts(sets: DataFrame, links: DataFrame, doubts: DataFrame, percent: int,
     return _grouped(left.unionByName(right), ["p", "q", "i", "j"], cross, parts).select("a", "b")
 
 
-def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def link_counts(sets: DataFrame, percent: int, parts: int, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """(lo, n_links) for sets (comp, lo, own, weight): the weights of the other sets of its component that each links with.
+
+    A component's blocks meet in pairs; only counts leave a task.
+    """
+    sizes = sets.groupBy("comp").agg(F.ceil(F.count("*") / block_sets).alias("n_blocks")).withColumnRenamed("comp", "c")
+    joined = sets.join(sizes, F.col("comp") == F.col("c")).drop("c").withColumn("block", F.pmod(F.xxhash64("lo"), F.col("n_blocks")))
+    met = joined.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks").cast("long") - 1)))
+    met = met.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "lo", "own", "weight")
+
+    def count(key: tuple, rows: list[dict]) -> list[tuple]:
+        comp, i, j = key
+        sides = [[r for r in rows if r["block"] == b] for b in ((i,) if i == j else (i, j))]
+        out = []
+        for mine, others in zip(sides, sides[::-1], strict=True):
+            if not mine or not others:
+                continue
+            lists = Lists(_arrays(others), percent)
+            weights, ids = (np.array([others[k][n] for k in lists.order], np.int64) for n in ("weight", "lo"))
+            for q, hits in answers(_arrays(mine), lists):
+                n = int(weights[hits].sum() - weights[hits][ids[hits] == mine[q]["lo"]].sum())
+                if n:
+                    out.append(("count", comp, mine[q]["lo"], n, None, None))
+        return out
+
+    counted = _grouped(met, ["comp", "i", "j"], count, parts)
+    return counted.groupBy(F.col("a").alias("lo")).agg(F.sum("b").alias("n_links"))
+
+
+def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES, links: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, hi and lo (the set's digest), g1 and g2 (the component, whose id others may share where ids
-    repeat), for every row of docs."""
+    repeat), for every row of docs; with links also n_links, with how many other rows each is linked."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = stored(indexed(docs, width, percent), "jaccard-index")
-    lists = rows.select(F.explode("keys").alias("key"), "lo")
+    rows = stored(screened(docs, width), "jaccard-rows")
+    # a linked set shares this many of its shingles with one other, so at least as many with any
+    near = rows.where(F.col("n_shingles") > 0).where(F.col("shared") * 100 >= F.col("n_shingles") * percent)
+    # of equal sets, one document brings its text
+    some = near.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"))
+    some = stored(some.where("doc_id is not null").select("doc_id").distinct(), "jaccard-texts")
+    texts = docs.select("doc_id", "text").join(some, "doc_id", "left_semi").unionByName(docs.select("doc_id", "text").where("doc_id is null"))
+    whole = stored(sets_of(texts, width).where(F.octet_length("own") > 0).dropDuplicates(["hi", "lo"]), "jaccard-sets")
+    lists = stored(keyed(whole, percent), "jaccard-index").select(F.explode("keys").alias("key"), "lo")
     shared = lists.groupBy("key").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).where("least <> most").select(F.col("key").alias("k"), "least")
     shared = stored(shared, "jaccard-lists")
     edges = lists.join(shared, lists["key"] == F.col("k")).select("lo", "least")
     candidates = stored(components(edges, "lo", "least"), "jaccard-candidates")
-    # of equal sets, one document brings its text
-    some = rows.join(candidates.select(F.col("node").alias("lo")), "lo", "left_semi").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"))
-    some = stored(some.where("doc_id is not null").select("doc_id").distinct(), "jaccard-texts")
-    texts = docs.select("doc_id", "text").join(some, "doc_id", "left_semi").unionByName(docs.select("doc_id", "text").where("doc_id is null"))
-    sets = sets_of(texts, width).dropDuplicates(["hi", "lo"])
-    sets = sets.join(candidates.select(F.col("node").alias("lo"), F.col("root").alias("comp")), "lo").select("comp", "lo", "own")
-    links = decided(sets, percent, parts, block_sets, block_shingles)
-    roots = components(links, "a", "b").select(F.col("node").alias("r_lo"), "root")
+    sets = whole.join(candidates.select(F.col("node").alias("c_lo"), F.col("root").alias("comp")), F.col("lo") == F.col("c_lo")).select("comp", "lo", "own")
+    found = decided(sets, percent, parts, block_sets, block_shingles)
+    roots = stored(components(found, "a", "b").select(F.col("node").alias("r_lo"), "root"), "jaccard-roots")
     filled = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "hi", "lo")
     filled = filled.join(roots, filled["lo"] == F.col("r_lo"), "left")
     filled = filled.select("doc_id", "n_shingles", "hi", "lo", F.when(F.col("root").isNull(), F.col("hi")).otherwise(F.lit(0)).alias("g1"), F.coalesce("root", "lo").alias("g2"))
@@ -378,14 +590,27 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block_se
     least = stored(least, "jaccard-least")
     same = lambda of: (F.col("g1") == of["h1"]) & (F.col("g2") == of["h2"])
     # a group of more than one in HOT_GROUPS of all rows would fill a task of the join by itself; there are fewer than HOT_GROUPS of those
-    hot = F.col("n") * HOT_GROUPS > F.lit(filled.count())
+    # a group of more than one in HOT_KEYS of all rows would fill a task of the join by itself; there are fewer than HOT_KEYS of those
+    hot = F.col("n") * HOT_KEYS > F.lit(filled.count())
     large, other = least.where(hot).drop("n"), least.where(~hot).drop("n")
     want = ["doc_id", "n_shingles", "component_id", "hi", "lo", "g1", "g2"]
     named = filled.join(F.broadcast(large), same(large)).select(*want)
     rest = filled.join(F.broadcast(large), same(large), "left_anti")
     named = named.unionByName(rest.join(other, same(other)).select(*want))
     empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "hi", "lo", F.lit(None).cast("long").alias("g1"), F.lit(None).cast("long").alias("g2"))
-    return named.unionByName(empty)
+    if not links:
+        return named.unionByName(empty)
+    copies = stored(near.groupBy("hi", "lo").agg(F.count("*").alias("weight")), "jaccard-copies")
+    linked = whole.join(roots, F.col("lo") == F.col("r_lo")).select(F.col("root").alias("comp"), "hi", "lo", "own").join(copies, ["hi", "lo"]).select("comp", "lo", "own", "weight")
+    others = link_counts(linked, percent, parts, block_sets)
+    counts = copies.join(others, "lo", "left").select(F.col("lo").alias("c_lo"), F.col("weight").alias("n"), (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links")).where("n_links > 0")
+    counts = stored(counts, "jaccard-links-per-set")
+    hot = F.col("n") * HOT_KEYS > F.lit(filled.count())
+    large, other = counts.where(hot).drop("n"), counts.where(~hot).drop("n")
+    at_once = named.join(F.broadcast(large), F.col("lo") == F.col("c_lo"))
+    rest = named.join(F.broadcast(large.select("c_lo")), F.col("lo") == F.col("c_lo"), "left_anti").join(other, F.col("lo") == F.col("c_lo"), "left")
+    counted = at_once.unionByName(rest).drop("c_lo").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+    return counted.unionByName(empty.withColumn("n_links", F.lit(0).cast("long")))
 
 
 def _with_set(docs: DataFrame, width: int) -> DataFrame:

@@ -192,6 +192,30 @@ def test_packing(spark):
     assert packing.pack(documents(spark, []), tokenizer_path()).count() == 0
 
 
+def test_packing_handles_very_long_texts_and_other_columns(spark):
+    from tokenizers import Tokenizer
+
+    text = "long words, " * 200_000  # beyond the bytes that are encoded at once
+    docs = documents(spark, [(1, text, "s"), (2, None, None)]).withColumns({"start": F.lit("x"), "length": F.lit(1), "place": F.lit(2), "crcs": F.lit(3)})
+    got = packing.pack(docs, tokenizer_path()).collect()
+    ids = np.array([*Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids, 2], "<u4")
+    own = sorted((r.start, r.length, r.ids_crc32) for r in got if r.doc_id == 1)
+    assert [a for a, _, _ in own] == np.cumsum([0, *(n for _, n, _ in own)])[:-1].tolist() and sum(n for _, n, _ in own) == len(ids)
+    assert all(zlib.crc32(ids[a : a + n].tobytes()) == c for a, n, c in own) and [r.length for r in got if r.doc_id == 2] == [1]
+
+
+@pytest.mark.parametrize("n", [1_000, 10_000])
+def test_patterns_carry_most_items(n):
+    rng = np.random.default_rng(n)
+    rest = np.sort(np.clip(rng.lognormal(5.5, 1.1, n), 1, 4095).astype(np.int64))[::-1].copy()
+    kinds = -(-rest // packing.UNIT)
+    sizes, demand = np.unique(kinds, return_counts=True)
+    patterns, uses = packing.cutting_stock(sizes, demand.astype(float), 4096 // packing.UNIT)
+    bins, _ = packing.pack_group(rest, np.zeros(n, bool), sizes, patterns, uses, 4096, packing.UNIT)
+    assert sorted(i for b in bins for i in b) == list(range(n)) and all(rest[b].sum() <= 4096 for b in bins)
+    assert len(bins) <= 1.02 * np.ceil(rest.sum() / 4096) + 2
+
+
 def test_cutting_stock_reaches_the_bound():
     sizes, demand = np.array([3, 5, 7, 12]), np.array([40.0, 33.0, 21.0, 10.0])
     patterns, uses = packing.cutting_stock(sizes, demand, 16)
@@ -289,3 +313,48 @@ def test_search_skips_cells_that_no_query_needs(spark):
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in kdtree_search.top_k(vectors, "vec_id % 50 = 0", 5, 60, 4, 40).collect()}
     want = {(q, r + 1): (i, -s) for q in range(0, len(whole), 50) for r, (s, i) in enumerate(sorted((-int(whole[q] @ x), i) for i, x in enumerate(whole) if i != q)[:5])}
     assert got == want
+
+
+@pytest.mark.parametrize("percent,block", [(90, 4000), (80, 5), (60, 7)])
+def test_links_are_counted(spark, percent, block):
+    rows = [*near_copies(percent + 1), *near_copies(percent + 1, groups=2, copies=5), (-1, None, "a"), (-2, "lone words here", "a"), (None, "lone words here", "a")]
+    rows = [(i if doc is not None else None, t, s) for i, (doc, t, s) in enumerate(rows)]
+    sets = [shingles(t) for _, t, _ in rows]
+    want = [sum(1 for j, b in enumerate(sets) if i != j and a and 100 * len(a & b) >= percent * len(a | b)) for i, a in enumerate(sets)]
+    got = jaccard_join.joined(documents(spark, rows), percent=percent, block_sets=block, links=True).collect()
+    assert sorted((str(r.doc_id), r.n_links) for r in got) == sorted((str(d), n) for (d, _, _), n in zip(rows, want, strict=True)) and max(want) > 5
+
+
+def test_answers_are_derived():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 60, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(base, 300 + 20 * (i % 4), replace=False) if i % 7 == 0 else base[i % 30 :], rng.integers(0, 1 << 60, i % 9, dtype=np.uint64)))) for i in range(60)]
+    lists = jaccard_join.Lists(sets, 90)
+    for q, hits in jaccard_join.answers(sets, lists):
+        assert sorted(lists.order[hits].tolist()) == [i for i, x in enumerate(sets) if jaccard_join.linked(sets[q], x, 90)]
+
+
+@pytest.mark.parametrize("block,bucket", [(2_000_000, 24_000_000), (150, 600)])
+def test_screen_counts_what_others_share(spark, block, bucket):
+    rows = [*near_copies(3, groups=3), (1, None, "a"), (2, "", "a"), (3, "alone in the world", "a"), (None, "w1 w2 w3 w4", "a"), (7, "w1 w2 w3 w5", "a"), (7, "w1 w2 w3 w5", "a")]
+    docs = documents(spark, rows).withColumns({"keys": F.lit(1), "own": F.lit("x"), "bucket": F.lit(2)})
+    got = jaccard_join.screened(docs, 3, bucket, block).collect()
+    sets = [shingles(t) for _, t, _ in rows]
+    times = collections.Counter(g for own in sets for g in own)
+    want = [(i, len(own), sum(times[g] > 1 for g in own)) for (i, _, _), own in zip(rows, sets, strict=True)]
+    assert sorted(map(str, ((r.doc_id, r.n_shingles, r.shared) for r in got))) == sorted(map(str, want))
+    assert jaccard_join.screened(documents(spark, []), 3).count() == 0
+
+
+def test_packed_keys_round_trip():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        keys = np.sort(rng.integers(0, 1 << 48, n, dtype=np.uint64))
+        assert (jaccard_join.unpacked(jaccard_join.packed(keys)) == keys).all() and len(jaccard_join.packed(keys)) == 6 * n
+
+
+def test_join_of_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(250_000))  # beyond the bytes that are hashed at once
+    rows = [(1, long, "s"), (2, long.replace("w5000 ", "other "), "s"), (3, long[: len(long) // 2], "s")]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard_join.joined(documents(spark, rows)).collect())
+    assert got == [(1, 1), (2, 1), (3, 3)]
