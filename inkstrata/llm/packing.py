@@ -4,8 +4,8 @@
 2. Item lengths, rounded up to ``UNIT`` tokens, form a histogram over all items (at most seq_len/UNIT counts). A linear program
    over patterns (how many items of each length share a sequence) is solved by column generation: a knapsack dynamic
    program prices new patterns with the duals until none improves the bound.
-3. Items are dealt to groups of bounded size. Each group takes its share of the patterns, rounded down, and assigns its items,
-   ranked by length, to them; what rounding leaves over goes best-fit decreasing.
+3. Items are dealt to groups of bounded size. Each group takes its share of the patterns, rounded down, then the largest fractions once
+   more, and assigns its items, ranked by length, to them; what that leaves over goes best-fit decreasing.
 4. One item in ``FILLER`` is kept out of the patterns, with its ids. These are cut to fill the space that rounding left, and
    what remains of them becomes full sequences and a tail cut into powers of two, so padding nearly vanishes.
 
@@ -250,14 +250,17 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float =
 def pack_group(rest: np.ndarray, is_fill: np.ndarray, sizes: np.ndarray, patterns: np.ndarray, uses: np.ndarray, seq_len: int, unit: int) -> tuple[list[list[int]], list[list[tuple[int, int, int]]]]:
     """Sequences of item numbers (whole items), and per sequence the filler cuts (item, start in its rest, length).
 
-    rest: tokens per item in ranked order; is_fill: which are fillers. uses: how often this group uses each pattern.
+    rest: tokens per item in ranked order; is_fill: which are fillers. uses: how often this group uses each pattern; what is over
+    whole numbers counts once more for the largest fractions, as long as items for their patterns are left.
     """
     kinds = -(-rest // unit)
     ranked = {int(k): np.nonzero((kinds == k) & ~is_fill & (rest > 0))[0].tolist()[::-1] for k in np.unique(kinds[~is_fill & (rest > 0)])}
     bins: list[list[int]] = []
-    for p in np.argsort(-uses, kind="stable"):
+    whole = np.floor(uses).astype(np.int64)
+    turns = [(p, int(whole[p])) for p in np.argsort(-whole, kind="stable")] + [(p, 1) for p in np.argsort(whole - uses, kind="stable") if uses[p] > whole[p]]
+    for p, times in turns:
         need = [(int(sizes[j]), int(n)) for j, n in enumerate(patterns[:, p]) if n]
-        for _ in range(int(uses[p])):
+        for _ in range(times):
             if any(len(ranked.get(k, ())) < n for k, n in need):
                 break
             bins.append([ranked[k].pop() for k, n in need for _ in range(n)])
@@ -315,7 +318,7 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, end_id: int =
         fill = np.array([is_filler(p) for p in group["place"].tolist()], bool)
         kinds = -(-own[~fill & (own > 0)] // unit)
         share = len(kinds) / max(1.0, demand.sum())
-        bins, cuts = pack_group(own, fill, sizes, patterns, np.floor(uses * share), seq_len, unit)
+        bins, cuts = pack_group(own, fill, sizes, patterns, uses * share, seq_len, unit)
         doc_id, tokens, crcs, tails = group["doc_id"].tolist(), group["doc_tokens"].tolist(), group["crcs"].tolist(), group["tail"].tolist()
         whole = (t // seq_len for t in tokens)
         out, seq = [], number << 32
