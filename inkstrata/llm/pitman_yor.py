@@ -3,17 +3,19 @@
 Dishes are all training words and the end of a text. A context is the word before, or the start. Every context is a restaurant; all
 share one parent restaurant, whose base is uniform over the training words, the end, and one unseen word.
 
-Seating: a Gibbs sweep seats the customers of every (context, dish) anew, given the parent's predictive probabilities and the other
-tables, then the parent's customers (the contexts' tables). Customers of a dish are seated in blocks of at most a twentieth of
-those already seated, so a dish of a million customers takes some 200 steps, for all dishes at once. After BURN_IN sweeps,
-SAMPLES sweeps give predictive probabilities, which are averaged. Draws are hashes of the cell, the sweep and the customer,
+Seating: a sweep removes and reseats all customers of a (context, dish), for every such cell, given the parent's predictive probabilities
+and the other tables, then the parent's customers (the contexts' tables). Customers of a dish are seated in blocks of at most a twentieth of
+those already seated, so a dish of a million customers takes some 200 steps, for all dishes at once. The last round's SWEEPS sweeps give
+predictive probabilities, which are averaged. Draws are hashes of the cell, the sweep and the customer,
 so results don't depend on how rows are dealt out.
 
-At scale: texts are shuffled once, into blocks of bounded size. A block sends its distinct bigrams, packed, to buckets of their hash,
-which sum the counts of all blocks. A cell of one customer has one table whatever is drawn, so only cells of two and more are rows
-that the sweeps join with their context's tables and the parent's probabilities; what the others add to a word is its count
-less theirs. Likewise words seen once share one probability. Buckets answer each block with its bigrams' counts and tables in the
-block's own order. Words and bigrams are compared by 64-bit hashes. Nothing is capped, broadcast or sent to the driver but sums.
+At scale: tasks gather their documents in blocks of bounded size and send each block's distinct (context, word) pairs, sorted and packed, to
+buckets of the word; words that are frequent in a sample are spread over all buckets by their contexts. Texts are not shuffled. A first pass
+sends counts. A bucket then keeps the cells of two customers and more (a cell of one has one table whatever is drawn) and sums for the
+rest. Buckets share a context's customers and tables by an exchange: each sends its parts to the context's home, which answers with
+the sums. Between exchanges, once a round, a bucket takes the other buckets' tables of a context as they were. A second pass sends the pairs
+with the documents that they stand in; buckets answer with each document's part of its score, which are summed. Words are compared by
+48 bits of their hashes. Nothing is capped; the driver gets sums, and a row for each of the frequent words, which are fewer than 2 * HOT_SHARE.
 
 Defined results: a null text is empty (one token, its end). Repeated rows count as often as they stand. Without training rows
 every token is unknown. Only doc_id and text are read; other columns are ignored.
@@ -21,28 +23,33 @@ every token is unknown. Only doc_id and text are read; other columns are ignored
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import arrow_batch, arrow_rows, hash_of, lean, mix64, raw_text, stored, word_hashes
+from ._util import arrow_batch, arrow_rows, hash_of, lean, mix64, packed, raw_text, stored, unpacked, word_hashes
 
-BURN_IN, SAMPLES = 4, 4
+BURN_IN, SAMPLES = 4, 4  # of Dense
+#: Exchanges with sweeps behind each; the last round's sweeps are the samples.
+ROUNDS, SWEEPS = 2, 3
 DISCOUNT, STRENGTH = 0.7, 5.0
-#: Texts per block, in code points: bounds a scoring task's memory.
-BLOCK_CHARS = 16_000_000
-#: Code points of the corpus per bucket of bigrams, and cells seated at once.
-BUCKET_CHARS, SEATED_CELLS = 4_000_000, 200_000
-END_HASH, START_HASH = hash_of(b"\0<end of text>\0"), hash_of(b"\0<start of text>\0")
+#: Tokens and documents of a block at most, and characters of the corpus per bucket of pairs.
+BLOCK_TOKENS, BLOCK_DOCS, BUCKET_CHARS = 2_000_000, 1 << 16, 16_000_000
+#: A word is spread over all buckets if it is more than one in HOT_SHARE tokens of a sample of about HOT_SAMPLE documents.
+HOT_SHARE, HOT_SAMPLE = 4096, 2000
+_word_id = lambda h: h >> np.uint64(16)
+END, START = (_word_id(np.array([hash_of(w)], np.int64).view(np.uint64))[0] for w in (b"\0<end of text>\0", b"\0<start of text>\0"))
 
 
 def tokens(text: str | None) -> np.ndarray:
-    """The hashes of a text's words and its end."""
-    return np.append(word_hashes(raw_text(text)).view(np.int64), END_HASH)
+    """The ids of a text's words and its end."""
+    return np.append(_word_id(word_hashes(raw_text(text))), END)
 
 
 def _drawn(seeds: np.ndarray, first: np.ndarray, block: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -110,278 +117,369 @@ class Dense:
         return out / max(1, sweeps - burn_in)
 
 
-def _counted(docs: DataFrame, learns: str) -> DataFrame:
-    """(word, n): training counts of every word and the end, summed per batch before they are shuffled."""
-    schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
-
+def thin(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on, byte by byte of all and no wider than the largest, so that they compress well."""
+    width = max(1, (int(numbers.max()).bit_length() + 7) // 8) if len(numbers) else 1
+    return bytes([width]) + np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def thick(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view(np.int64).ravel()
+
+
+PAIRS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), *[(n, pa.binary()) for n in ("lengths", "ws", "wn", "us", "ui", "ns", "docs", "learns", "sums")]])
+PAIRS_DDL = "bucket bigint, block bigint, ids array<bigint>, lengths binary, ws binary, wn binary, us binary, ui binary, ns binary, docs binary, learns binary, sums binary"
+
+
+class Blocks:
+    """Collects a task's documents into blocks, and packs each block's pairs by bucket: with training counts, or with the documents."""
+
+    def __init__(self, hot: np.ndarray, n_buckets: int, part: int, block_tokens: int, counts: bool):
+        self.hot, self.n_buckets, self.room, self.counts, self.block = hot, n_buckets, block_tokens, counts, part << 32
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: list[int | None] = []
+        self.texts: list[np.ndarray] = []
+        self.learns: list[bool] = []
+        self.held = 0
+
+    def add(self, doc_id: int | None, text: str | None, learns: bool) -> Iterator[pa.RecordBatch]:
+        self.ids.append(doc_id)
+        self.texts.append(tokens(text))
+        self.learns.append(bool(learns))
+        self.held += len(self.texts[-1])
+        if self.held >= self.room or len(self.ids) == BLOCK_DOCS:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        lengths = np.array([len(x) for x in self.texts], np.int64)
+        learns = np.array(self.learns, np.uint8)
+        vocabulary, place = np.unique(np.concatenate([*self.texts, [START]]), return_inverse=True)
+        word, begin = place[:-1].astype(np.int64), np.cumsum(lengths) - lengths
+        context = np.concatenate(([0], word[:-1]))
+        context[begin] = place[-1]
+        doc, size = np.repeat(np.arange(len(lengths)), lengths), len(vocabulary)
+        if size < 1 << 23:
+            ranked = np.sort((word * size + context) << 16 | doc)
+            pair, doc = ranked >> 16, ranked & 0xFFFF
+        else:
+            order = np.lexsort((doc, context, word))
+            pair, doc = (word * size + context)[order], doc[order]
+        first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+        times, (word, context) = np.diff(np.append(first, len(pair))), np.divmod(pair[first], size)
+        route, is_hot = mix64(vocabulary)[word], np.isin(vocabulary, self.hot)[word]
+        route[is_hot] = mix64(route[is_hot] + mix64(vocabulary[context[is_hot]]) * np.uint64(0x9E3779B97F4A7C15))
+        bucket = (((route >> np.uint64(32)) * np.uint64(self.n_buckets)) >> np.uint64(32)).astype(np.int64)
+        order, each = np.argsort(bucket, kind="stable"), np.argsort(np.repeat(bucket, times), kind="stable")
+        word, context, times, doc = word[order], context[order], times[order], doc[each]
+        ends = np.searchsorted(bucket[order], np.arange(self.n_buckets + 1))
+        stops = np.concatenate(([0], np.cumsum(times)))
+        rows = [] if self.counts else [(self.block % self.n_buckets, self.block, self.ids, lengths.tobytes(), *[None] * 8)]
+        for b in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+            cut, inside = slice(ends[b], ends[b + 1]), slice(stops[ends[b]], stops[ends[b + 1]])
+            own = word[cut]
+            begins = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            others, ui = np.unique(context[cut], return_inverse=True)
+            packed_pairs = (packed(vocabulary[own[begins]]), thin(np.diff(np.append(begins, len(own)))), packed(vocabulary[others]), thin(ui))
+            if self.counts:
+                ns = np.add.reduceat(learns[doc[inside]].astype(np.int64), stops[ends[b] : ends[b + 1]] - stops[ends[b]])
+                rows.append((b, self.block, None, None, *packed_pairs, thin(ns), None, None, None))
+            else:
+                rows.append((b, self.block, None, None, *packed_pairs, thin(times[cut]), doc[inside].astype(np.uint16).tobytes(), learns.tobytes(), None))
+        yield arrow_batch(PAIRS, list(zip(*rows, strict=True)))
+        self.clear()
+        self.block += 1
+
+
+def _sent(docs: DataFrame, hot: np.ndarray, n_buckets: int, block_tokens: int, counts: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            word, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return arrow_batch(schema, [word, n])
-
+        blocks = Blocks(hot, n_buckets, TaskContext.get().partitionId(), block_tokens, counts)
         for batch in batches:
-            for (text,) in arrow_rows(batch, "text"):
-                held.append(tokens(text))
-                size += len(held[-1])
-                if size > 4_000_000:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
+            for doc_id, text, learns in arrow_rows(batch, "doc_id", "text", "learns"):
+                yield from blocks.add(doc_id, text, learns)
+        if blocks.ids:
+            yield from blocks.flush()
 
-    return docs.where(learns).select("text").mapInArrow(lean(run), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(lean(run), PAIRS_DDL).repartition(max(1, n_buckets // 4), "bucket")
 
 
+def _merged(rows: pd.DataFrame, words: np.ndarray | None = None, contexts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """All words and contexts of a bucket's rows, sorted, and per pair of each row the places of its word and context among them."""
+    ws, us = [unpacked(x) for x in rows["ws"]], [unpacked(x) for x in rows["us"]]
+    words = np.unique(np.concatenate(ws)) if words is None else words
+    contexts = np.unique(np.concatenate(us)) if contexts is None else contexts
+    word = [np.repeat(np.searchsorted(words, w), thick(n)) for w, n in zip(ws, rows["wn"], strict=True)]
+    context = [np.searchsorted(contexts, u)[thick(i)] for u, i in zip(us, rows["ui"], strict=True)]
+    return words, contexts, np.concatenate(word), np.concatenate(context), [len(w) for w in word]
 
-def pairs_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context and dish of each token of whole texts in turn, and the tokens of each text."""
-    own = [tokens(t) for t in texts]
-    contexts = [np.concatenate(([START_HASH], t[:-1])) for t in own]
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *contexts]), np.concatenate([none, *own]), np.array([len(t) for t in own], np.int64)
 
+def _totals(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct codes, the sum of n for each, and the place of each code among them."""
+    order = np.argsort(code, kind="stable")
+    ranked = code[order]
+    starts = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+    place = np.empty(len(code), np.int64)
+    place[order] = np.cumsum(starts) - 1
+    return ranked[starts], np.bincount(place, n, int(starts.sum())).astype(np.int64), place
 
-def pair_keys(context: np.ndarray, dish: np.ndarray) -> np.ndarray:
-    return mix64(mix64(context.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + dish.view(np.uint64))
 
+#: Of a bucket: words with customers (n), tables of cells of one (s); contexts with customers (cu) and cells (zu), here and then in all buckets; cells
+#: of two and more with tables; and the samples: the words' tables (top), the parent's (tt), the contexts' tables (tu), one after the other.
+STATE = ["wk", "n", "s", "uk", "cu", "su", "cw", "ci", "c", "t", "tsum", "tt", "tops", "tts", "tus"]
+STATE_DDL = "bucket bigint, " + ", ".join(f"{n} binary" for n in STATE)
 
-REQUEST = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *[(n, pa.binary()) for n in ("us", "ws", "ns")]])
-CELL_DDL = "bucket bigint, block bigint, us binary, ws binary, ns binary"
 
+def _framed(bucket: int, state: dict[str, np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame([(bucket, *(packed(state[n]) if n in ("wk", "uk") else thin(state[n]) for n in STATE))], columns=["bucket", *STATE])
 
-def _requests(blocked: DataFrame, n_buckets: int) -> DataFrame:
-    """A row per block and bucket with its distinct bigrams and their training counts, and one row per block (ws and ns null) with
-    its distinct words, which only rides along."""
 
-    def sent(block: int, texts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        u, w = (np.concatenate([t[i] for t in texts]) for i in (0, 1))
-        learns = np.concatenate([t[2] for t in texts])
-        key, first, place = np.unique(pair_keys(u, w), return_index=True, return_inverse=True)
-        n = np.bincount(place, learns, len(key)).astype(np.int32)
-        u, w = u[first], w[first]
-        yield arrow_batch(REQUEST, [[block % n_buckets], [block], [np.unique(np.concatenate((u, w))).tobytes()], [None], [None]])
-        bucket = ((key >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
-        ends = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
-        filled = np.flatnonzero(ends[1:] > ends[:-1])
-        for i in filled.tolist():
-            cut = slice(ends[i], ends[i + 1])
-            yield arrow_batch(REQUEST, [[i], [block], [u[cut].tobytes()], [w[cut].tobytes()], [n[cut].tobytes()]])
+def _opened(row: pd.Series) -> dict[str, np.ndarray]:
+    return {n: unpacked(row[n]) if n in ("wk", "uk") else thick(row[n]) for n in STATE}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
-        for batch in batches:
-            for block, text, learns in arrow_rows(batch, "block", "text", "learns"):
-                u, w, _ = pairs_of([text])
-                held.setdefault(block, []).append((u, w, np.full(len(w), learns)))
-        while held:
-            yield from sent(*held.popitem())
-
-    # all columns, though doc_id is not needed: the shuffle of the texts is then the same as the scores' and is reused
-    return blocked.mapInArrow(lean(run), CELL_DDL)
-
-
-def _summed(rows: pd.DataFrame) -> pd.DataFrame:
-    """The cells of a bucket: one row (block null) with those of two customers or more, and a row per block with the place of its
-    bigrams among them, or -1 for a cell of one customer, -2 for none. Rows of words pass."""
-    words, rows = rows[rows["ns"].isna()], rows[rows["ns"].notna()]
-    if not len(rows):
-        return words
-    each = [[np.frombuffer(x, t) for x in rows[n]] for n, t in (("us", np.int64), ("ws", np.int64), ("ns", np.int32))]
-    u, w, n = (np.concatenate(x) for x in each)
-    _, first, place = np.unique(pair_keys(u, w), return_index=True, return_inverse=True)
-    total = np.bincount(place, n, len(first)).astype(np.int64)
-    many = total > 1
-    code = np.where(many, np.cumsum(many) - 1, np.where(total == 1, -1, -2)).astype(np.int32)[place]
-    cuts = np.split(code, np.cumsum([len(x) for x in each[2]])[:-1])
-    bucket, at = rows["bucket"].iloc[0], first[many]
-    out = [(bucket, None, u[at].tobytes(), w[at].tobytes(), total[many].tobytes())]
-    out += [(bucket, block, None, None, c.tobytes()) for block, c in zip(rows["block"], cuts, strict=True)]
-    frame = pd.DataFrame(out, columns=["bucket", "block", "us", "ws", "ns"])
-    return pd.concat([frame.assign(block=frame["block"].astype("Int64")), words.astype({"block": "Int64"})])[list(words.columns)]
-
-
-CELLS = pa.schema([(n, pa.int64()) for n in ("bucket", "pos", "u", "w", "c", "t", "tsum")])
-CELLS_DDL = "bucket bigint, pos bigint, u bigint, w bigint, c bigint, t bigint, tsum bigint"
-
-
-def _unpacked(packed: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, *arrays in arrow_rows(batch, "bucket", "us", "ws", "ns"):
-                u, w, c = (np.frombuffer(x, np.int64) for x in arrays)
-                for at in range(0, len(c), 10_000):
-                    cut, size = slice(at, at + 10_000), len(c[at : at + 10_000])
-                    yield arrow_batch(CELLS, [np.full(size, bucket), np.arange(at, at + size), u[cut], w[cut], c[cut], np.ones(size, np.int64), np.zeros(size, np.int64)])
 
-    return packed.where("block is null").select("bucket", "us", "ws", "ns").mapInArrow(lean(run), CELLS_DDL)
+def _counted(rows: pd.DataFrame) -> pd.DataFrame:
+    """The first state of a bucket: every cell has one table."""
+    words, contexts, word, context, _ = _merged(rows)
+    code, c, _ = _totals(word * len(contexts) + context, np.concatenate([thick(x) for x in rows["ns"]]))
+    word, context = np.divmod(code, len(contexts))
+    many, one, none = c > 1, c == 1, np.zeros(0, np.int64)
+    sums = lambda at, n, size: np.bincount(at, n, size).astype(np.int64)
+    state = {
+        "wk": words, "n": sums(word, c, len(words)), "s": sums(word, one, len(words)), "uk": contexts, "cu": sums(context, c, len(contexts)), "su": sums(context, one, len(contexts)),
+        "cw": word[many], "ci": context[many], "c": c[many], "t": np.ones(int(many.sum()), np.int64), "tsum": np.zeros(int(many.sum()), np.int64),
+        "tt": np.minimum(sums(word, c, len(words)), 1), "tops": none, "tts": none, "tus": none,
+    }
+    return _framed(int(rows["bucket"].iloc[0]), state)
+
 
+def _exchanged(state: DataFrame, values: Callable[[dict[str, np.ndarray]], np.ndarray], n_buckets: int, n_values: int) -> DataFrame:
+    """(bucket, home, sums): for a bucket's contexts in order, the sums over all buckets of n_values numbers each (values: a row per number)."""
+    schema = pa.schema([("home", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("parts", pa.binary())])
 
-def _seated(cells: DataFrame, words: DataFrame, sweep: int, adds: bool, discount: float, strength: float) -> DataFrame:
-    """The cells with new tables, from their contexts' tables and the parent's probabilities; adds: to the sum of the samples, too."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = _opened(row)
+                parts = values(own)
+                homes = ((own["uk"] >> np.uint64(16)) * np.uint64(n_buckets)) >> np.uint64(32)
+                ends = np.searchsorted(homes, np.arange(n_buckets + 1, dtype=np.uint64))
+                filled = np.flatnonzero(ends[1:] > ends[:-1]).tolist()
+                if filled:
+                    sent = [(h, row["bucket"], packed(own["uk"][ends[h] : ends[h + 1]]), thin(parts[:, ends[h] : ends[h + 1]].ravel())) for h in filled]
+                    yield arrow_batch(schema, list(zip(*sent, strict=True)))
+
+    def sum_up(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = [unpacked(x) for x in rows["keys"]]
+        parts = np.concatenate([thick(x).reshape(n_values, -1) for x in rows["parts"]], axis=1)
+        _, place = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.stack([np.bincount(place, p).astype(np.int64)[place] for p in parts])
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        return pd.DataFrame({"bucket": rows["bucket"], "home": rows["home"], "sums": [thin(x.ravel()) for x in np.split(sums, cuts, axis=1)]})
+
+    sent = state.mapInArrow(lean(send), "home bigint, bucket bigint, keys binary, parts binary").repartition(max(1, n_buckets // 4), "home")
+    return sent.groupBy("home").applyInPandas(sum_up, "bucket bigint, home bigint, sums binary")
+
+
+def _sums(rows: pd.DataFrame, n_values: int) -> np.ndarray:
+    each = [thick(x).reshape(n_values, -1) for x in rows.sort_values("home")["sums"]]
+    return np.concatenate([np.zeros((n_values, 0), np.int64), *each], axis=1)
+
+
+def _hot_words(docs: DataFrame, learns: str) -> np.ndarray:
+    """Words that are more than one in HOT_SHARE tokens of a sample: at most HOT_SHARE, whatever the corpus."""
+    n = docs.count()
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 30)) < F.lit(int(min(1.0, HOT_SAMPLE / max(1, n)) * (1 << 30)))).select("text")
+    schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def seat(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            a = {n: rows[n].to_numpy() for n in rows.column_names}
-            seeds = mix64(pair_keys(a["u"], a["w"]) + np.uint64(sweep + 1))
-            t = reseated(a["c"], (strength + discount * a["own"]) * a["parent"], discount, seeds)
-            out = [a["bucket"], a["pos"], a["u"], a["w"], a["c"], t, a["tsum"] + (t if adds else 0)]
-            for at in range(0, len(t), 10_000):
-                yield arrow_batch(CELLS, [x[at : at + 10_000] for x in out])
-
-        held, size = [], 0
         for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= SEATED_CELLS:
-                yield from seat(pa.Table.from_batches(held))
-                held, size = [], 0
-        if size:
-            yield from seat(pa.Table.from_batches(held))
+            each = [tokens(text) for (text,) in arrow_rows(batch, "text")]
+            if each:
+                word, times = np.unique(np.concatenate(each), return_counts=True)
+                yield arrow_batch(schema, [word.view(np.int64), times])
 
-    rows = cells.join(words.select(F.col("word").alias("u"), F.col("own")), "u").join(words.select(F.col("word").alias("w"), "parent"), "w")
-    return rows.select("bucket", "pos", "u", "w", "c", "tsum", "own", "parent").mapInArrow(lean(run), CELLS_DDL)
+    counts = sample.mapInArrow(lean(run), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = {r.word for r in counts.where(F.col("n") * HOT_SHARE > F.lit(total)).select("word").collect()}
+    return np.array(sorted(found | {int(END)}), np.uint64)
 
 
-def _topped(words: DataFrame, sweep: int, opens: float, discount: float) -> DataFrame:
-    """words with top_tables, the parent's tables for top customers a word."""
-    schema = pa.schema([("word", pa.int64()), ("top_tables", pa.int64())])
-    names = [c for c in words.columns if c != "word"]
+def _top(state: dict[str, np.ndarray]) -> np.ndarray:
+    """The parent's customers per word: the tables of its cells."""
+    return state["s"] + np.bincount(state["cw"], state["t"], len(state["wk"])).astype(np.int64)
+
+
+def _world(state: DataFrame, hot: np.ndarray, n_values: int, values: Callable[[dict[str, np.ndarray]], np.ndarray]) -> tuple[dict[int, list[int]], list[int]]:
+    """Of numbers per word (values: a row each): the sums of each frequent word, and those of all others together."""
+    schema = pa.schema([("word", pa.int64()), ("parts", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            word, top = (batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("word", "top"))
-            seeds = mix64(mix64(word.view(np.uint64)) + np.uint64(1000 + sweep))
-            tables = reseated(top, np.full(len(top), opens), discount, seeds)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tables, pa.int64())], names=[*batch.schema.names, schema.names[1]])
+            for row in batch.to_pylist():
+                own = _opened(row)
+                parts, is_hot = values(own), np.isin(own["wk"], hot)
+                rows = [(int(w), p.tolist()) for w, p in zip(own["wk"][is_hot].view(np.int64), parts[:, is_hot].T, strict=True)]
+                rows.append((None, parts[:, ~is_hot].sum(1).tolist()))
+                yield arrow_batch(schema, list(zip(*rows, strict=True)))
 
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.select("word", *names).schema) + ", top_tables bigint"
-    return words.select("word", *names).mapInArrow(lean(run), ddl)
+    found = state.mapInArrow(lean(run), "word bigint, parts array<bigint>").groupBy("word").agg(*[F.sum(F.get("parts", F.lit(i))).alias(f"v{i}") for i in range(n_values)]).collect()
+    each = {r.word: [int(r[f"v{i}"]) for i in range(n_values)] for r in found}
+    others = each.pop(None, [0] * n_values)
+    return each, others
 
 
 def _dropped(df: DataFrame) -> None:
-    """Deletes a stored() table that nothing reads any more."""
+    """Deletes a stored() table that nothing reads any more, and lets Spark delete the shuffle files that nothing refers to."""
     spark, files = df.sparkSession, df.inputFiles()
     if files:
         where = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _sampled(packed: DataFrame, counts: DataFrame, n_words: int, n_ends: int, discount: float, strength: float) -> tuple[DataFrame, DataFrame, list[tuple[float, float]]]:
-    """The cells with tsum, the words seen twice or more with own0.. and parent0.. of each sample, and per sample the parent's
-    probability of a word seen once, and of an unseen one."""
-    base, once = 1.0 / (n_words + 1), counts.where((F.col("n") == 1) & (F.col("word") != END_HASH)).count()
-    cells = stored(_unpacked(packed), "lm-cells")
-    side = lambda of, word: of.select(F.col(word).alias("word"), *[(F.col(c) if k == word else F.lit(0)).cast("long").alias(f"{c}_{k}") for k in "uw" for c in "ct"])
-    sums = lambda of, *names: side(of, "u").unionByName(side(of, "w")).groupBy("word").agg(*[F.sum(n).alias(n) for n in names])
-    many = counts.where((F.col("n") > 1) | (F.col("word") == END_HASH)).withColumn("n_u", F.when(F.col("word") == END_HASH, 0).otherwise(F.col("n")).cast("long"))
-    many = many.unionByName(counts.sparkSession.range(1).select(F.lit(START_HASH).cast("long").alias("word"), F.lit(0).cast("long").alias("n"), F.lit(n_ends).cast("long").alias("n_u")))
-    fixed = many.join(sums(cells, "c_u", "c_w", "t_u", "t_w"), "word", "left").na.fill(0)
-    # a cell of one customer has one table: those of a word are its count less the customers of its larger cells
-    fixed = fixed.select("word", (F.col("n_u") - F.col("c_u")).alias("s_u"), (F.col("n") - F.col("c_w")).alias("s_w"), (F.col("n_u") - F.col("c_u") + F.col("t_u")).alias("own"), F.lit(base).alias("parent"))
-    words, all_tables, history, samples = stored(fixed, "lm-words"), float(n_words), [], []
-    for sweep in range(BURN_IN + SAMPLES):
-        adds = sweep >= BURN_IN
-        new_cells = stored(_seated(cells, words, sweep, adds, discount, strength), "lm-cells")
-        moved = words.drop("own", "parent").join(sums(new_cells, "t_u", "t_w"), "word", "left").na.fill(0, ["t_u", "t_w"])
-        moved = moved.withColumn("own", F.col("s_u") + F.col("t_u")).withColumn("top", F.col("s_w") + F.col("t_w")).drop("t_u", "t_w")
-        topped = stored(_topped(moved, sweep, (strength + discount * all_tables) * base, discount), "lm-top")
-        top, tables = topped.agg(F.sum("top"), F.sum("top_tables")).first()
-        top, all_tables = top + once, float(tables + once)
-        fresh, seats = (strength + discount * all_tables) * base, strength + top
-        new_words = topped.withColumn("parent", (F.col("top") - discount * F.col("top_tables") + fresh) / seats).drop("top", "top_tables")
-        if adds:
-            k = sweep - BURN_IN
-            history.append(k)
-            new_words = new_words.withColumn(f"own{k}", F.col("own")).withColumn(f"parent{k}", F.col("parent"))
-            samples.append(((1 - discount + fresh) / seats, fresh / seats))
-        new_words = stored(new_words, "lm-words")
-        for old in (cells, words, topped):
-            _dropped(old)
-        counts.sparkSession._jvm.System.gc()  # shuffle files go when nothing in the driver refers to them
-        cells, words = new_cells, new_words
-    return cells, words.select("word", *[f"{n}{k}" for k in history for n in ("own", "parent")]), samples
-
-
-def _words_asked(packed: DataFrame) -> DataFrame:
-    schema = pa.schema([("block", pa.int64()), ("word", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, raw in arrow_rows(batch, "block", "us"):
-                words = np.frombuffer(raw, np.int64)
-                for at in range(0, len(words), 10_000):
-                    part = words[at : at + 10_000]
-                    yield arrow_batch(schema, [np.full(len(part), block), part])
-
-    return packed.where("block is not null and ns is null").select("block", "us").mapInArrow(lean(run), "block bigint, word bigint")
-
-
-def _answers(packed: DataFrame, cells: DataFrame) -> DataFrame:
-    """(block, bucket, cs, ts): counts and summed tables of each block's bigrams in a bucket, in the order of their keys."""
-
-    def run(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        place = found["pos"].to_numpy(np.int64)
-        c, t = np.zeros(len(place) + 2, np.int64), np.zeros(len(place) + 2, np.int64)
-        c[place], t[place] = found["c"].to_numpy(np.int64), found["tsum"].to_numpy(np.int64)
-        c[-1], t[-1] = 1, SAMPLES
-        each = [np.frombuffer(x, np.int32) for x in rows["ns"]]
-        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "cs": [c[x].tobytes() for x in each], "ts": [t[x].astype(np.int32).tobytes() for x in each]})
-
-    asked = packed.where("block is not null and ns is not null").select("bucket", "block", "ns")
-    return asked.groupBy("bucket").cogroup(cells.select("bucket", "pos", "c", "tsum").groupBy("bucket")).applyInPandas(run, "block bigint, bucket bigint, cs binary, ts binary")
-
-
-SCORE_DDL = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
+def _freed(spark: SparkSession) -> None:
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def scored(
     docs: DataFrame, learns: str, vocab: int | None = None, contexts: int | None = None, tails: int | None = None,
-    block_chars: int = BLOCK_CHARS, bucket_chars: int = BUCKET_CHARS, discount: float = DISCOUNT, strength: float = STRENGTH,
+    block_chars: int = 7 * BLOCK_TOKENS, bucket_chars: int = BUCKET_CHARS, discount: float = DISCOUNT, strength: float = STRENGTH,
 ) -> DataFrame:
-    """SCORE_DDL and train_tokens for every row of docs. learns: SQL condition on doc_id that names the training rows.
+    """SCORE_DDL and train_tokens for every row of docs. learns: SQL condition on doc_id that names the training rows. block_chars: about
+    seven a token.
 
     vocab, contexts and tails once bounded the model; they are accepted and have no effect.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = stored(_counted(docs, learns), "lm-counts")
-    total, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == END_HASH, F.col("n"))), F.lit(0))).first()
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("learns", F.coalesce(F.expr(learns), F.lit(False)))
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n_blocks, n_buckets = max(1, -(-size // block_chars)), max(1, -(-size // bucket_chars))
-    where: Column = F.pmod(F.xxhash64(F.coalesce("doc_id", F.length("text")), F.lit(5)), F.lit(n_blocks)).alias("block")
-    blocked = docs.select("doc_id", "text", F.coalesce(F.expr(learns), F.lit(False)).alias("learns"), where).repartition(n_blocks, "block")
-    packed = _requests(blocked, n_buckets).repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(_summed, CELL_DDL)
-    packed = stored(packed, "lm-packed")
-    cells, words, samples = _sampled(packed, counts, distinct, ends, discount, strength)
-    asked = _words_asked(packed)
-    known = asked.join(counts, "word", "left").join(words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    # no null words: pandas would hold the hashes as floats
-    answers = known.unionByName(_answers(packed, cells).withColumn("word", F.lit(0).cast("long")), allowMissingColumns=True)
-
-    def score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        packed_rows = known["cs"].notna().to_numpy()
-        each, known = known[packed_rows].sort_values("bucket"), known[~packed_rows].sort_values("word")
-        word, n = known["word"].to_numpy(np.int64), known["n"].to_numpy(np.int64)
-        u, w, lengths = pairs_of(list(texts["text"]))
-        _, first, place = np.unique(pair_keys(u, w), return_index=True, return_inverse=True)
-        at_u, at_w = np.searchsorted(word, u[first]), np.searchsorted(word, w[first])
-        c, t = (np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in each[name]]]) for name, kind in (("cs", np.int64), ("ts", np.int32)))
-        customers = np.where(word == START_HASH, ends, np.where(word == END_HASH, 0, n))
-        shared = np.zeros(len(first))
-        for k, (once, unseen) in enumerate(samples):
-            own = known[f"own{k}"].to_numpy(np.float64, na_value=np.nan)
-            own = np.where(np.isnan(own), customers, own)
-            parent = known[f"parent{k}"].to_numpy(np.float64, na_value=np.nan)
-            parent = np.where(np.isnan(parent), np.where(n > 0, once, unseen), parent)
-            shared += (strength + discount * own[at_u]) * parent[at_w]
-        pair = np.log10((len(samples) * c - discount * t + shared) / (len(samples) * (strength + customers[at_u])))
-        plain = np.log10((n + 0.5) / (total + 0.5 * (distinct + 1)))
-        start = np.cumsum(lengths) - lengths
-        summed = lambda x: np.add.reduceat(x[place], start)
-        frame = pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "n_tokens": lengths})
-        return frame.assign(n_known=summed((n[at_w] > 0).astype(np.int64)), base_score=summed(plain[at_w]), score=summed(pair))
-
-    found = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, SCORE_DDL)
-    return found.withColumn("train_tokens", F.lit(int(total)).cast("long"))
+    n_buckets, block_tokens = max(1, -(-size // bucket_chars)), max(1, block_chars // 7)
+    hot = _hot_words(docs, learns)
+    state = stored(_sent(docs, hot, n_buckets, block_tokens, True).groupBy("bucket").applyInPandas(_counted, STATE_DDL), "lm-state")
+    _freed(spark)
+    frequent, others = _world(state, hot, 2, lambda own: np.stack((own["n"], np.minimum(own["n"], 1))))
+    total, distinct = others[0] + sum(v[0] for v in frequent.values()), others[1] + sum(v[0] > 0 for v in frequent.values())
+    hot_n = np.array([frequent.get(int(w), [0])[0] for w in hot.view(np.int64)], np.int64)
+    base = 1.0 / (distinct + 1)
+
+    def hot_tables_of(tops: np.ndarray, others: float, turn: int) -> np.ndarray:
+        """The parent's tables of the frequent words, drawn until their own number stands among what opens a table."""
+        tables = np.minimum(tops, 1)
+        for again in range(3):
+            opens = (strength + discount * (others + tables.sum())) * base
+            tables = reseated(tops, np.full(len(tops), opens), discount, mix64(hot + np.uint64(1000 + 10 * turn + again)))
+        return tables
+
+    def parent_of(state: DataFrame) -> tuple[np.ndarray, float, float]:
+        """The frequent words' tables in all contexts, all words' together, and the parent's tables (those of frequent words as one bucket drew them)."""
+        each, rest = _world(state, hot, 2, lambda own: np.stack((_top(own), own["tt"])))
+        tops = np.array([each.get(int(w), [0, 0])[0] for w in hot.view(np.int64)], np.int64)
+        return tops, float(rest[0] + tops.sum()), float(rest[1] + hot_tables_of(tops, rest[1], 0).sum())
+
+    def sampler(round_: int, tops: np.ndarray, all_top: float, all_tables: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+        """A round's sweeps over a bucket, given what the others held when it began."""
+
+        def sample(mine: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+            own = _opened(mine.iloc[0])
+            elsewhere_u = _sums(found, 1)[0] - own["su"] - np.bincount(own["ci"], own["t"], len(own["uk"])).astype(np.int64)
+            at = np.searchsorted(hot, own["wk"])
+            is_hot = (at < len(hot)) & (hot[np.minimum(at, len(hot) - 1)] == own["wk"])
+            elsewhere_w = np.where(is_hot, tops[np.minimum(at, len(hot) - 1)] - _top(own), 0)
+            seeds, word_seeds = mix64(mix64(own["uk"])[own["ci"]] * np.uint64(0x9E3779B97F4A7C15) + own["wk"][own["cw"]]), mix64(own["wk"])
+            samples: dict[str, list[np.ndarray]] = {"tops": [], "tts": [], "tus": []}
+            tsum, began = np.zeros(len(own["c"]), np.int64), (max(1, _top(own).sum()), max(1, own["tt"].sum()))
+            for k in range(SWEEPS):
+                turn = np.uint64(1 + round_ * SWEEPS + k)
+                # all buckets' tables are taken to have grown as this one's since the round began
+                now_top, now_tables = all_top * (_top(own).sum() / began[0]), all_tables * (own["tt"].sum() / began[1])
+                opens = (strength + discount * now_tables) * base
+                parent = (elsewhere_w + _top(own) - discount * own["tt"] + opens) / (strength + now_top)
+                tables_u = elsewhere_u + own["su"] + np.bincount(own["ci"], own["t"], len(own["uk"]))
+                own["t"] = reseated(own["c"], (strength + discount * tables_u[own["ci"]]) * parent[own["cw"]], discount, mix64(seeds + turn))
+                own["tt"] = reseated(elsewhere_w + _top(own), np.full(len(own["wk"]), opens), discount, mix64(word_seeds + turn))
+                tsum += own["t"]
+                samples["tops"].append(_top(own))
+                samples["tts"].append(own["tt"])
+                samples["tus"].append(own["su"] + np.bincount(own["ci"], own["t"], len(own["uk"])).astype(np.int64))
+            if round_ == ROUNDS - 1:
+                own |= {n: np.concatenate(x) for n, x in samples.items()} | {"tsum": tsum}
+            return _framed(int(mine["bucket"].iloc[0]), own)
+
+        return sample
+
+    for round_ in range(ROUNDS):
+        contexts_of = lambda own: (own["su"] + np.bincount(own["ci"], own["t"], len(own["uk"])).astype(np.int64))[None, :]
+        replies = _exchanged(state, contexts_of, n_buckets, 1)
+        new = stored(state.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(sampler(round_, *parent_of(state)), STATE_DDL), "lm-state")
+        _dropped(state)
+        _freed(spark)
+        state = new
+
+    # what all buckets hold of each context and frequent word, per sample
+    each, rest = _world(state, hot, 2 * SWEEPS, lambda own: np.concatenate((own["tops"].reshape(SWEEPS, -1), own["tts"].reshape(SWEEPS, -1))))
+    hot_tops = np.array([each.get(int(w), [0] * 2 * SWEEPS)[:SWEEPS] for w in hot.view(np.int64)], np.int64).reshape(-1, SWEEPS)
+    rest = np.array(rest, np.int64)
+    hot_tables = np.stack([hot_tables_of(hot_tops[:, k], rest[SWEEPS + k], 1 + k) for k in range(SWEEPS)], 1)
+    seats = strength + rest[:SWEEPS] + hot_tops.sum(0)
+    opens = (strength + discount * (rest[SWEEPS:] + hot_tables.sum(0))) * base
+    replies = _exchanged(state, lambda own: np.concatenate((own["cu"][None, :], own["tus"].reshape(SWEEPS, -1))), n_buckets, 1 + SWEEPS)
+
+    def settle(mine: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        own, sums = _opened(mine.iloc[0]), _sums(found, 1 + SWEEPS)
+        none = np.zeros(0, np.int64)
+        return _framed(int(mine["bucket"].iloc[0]), own | {"cu": sums[0], "tus": sums[1:].ravel(), "t": none, "su": none, "tt": none})
+
+    final = stored(state.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(settle, STATE_DDL), "lm-final")
+    _dropped(state)
+    _freed(spark)
+
+    def score(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        mine = rows["ws"].notna()
+        out = list(rows[~mine].itertuples(index=False, name=None))
+        rows = rows[mine]
+        if len(rows):
+            own = _opened(model.iloc[0])
+            words, contexts, word, context, sizes = _merged(rows, own["wk"], own["uk"])
+            cuts = np.cumsum(sizes)[:-1]
+            times, docs_of, learned = [thick(x) for x in rows["ns"]], [np.frombuffer(x, np.uint16) for x in rows["docs"]], [np.frombuffer(x, np.uint8) for x in rows["learns"]]
+            n = np.concatenate([np.add.reduceat(flags[d].astype(np.int64), np.cumsum(m) - m) for m, d, flags in zip(times, docs_of, learned, strict=True)])
+            code = word * len(contexts) + context
+            distinct_codes, c, place = _totals(code, n)
+            tables = np.minimum(c, 1) * SWEEPS
+            cells = own["cw"] * len(contexts) + own["ci"]
+            tables[np.searchsorted(distinct_codes, cells)] = own["tsum"]
+            at = np.searchsorted(hot, words)
+            is_hot, at = (at < len(hot)) & (hot[np.minimum(at, len(hot) - 1)] == words), np.minimum(at, len(hot) - 1)
+            n_word = np.where(is_hot, hot_n[at], own["n"])
+            top = np.where(is_hot[:, None], hot_tops[at], own["tops"].reshape(SWEEPS, -1).T)
+            under = np.where(is_hot[:, None], hot_tables[at], own["tts"].reshape(SWEEPS, -1).T)
+            parent = (top - discount * under + opens) / seats
+            shared = strength + discount * own["tus"].reshape(SWEEPS, -1).T
+            word_of, context_of = np.divmod(distinct_codes, len(contexts))
+            mixed = sum(shared[context_of, k] * parent[word_of, k] for k in range(SWEEPS))
+            p = np.log10((SWEEPS * c - discount * tables + mixed) / (SWEEPS * (strength + own["cu"][context_of])))
+            plain, known = np.log10((n_word + 0.5) / (total + 0.5 * (distinct + 1))), n_word > 0
+            for (bucket, block), m, d, flags, at_word, at_pair in zip(rows[["bucket", "block"]].itertuples(index=False), times, docs_of, learned, np.split(word, cuts), np.split(place, cuts), strict=True):
+                add = lambda x, m=m, d=d, flags=flags: np.bincount(d, np.repeat(x, m), len(flags))
+                sums = np.stack((add(p[at_pair]), add(plain[at_word]), add(known[at_word].astype(float))))
+                out.append((bucket, block, *[None] * 9, sums.tobytes()))
+        return pd.DataFrame(out, columns=PAIRS.names)
+
+    parts = _sent(docs, hot, n_buckets, block_tokens, False).groupBy("bucket").cogroup(final.groupBy("bucket")).applyInPandas(score, PAIRS_DDL)
+
+    def add_up(rows: pd.DataFrame) -> pd.DataFrame:
+        mine = rows["ids"].notna()
+        own = rows[mine].iloc[0]
+        lengths = np.frombuffer(own["lengths"], np.int64)
+        sums = sum((np.frombuffer(x).reshape(3, -1) for x in rows[~mine].sort_values("bucket")["sums"]), np.zeros((3, len(lengths))))
+        ids = pd.array([None if pd.isna(x) else int(x) for x in own["ids"]], "Int64")
+        return pd.DataFrame({"doc_id": ids, "n_tokens": lengths, "n_known": sums[2].round().astype(np.int64), "base_score": sums[1], "score": sums[0]})
+
+    return parts.groupBy("block").applyInPandas(add_up, SCORE_DDL).withColumn("train_tokens", F.lit(int(total)).cast("long"))
+
+
+SCORE_DDL = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
