@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import RunningSums, arrow_batch, arrow_rows, hash64, lean, mix64, sample_by_group, segment_end, stored, word_bounds
+from ._util import RunningSums, arrow_batch, arrow_rows, hash64, lean, mix64, release, sample_by_group, segment_end, stored, word_bounds
 from .language_id import ddl_of
 
 STRETCH = 64
@@ -141,17 +141,18 @@ def fit_crf(stretches: list[tuple[np.ndarray, np.ndarray]], rounds: int = 60, ra
     for a in range(2):
         for b in range(2):
             seen[a, b] = (both & (tags[:, :-1] == a) & (tags[:, 1:] == b)).sum()
-    used, at = np.unique(places[valid], return_inverse=True)
-    width = places.shape[2]
-    at = at.reshape(-1, width)
+    # a column per kind of feature, one at a time: the driver's memory stays small
+    used = np.unique(places[valid])
+    columns = [np.searchsorted(used, places[:, :, j][valid]).astype(np.int32) for j in range(places.shape[2])]
+    del places
     own, total = np.zeros(len(used)), max(1, tags.sum())
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (own, np.zeros(1), trans)]
     for step in range(1, rounds + 1):
         unary = np.zeros((n, length))
-        unary[valid] = own[at].sum(1) + bias
+        unary[valid] = sum((own[at] for at in columns), np.full(len(columns[0]), bias))
         marginal, _, pairs = forward_backward(unary, valid, trans)
         error = (tags - marginal)[valid]
-        grads = [np.bincount(at.ravel(), np.repeat(error, width), len(used)) / total - decay * own, np.array([error.sum() / total]), (seen - pairs) / total - decay * trans]
+        grads = [sum(np.bincount(at, error, len(used)) for at in columns) / total - decay * own, np.array([error.sum() / total]), (seen - pairs) / total - decay * trans]
         moves = []
         for (m, v), g in zip(state, grads, strict=True):
             m *= 0.9
@@ -301,7 +302,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     for _, places, tags in picked:
         y = np.frombuffer(bytes(tags), np.uint8).astype(float)
         train.append((np.frombuffer(bytes(places), np.int32).reshape(len(y), -1), y))
+    del picked
     weights, bias, trans = fit_crf(train)
+    del train
+    release()
     model = Model(weights.astype(np.float32), bias, trans, np.zeros(4))
     seen = measured(chosen.select("text", "toxic"), model).select("toxic", "largest", "expected", "n_tokens").collect()
     y = np.array([r[0] for r in seen], float)
