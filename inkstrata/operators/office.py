@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequences import style_values
+from .sequences import as_of, style_values
 
 
 def resolved_formats(declared: DataFrame) -> DataFrame:
@@ -31,6 +31,33 @@ def nearest(*values: Column) -> Column:
     return F.coalesce(*values)
 
 
+def cell_styles(declared: DataFrame) -> DataFrame:
+    """path, table, row, col, times, style, column_style of OpenDocument cells: the cell's own style, else its row's default, else its
+    column's; names that no cell style has count as none. declared: sources.formats rows of open_declared()."""
+    part = F.split("id", "/")
+    known = declared.where("scope = 'style' and id like 'table-cell/%'").select(F.col("path").alias("k_path"), F.substring_index("id", "/", -1).alias("k_name")).distinct()
+    cells = declared.where("scope = 'cell'").select("path", F.get(part, 0).cast("int").alias("table"), F.get(part, 1).cast("int").alias("row"), F.get(part, 2).cast("int").alias("col"), F.col("value").cast("int").alias("times"), "style", F.col("parent").alias("row_default"))
+    columns = declared.where("scope = 'column'").select("path", F.get(part, 0).cast("int").alias("table"), F.get(part, 1).cast("int").alias("col"), F.struct(F.col("value").alias("column_style"), F.col("style").alias("default")).alias("column"))
+    rows = as_of(cells, columns, ["path", "table"], "col", "column")
+    for name in ("style", "row_default", "default"):
+        own = F.col("column.default") if name == "default" else F.col(name)
+        rows = rows.withColumn(f"_{name}", own).join(known, (F.col("path") == F.col("k_path")) & (F.col(f"_{name}") == F.col("k_name")), "left").withColumn(f"_{name}", F.col("k_name")).drop("k_path", "k_name")
+    return rows.select("path", "table", "row", "col", "times", nearest(F.col("_style"), F.col("_row_default"), F.col("_default")).alias("style"), F.col("column.column_style").alias("column_style"))
+
+
+def font_slots(declared: DataFrame, family: str = "text") -> DataFrame:
+    """path, style, latin, asian, complex, uniform: the fonts of each style by script type, each up its own chain; uniform: whether no
+    character can choose."""
+    key = lambda c: F.concat_ws("\n", "path", c)
+    sheet = declared.where("scope = 'style'")
+    styles = sheet.groupBy(key("id").alias("style")).agg(F.max(F.when(F.col("parent").isNotNull(), key("parent"))).alias("parent"))
+    fonts = style_values(styles, sheet.where("prop like 'font_%'").select(key("id").alias("style"), "prop", "value"))
+    own = sheet.where(F.col("id").startswith(f"{family}/")).select("path", F.substring_index("id", "/", -1).alias("name"), key("id").alias("k")).distinct()
+    slot = lambda n: F.max(F.when(F.col("prop") == f"font_{n}", F.col("value"))).alias(n)
+    rows = own.join(fonts, F.col("k") == F.col("style"), "left").groupBy("path", F.col("name").alias("style")).agg(slot("latin"), slot("asian"), slot("complex"))
+    return rows.withColumn("uniform", F.col("latin").eqNullSafe(F.col("asian")) & F.col("asian").eqNullSafe(F.col("complex")))
+
+
 def grid_total(widths: Column) -> Column:
     """The width of a grid's columns together; null without any."""
     total = F.aggregate(widths, F.lit(0.0), lambda a, x: a + x)

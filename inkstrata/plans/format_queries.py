@@ -291,3 +291,39 @@ def view_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preview_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without their page geometry, as a preview takes them."""
     return office.flattened(t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("width"), "o_orderstatus"), ["width"])
+
+
+def _open_styled(number: int, rows: list[dict]) -> bytes:
+    n = rows[0]["p_size"]
+    faces = "<style:font-face style:name=\"F1\" svg:font-family=\"'Face, One', serif\"/><style:font-face style:name=\"F2\" svg:font-family=\"\"/>"
+    text = lambda name, props, above="": f'<style:style style:name="{name}" style:family="text"{above}><style:text-properties {props}/></style:style>'
+    base = text("Base", 'style:font-name="F1" style:font-name-asian="Batang"')
+    child = text("Child", 'style:font-name-complex="Arab"' if number % 2 else 'style:font-name="F2" style:font-family-asian="x"', ' style:parent-style-name="Base"')
+    same = text("Same", 'fo:font-family="One" style:font-name-asian="One" style:font-name-complex="One"')
+    cell = lambda name, fill: f'<style:style style:name="{name}" style:family="table-cell"><style:table-cell-properties fo:background-color="{fill}"/></style:style>'
+    column = f'<style:style style:name="C" style:family="table-column"><style:table-column-properties style:column-width="{n}pt"/></style:style>'
+    default = ' table:default-cell-style-name="R"' if number % 3 == 0 else ""
+    own = ' table:style-name="O"' if number % 2 else ' table:style-name="unknown"'
+    table = f'<table:table><table:table-column table:style-name="C" table:number-columns-repeated="2"/><table:table-column table:default-cell-style-name="D"/><table:table-row{default}><table:table-cell{own}/><table:table-cell table:number-columns-repeated="2"/></table:table-row><table:table-row><table:table-cell table:number-columns-repeated="2"/><table:table-cell/></table:table-row></table:table>'
+    return fixtures.odt_body(table, f'<office:font-face-decls>{faces}</office:font-face-decls>{base}{child}{same}{cell("O", "#00ff00")}{cell("R", "transparent")}{cell("D", "#0000ff")}{column}')
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k FROM part)
+SELECT k AS p_partkey, 0 AS row, 0 AS col, 1 AS times, CASE WHEN k % 2 = 1 THEN 'O' WHEN k % 3 = 0 THEN 'R' END AS style, 'C' AS column_style FROM p
+UNION ALL SELECT k, 0, 1, 2, CASE WHEN k % 3 = 0 THEN 'R' END, 'C' FROM p UNION ALL SELECT k, 1, 0, 2, NULL, 'C' FROM p UNION ALL SELECT k, 1, 2, 1, 'D', NULL FROM p
+""")
+def odt_cell_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which style a cell takes: its own, its row's default, its column's, by the place of its first repetition."""
+    rows = formats.formats(_parts(spark, sf_dir, "odt", _open_styled), formats.open_declared)
+    return office.cell_styles(rows).select(key().alias("p_partkey"), "row", "col", "times", "style", "column_style")
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k FROM part)
+SELECT k AS p_partkey, 'Base' AS style, 'Face, One' AS latin, 'Batang' AS asian, CAST(NULL AS VARCHAR) AS complex, false AS uniform FROM p
+UNION ALL SELECT k, 'Child', 'Face, One', CASE WHEN k % 2 = 1 THEN 'Batang' ELSE 'x' END, CASE WHEN k % 2 = 1 THEN 'Arab' END, false FROM p UNION ALL SELECT k, 'Same', 'One', 'One', 'One', true FROM p
+""")
+def odt_font_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fonts of text styles by script type, through faces and chains; a face without a family says nothing."""
+    return office.font_slots(formats.formats(_parts(spark, sf_dir, "odt", _open_styled), formats.open_declared)).select(key().alias("p_partkey"), "style", "latin", "asian", "complex", "uniform")

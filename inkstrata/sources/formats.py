@@ -1,4 +1,4 @@
-"""Declared formats of Word documents in long form: a row per property that a style, a paragraph, its first run, a cell or the defaults
+"""Declared formats of Word documents and OpenDocument texts in long form: a row per property that a style, a paragraph, its first run, a cell or the defaults
 state. Nothing is resolved here; operators.office walks the style chains and cascades as joins.
 
 Lengths are in points. A border edge is ``suppressed``, or ``drawn`` with width and colour; one without a width says nothing.
@@ -6,7 +6,8 @@ Lengths are in points. A border edge is ``suppressed``, or ``drawn`` with width
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -169,14 +170,72 @@ def declared(data: bytes) -> Iterator[dict]:
             n_tables += 1
 
 
-def formats(files: DataFrame) -> DataFrame:
-    """DDL rows of each docx-like file (path, content); a broken file gives one row with its error."""
+FONT_ATTRIBUTES = {"font_latin": ("style:font-name", "fo:font-family"), "font_asian": ("style:font-name-asian", "style:font-family-asian"), "font_complex": ("style:font-name-complex", "style:font-family-complex")}
+_member = re.compile(r"\"([^\"]*)\"|'([^']*)'|([^,\"']+)")
+
+
+def first_family(css: str) -> str | None:
+    """The first member of a font list that has a name; quotes protect commas."""
+    return next((name for m in _member.finditer(css) if (name := next(g for g in m.groups() if g is not None).strip())), None)
+
+
+def open_declared(data: bytes) -> Iterator[dict]:
+    """Of an OpenDocument text. scope: ``style`` (id: family/name), ``column`` (id: table/first column; style: the cells' default), ``cell`` (id:
+    table/row/column; style: its own; parent: the row's default). A face that is declared without a family names no font."""
+    archive = Archive(data)
+    root, sheet = parsed(archive.read("content.xml")), parsed(archive.get("styles.xml"))
+    if root is None:
+        raise ValueError("brokenDocument")
+    faces = {f.get("style:name"): f.get("svg:font-family") for part in (sheet, root) if part is not None for f in part.every("style:font-face") if f.get("svg:font-family") is not None}
+
+    def row(scope: str, key: str, prop: str | None, value: str | None, parent: str | None = None, style: str | None = None) -> dict:
+        return {"scope": scope, "id": key, "parent": parent, "style": style, "prop": prop, "value": value}
+
+    seen = set()
+    for part in (sheet, root):
+        for s in part.every("style:style") if part is not None else ():
+            family, above = s.get("style:family"), s.get("style:parent-style-name")
+            if (key := f"{family}/{s.get('style:name')}") in seen:  # the first definition wins
+                continue
+            seen.add(key)
+            text, cell, column = (s.first(f"style:{n}-properties") for n in ("text", "table-cell", "table-column"))
+            props: dict[str, str | None] = {}
+            for prop, (face, literal) in FONT_ATTRIBUTES.items() if text is not None else ():
+                name = text.get(face)
+                css = faces.get(name, name) if name is not None else text.get(literal)
+                props[prop] = first_family(css) if css is not None else None
+            if cell is not None:
+                fill = cell.get("fo:background-color")
+                props |= {"shading": fill.lstrip("#").upper() if fill and fill != "transparent" else None, "vertical": cell.get("style:vertical-align")}
+            if column is not None:
+                props["width"] = column.get("style:column-width")
+            known = {k: v for k, v in props.items() if v is not None}
+            for prop, value in (known or {None: None}).items():
+                yield row("style", key, prop, value, f"{family}/{above}" if above else None)
+    times = lambda node, name: max(1, int(node.get(name) or 1))
+    for t, table in enumerate(root.every("table:table")):
+        at = 0
+        for c in table.every("table:table-column"):
+            yield row("column", f"{t}/{at}", "column_style", c.get("table:style-name"), str(t), c.get("table:default-cell-style-name"))
+            at += times(c, "table:number-columns-repeated")
+        r = 0
+        for tr in table.every("table:table-row"):
+            at = 0
+            for tc in tr.nodes("table:table-cell"):
+                n = times(tc, "table:number-columns-repeated")
+                yield row("cell", f"{t}/{r}/{at}", "times", str(n), tr.get("table:default-cell-style-name"), tc.get("table:style-name"))
+                at += n
+            r += times(tr, "table:number-rows-repeated")
+
+
+def formats(files: DataFrame, reader: Callable[[bytes], Iterator[dict]] = declared) -> DataFrame:
+    """DDL rows of each file (path, content), by declared() or open_declared(); a broken file gives one row with its error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    rows = list(declared(bytes(content) if content is not None else b""))
+                    rows = list(reader(bytes(content) if content is not None else b""))
                 except Exception as e:  # one damaged file costs only itself
                     rows = [{"error": getattr(e, "kind", None) or (str(e) if isinstance(e, ValueError) else "") or type(e).__name__}]
                 yield pd.DataFrame([{**dict.fromkeys(FIELDS), **r, "path": path} for r in rows], columns=FIELDS)
