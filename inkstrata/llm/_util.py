@@ -156,6 +156,33 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def partition_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The partition among parts to which a shuffle by a long column deals each key: its 32-bit Murmur3 hash, modulo parts."""
+    turn = lambda x, by: (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+    h = np.full(len(keys), 42, np.uint32)
+    for half in (keys & 0xFFFFFFFF, (keys >> 32) & 0xFFFFFFFF):
+        k = turn(half.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = turn(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(by)
+    return (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % parts
+
+
+def even_keys(n: int, parts: int) -> np.ndarray:
+    """n keys of which a shuffle into so many parts deals each as many as any other, or one less."""
+    wanted, tries = -(-n // parts), 8 * n + 64
+    while True:
+        keys = np.arange(tries, dtype=np.int64)
+        part = partition_of(keys, parts)
+        order = np.argsort(part, kind="stable")
+        rank = np.arange(tries) - np.searchsorted(part[order], part[order])  # of a key among those of its partition
+        if (np.bincount(part, minlength=parts) >= wanted).all():
+            kept = order[rank < wanted]
+            return keys[kept[np.argsort(rank[rank < wanted], kind="stable")]][:n]
+        tries *= 2
+
+
 def raw_text(text: str | None, lower: bool = True) -> np.ndarray:
     """A text as bytes, with A-Z in lower case (bytes.lower() touches nothing else)."""
     raw = (text or "").encode("utf-8", "surrogatepass")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import arrow_batch, arrow_rows, lean, mix64, packed, passing, raw_text, stored, unpacked, word_hashes
+from ._util import arrow_batch, arrow_rows, even_keys, lean, mix64, packed, passing, raw_text, stored, unpacked, word_hashes
 from .components import HOT_KEYS, components
 
 WIDTH = 3
@@ -134,8 +134,8 @@ LINK_DDL = "kind string, comp bigint, a bigint, b bigint, radius double, own bin
 class Screen:
     """Collects a task's documents into blocks of bounded size, and tells buckets of shingles which of them a block holds."""
 
-    def __init__(self, width: int, n_buckets: int, part: int, block_shingles: int):
-        self.width, self.n_buckets, self.room, self.block = width, n_buckets, block_shingles, part << 32
+    def __init__(self, width: int, buckets: np.ndarray, part: int, block_shingles: int):
+        self.width, self.buckets, self.n_buckets, self.room, self.block = width, buckets, len(buckets), block_shingles, part << 32
         self.ids: list[int | None] = []
         self.sets: list[np.ndarray] = []
         self.held = 0
@@ -159,11 +159,11 @@ class Screen:
         shared = np.bincount(owners[np.repeat(times > 1, times)], minlength=len(sizes)).astype(np.int64)
         keys, own = every[first], np.where(times > 1, np.uint16(OWNERS), owners[first])
         digests = np.array([digest(x) for x in self.sets], np.int64).reshape(-1, 2)
-        rows = [(self.block % self.n_buckets, self.block, self.ids, sizes.tobytes(), digests[:, 0].tobytes(), digests[:, 1].tobytes(), shared.tobytes(), None, None)]
+        rows = [(int(self.buckets[self.block % self.n_buckets]), self.block, self.ids, sizes.tobytes(), digests[:, 0].tobytes(), digests[:, 1].tobytes(), shared.tobytes(), None, None)]
         ends = np.searchsorted(((keys >> np.uint64(16)) * np.uint64(self.n_buckets)) >> np.uint64(32), np.arange(self.n_buckets + 1, dtype=np.uint64))
         for bucket in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
             cut = slice(ends[bucket], ends[bucket + 1])
-            rows.append((bucket, self.block, *[None] * 5, packed(keys[cut]), own[cut].tobytes()))
+            rows.append((int(self.buckets[bucket]), self.block, *[None] * 5, packed(keys[cut]), own[cut].tobytes()))
         yield arrow_batch(MESSAGE, list(zip(*rows, strict=True)))
         self.ids, self.sets, self.held, self.block = [], [], 0, self.block + 1
 
@@ -206,9 +206,11 @@ def screened(docs: DataFrame, width: int, bucket_bytes: int = BUCKET_BYTES, bloc
     """ROW_DDL of each document: size and digest of its set, and how many of its shingles another document has, too."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_buckets = max(1, -(-size // bucket_bytes))
+    parts = max(1, n_buckets // 8)
+    buckets = even_keys(n_buckets, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        screen = Screen(width, n_buckets, TaskContext.get().partitionId(), block_shingles)
+        screen = Screen(width, buckets, TaskContext.get().partitionId(), block_shingles)
         for batch in batches:
             for doc_id, text in arrow_rows(batch, "doc_id", "text"):
                 yield from screen.add(doc_id, text)
@@ -216,8 +218,7 @@ def screened(docs: DataFrame, width: int, bucket_bytes: int = BUCKET_BYTES, bloc
             yield from screen.flush()
 
     sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), MESSAGE_DDL)
-    # several buckets to a partition: their hashes would deal one each unevenly
-    answered = sent.repartition(max(1, n_buckets // 8), "bucket").groupBy("bucket").applyInPandas(_answered, MESSAGE_DDL)
+    answered = sent.repartition(parts, "bucket").groupBy("bucket").applyInPandas(_answered, MESSAGE_DDL)
     return answered.groupBy("block").applyInPandas(_rows_of, ROW_DDL)
 
 

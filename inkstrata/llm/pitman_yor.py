@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import arrow_batch, arrow_rows, hash_of, lean, mix64, packed, raw_text, stored, unpacked, word_hashes
+from ._util import arrow_batch, arrow_rows, even_keys, hash_of, lean, mix64, packed, raw_text, stored, unpacked, word_hashes
 
 BURN_IN, SAMPLES = 4, 4  # of Dense
 #: Exchanges with sweeps behind each; the last round's sweeps are the samples.
@@ -137,8 +137,8 @@ PAIRS_DDL = "bucket bigint, block bigint, ids array<bigint>, lengths binary, ws
 class Blocks:
     """Collects a task's documents into blocks, and packs each block's pairs by bucket: with training counts, or with the documents."""
 
-    def __init__(self, hot: np.ndarray, n_buckets: int, part: int, block_tokens: int, counts: bool):
-        self.hot, self.n_buckets, self.room, self.counts, self.block = hot, n_buckets, block_tokens, counts, part << 32
+    def __init__(self, hot: np.ndarray, buckets: np.ndarray, part: int, block_tokens: int, counts: bool):
+        self.hot, self.buckets, self.n_buckets, self.room, self.counts, self.block = hot, buckets, len(buckets), block_tokens, counts, part << 32
         self.clear()
 
     def clear(self) -> None:
@@ -178,7 +178,7 @@ class Blocks:
         word, context, times, doc = word[order], context[order], times[order], doc[each]
         ends = np.searchsorted(bucket[order], np.arange(self.n_buckets + 1))
         stops = np.concatenate(([0], np.cumsum(times)))
-        rows = [] if self.counts else [(self.block % self.n_buckets, self.block, self.ids, lengths.tobytes(), *[None] * 8)]
+        rows = [] if self.counts else [(int(self.buckets[self.block % self.n_buckets]), self.block, self.ids, lengths.tobytes(), *[None] * 8)]
         for b in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
             cut, inside = slice(ends[b], ends[b + 1]), slice(stops[ends[b]], stops[ends[b + 1]])
             own = word[cut]
@@ -187,24 +187,24 @@ class Blocks:
             packed_pairs = (packed(vocabulary[own[begins]]), thin(np.diff(np.append(begins, len(own)))), packed(vocabulary[others]), thin(ui))
             if self.counts:
                 ns = np.add.reduceat(learns[doc[inside]].astype(np.int64), stops[ends[b] : ends[b + 1]] - stops[ends[b]])
-                rows.append((b, self.block, None, None, *packed_pairs, thin(ns), None, None, None))
+                rows.append((int(self.buckets[b]), self.block, None, None, *packed_pairs, thin(ns), None, None, None))
             else:
-                rows.append((b, self.block, None, None, *packed_pairs, thin(times[cut]), doc[inside].astype(np.uint16).tobytes(), learns.tobytes(), None))
+                rows.append((int(self.buckets[b]), self.block, None, None, *packed_pairs, thin(times[cut]), doc[inside].astype(np.uint16).tobytes(), learns.tobytes(), None))
         yield arrow_batch(PAIRS, list(zip(*rows, strict=True)))
         self.clear()
         self.block += 1
 
 
-def _sent(docs: DataFrame, hot: np.ndarray, n_buckets: int, block_tokens: int, counts: bool) -> DataFrame:
+def _sent(docs: DataFrame, hot: np.ndarray, buckets: np.ndarray, block_tokens: int, counts: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = Blocks(hot, n_buckets, TaskContext.get().partitionId(), block_tokens, counts)
+        blocks = Blocks(hot, buckets, TaskContext.get().partitionId(), block_tokens, counts)
         for batch in batches:
             for doc_id, text, learns in arrow_rows(batch, "doc_id", "text", "learns"):
                 yield from blocks.add(doc_id, text, learns)
         if blocks.ids:
             yield from blocks.flush()
 
-    return docs.mapInArrow(lean(run), PAIRS_DDL).repartition(max(1, n_buckets // 4), "bucket")
+    return docs.mapInArrow(lean(run), PAIRS_DDL).repartition(len(buckets), "bucket")
 
 
 def _merged(rows: pd.DataFrame, words: np.ndarray | None = None, contexts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
@@ -256,20 +256,20 @@ def _counted(rows: pd.DataFrame) -> pd.DataFrame:
     return _framed(int(rows["bucket"].iloc[0]), state)
 
 
-def _exchanged(state: DataFrame, values: Callable[[dict[str, np.ndarray]], np.ndarray], n_buckets: int, n_values: int) -> DataFrame:
-    """(bucket, home, sums): for a bucket's contexts in order, the sums over all buckets of n_values numbers each (values: a row per number)."""
-    schema = pa.schema([("home", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("parts", pa.binary())])
+def _exchanged(state: DataFrame, values: Callable[[dict[str, np.ndarray]], np.ndarray], homes: np.ndarray, n_values: int) -> DataFrame:
+    """(bucket, place, sums): for a bucket's contexts in order, the sums over all buckets of n_values numbers each (values: a row per number)."""
+    schema = pa.schema([("home", pa.int64()), ("place", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("parts", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 own = _opened(row)
                 parts = values(own)
-                homes = ((own["uk"] >> np.uint64(16)) * np.uint64(n_buckets)) >> np.uint64(32)
-                ends = np.searchsorted(homes, np.arange(n_buckets + 1, dtype=np.uint64))
+                home = ((own["uk"] >> np.uint64(16)) * np.uint64(len(homes))) >> np.uint64(32)
+                ends = np.searchsorted(home, np.arange(len(homes) + 1, dtype=np.uint64))
                 filled = np.flatnonzero(ends[1:] > ends[:-1]).tolist()
                 if filled:
-                    sent = [(h, row["bucket"], packed(own["uk"][ends[h] : ends[h + 1]]), thin(parts[:, ends[h] : ends[h + 1]].ravel())) for h in filled]
+                    sent = [(int(homes[h]), h, row["bucket"], packed(own["uk"][ends[h] : ends[h + 1]]), thin(parts[:, ends[h] : ends[h + 1]].ravel())) for h in filled]
                     yield arrow_batch(schema, list(zip(*sent, strict=True)))
 
     def sum_up(rows: pd.DataFrame) -> pd.DataFrame:
@@ -278,14 +278,14 @@ def _exchanged(state: DataFrame, values: Callable[[dict[str, np.ndarray]], np.nd
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.stack([np.bincount(place, p).astype(np.int64)[place] for p in parts])
         cuts = np.cumsum([len(k) for k in keys])[:-1]
-        return pd.DataFrame({"bucket": rows["bucket"], "home": rows["home"], "sums": [thin(x.ravel()) for x in np.split(sums, cuts, axis=1)]})
+        return pd.DataFrame({"bucket": rows["bucket"], "place": rows["place"], "sums": [thin(x.ravel()) for x in np.split(sums, cuts, axis=1)]})
 
-    sent = state.mapInArrow(lean(send), "home bigint, bucket bigint, keys binary, parts binary").repartition(max(1, n_buckets // 4), "home")
-    return sent.groupBy("home").applyInPandas(sum_up, "bucket bigint, home bigint, sums binary")
+    sent = state.mapInArrow(lean(send), "home bigint, place bigint, bucket bigint, keys binary, parts binary").repartition(len(homes), "home")
+    return sent.groupBy("home").applyInPandas(sum_up, "bucket bigint, place bigint, sums binary")
 
 
 def _sums(rows: pd.DataFrame, n_values: int) -> np.ndarray:
-    each = [thick(x).reshape(n_values, -1) for x in rows.sort_values("home")["sums"]]
+    each = [thick(x).reshape(n_values, -1) for x in rows.sort_values("place")["sums"]]
     return np.concatenate([np.zeros((n_values, 0), np.int64), *each], axis=1)
 
 
@@ -358,8 +358,9 @@ def scored(
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("learns", F.coalesce(F.expr(learns), F.lit(False)))
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n_buckets, block_tokens = max(1, -(-size // bucket_chars)), max(1, block_chars // 7)
+    buckets = even_keys(n_buckets, n_buckets)  # one to a partition
     hot = _hot_words(docs, learns)
-    state = stored(_sent(docs, hot, n_buckets, block_tokens, True).groupBy("bucket").applyInPandas(_counted, STATE_DDL), "lm-state")
+    state = stored(_sent(docs, hot, buckets, block_tokens, True).groupBy("bucket").applyInPandas(_counted, STATE_DDL), "lm-state")
     _freed(spark)
     frequent, others = _world(state, hot, 2, lambda own: np.stack((own["n"], np.minimum(own["n"], 1))))
     total, distinct = others[0] + sum(v[0] for v in frequent.values()), others[1] + sum(v[0] > 0 for v in frequent.values())
@@ -413,7 +414,7 @@ def scored(
 
     for round_ in range(ROUNDS):
         contexts_of = lambda own: (own["su"] + np.bincount(own["ci"], own["t"], len(own["uk"])).astype(np.int64))[None, :]
-        replies = _exchanged(state, contexts_of, n_buckets, 1)
+        replies = _exchanged(state, contexts_of, buckets, 1)
         new = stored(state.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(sampler(round_, *parent_of(state)), STATE_DDL), "lm-state")
         _dropped(state)
         _freed(spark)
@@ -426,7 +427,7 @@ def scored(
     hot_tables = np.stack([hot_tables_of(hot_tops[:, k], rest[SWEEPS + k], 1 + k) for k in range(SWEEPS)], 1)
     seats = strength + rest[:SWEEPS] + hot_tops.sum(0)
     opens = (strength + discount * (rest[SWEEPS:] + hot_tables.sum(0))) * base
-    replies = _exchanged(state, lambda own: np.concatenate((own["cu"][None, :], own["tus"].reshape(SWEEPS, -1))), n_buckets, 1 + SWEEPS)
+    replies = _exchanged(state, lambda own: np.concatenate((own["cu"][None, :], own["tus"].reshape(SWEEPS, -1))), buckets, 1 + SWEEPS)
 
     def settle(mine: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         own, sums = _opened(mine.iloc[0]), _sums(found, 1 + SWEEPS)
@@ -469,7 +470,7 @@ def scored(
                 out.append((bucket, block, *[None] * 9, sums.tobytes()))
         return pd.DataFrame(out, columns=PAIRS.names)
 
-    parts = _sent(docs, hot, n_buckets, block_tokens, False).groupBy("bucket").cogroup(final.groupBy("bucket")).applyInPandas(score, PAIRS_DDL)
+    parts = _sent(docs, hot, buckets, block_tokens, False).groupBy("bucket").cogroup(final.groupBy("bucket")).applyInPandas(score, PAIRS_DDL)
 
     def add_up(rows: pd.DataFrame) -> pd.DataFrame:
         mine = rows["ids"].notna()

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkstrata.llm import components, jaccard_join, kdtree_search, mixing, packing, warc
+from inkstrata.llm._util import even_keys, partition_of
 from inkstrata.llm.queries import tokenizer_path
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -346,6 +347,15 @@ def test_screen_counts_what_others_share(spark, block, bucket):
     assert jaccard_join.screened(documents(spark, []), 3).count() == 0
 
 
+@pytest.mark.parametrize("n,parts", [(1, 1), (7, 7), (50, 6), (300, 300)])
+def test_keys_are_dealt_evenly(spark, n, parts):
+    keys = even_keys(n, parts)
+    assert len(set(keys.tolist())) == n
+    rows = spark.createDataFrame([(int(k),) for k in keys], "k bigint").repartition(parts, "k").select("k", F.spark_partition_id().alias("p")).collect()
+    assert {r.k: r.p for r in rows} == dict(zip(keys.tolist(), partition_of(keys, parts).tolist(), strict=True))
+    assert max(collections.Counter(r.p for r in rows).values()) == -(-n // parts)
+
+
 def test_packed_keys_round_trip():
     rng = np.random.default_rng(3)
     for n in (0, 1, 1000):
