@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from ..functions import highlight, scripts, styles, text, units
 from ..operators import layout, sequences, tables
 from ..operators import units as text_units
+from ..operators.written import written
 from ..sources import archive, docx, encoding, hwp, kinds, markdown, odt, pictures, properties
 from . import extract, fixtures, sinks
 from .catalogue import query, t
@@ -116,6 +117,7 @@ def _order_tables(spark: SparkSession, sf_dir: str, ext: str, build: fixtures.Bu
 
 def _cells(blocks: DataFrame) -> DataFrame:
     """Each cell with the text of its first block."""
+    blocks = written(blocks, "blocks")
     cells = blocks.where("kind = 'cell'").select("path", "block_id", "row", "col", "row_span", "col_span")
     inner = blocks.where("kind = 'paragraph' and table_id is not null").select(F.col("path").alias("p"), (F.col("block_id") - 1).alias("b"), F.array_join(F.transform("spans", lambda s: s["text"]), "").alias("text"))
     heads = blocks.where("kind = 'table'").select(F.col("path").alias("h"), "header_rows")
@@ -335,7 +337,7 @@ def image_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH p AS (SELECT *, p_partkey % 4 AS k FROM part)
 SELECT p_partkey, CASE k WHEN 0 THEN 'Brand A' WHEN 1 THEN 'B, c' WHEN 2 THEN NULL ELSE p_name END AS family, CAST(CASE WHEN p_size % 3 = 0 THEN p_size / 2.0 WHEN k = 0 THEN 10.0 ELSE 11.0 END AS DOUBLE) AS body_size,
        CASE k WHEN 0 THEN '/home/u/' || p_size WHEN 1 THEN '/' || p_size WHEN 2 THEN '/d/' || p_size ELSE '/d/./' || p_size END AS path,
-       CASE k WHEN 0 THEN 'middle' WHEN 1 THEN 'bottom' WHEN 2 THEN 'top' END AS valign, CAST(CASE WHEN p_size BETWEEN 1 AND 50 THEN 400.0 * p_size / 50 ELSE 30.0 END AS DOUBLE) AS graphic_width,
+       CASE k WHEN 0 THEN 'middle' WHEN 1 THEN 'bottom' WHEN 2 THEN 'top' END AS valign, CASE WHEN p_size BETWEEN 1 AND 50 THEN CAST(400 AS DOUBLE) * (CAST(p_size AS DOUBLE) * 200 / CAST(10000 AS DOUBLE)) ELSE CAST(30 AS DOUBLE) END AS graphic_width,
        CAST(CASE WHEN k = 0 THEN 720.0 + p_size ELSE 800.0 - 12 - p_size END AS DOUBLE) AS foot_y, CASE WHEN p_size < 20 THEN CAST(p_size AS DOUBLE) END AS head_distance,
        CASE k WHEN 0 THEN 'Latn' WHEN 1 THEN 'Hang' WHEN 2 THEN 'Jpan' END AS theme_tag, CASE k WHEN 0 THEN 'script' WHEN 1 THEN 'slot' ELSE 'latin' END AS theme_font, k = 1 AS full_render
 FROM p

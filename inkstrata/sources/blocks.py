@@ -5,17 +5,17 @@ A block in a cell names its table, row and col; ord is its place among its sibli
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 SPAN = "struct<text:string,bold:boolean,italic:boolean,underline:boolean,strikethrough:boolean,superscript:boolean,subscript:boolean,code:boolean,link:string,bookmarks:array<string>,comment_ids:array<string>,color:string,size:double,font:string,page_field:string>"
 SPAN_FIELDS = [f.split(":")[0] for f in SPAN.removeprefix("struct<").removesuffix(">").split(",")]
 BLOCK_DDL = f"path string, block_id int, table_id int, row int, col int, kind string, level int, ordered boolean, marker string, ref string, row_span int, col_span int, header_rows int, width double, height double, spans array<{SPAN}>, error string"
-FIELDS = [c.strip().split(" ")[0] for c in BLOCK_DDL.split("spans array")[0].rstrip(", ").split(",")] + ["spans", "error"]
-_INTS = ["block_id", "table_id", "row", "col", "level", "row_span", "col_span", "header_rows"]
 
 
 def span(text: str, **marks: object) -> dict:
@@ -111,26 +111,54 @@ def repeated(blocks: DataFrame) -> DataFrame:
     return rows.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in blocks.columns if c not in REPEATS])
 
 
-def read_with(files: DataFrame, reader: Callable[[bytes], list[dict]], repeats: bool = False) -> DataFrame:
-    """BLOCK_DDL rows of each file (path, content); a file that can't be read, for whatever reason, gives one row with its error.
+#: Rows that are handed on at once.
+HELD_ROWS = 4_096
+
+
+def failure(e: Exception) -> str:
+    """What a row says of a file that can't be read: the error's kind, a reader's own message, else the error's name."""
+    return getattr(e, "kind", None) or (str(e) if isinstance(e, ValueError) else "") or type(e).__name__
 
-    repeats: the reader's rows may have the fields REPEATS.
-    """
-    fields, ints = (FIELDS + REPEATS, _INTS + REPEATS) if repeats else (FIELDS, _INTS)
 
-    def framed(path: str, rows: list[dict]) -> pd.DataFrame:
-        frame = pd.DataFrame([{**dict.fromkeys(fields), **r, "path": path} for r in rows], columns=fields)
-        return frame.astype({c: "Int32" for c in ints}).astype({"width": "float64", "height": "float64"})
+def rows_of(files: DataFrame, columns: list[str], ddl: str, reader: Callable[..., Iterable[dict]]) -> DataFrame:
+    """ddl rows (with path and error) of each file from reader(values of columns); a null content counts as empty. A file that can't be
+    read, for whatever reason, gives one row with its error: damaged files come in every shape, and one of them must not end the job."""
+    kind = StructType.fromDDL(ddl)
+    schema = to_arrow_schema(kind)
+    blank = dict.fromkeys(kind.names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def table(held: list[tuple[str, list[dict]]]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from pa.Table.from_pylist([{**blank, **r, "path": path} for path, rows in held for r in rows], schema).to_batches(HELD_ROWS)
+        except Exception as e:  # a value of another type than its column's: which file has it?
+            if len(held) > 1:
+                for one in held:
+                    yield from table([one])
+            else:
+                yield pa.RecordBatch.from_pylist([{**blank, "path": held[0][0], "error": failure(e)}], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, list[dict]]] = []
+        size = 0
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    frame = framed(path, reader(bytes(content) if content is not None else b""))
-                except Exception as e:  # damaged files come in every shape; one of them must not end the job
-                    frame = framed(path, [{"error": getattr(e, "kind", None) or (str(e) if isinstance(e, ValueError) else "") or type(e).__name__}])
-                yield frame
+                    rows = list(reader(*(b"" if v is None else v for v in values)))
+                except Exception as e:
+                    rows = [{"error": failure(e)}]
+                held.append((path, rows))
+                size += len(rows)
+                if size >= HELD_ROWS:
+                    yield from table(held)
+                    held, size = [], 0
+        if size:
+            yield from table(held)
+
+    return files.select("path", *columns).mapInArrow(run, ddl)
 
+
+def read_with(files: DataFrame, reader: Callable[[bytes], list[dict]], repeats: bool = False) -> DataFrame:
+    """BLOCK_DDL rows of each file (path, content). repeats: the reader's rows may have the fields REPEATS."""
     ddl = BLOCK_DDL + "".join(f", {c} int" for c in REPEATS) if repeats else BLOCK_DDL
-    out = files.select("path", "content").mapInPandas(run, ddl)
+    out = rows_of(files, ["content"], ddl, reader)
     return repeated(out) if repeats else out

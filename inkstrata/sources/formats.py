@@ -9,15 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from .archive import Archive
+from .blocks import rows_of
 from .docx import on
 from .xml import Node, parsed
 
 DDL = "path string, scope string, id string, parent string, style string, prop string, value string, error string"
-FIELDS = [c.split(" ")[0] for c in DDL.split(", ")]
 FONT_SLOTS = {"ascii": ("w:asciiTheme",), "hAnsi": ("w:hAnsiTheme",), "eastAsia": ("w:eastAsiaTheme",), "cs": ("w:cstheme", "w:csTheme")}
 EDGES = ("top", "left", "bottom", "right", "insideH", "insideV")
 
@@ -230,14 +229,4 @@ def open_declared(data: bytes) -> Iterator[dict]:
 
 def formats(files: DataFrame, reader: Callable[[bytes], Iterator[dict]] = declared) -> DataFrame:
     """DDL rows of each file (path, content), by declared() or open_declared(); a broken file gives one row with its error."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    rows = list(reader(bytes(content) if content is not None else b""))
-                except Exception as e:  # one damaged file costs only itself
-                    rows = [{"error": getattr(e, "kind", None) or (str(e) if isinstance(e, ValueError) else "") or type(e).__name__}]
-                yield pd.DataFrame([{**dict.fromkeys(FIELDS), **r, "path": path} for r in rows], columns=FIELDS)
-
-    return files.select("path", "content").mapInPandas(run, DDL)
+    return rows_of(files, ["content"], DDL, reader)

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from .archive import Archive
+from .blocks import rows_of
 from .docx import number
 from .hwp import running_heads
 from .xml import Node, parsed
 
 DDL = "path string, kind string, id string, author string, date_iso string, text string, number int, applies string, name string, value double, error string"
-FIELDS = [c.split(" ")[0] for c in DDL.split(", ")]
 # How pages name their running heads.
 ODT_HEADS = {"style:header": ("header", "default"), "style:header-first": ("header", "first"), "style:header-left": ("header", "even"), "style:footer": ("footer", "default"), "style:footer-first": ("footer", "first"), "style:footer-left": ("footer", "even")}
 ODT_UNITS = {"cm": 72 / 2.54, "mm": 72 / 25.4, "in": 72.0, "pt": 1.0, "pc": 12.0, "px": 0.75}
@@ -118,17 +117,9 @@ def open_document(data: bytes) -> Iterator[dict]:
     yield {"kind": "page", "name": "default_size", "value": (odf_points(own.get("fo:font-size")) if own is not None else None) or 11.0}
 
 
+READERS = {"odt": open_document, "hwp": running_heads, "hwpx": running_heads}
+
+
 def properties(files: DataFrame) -> DataFrame:
     """DDL rows of each office file (path, ext, content); a broken file gives one row with its error."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, ext, content in zip(batch["path"], batch["ext"], batch["content"], strict=True):
-                try:
-                    rows = list({"odt": open_document, "hwp": running_heads, "hwpx": running_heads}.get(ext, word)(bytes(content) if content is not None else b""))
-                except Exception as e:  # as the readers: one damaged file costs only itself
-                    rows = [{"error": getattr(e, "kind", None) or (str(e) if isinstance(e, ValueError) else "") or type(e).__name__}]
-                frame = pd.DataFrame([{**dict.fromkeys(FIELDS), **r, "path": path} for r in rows], columns=FIELDS)
-                yield frame.astype({"number": "Int32", "value": "float64"})
-
-    return files.select("path", "ext", "content").mapInPandas(run, DDL)
+    return rows_of(files, ["ext", "content"], DDL, lambda ext, content: READERS.get(ext, word)(content))
