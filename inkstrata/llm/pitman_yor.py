@@ -158,25 +158,38 @@ class Blocks:
     def flush(self) -> Iterator[pa.RecordBatch]:
         lengths = np.array([len(x) for x in self.texts], np.int64)
         learns = np.array(self.learns, np.uint8)
-        vocabulary, place = np.unique(np.concatenate([*self.texts, [START]]), return_inverse=True)
-        word, begin = place[:-1].astype(np.int64), np.cumsum(lengths) - lengths
+        every = np.concatenate([*self.texts, [START]])
+        self.texts = []
+        vocabulary, place = np.unique(every, return_inverse=True)
+        del every
+        start, begin, size = int(place[-1]), np.cumsum(lengths) - lengths, len(vocabulary)
+        word = place[:-1].astype(np.int64)
         context = np.concatenate(([0], word[:-1]))
-        context[begin] = place[-1]
-        doc, size = np.repeat(np.arange(len(lengths)), lengths), len(vocabulary)
+        context[begin] = start
+        del place
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        word *= size
+        word += context
+        del context
         if size < 1 << 23:
-            ranked = np.sort((word * size + context) << 16 | doc)
-            pair, doc = ranked >> 16, ranked & 0xFFFF
+            word <<= 16
+            word |= doc
+            word.sort()
+            pair, doc = word >> 16, (word & 0xFFFF).astype(np.uint16)
         else:
-            order = np.lexsort((doc, context, word))
-            pair, doc = (word * size + context)[order], doc[order]
+            order = np.lexsort((doc, word))
+            pair, doc = word[order], doc[order].astype(np.uint16)
+        del word
         first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
         times, (word, context) = np.diff(np.append(first, len(pair))), np.divmod(pair[first], size)
+        del pair, first
         route, is_hot = mix64(vocabulary)[word], np.isin(vocabulary, self.hot)[word]
         route[is_hot] = mix64(route[is_hot] + mix64(vocabulary[context[is_hot]]) * np.uint64(0x9E3779B97F4A7C15))
         bucket = (((route >> np.uint64(32)) * np.uint64(self.n_buckets)) >> np.uint64(32)).astype(np.int64)
         order, each = np.argsort(bucket, kind="stable"), np.argsort(np.repeat(bucket, times), kind="stable")
         word, context, times, doc = word[order], context[order], times[order], doc[each]
         ends = np.searchsorted(bucket[order], np.arange(self.n_buckets + 1))
+        del route, is_hot, bucket, order, each
         stops = np.concatenate(([0], np.cumsum(times)))
         rows = [] if self.counts else [(int(self.buckets[self.block % self.n_buckets]), self.block, self.ids, lengths.tobytes(), *[None] * 8)]
         for b in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
@@ -189,7 +202,7 @@ class Blocks:
                 ns = np.add.reduceat(learns[doc[inside]].astype(np.int64), stops[ends[b] : ends[b + 1]] - stops[ends[b]])
                 rows.append((int(self.buckets[b]), self.block, None, None, *packed_pairs, thin(ns), None, None, None))
             else:
-                rows.append((int(self.buckets[b]), self.block, None, None, *packed_pairs, thin(times[cut]), doc[inside].astype(np.uint16).tobytes(), learns.tobytes(), None))
+                rows.append((int(self.buckets[b]), self.block, None, None, *packed_pairs, thin(times[cut]), doc[inside].tobytes(), learns.tobytes(), None))
         yield arrow_batch(PAIRS, list(zip(*rows, strict=True)))
         self.clear()
         self.block += 1
@@ -448,8 +461,8 @@ def scored(
             cuts = np.cumsum(sizes)[:-1]
             times, docs_of, learned = [thick(x) for x in rows["ns"]], [np.frombuffer(x, np.uint16) for x in rows["docs"]], [np.frombuffer(x, np.uint8) for x in rows["learns"]]
             n = np.concatenate([np.add.reduceat(flags[d].astype(np.int64), np.cumsum(m) - m) for m, d, flags in zip(times, docs_of, learned, strict=True)])
-            code = word * len(contexts) + context
-            distinct_codes, c, place = _totals(code, n)
+            distinct_codes, c, place = _totals(word * len(contexts) + context, n)
+            del context, n
             tables = np.minimum(c, 1) * SWEEPS
             cells = own["cw"] * len(contexts) + own["ci"]
             tables[np.searchsorted(distinct_codes, cells)] = own["tsum"]
