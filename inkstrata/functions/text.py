@@ -150,16 +150,6 @@ def next_line(text: Column, at: Column) -> Column:
     return F.when(at != end, end).when(end >= F.length(text), end).otherwise(line_end(text, end + 1))
 
 
-def sentence_step(starts: Column, at: Column, length: Column) -> Column:
-    """A struct (start, next) from the sentences' sorted starts: where the sentence that holds a place begins (from a start: the one
-    before), and where the next begins (none: the text's end)."""
-    place = F.greatest(F.lit(0), F.least(at, length))
-    before = F.filter(starts, lambda s: s < place)
-    upto = F.filter(starts, lambda s: s <= place)
-    first = F.coalesce(F.when(F.array_contains(starts, place), F.coalesce(F.get(before, F.size(before) - 1), F.get(starts, F.lit(0)))), F.get(upto, F.size(upto) - 1), F.lit(0))
-    return F.struct(first.alias("start"), F.coalesce(F.get(F.filter(starts, lambda s: s > place), F.lit(0)), length).alias("next"))
-
-
 def artifact_key(source: Column, version: str) -> Column:
     """The key of a rendered artifact: SHA-256 of source, a bar and the renderer's version."""
     return F.sha2(F.concat_ws("|", source, F.lit(version)), 256)

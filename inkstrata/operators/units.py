@@ -7,6 +7,7 @@ or put in order again. A null text has no units.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -94,6 +95,32 @@ def units(rows: DataFrame, text: str, cut: Cut, names: tuple[str, str, str, str]
     return rows.select(*[f.name for f in own], text).mapInArrow(run, T.StructType([*own, *fields]))
 
 
+def steps(rows: DataFrame, text: str, at: str, cut: Cut) -> DataFrame:
+    """rows without the text, with unit_start and next_start: where the unit that holds the place at begins (from a unit's start: the one
+    before), and where the next one does (none: the text's end). A place beyond the text is its end. Null texts drop out."""
+    own = [f for f in rows.schema.fields if f.name != text]
+    schema = T.StructType([*own, T.StructField("unit_start", T.LongType()), T.StructField("next_start", T.LongType())])
+    names = [f.name for f in own]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, first, following = [], [], []
+            for i, (value, place) in enumerate(zip(batch.column(len(own)).to_pylist(), batch.column(names.index(at)).to_pylist(), strict=True)):
+                if value is None:
+                    continue
+                starts, size = [u[0] for u in cut(value)] or [0], width(value)
+                place = max(0, min(place, size))
+                behind = bisect(starts, place)
+                here = behind - 1
+                places.append(i)
+                first.append(starts[max(0, here - 1 if starts[here] == place else here)])
+                following.append(starts[behind] if behind < len(starts) else size)
+            kept = [batch.column(k).take(pa.array(places, pa.int64())) for k in range(len(own))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(first, pa.int64()), pa.array(following, pa.int64())], names=[f.name for f in schema.fields])
+
+    return rows.select(*names, text).mapInArrow(run, schema)
+
+
 def char_counts(rows: DataFrame, text: str, char: str = "ch") -> DataFrame:
     """rows' other columns, char and n: how often each character stands in the texts of equal other columns. Counted per batch before
     anything is shuffled."""

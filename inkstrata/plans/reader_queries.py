@@ -309,13 +309,10 @@ SELECT doc_id, CAST(CASE WHEN list_contains(starts, a) THEN coalesce(list_max(li
 """)
 def sentence_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence around a place in a text, and where the next begins."""
-    rows = t(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
-    found = text_units.units(rows, "text", text_units.stretches(text_units.SENTENCE), ("unit", "start", "len", "piece"), keep_text=False)
-    starts = found.groupBy(F.col("doc_id").alias("d")).agg(F.array_sort(F.collect_list(F.col("start").cast("int"))).alias("starts"))
-    joined = rows.join(starts, F.col("doc_id") == F.col("d"), "left").withColumn("starts", F.coalesce("starts", F.array(F.lit(0))))
     at = ((F.col("doc_id") * 53) % (F.length("text") + 5)).cast("int")
-    step = text.sentence_step(F.col("starts"), at, F.length("text"))
-    return joined.select("doc_id", step["start"].cast("int").alias("sentence_start"), step["next"].cast("int").alias("next_start"))
+    rows = t(spark, sf_dir, "documents").where("text is not null").select("doc_id", at.alias("at"), "text")
+    found = text_units.steps(rows, "text", "at", text_units.stretches(text_units.SENTENCE))
+    return found.select("doc_id", F.col("unit_start").cast("int").alias("sentence_start"), F.col("next_start").cast("int").alias("next_start"))
 
 
 @query("""

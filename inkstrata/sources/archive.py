@@ -6,9 +6,10 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .blocks import rows_of
+
 #: Declared sizes beyond this are refused before anything is inflated.
 MAX_ENTRY = 512 << 20
 
@@ -84,21 +85,17 @@ def parts(files: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     An archive or entry that can't be read gives a row with its error kind and no content.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, data in zip(batch["path"], batch["content"], strict=True):
-                rows = []
+    def entries(content: bytes) -> Iterator[dict]:
+        try:
+            archive = Archive(content)
+        except Exception as e:  # a directory may be damaged in any way
+            yield {"error_kind": getattr(e, "kind", "truncated")}
+            return
+        for i, name in enumerate(archive.entries):
+            if wanted is None or name in wanted:
                 try:
-                    archive = Archive(bytes(data) if data is not None else b"")
-                    for i, name in enumerate(archive.entries):
-                        if wanted is None or name in wanted:
-                            try:
-                                rows.append((path, i, name, archive.read(name), None))
-                            except ArchiveError as e:
-                                rows.append((path, i, name, None, e.kind))
-                except Exception as e:  # a directory may be damaged in any way
-                    rows.append((path, None, None, None, getattr(e, "kind", "truncated")))
-                frame = pd.DataFrame(rows, columns=["path", "ord", "part", "content", "error_kind"])
-                yield frame.assign(ord=frame["ord"].astype("Int32"))
-
-    return files.select("path", "content").mapInPandas(run, PART_DDL)
+                    yield {"ord": i, "part": name, "content": archive.read(name)}
+                except ArchiveError as e:
+                    yield {"ord": i, "part": name, "error_kind": e.kind}
+
+    return rows_of(files, ["content"], PART_DDL, entries)
