@@ -41,16 +41,26 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts the lineage and outlives lost executors. The table goes
-    when the session's JVM ends."""
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Writes df as a table in the shared folder and reads it back: cuts the lineage and outlives lost executors. Gives the table's
+    path as well, for discarded(); what is left goes when the session's JVM ends."""
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    return stored_at(df, name)[0]
+
+
+def discarded(spark: SparkSession, path: str) -> None:
+    """Deletes a table of stored_at(), once nothing reads it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def passing(docs: DataFrame, names: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:

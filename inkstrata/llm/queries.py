@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, kdtree_search, language_id, license_scan, mixing, packing, pitman_yor, quality_rules, toxicity, warc
+from . import ball_kmeans, cross_polytope, jaccard_join, kdtree_search, language_id, license_scan, mixing, packing, pitman_yor, quality_rules, suffix_sigma, toxicity, warc
 from ._util import fold, table
 
 
@@ -135,6 +135,62 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", predicted.alias("predicted"), "spans")
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ball_kmeans.kept_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", size=64, scale=1024)
+    return ball_kmeans.clustered(vectors, size=64, k=8, rounds=10, seed=3)
+
+
+def _op11_sql(k: int = 8, rounds: int = 10) -> str:
+    """A step per round: every vector's nearest centroid, then every centroid's floored mean."""
+    steps = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c, v AS m FROM v QUALIFY c < {k})",
+    ]
+    for i in range(rounds + 1):
+        d = "CAST(list_sum(list_transform(list_zip(v.v, c.m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+        steps.append(f"a{i} AS MATERIALIZED (SELECT rid, vec_id, v, c, d FROM (SELECT rid, vec_id, v.v, c.c, {d} AS d FROM v CROSS JOIN c{i} AS c) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)")
+        if i < rounds:
+            steps += [
+                f"u{i} AS (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM a{i})",
+                f"m{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY p) AS m FROM (SELECT c, p, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM u{i} GROUP BY c, p) GROUP BY c)",
+                f"c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(m{i}.m, c.m) AS m FROM c{i} AS c LEFT JOIN m{i} ON m{i}.c = c.c)",
+            ]
+    return f"""WITH {", ".join(steps)}
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.m, ',')) AS centroid_sha256
+FROM a{rounds} AS a JOIN c{rounds} AS c ON c.c = a.c"""
+
+
+def op12_suffix_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_sigma.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) AS phrase FROM w CROSS JOIN (VALUES (1), (2), (3), (4)) AS t(k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+s AS (SELECT c.lang, c.a, array_to_string(list_slice(c.w, i, i + m - 1), ' ') AS inner_ FROM c CROSS JOIN (VALUES (2), (3)) AS t(m) CROSS JOIN (VALUES (1), (2), (3)) AS u(i) WHERE m < c.k AND i + m - 1 <= c.k),
+o AS (SELECT lang, inner_, max(a) AS longer FROM s GROUP BY ALL),
+x AS (SELECT c.lang, c.phrase, c.a, j, l.f AS l, r.f AS r, CAST(floor_div AS BIGINT) AS score
+      FROM (SELECT c.*, t.j, array_to_string(c.w[1:t.j], ' ') AS lp, array_to_string(c.w[t.j + 1:], ' ') AS rp FROM c CROSS JOIN (VALUES (1), (2), (3)) AS t(j) WHERE t.j < c.k) AS c
+      JOIN f AS l ON l.lang = c.lang AND l.k = c.j AND l.phrase = c.lp JOIN f AS r ON r.lang = c.lang AND r.k = c.k - c.j AND r.phrase = c.rp,
+      LATERAL (SELECT (CAST(2000000 AS HUGEINT) * c.a) // (CAST(l.f AS HUGEINT) + r.f) AS floor_div)),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, n.n, b.score
+FROM b JOIN n ON n.lang = b.lang LEFT JOIN o ON o.lang = b.lang AND o.inner_ = b.phrase
+WHERE o.longer IS NULL OR 100 * o.longer < 80 * b.a QUALIFY rank <= 2000
+"""
+
+
+def op13_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = cross_polytope.vectors_of(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return cross_polytope.nearest(vectors, "vec_id % 100 = 0", k=10)
+
+
 OP3_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
@@ -166,5 +222,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op11_ball_kmeans": op11_ball_kmeans,
+    "op12_suffix_sigma": op12_suffix_sigma,
+    "op13_cross_polytope": op13_cross_polytope,
 }
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_source_mixing": OP4_SQL, "op7_warc": OP7_SQL, "op8_exact_top_k": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_source_mixing": OP4_SQL, "op7_warc": OP7_SQL, "op8_exact_top_k": OP8_SQL, "op11_ball_kmeans": _op11_sql(), "op12_suffix_sigma": OP12_SQL}
