@@ -272,6 +272,11 @@ def _keyed(lang: Column, phrase: Column) -> Column:
     return F.concat(F.length(lang).cast("string"), F.lit(":"), lang, phrase)  # no two (lang, phrase) share it
 
 
+def score() -> Column:
+    """floor(2000000 * a / (l + r)) of longs whose product passes 64 bits."""
+    return F.expr("cast(cast(2000000 as decimal(18,0)) * cast(a as decimal(20,0)) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0))) as bigint)")
+
+
 def collocations(docs: DataFrame, max_n: int = 4, least: int = 30, top: int = 2000, absorb: int = 80) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's best phrases of 2 to max_n words. docs: lang and text."""
     spark = docs.sparkSession
@@ -301,8 +306,7 @@ def collocations(docs: DataFrame, max_n: int = 4, least: int = 30, top: int = 20
         one, one_at = stored_at(asked.join(counts, F.col(side) == F.col("c")).select("c", "n", F.col("f").alias(name)), f"parts-{name}")
         cuts = joined_to_one(cuts, side, one, n_cuts).drop("c", side)
         paths.append(one_at)
-    score = F.expr("cast(floor(cast(2000000 as decimal(18,0)) * cast(a as decimal(20,0)) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))) as bigint)")
-    best = cuts.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+    best = cuts.withColumn("score", score()).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     best = best.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     first = best.withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("place") <= top)
