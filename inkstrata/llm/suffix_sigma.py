@@ -31,7 +31,7 @@ from .components import joined_to_one
 
 UND = "und"
 #: Bytes of text that a task merges at once.
-CUT = 12 << 20
+CUT = 4 << 20
 #: Bytes of text of a range, and ranges at most (they stream, so a larger one takes time, not memory).
 RANGE_BYTES, RANGES = 8 << 20, 20_000
 #: Documents and suffixes of the sample that sets the ranges' borders.

@@ -116,7 +116,7 @@ def worded(seed, n):
     return docs + [(None, None), ("en", ""), ("en", " ,. \t"), ("en", "hot pair " * 300), ("en", "hot pair " * 300), ("fr", "one")]
 
 
-@pytest.mark.parametrize("cut", [400, 12 << 20])
+@pytest.mark.parametrize("cut", [400, 4 << 20])
 def test_collocations_equal_brute_force(spark, monkeypatch, cut):
     monkeypatch.setattr(suffix_sigma, "CUT", cut)  # small: texts are cut, merged in many turns
     docs = worded(3, 150)
