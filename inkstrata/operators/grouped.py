@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.types import DataType, StructField, StructType
 
 OUT = 8192
 
@@ -19,7 +21,7 @@ def stream_groups(rows: DataFrame, keys: list[str], order: list[str], work: Call
     at = [rows.columns.index(k) for k in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, out, names = None, [], [], [c.strip().split(" ")[0] for c in ddl.split(",")]
+        key, held, out, names = None, [], [], schema.names
 
         def flushed() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out, strict=True)), strict=True)), schema=schema)
@@ -41,8 +43,28 @@ def stream_groups(rows: DataFrame, keys: list[str], order: list[str], work: Call
         if out:
             yield flushed()
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     schema = to_arrow_schema(StructType.fromDDL(ddl))
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, ddl)
+
+
+def scan_groups(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str], start: Callable[[], Callable], name: str, kind: DataType) -> DataFrame:
+    """rows with a column more: what the group's step, made by start(), says of each row's inputs in order.
+
+    Only the step's own state is held, so groups of any size stream; all other columns pass as they are.
+    """
+    at, read = [rows.columns.index(k) for k in keys], [rows.columns.index(c) for c in inputs]
+    out = StructType([*rows.schema.fields, StructField(name, kind)])
+    arrow = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, step = None, None
+        for batch in batches:
+            said = []
+            keyed, given = (zip(*(batch.column(i).to_pylist() for i in which), strict=True) for which in (at, read))
+            for mine, values in zip(keyed, given, strict=True):
+                if step is None or mine != key:
+                    key, step = mine, start()
+                said.append(step(*values))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, arrow)], names=[*batch.schema.names, name])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)

@@ -5,25 +5,72 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequences import as_of, style_values
+from . import chains
+from .sequences import as_of
 
 
 def resolved_formats(declared: DataFrame) -> DataFrame:
     """path, id, prop, value of every paragraph: its own declaration, else the nearest up its style's chain, else the default.
 
-    declared: sources.formats rows. All properties are resolved together, in long form.
+    declared: sources.formats rows. A document's sheet is resolved in one pass, and a paragraph meets its style's values as one map.
     """
-    key = lambda c: F.concat_ws("\n", "path", c)
-    sheet = declared.where("scope = 'style'")
-    styles = sheet.groupBy(key("id").alias("style")).agg(F.max(F.when(F.col("parent").isNotNull(), key("parent"))).alias("parent"))
-    chain = style_values(styles, sheet.where("prop is not null").select(key("id").alias("style"), "prop", "value"))
-    paragraphs = declared.where("scope = 'paragraph'")
-    own = paragraphs.where("prop is not null").select("path", "id", "prop", F.lit(0).alias("rank"), "value")
-    used = paragraphs.where("style is not null").select("path", "id", key("style").alias("s")).distinct()
-    styled = used.join(chain, F.col("s") == F.col("style")).select("path", "id", "prop", F.lit(1).alias("rank"), "value")
-    defaults = declared.where("scope = 'default' and prop is not null").select(F.col("path").alias("p"), "prop", "value")
-    general = paragraphs.select("path", "id").distinct().join(defaults, F.col("path") == F.col("p")).select("path", "id", "prop", F.lit(2).alias("rank"), "value")
-    return own.unionByName(styled).unionByName(general).groupBy("path", "id", "prop").agg(F.min_by("value", "rank").alias("value"))
+    pair = F.struct("prop", "value")
+    own = F.map_from_entries(F.filter(F.collect_set(pair), lambda s: s["prop"].isNotNull())).alias("own")
+    paragraphs = declared.where("scope = 'paragraph'").groupBy("path", "id").agg(F.max("style").alias("used"), own)
+    sheet = chains.sheets(declared, "path").withColumnsRenamed({"path": "s_path", "props": "styled"})
+    general = sheet.where("style is null").select(F.col("s_path").alias("d_path"), F.col("styled").alias("default"))
+    styled = sheet.where("style is not null")
+    rows = paragraphs.join(styled, (F.col("path") == F.col("s_path")) & (F.col("used") == F.col("style")), "left").join(general, F.col("path") == F.col("d_path"), "left")
+    below = F.coalesce("styled", "default", F.create_map().cast("map<string,string>"))
+    rows = rows.withColumn("props", F.map_concat("own", F.map_filter(below, lambda k, _: ~F.map_contains_key("own", k))))
+    return chains.long_form(rows, "path", "id")
+
+
+# The names of theme colours and the slots of the scheme that they mean.
+COLOR_SLOTS = {
+    "dark1": "dk1", "text1": "dk1", "light1": "lt1", "background1": "lt1", "dark2": "dk2", "text2": "dk2", "light2": "lt2", "background2": "lt2",
+    "accent1": "accent1", "accent2": "accent2", "accent3": "accent3", "accent4": "accent4", "accent5": "accent5", "accent6": "accent6",
+    "hyperlink": "hlink", "followedHyperlink": "folHlink",
+}
+# The names of theme fonts, each a scheme and a role in it.
+FONT_ROLES = {
+    "majorAscii": "major/latin", "majorHAnsi": "major/latin", "majorEastAsia": "major/ea", "majorBidi": "major/cs",
+    "minorAscii": "minor/latin", "minorHAnsi": "minor/latin", "minorEastAsia": "minor/ea", "minorBidi": "minor/cs",
+}
+
+
+def themed(formats: DataFrame, declared: DataFrame, script: Column | None = None) -> DataFrame:
+    """formats (path, prop, value, ...) with theme names replaced: colours by their slot, else the literal beside the name, else no row; fonts by the
+    scheme's font for the script, else that of the role, else the Latin one, else no row.
+
+    script: a character's script code for theme fonts (null: none). declared: sources.formats rows; a document's theme is one map, of some dozens
+    of entries, that its rows meet by one join.
+    """
+    entries = declared.where("scope = 'theme'").groupBy("path").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("/", "id", "prop"), "value"))).alias("_theme"))
+    rows = formats.join(entries.withColumnRenamed("path", "_path"), F.col("path") == F.col("_path"), "left").drop("_path")
+    fixed = lambda of: F.create_map(*[F.lit(x) for pair in of.items() for x in pair])
+    entry = lambda name: F.try_element_at(F.coalesce("_theme", F.create_map().cast("map<string,string>")), name)
+    part = F.split("value", ":")
+    name, literal = F.get(part, 1), F.nullif(F.get(part, 2), F.lit(""))
+    color = F.coalesce(entry(F.concat(F.lit("color/"), F.try_element_at(fixed(COLOR_SLOTS), name))), literal)
+    role = F.try_element_at(fixed(FONT_ROLES), name)
+    scheme = F.substring_index(role, "/", 1)
+    own = entry(F.concat(scheme, F.lit("/script:"), script)) if script is not None else F.lit(None).cast("string")
+    font = F.coalesce(own, entry(role), entry(F.concat(scheme, F.lit("/latin"))))
+    is_theme = F.startswith("value", F.lit("theme:"))
+    value = F.when(is_theme & (F.col("prop") == "color"), color).when(is_theme & F.startswith("prop", F.lit("font_")), font).otherwise(F.col("value"))
+    return rows.withColumn("value", value).where("value is not null").drop("_theme")
+
+
+def picture_sizes(nodes: DataFrame) -> DataFrame:
+    """path, node, ref, width, height in points of the pictures among sources.drawings nodes: a picture's own size times the scales of all groups around
+    it, else its drawing's; a shape's own size, else an inch square."""
+    scaled = chains.scaled(nodes.select("path", "node", "parent", F.coalesce("scale_x", F.lit(1.0)).alias("x"), F.coalesce("scale_y", F.lit(1.0)).alias("y"), F.when(F.col("kind") == "drawing", F.struct("width", "height")).alias("whole")), "path")
+    found = nodes.where("kind in ('picture', 'shape')").join(scaled, ["path", "node"])
+    said = F.col("width").isNotNull() & F.col("height").isNotNull()
+    width = F.when(said, F.col("width") * F.col("x")).otherwise(F.coalesce("whole.width", F.lit(72.0)))
+    height = F.when(said, F.col("height") * F.col("y")).otherwise(F.coalesce("whole.height", F.lit(72.0)))
+    return found.select("path", "node", "ref", width.alias("width"), height.alias("height"))
 
 
 def nearest(*values: Column) -> Column:
@@ -48,13 +95,9 @@ def cell_styles(declared: DataFrame) -> DataFrame:
 def font_slots(declared: DataFrame, family: str = "text") -> DataFrame:
     """path, style, latin, asian, complex, uniform: the fonts of each style by script type, each up its own chain; uniform: whether no
     character can choose."""
-    key = lambda c: F.concat_ws("\n", "path", c)
-    sheet = declared.where("scope = 'style'")
-    styles = sheet.groupBy(key("id").alias("style")).agg(F.max(F.when(F.col("parent").isNotNull(), key("parent"))).alias("parent"))
-    fonts = style_values(styles, sheet.where("prop like 'font_%'").select(key("id").alias("style"), "prop", "value"))
-    own = sheet.where(F.col("id").startswith(f"{family}/")).select("path", F.substring_index("id", "/", -1).alias("name"), key("id").alias("k")).distinct()
-    slot = lambda n: F.max(F.when(F.col("prop") == f"font_{n}", F.col("value"))).alias(n)
-    rows = own.join(fonts, F.col("k") == F.col("style"), "left").groupBy("path", F.col("name").alias("style")).agg(slot("latin"), slot("asian"), slot("complex"))
+    fonts = chains.sheets(declared, "path").where(F.col("style").startswith(f"{family}/"))
+    slot = lambda n: F.try_element_at("props", F.lit(f"font_{n}")).alias(n)
+    rows = fonts.select("path", F.substring_index("style", "/", -1).alias("style"), slot("latin"), slot("asian"), slot("complex"))
     return rows.withColumn("uniform", F.col("latin").eqNullSafe(F.col("asian")) & F.col("asian").eqNullSafe(F.col("complex")))
 
 

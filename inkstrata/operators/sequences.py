@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from .grouped import stream_groups
+from .grouped import scan_groups, stream_groups
 from .written import written
 
 
@@ -39,15 +40,32 @@ def range_lookup(rows: DataFrame, ranges: DataFrame, key: str, value: str) -> Da
     return rows.join(found, key, "left")
 
 
-def list_counters(items: DataFrame, part: list[str], order: str, level: str, start: Column | None = None, max_level: int = 9) -> DataFrame:
-    """Adds number: items count per level; an item restarts all deeper levels. start: the first number (1)."""
-    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = items
-    # an item's group: how many items of shallower levels came before it
-    above = [F.sum(F.when(F.col(level) < i, 1).otherwise(0)).over(w) for i in range(max_level)]
-    rows = rows.withColumn("_group", F.coalesce(*[F.when(F.col(level) == i, above[i]) for i in range(max_level)], F.lit(0)))
-    own = Window.partitionBy(*part, level, "_group").orderBy(order)
-    return rows.withColumn("number", (F.row_number().over(own) + (F.lit(1) if start is None else start) - 1).cast("int")).drop("_group")
+def list_counters(items: DataFrame, part: list[str], order: str, level: str, start: Column | None = None) -> DataFrame:
+    """Adds number: items count per level; an item restarts all deeper levels, of any depth. start: the first number (1). Without a level an item counts as
+    one of level 0.
+
+    A scan in order holds the levels that are open, each with its count: an item closes the deeper ones.
+    """
+
+    def counter() -> Callable[[int | None], int]:
+        levels, counts = [], []
+
+        def step(level: int | None) -> int:
+            own = level or 0
+            while levels and levels[-1] > own:
+                levels.pop()
+                counts.pop()
+            if levels and levels[-1] == own:
+                counts[-1] += 1
+            else:
+                levels.append(own)
+                counts.append(1)
+            return counts[-1]
+
+        return step
+
+    rows = scan_groups(items, part, [order], [level], counter, "number", IntegerType())
+    return rows if start is None else rows.withColumn("number", (F.col("number") + start - 1).cast("int"))
 
 
 def first_seen_numbers(rows: DataFrame, part: list[str], order: str, key: str, name: str = "number") -> DataFrame:
@@ -189,24 +207,26 @@ def picked_headers(pages: DataFrame, entries: DataFrame, part: list[str]) -> Dat
     return rows.groupBy(*part, "page").agg(F.min_by("entry", "priority").alias("entry"))
 
 
-def style_values(styles: DataFrame, props: DataFrame, depth: int = 32) -> DataFrame:
-    """style, prop, value: the nearest definition along the basedOn chain. styles: style, parent; props: style, prop, value.
+def style_values(styles: DataFrame, props: DataFrame) -> DataFrame:
+    """style, prop, value: the nearest definition along the basedOn chain. styles: style, parent; props: style, prop, value (of equal definitions the
+    least value counts).
 
-    Pointers double: a (style, property) without a value points to an ancestor and takes its value, or else its pointer, so each round
-    covers twice as many ancestors; depth of them at least, which also ends cycles. Each round is one join, and a written table.
+    For one sheet that spans a cluster; sheets of many documents are resolved by chains.sheets(). Pointers double: a (style, property) without a value points
+    to an ancestor and takes its value, or else its pointer, so each round, one join and a written table, covers twice as many ancestors.
+    Rounds end when no pointer is open; on a cycle pointers never close, but no chain has more ancestors than there are styles.
     """
-    own = props.where("value is not null").groupBy("style", "prop").agg(F.first("value").alias("value"))
+    own = props.where("value is not null").groupBy("style", "prop").agg(F.min("value").alias("value"))
     names = sorted(r[0] for r in own.select("prop").distinct().collect())  # kinds of properties, a format's few dozen
     up = styles.select("style", F.when(F.col("parent") != F.col("style"), F.col("parent")).alias("up"))
     pairs = up.select("*", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")).alias("prop"))
     state = written(pairs.join(own, ["style", "prop"], "left"), "style-chains")
-    for _ in range(max(1, (depth - 1).bit_length() + 1)):
-        open_ = F.col("value").isNull() & F.col("up").isNotNull()
-        if state.where(open_).isEmpty():
-            break
+    covered, most = 1, styles.count()
+    open_ = F.col("value").isNull() & F.col("up").isNotNull()
+    while covered < most and not state.where(open_).isEmpty():
         above = state.select(F.col("style").alias("a_style"), F.col("prop").alias("a_prop"), F.col("up").alias("a_up"), F.col("value").alias("a_value"))
         met = state.join(above, open_ & (F.col("up") == F.col("a_style")) & (F.col("prop") == F.col("a_prop")), "left")
         state = written(met.select("style", F.when(open_ & F.col("a_value").isNull(), F.col("a_up")).otherwise(F.col("up")).alias("up"), "prop", F.coalesce("value", "a_value").alias("value")), "style-chains")
+        covered *= 2
     return state.where("value is not null").select("style", "prop", "value")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import office, tables
-from ..sources import archive, formats, hwp, properties
+from ..sources import archive, docx, drawings, formats, hwp, properties
 from . import fixtures
 from .catalogue import LINES, lines_of, query, t
 from .reader_queries import key
@@ -40,7 +40,7 @@ WITH p AS (SELECT p_partkey AS k, p_size AS n, p_partkey % 3 <> 0 AS s, p_partke
 v AS (SELECT k, unnest([
   {'p': 'spacing_after', 'v': '8'}, {'p': 'line', 'v': 'auto:259'}, {'p': 'font_ascii', 'v': 'theme:minorHAnsi'}, {'p': 'font_eastAsia', 'v': 'East'},
   {'p': 'alignment', 'v': CASE WHEN o THEN 'center' ELSE 'both' END}, {'p': 'bold', 'v': CASE WHEN r THEN 'false' ELSE 'true' END}, {'p': 'highlight', 'v': CASE WHEN r THEN 'yellow' END},
-  {'p': 'size', 'v': CASE WHEN s THEN CAST(n AS VARCHAR) ELSE '11' END}, {'p': 'spacing_before', 'v': CASE WHEN s THEN CAST(n AS VARCHAR) END}, {'p': 'indent_start', 'v': CASE WHEN s AND k % 2 = 1 THEN CAST(n AS VARCHAR) END},
+  {'p': 'size', 'v': CASE WHEN s THEN CAST(n AS VARCHAR) ELSE '11' END}, {'p': 'spacing_before', 'v': CASE WHEN s THEN CAST(n AS VARCHAR) END}, {'p': 'indent_start', 'v': CASE WHEN s AND k % 2 = 1 THEN CAST(n AS VARCHAR) END}, {'p': 'hanging', 'v': CASE WHEN s AND k % 2 = 1 THEN rtrim(rtrim(printf('%.2f', n / 20.0), '0'), '.') END},
   {'p': 'border_color', 'v': CASE WHEN s THEN 'FF0000' END}, {'p': 'border_width', 'v': CASE WHEN s THEN '1.5' END}, {'p': 'contextual', 'v': CASE WHEN o THEN 'true' END}, {'p': 'shading', 'v': CASE WHEN o THEN 'AABBCC' END},
   {'p': 'tabs', 'v': CASE WHEN o THEN 'right,400,dot' END}]) AS x FROM p)
 SELECT k AS p_partkey, x.p AS prop, x.v AS value FROM v WHERE x.v IS NOT NULL
@@ -48,7 +48,7 @@ SELECT k AS p_partkey, x.p AS prop, x.v AS value FROM v WHERE x.v IS NOT NULL
 def docx_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraph and run properties: a paragraph's own, its style's, the styles below it, the defaults; theme fonts beat literal ones."""
     rows = office.resolved_formats(formats.formats(_parts(spark, sf_dir, "docx", _formatted)))
-    return rows.where("prop <> 'hanging'").select(key().alias("p_partkey"), "prop", "value")
+    return rows.select(key().alias("p_partkey"), "prop", "value")
 
 
 def _bordered(number: int, rows: list[dict]) -> bytes:
@@ -327,3 +327,74 @@ UNION ALL SELECT k, 'Child', 'Face, One', CASE WHEN k % 2 = 1 THEN 'Batang' ELSE
 def odt_font_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fonts of text styles by script type, through faces and chains; a face without a family says nothing."""
     return office.font_slots(formats.formats(_parts(spark, sf_dir, "odt", _open_styled), formats.open_declared)).select(key().alias("p_partkey"), "style", "latin", "asian", "complex", "uniform")
+
+
+def _themed(number: int, rows: list[dict]) -> bytes:
+    """A run of theme names over a style of others; every third document has no theme part."""
+    n = rows[0]["p_size"]
+    theme = (
+        f'<a:theme><a:themeElements><a:clrScheme><a:dk1><a:sysClr val="windowText" lastClr="0000{n:02X}"/></a:dk1><a:accent2><a:srgbClr val="ed7d{n:02x}"/></a:accent2></a:clrScheme>'
+        f'<a:fontScheme><a:majorFont><a:latin typeface="Head{n}"/><a:ea typeface=""/><a:font script="Hang" typeface="Batang{n}"/></a:majorFont><a:minorFont><a:latin typeface="Body"/><a:ea typeface="Ming"/><a:cs typeface=""/><a:font script="Jpan" typeface="Mincho"/></a:minorFont></a:fontScheme></a:themeElements></a:theme>'
+    )
+    color = ('<w:color w:val="auto" w:themeColor="text1"/>', '<w:color w:val="00ff00" w:themeColor="accent2"/>', '<w:color w:val="00ff00" w:themeColor="accent9"/>', '<w:color w:val="abcdef"/>')[number % 4]
+    sheet = '<w:styles><w:style w:type="paragraph" w:default="1" w:styleId="N"><w:rPr><w:rFonts w:asciiTheme="majorHAnsi" w:eastAsiaTheme="majorEastAsia" w:ascii="Lost"/></w:rPr></w:style></w:styles>'
+    run = f'<w:rPr>{color}<w:rFonts w:cstheme="minorBidi" w:hAnsi="Plain"/></w:rPr>' if number % 2 else f'<w:rPr>{color}<w:rFonts w:eastAsiaTheme="minorEastAsia"/></w:rPr>'
+    parts = {"word/document.xml": XML.format(f"<w:p><w:r>{run}<w:t>x</w:t></w:r></w:p>"), "word/styles.xml": sheet}
+    return fixtures.zipped(parts | ({"word/theme/theme1.xml": theme} if number % 3 else {}))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_size AS n, p_partkey % 3 <> 0 AS themed FROM part), s AS (SELECT * FROM p, (VALUES (NULL), ('Latn'), ('Hang'), ('Jpan')) AS v(script)),
+r AS (SELECT k, script, unnest([
+  {'p': 'color', 'v': CASE k % 4 WHEN 0 THEN CASE WHEN themed THEN '0000' || printf('%02X', n) END WHEN 1 THEN CASE WHEN themed THEN 'ED7D' || printf('%02X', n) ELSE '00FF00' END WHEN 2 THEN '00FF00' ELSE 'ABCDEF' END},
+  {'p': 'font_ascii', 'v': CASE WHEN NOT themed THEN NULL WHEN script = 'Hang' THEN 'Batang' || n ELSE 'Head' || n END},
+  {'p': 'font_eastAsia', 'v': CASE WHEN NOT themed THEN NULL WHEN k % 2 = 0 THEN CASE WHEN script = 'Jpan' THEN 'Mincho' ELSE 'Ming' END WHEN script = 'Hang' THEN 'Batang' || n ELSE 'Head' || n END},
+  {'p': 'font_cs', 'v': CASE WHEN NOT themed OR k % 2 = 0 THEN NULL WHEN script = 'Jpan' THEN 'Mincho' ELSE 'Body' END},
+  {'p': 'font_hAnsi', 'v': CASE WHEN k % 2 = 1 THEN 'Plain' END}]) AS x FROM s)
+SELECT k AS p_partkey, script, x.p AS prop, x.v AS value FROM r WHERE x.v IS NOT NULL
+""")
+def theme_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Theme colours and fonts of paragraphs, by a character's script, in documents with and without a theme part."""
+    declared = formats.formats(_parts(spark, sf_dir, "docx", _themed))
+    rows = office.resolved_formats(declared).withColumn("script", F.explode(F.array(*[F.lit(s).cast("string") for s in (None, "Latn", "Hang", "Jpan")])))
+    return office.themed(rows, declared, F.col("script")).select(key().alias("p_partkey"), "script", "prop", "value")
+
+
+EMU = docx.EMU
+
+
+def _grouped(number: int, rows: list[dict]) -> bytes:
+    """A picture three groups deep, one beside it without a size, one outside groups, and two shapes, one without a size."""
+    n = rows[0]["p_size"]
+    picture = lambda rel, w=None: f'<pic:pic><pic:blipFill><a:blip r:embed="{rel}"><a:extLst><a:ext uri="x"/></a:extLst></a:blip></pic:blipFill><pic:spPr>{"" if w is None else f"""<a:xfrm><a:ext cx="{w}" cy="{2 * w}"/></a:xfrm>"""}</pic:spPr></pic:pic>'
+    group = lambda tag, outer, inner, body: f'<wpg:{tag}><wpg:grpSpPr><a:xfrm><a:ext cx="{outer}" cy="{outer}"/><a:chExt cx="{inner}" cy="{4 * inner}"/></a:xfrm></wpg:grpSpPr>{body}</wpg:{tag}>'
+    deep = group("wgp", 4000, 1000, group("grpSp", 300, 100, picture("b") + group("grpSp", 50 * (number % 3), 25 * (number % 3), picture("a", n * EMU))))
+    drawing = lambda body: f'<w:drawing><wp:inline><wp:extent cx="{100 * EMU}" cy="{n * EMU}"/><a:graphic>{body}</a:graphic></wp:inline></w:drawing>'
+    shapes = f'<w:pict><v:shape style="width:{n}pt;height:2in"><v:imagedata r:id="d"/></v:shape></w:pict><w:pict><v:shape style="width:{n}pt"><v:imagedata r:id="e"/></v:shape></w:pict>'
+    text = f'<w:pict><v:shape><v:textbox><w:txbxContent><w:p><w:r><w:t>note {n}</w:t></w:r></w:p><w:p/></w:txbxContent></v:textbox></v:shape></w:pict>'
+    choice = f'<mc:AlternateContent><mc:Choice><w:drawing><wp:inline><wps:txbx><w:txbxContent><w:p><w:r><w:t>callout {number}</w:t></w:r></w:p></w:txbxContent></wps:txbx></wp:inline></w:drawing></mc:Choice><mc:Fallback><w:pict><v:textbox><w:txbxContent><w:p><w:r><w:t>old</w:t></w:r></w:p></w:txbxContent></v:textbox></w:pict></mc:Fallback></mc:AlternateContent>'
+    return fixtures.zipped({"word/document.xml": XML.format(f"<w:p><w:r>{drawing(deep)}{drawing(picture('c', 5))}{shapes}{text}{choice}</w:r></w:p><w:p><w:r><w:t>end</w:t></w:r></w:p>")})
+
+
+SIZES_SQL = """
+WITH p AS (SELECT p_partkey AS k, CAST(p_size AS DOUBLE) AS n, CASE WHEN p_partkey % 3 = 0 THEN 1.0 ELSE 2.0 END AS inner_x, CASE WHEN p_partkey % 3 = 0 THEN 1.0 ELSE 0.5 END AS inner_y FROM part),
+r AS (SELECT k, unnest([{'r': 'a', 'w': n * 4 * 3 * inner_x, 'h': 2 * n * 1 * 0.75 * inner_y}, {'r': 'b', 'w': 100.0, 'h': n}, {'r': 'c', 'w': CW, 'h': CH}, {'r': 'd', 'w': n, 'h': 144.0}, {'r': 'e', 'w': 72.0, 'h': 72.0}]) AS x FROM p)
+"""
+
+
+@query(SIZES_SQL.replace("CW", "5 / 12700").replace("CH", "10 / 12700") + "SELECT k AS p_partkey, x.r AS ref, round(x.w, 6) AS width, round(x.h, 6) AS height FROM r")
+def group_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of pictures by the products of the scales of nested groups, with what stands in where no size is said."""
+    nodes = drawings.nodes(_parts(spark, sf_dir, "docx", _grouped))
+    return office.picture_sizes(nodes).select(key().alias("p_partkey"), "ref", F.round("width", 6).alias("width"), F.round("height", 6).alias("height"))
+
+
+@query(SIZES_SQL.replace("CW", "100.0").replace("CH", "n") + """, g AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY x.r) - 1 AS i, 'image' AS kind, NULL AS text, round(x.w, 6) AS width, round(x.h, 6) AS height FROM r)
+SELECT k AS p_partkey, CAST(CASE WHEN i < 2 THEN 1 - i ELSE i END AS INTEGER) AS block_id, kind, text, width, height FROM g
+UNION ALL SELECT k, b, 'paragraph', CASE b WHEN 5 THEN 'note ' || CAST(n AS INTEGER) WHEN 6 THEN 'callout ' || k ELSE 'end' END, NULL, NULL FROM p, (VALUES (5), (6), (7)) AS v(b)
+""")
+def text_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of documents with pictures and text boxes in drawings, shapes and alternatives; a frame's empty paragraph is none."""
+    rows = docx.blocks(_parts(spark, sf_dir, "docx", _grouped))
+    shown = F.nullif(F.array_join(F.transform("spans", lambda s: s["text"]), ""), F.lit(""))
+    return rows.select(key().alias("p_partkey"), "block_id", "kind", shown.alias("text"), F.round("width", 6).alias("width"), F.round("height", 6).alias("height"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame
 
 from ..functions.latex import formula
@@ -119,6 +122,12 @@ class Numbering:
         first = number((start if start is not None else base).get("w:val")) if start is not None or base is not None else 1
         return node, 1 if first is None else first
 
+    def suffix(self, num: str, ilvl: int) -> str:
+        """What stands between a marker and its text: a tab unless the level says otherwise."""
+        found = self.level(num, ilvl)
+        said = found[0].first("w:suff") if found is not None else None
+        return {"space": " ", "nothing": ""}.get(said.get("w:val") or "" if said is not None else "", "\t")
+
     def marker(self, num: str, ilvl: int) -> tuple[bool, str | None]:
         """Whether the item is ordered, and its marker."""
         found = self.level(num, ilvl)
@@ -145,6 +154,78 @@ class Numbering:
         return True, text
 
 
+EMU = 12_700  # in a point
+NO_SIZE = (72.0, 72.0)  # points of a shape whose size is not said
+
+
+def extent(node: Node | None) -> tuple[float, float] | None:
+    """Points of a cx and cy."""
+    try:
+        return (float(node.get("cx") or ""), float(node.get("cy") or "")) if node is not None else None
+    except ValueError:
+        return None
+
+
+def group_scale(group: Node) -> tuple[float, float]:
+    """What a group's inner lengths are multiplied with: its size over that of its inner coordinates."""
+    frame = group.first("wpg:grpSpPr", "a:xfrm")
+    outer, inner = (extent(frame.first(n)) if frame is not None else None for n in ("a:ext", "a:chExt"))
+    return tuple(o / i if i else 1.0 for o, i in zip(outer, inner, strict=True)) if outer and inner else (1.0, 1.0)
+
+
+def shape_size(style: str | None) -> tuple[float, float] | None:
+    """Points of a shape's style (width:2in;height:30pt); both must be said."""
+    said = dict(p.split(":", 1) for p in (style or "").split(";") if ":" in p)
+    size = [length(v.strip()) for name in ("width", "height") for k, v in said.items() if k.strip() == name]
+    return (size[0], size[1]) if len(size) == 2 and None not in size else None
+
+
+def length(text: str) -> float | None:
+    m = re.fullmatch(r"([-+]?[\d.]+)(in|pt|px|cm|mm)?", text)
+    try:
+        return float(m[1]) * {"in": 72, "px": 0.75, "cm": 72 / 2.54, "mm": 72 / 25.4}.get(m[2] or "pt", 1) if m else None
+    except ValueError:
+        return None
+
+
+def drawn_pictures(drawing: Node, target: Callable[[str | None], str]) -> list[tuple[str, dict]]:
+    """Pictures of a drawing, each in points: its own size times the scales of all groups around it, else the drawing's."""
+    whole = extent(next(drawing.every("wp:extent"), None))
+    if whole is None:
+        return []
+    whole = (whole[0] / EMU, whole[1] / EMU)
+
+    def picture(blip: Node, size: tuple[float, float]) -> tuple[str, dict]:
+        return "image", {"ref": target(blip.get("r:embed") or blip.get("r:link")), "width": size[0], "height": size[1]}
+
+    outer = next(drawing.every("wpg:wgp"), None)
+    if outer is None:
+        return [picture(b, whole) for b in drawing.every("a:blip")]
+    out, todo = [], [(outer, (1.0, 1.0))]
+    while todo:
+        node, scale = todo.pop()
+        if node.name == "pic:pic":
+            own = extent(node.first("pic:spPr", "a:xfrm", "a:ext"))
+            blip = next(node.every("a:blip"), None)
+            out += [picture(blip, (own[0] * scale[0] / EMU, own[1] * scale[1] / EMU) if own else whole)] if blip is not None else []
+        elif node.name in ("wpg:wgp", "wpg:grpSp"):
+            x, y = group_scale(node)
+            todo += [(c, (scale[0] * x, scale[1] * y)) for c in reversed(list(node.nodes()))]
+    return out
+
+
+def shape_pictures(shape: Node, target: Callable[[str | None], str]) -> list[tuple[str, dict]]:
+    styled = next((n for n in descendants(shape) if n.get("style") is not None), None)
+    size = shape_size(styled.get("style") if styled is not None else None) or NO_SIZE
+    return [("image", {"ref": target(p.get("r:id")), "width": size[0], "height": size[1]}) for p in list(shape.every("v:imagedata"))[:1]]
+
+
+def descendants(node: Node) -> Iterator[Node]:
+    for c in node.nodes():
+        yield c
+        yield from descendants(c)
+
+
 class Reader:
     def __init__(self, data: bytes):
         archive = Archive(data)
@@ -162,6 +243,7 @@ class Reader:
         self.sink = Sink()
         self.open_comments: list[str] = []
         self.bookmarks: list[str] = []
+        self.in_box = 0  # what has no text inside a text box is its frame's, not the document's
 
     def _notes(self, root: Node | None, name: str) -> dict[str | None, Node]:
         return {n.get("w:id"): n for n in (root.nodes(name) if root is not None else ()) if n.get("w:type") not in NOTE_TYPES}
@@ -196,8 +278,8 @@ class Reader:
         style = props.first("w:pStyle") if props is not None else None
         style_id = style.get("w:val") if style is not None else self.styles.default
         own = props.first("w:outlineLvl") if props is not None else None
-        level = number(own.get("w:val")) if own is not None else self.styles.heading(style_id)
-        level = level if level is not None and level <= 8 else None
+        level = number(own.get("w:val")) if own is not None else None
+        level = level if level is not None and level <= 8 else self.styles.heading(style_id)
         graphics: list[tuple[str, dict]] = []
         spans = self.spans(node, style_id, graphics)
         direct = props.first("w:numPr") if props is not None else None
@@ -210,17 +292,23 @@ class Reader:
             if num_id not in (None, "0"):
                 _, marker = self.numbering.marker(num_id, depth)
                 if marker:
-                    spans.insert(0, {**(spans[0] if spans else span("")), "text": f"{marker} ", "bookmarks": None, "comment_ids": None})
-            if spans or not graphics:
+                    spans.insert(0, {**(spans[0] if spans else span("")), "text": marker + self.numbering.suffix(num_id, depth), "bookmarks": None, "comment_ids": None})
+            if spans or not graphics and not self.in_box:
                 self.sink.add("heading", spans, level=min(level + 1, 6))
         elif num_id not in (None, "0"):
             ordered, marker = self.numbering.marker(num_id, depth)
-            self.sink.add("listItem", spans, level=depth, ordered=ordered, marker=marker)
-        elif spans or not graphics:
+            if spans or not self.in_box:
+                self.sink.add("listItem", spans, level=depth, ordered=ordered, marker=marker)
+        elif spans or not graphics and not self.in_box:
             if spans or self.sink.at[0] is None:
                 self.sink.add("paragraph", spans)
         for kind, fields in graphics:
-            self.sink.add(kind, **fields)
+            if kind == "box":
+                self.in_box += 1
+                self.blocks(fields["content"])
+                self.in_box -= 1
+            else:
+                self.sink.add(kind, **fields)
 
     def spans(self, node: Node, style: str | None, graphics: list, link: str | None = None) -> list[dict]:
         out: list[dict] = []
@@ -247,6 +335,8 @@ class Reader:
             elif c.name == "w:sdt":
                 inner = c.first("w:sdtContent")
                 out += self.spans(inner, style, graphics, link) if inner is not None else []
+            elif c.name == "mc:AlternateContent":
+                graphics += self.graphics(c)
             else:
                 out += self.spans(c, style, graphics, link)
         return out
@@ -314,29 +404,47 @@ class Reader:
                         if key not in self.cited[kind]:
                             self.cited[kind].append(key)
                         emit(str(self.cited[kind].index(key) + 1), superscript=True)
-                case "w:drawing" | "w:pict" | "w:object":
+                case "w:drawing" | "w:pict" | "w:object" | "mc:AlternateContent":
                     graphics += self.graphics(c)
-                case "mc:AlternateContent":
-                    choice = [g for x in c.nodes("mc:Choice") for g in self.graphics(x)]
-                    graphics += choice or [g for x in c.nodes("mc:Fallback") for g in self.graphics(x)]
         return out
 
-    def graphics(self, node: Node) -> list[tuple[str, dict]]:
-        out = []
-        extent = next(node.every("wp:extent"), None)
-        size = {"width": int(extent.get("cx", "0")) / 12700, "height": int(extent.get("cy", "0")) / 12700} if extent is not None else {}
-        for name, key in (("a:blip", "r:embed"), ("v:imagedata", "r:id")):
-            for pic in node.every(name):
-                rel = pic.get(key) or pic.get("r:link")
-                target, external = self.rels.get(rel, (None, False))
-                ref = f"docx-unresolvable:{rel}" if target is None else f"docx-external-link:{target}" if external else target if target.startswith("/") else f"word/{target}"
-                out.append(("image", {"ref": ref.lstrip("/"), **size}))
-        if not out:
-            for name, label in (("c:chart", "Chart"), ("dgm:relIds", "Diagram")):
-                if next(node.every(name), None) is not None:
-                    out.append(("unsupportedGraphic", {"ref": label, **size}))
+    def graphics(self, node: Node, placeholder: bool = True) -> list[tuple[str, dict]]:
+        """Pictures and text boxes of a drawing, and what stands for a chart or diagram. Of two alternatives the first that gives anything counts."""
+        if node.name == "mc:AlternateContent":
+            halves = [x for name in ("mc:Choice", "mc:Fallback") for x in list(node.nodes(name))[:1]]
+            for half in halves:
+                if found := self.graphics(half, placeholder=False):
+                    return found
+            return self.placeholder(halves[0]) if placeholder and halves else []
+        if node.name == "w:drawing":
+            found = [*drawn_pictures(node, self.target), *self.boxes(node)]
+            return found or (self.placeholder(node) if placeholder else [])
+        if node.name in ("w:pict", "w:object"):
+            return [*shape_pictures(node, self.target), *self.boxes(node)] or (self.placeholder(node) if placeholder else [])
+        return [g for c in node.nodes() for g in self.graphics(c, placeholder)]
+
+    def target(self, rel: str | None) -> str:
+        target, external = self.rels.get(rel, (None, False))
+        ref = f"docx-unresolvable:{rel}" if target is None else f"docx-external-link:{target}" if external else target if target.startswith("/") else f"word/{target}"
+        return ref.lstrip("/")
+
+    def boxes(self, node: Node) -> list[tuple[str, dict]]:
+        """Outermost text boxes; what they hold in turn comes with their paragraphs. Of alternatives below, the first with a box counts."""
+        out: list[tuple[str, dict]] = []
+        for c in node.nodes():
+            if c.name == "w:txbxContent":
+                out.append(("box", {"content": c}))
+            elif c.name == "mc:AlternateContent":
+                out += next((found for x in c.nodes("mc:Choice", "mc:Fallback") if (found := self.boxes(x))), [])
+            else:
+                out += self.boxes(c)
         return out
 
+    def placeholder(self, node: Node) -> list[tuple[str, dict]]:
+        label = next((label for name, label in (("c:chart", "Chart"), ("dgm:relIds", "Diagram")) if next(node.every(name), None) is not None), None)
+        size = extent(next(node.every("wp:extent"), None))
+        return [("unsupportedGraphic", {"ref": label, **({"width": size[0] / EMU, "height": size[1] / EMU} if size else {})})] if label else []
+
     # tables
 
     def table(self, node: Node) -> None:

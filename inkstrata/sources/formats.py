@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
+from ..operators.written import written
 from .archive import Archive
 from .blocks import rows_of
 from .docx import on
@@ -80,13 +81,43 @@ def paragraph_props(props: Node | None) -> dict[str, str | None]:
     return out | first_border(get("w:pBdr"))
 
 
+def _color(node: Node | None) -> str | None:
+    """A literal colour, or ``theme:name:literal``, whose literal counts if the theme hasn't got the name."""
+    if node is None:
+        return None
+    literal = node.get("w:val") or ""
+    literal = "" if literal.lower() == "auto" else literal.upper()
+    return f"theme:{name}:{literal}" if (name := node.get("w:themeColor")) else literal or None
+
+
+def theme_entries(root: Node | None) -> Iterator[tuple[str, str, str]]:
+    """(scheme, entry, value) of a theme: colours by slot, and the fonts of its two schemes by role (latin, ea, cs) and script. An empty
+    font counts as none; of a script named twice the last counts."""
+    colours, fonts = (next(root.every(n), None) if root is not None else None for n in ("a:clrScheme", "a:fontScheme"))
+    for slot in colours.nodes() if colours is not None else ():
+        literal, system = slot.first("a:srgbClr"), slot.first("a:sysClr")
+        value = literal.get("val") if literal is not None else system.get("lastClr") if system is not None else None
+        if value and re.fullmatch("[0-9A-Fa-f]{6}", value):
+            yield "color", slot.name.removeprefix("a:"), value.upper()
+    for scheme in ("major", "minor"):
+        node = fonts.first(f"a:{scheme}Font") if fonts is not None else None
+        if node is None:
+            continue
+        for role in ("latin", "ea", "cs"):
+            if (face := node.first(f"a:{role}")) is not None and face.get("typeface"):
+                yield scheme, role, face.get("typeface")
+        by_script = {f.get("script"): f.get("typeface") for f in node.nodes("a:font") if f.get("script") and f.get("typeface")}
+        for script, face in by_script.items():
+            yield scheme, f"script:{script}", face
+
+
 def run_props(props: Node | None) -> dict[str, str | None]:
     if props is None:
         return {}
     value = lambda name: n.get("w:val") if (n := props.first(name)) is not None else None
     toggled = lambda name: None if (n := props.first(name)) is None else str(on(n)).lower()
-    color, fonts = value("w:color"), props.first("w:rFonts")
-    out = {"bold": toggled("w:b"), "italic": toggled("w:i"), "size": _points(props.first("w:sz"), "w:val", per=2.0), "color": color.upper() if color and color.lower() != "auto" else None, "highlight": value("w:highlight")}
+    color, fonts = props.first("w:color"), props.first("w:rFonts")
+    out = {"bold": toggled("w:b"), "italic": toggled("w:i"), "size": _points(props.first("w:sz"), "w:val", per=2.0), "color": _color(color), "highlight": value("w:highlight")}
     for slot, themes in FONT_SLOTS.items() if fonts is not None else ():
         theme = next((fonts.get(t) for t in themes if fonts.get(t)), None)  # beats the literal name
         out[f"font_{slot}"] = f"theme:{theme}" if theme else fonts.get(f"w:{slot}") or None
@@ -134,7 +165,8 @@ def conditional_props(node: Node) -> dict[str, str | None]:
 
 
 def declared(data: bytes) -> Iterator[dict]:
-    """scope: ``default``, ``style``, ``region`` (id: style/region), ``paragraph`` (id: its number in the body), ``table``, ``cell`` (id: table/row/cell)."""
+    """scope: ``default``, ``style``, ``region`` (id: style/region), ``paragraph`` (id: its number in the body), ``table``, ``cell`` (id: table/row/cell),
+    ``theme`` (id: color, major or minor; prop: slot, role or script:code)."""
     archive = Archive(data)
     root, sheet = parsed(archive.read("word/document.xml")), parsed(archive.get("word/styles.xml"))
     if root is None or (body := root.first("w:body")) is None:
@@ -145,11 +177,13 @@ def declared(data: bytes) -> Iterator[dict]:
         for prop, value in (known or {None: None}).items():
             yield {"scope": scope, "id": key, "parent": parent, "style": style, "prop": prop, "value": value}
 
+    for scheme, entry, value in theme_entries(parsed(archive.get("word/theme/theme1.xml"))):
+        yield from rows("theme", scheme, {entry: value})
     default = None
     if sheet is not None:
         yield from rows("default", "", paragraph_props(sheet.first("w:docDefaults", "w:pPrDefault", "w:pPr")) | run_props(sheet.first("w:docDefaults", "w:rPrDefault", "w:rPr")))
-        for s in sheet.nodes("w:style"):
-            key, based = s.get("w:styleId") or "", s.first("w:basedOn")
+        for key, s in {s.get("w:styleId") or "": s for s in sheet.nodes("w:style")}.items():  # the last of a name counts
+            based = s.first("w:basedOn")
             default = key if s.get("w:default") == "1" and s.get("w:type") == "paragraph" else default
             yield from rows("style", key, paragraph_props(s.first("w:pPr")) | run_props(s.first("w:rPr")), based.get("w:val") if based is not None else None)
             for region in s.nodes("w:tblStylePr"):
@@ -228,5 +262,6 @@ def open_declared(data: bytes) -> Iterator[dict]:
 
 
 def formats(files: DataFrame, reader: Callable[[bytes], Iterator[dict]] = declared) -> DataFrame:
-    """DDL rows of each file (path, content), by declared() or open_declared(); a broken file gives one row with its error."""
-    return rows_of(files, ["content"], DDL, reader)
+    """DDL rows of each file (path, content), by declared() or open_declared(), as a written table: each use reads rows, not files again. A broken file gives one
+    row with its error."""
+    return written(rows_of(files, ["content"], DDL, reader), "declared")

@@ -20,7 +20,7 @@ DELIMITER = re.compile(r"[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?
 TASK = re.compile(r"\[([ xX])\][ \t]+")
 MATH_LANGUAGES = {"math", "tex", "latex"}
 _inline = re.compile(
-    r"(?P<esc>\\[!-/:-@\[-`{-~])|(?P<code>(`+)(?!`)(.+?)(?<!`)\3(?!`))|!\[(?P<alt>[^\]]*)\]\((?P<src>[^)\s]*)[^)]*\)|(?P<img><img\b[^>]*>)"
+    r"(?P<esc>\\[!-/:-@\[-`{-~])|(?P<code>(`+)(?!`)(.+?)(?<!`)\3(?!`))|!\[(?P<alt>[^\]]*)\]\((?P<src>[^)\s]*)[^)]*\)(?:\{(?P<hint>[^}\n]*(?:width|height)[^}\n]*)\})?|(?P<img><img\b[^>]*>)"
     r"|\[(?P<label>(?:[^\[\]]|\[[^\]]*\])*)\](?:\((?P<href>[^)\s]*)[^)]*\)|\[(?P<ref>[^\]]*)\])|<(?P<auto>https?://[^>\s]+)>"
     r"|\*\*\*(?P<both>.+?)\*\*\*|\*\*(?P<b1>.+?)\*\*|__(?P<b2>.+?)__|(?<!\w)_(?P<i2>[^_]+?)_(?!\w)|\*(?P<i1>[^*]+?)\*|~~(?P<s>.+?)~~|(?P<brk>(?: {2,}|\\)\n)",
     re.S,
@@ -39,7 +39,9 @@ def inline(text: str, links: dict[str, str], pictures: list[str], **marks: objec
         if g["esc"]:
             out.append(span(g["esc"][1:], **marks))
         elif g["code"]:
-            out.append(span(m.group(4).replace("\n", " "), **{**marks, "code": True}))
+            code = m.group(4).replace("\n", " ")
+            code = code[1:-1] if len(code) > 2 and code[0] == code[-1] == " " and code.strip() else code
+            out.append(span(code, **{**marks, "code": True}))
         elif g["src"] is not None:
             pictures.append(g["src"])
         elif g["img"]:
@@ -93,7 +95,11 @@ class Reader:
             self.sink.add("image", ref=p)
 
     def read(self) -> list[dict]:
-        lines, i = self.lines, 0
+        self.blocks(self.lines)
+        return self.sink.rows
+
+    def blocks(self, lines: list[str]) -> None:
+        i = 0
         held: list[str] = []
         numbers: dict[int, int] = {}
 
@@ -148,7 +154,7 @@ class Reader:
                 while i + 1 < len(lines) and (q := QUOTE.match(lines[i + 1])):
                     body.append(q[1])
                     i += 1
-                self.paragraph([x for x in body if x.strip()])
+                self.blocks(body)
             elif item and not (held and not item[1] and item[2][0].isdigit() and item[2][:-1] != "1"):
                 flush()
                 level = len(item[1].expandtabs(4)) // 2
@@ -169,11 +175,10 @@ class Reader:
                     self.sink.add("image", ref=src)
             else:
                 held.append(line)
-            if not item:
-                numbers = {} if line.strip() else numbers
+            if not item and line.strip() and not line[0].isspace():  # an indented line goes on with its item
+                numbers = {}
             i += 1
         flush()
-        return self.sink.rows
 
     def code(self, body: str, language: str) -> None:
         if language == "mermaid":
