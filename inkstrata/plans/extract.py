@@ -45,19 +45,59 @@ def table_markdown(blocks: DataFrame) -> DataFrame:
     return simple.unionByName(raw)
 
 
-def markdown_of(blocks: DataFrame) -> DataFrame:
-    """path, markdown, error."""
+def _pieces(blocks: DataFrame, nested: DataFrame) -> DataFrame:
+    """path, block_id, kind and piece of the blocks outside tables; nested: table_markdown() of the tables that are known."""
     top = blocks.where("table_id is null and error is null")
     inline = spans.block_inline(_span_rows(top), ["path", "block_id"], "span_ord")
-    nested = table_markdown(blocks.where("error is null")).withColumnRenamed("table_id", "block_id").withColumnRenamed("markdown", "table_md")
-    rows = top.join(inline, ["path", "block_id"], "left").join(nested, ["path", "block_id"], "left")
+    own = nested.withColumnRenamed("table_id", "block_id").withColumnRenamed("markdown", "table_md")
+    rows = top.join(inline, ["path", "block_id"], "left").join(own, ["path", "block_id"], "left")
     body = F.coalesce("table_md", "inline", F.lit(""))
     piece = spans.block_markdown(F.col("kind"), F.col("level"), F.col("ordered"), F.col("marker"), body, F.col("ref"))
-    texts = spans.document_markdown(rows.withColumn("piece", piece), ["path"], "block_id")
+    return rows.select("path", "block_id", "kind", piece.alias("piece"))
+
+
+def markdown_of(blocks: DataFrame) -> DataFrame:
+    """path, markdown, error."""
+    texts = spans.document_markdown(_pieces(blocks, table_markdown(blocks.where("error is null"))), ["path"], "block_id")
     every = blocks.groupBy("path").agg(F.max("error").alias("error"))
     return every.join(texts, "path", "left").select("path", F.coalesce("markdown", F.lit("")).alias("markdown"), "error")
 
 
+#: Stands for a giant table until its own job is done.
+PLACEHOLDER = "[table]"
+
+
+class Deferred:
+    """The extract in two jobs, so that giant tables don't hold up the rest: markdown() has a placeholder line for each, finished() puts them back at their
+    places and writes only their documents anew. blocks: a written block table."""
+
+    def __init__(self, blocks: DataFrame):
+        cells = blocks.where("kind = 'cell'")
+        giants = tables.giant_tables(cells.select("path", "table_id", "row", "col_span"), ["path", "table_id"]).where("giant").select(F.col("path").alias("g_path"), F.col("table_id").alias("g_table"))
+        self.giants = written(giants, "giant-tables")
+        inside = (F.col("path") == F.col("g_path")) & (F.col("table_id") == F.col("g_table"))
+        ordinary, self.later = blocks.join(self.giants, inside, "left_anti"), blocks.join(self.giants, inside, "left_semi")
+        pieces = _pieces(ordinary, table_markdown(ordinary.where("error is null")))
+        waits = self.giants.select(F.col("g_path").alias("path"), F.col("g_table").alias("block_id"), F.lit(True).alias("deferred"))
+        marked = pieces.join(waits, ["path", "block_id"], "left").withColumn("deferred", F.coalesce("deferred", F.lit(False)))
+        self.pieces = written(marked.withColumn("piece", F.when(F.col("deferred"), F.lit(PLACEHOLDER)).otherwise(F.col("piece"))), "pieces")
+        self.every = written(blocks.groupBy("path").agg(F.max("error").alias("error")), "extract-errors")
+
+    def markdown(self) -> DataFrame:
+        """path, markdown, error, n_deferred."""
+        texts = spans.document_markdown(self.pieces, ["path"], "block_id")
+        waiting = self.pieces.groupBy("path").agg(F.count(F.when(F.col("deferred"), 1)).cast("int").alias("n_deferred"))
+        rows = self.every.join(texts, "path", "left").join(waiting, "path", "left")
+        return rows.select("path", F.coalesce("markdown", F.lit("")).alias("markdown"), "error", F.coalesce("n_deferred", F.lit(0)).alias("n_deferred"))
+
+    def finished(self) -> DataFrame:
+        """path and the whole markdown of the documents with giant tables."""
+        back = table_markdown(self.later).select("path", F.col("table_id").alias("block_id"), F.col("markdown").alias("table_md"))
+        own = self.pieces.join(self.giants.select(F.col("g_path").alias("path")).distinct(), "path", "left_semi")
+        whole = own.join(back, ["path", "block_id"], "left").withColumn("piece", F.when(F.col("deferred"), F.coalesce("table_md", F.lit(""))).otherwise(F.col("piece")))
+        return spans.document_markdown(whole.drop("table_md"), ["path"], "block_id").select("path", "markdown")
+
+
 def extracted(files: DataFrame) -> DataFrame:
     """path, output, status (0 done, 1 failed), error. Text and Markdown come out as they are; office files with a header.
 

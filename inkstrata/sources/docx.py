@@ -191,11 +191,9 @@ def length(text: str) -> float | None:
 def drawn_pictures(drawing: Node, target: Callable[[str | None], str]) -> list[tuple[str, dict]]:
     """Pictures of a drawing, each in points: its own size times the scales of all groups around it, else the drawing's."""
     whole = extent(next(drawing.every("wp:extent"), None))
-    if whole is None:
-        return []
-    whole = (whole[0] / EMU, whole[1] / EMU)
+    whole = (whole[0] / EMU, whole[1] / EMU) if whole is not None else (None, None)
 
-    def picture(blip: Node, size: tuple[float, float]) -> tuple[str, dict]:
+    def picture(blip: Node, size: tuple) -> tuple[str, dict]:
         return "image", {"ref": target(blip.get("r:embed") or blip.get("r:link")), "width": size[0], "height": size[1]}
 
     outer = next(drawing.every("wpg:wgp"), None)

@@ -21,7 +21,7 @@ TASK = re.compile(r"\[([ xX])\][ \t]+")
 MATH_LANGUAGES = {"math", "tex", "latex"}
 _inline = re.compile(
     r"(?P<esc>\\[!-/:-@\[-`{-~])|(?P<code>(`+)(?!`)(.+?)(?<!`)\3(?!`))|!\[(?P<alt>[^\]]*)\]\((?P<src>[^)\s]*)[^)]*\)(?:\{(?P<hint>[^}\n]*(?:width|height)[^}\n]*)\})?|(?P<img><img\b[^>]*>)"
-    r"|\[(?P<label>(?:[^\[\]]|\[[^\]]*\])*)\](?:\((?P<href>[^)\s]*)[^)]*\)|\[(?P<ref>[^\]]*)\])|<(?P<auto>https?://[^>\s]+)>"
+    r"|\[(?P<label>(?:[^\[\]]|\[[^\]]*\])*)\](?:\((?P<href>[^)\s]*)[^)]*\)|\[(?P<ref>[^\]]*)\])?|<(?P<auto>https?://[^>\s]+)>"
     r"|\*\*\*(?P<both>.+?)\*\*\*|\*\*(?P<b1>.+?)\*\*|__(?P<b2>.+?)__|(?<!\w)_(?P<i2>[^_]+?)_(?!\w)|\*(?P<i1>[^*]+?)\*|~~(?P<s>.+?)~~|(?P<brk>(?: {2,}|\\)\n)",
     re.S,
 )
@@ -49,7 +49,12 @@ def inline(text: str, links: dict[str, str], pictures: list[str], **marks: objec
             pictures.append(src.group(1) if src else "")
         elif g["label"] is not None:
             target = g["href"] if g["href"] is not None else links.get((g["ref"] or g["label"]).lower())
-            out += deeper(g["label"], link=target) if target else [span(m.group(), **marks)]
+            if target:
+                out += deeper(g["label"], link=target)
+            elif g["href"] is None and g["ref"] is None:  # no reference: what is between the brackets counts
+                out += [span("[", **marks), *deeper(g["label"]), span("]", **marks)]
+            else:
+                out.append(span(m.group(), **marks))
         elif g["auto"]:
             out.append(span(g["auto"], **{**marks, "link": g["auto"]}))
         elif g["both"]:
