@@ -1,12 +1,13 @@
 """Exact top-k by inner product: a KD-tree per shard, searched best first, with the kth score passed on between shards.
 
 Median splits of a bounded sample cut space into at most CELLS cells; a cell's vectors are dealt to shards of about SHARD_ROWS rows by
-their row's number. A shard's tree splits at the median of its widest dimension down to
+their row's number. A pair of a query block and a shard is a row, and pairs are dealt by cell, shard and groups of BLOCKS_A_TASK blocks: a cell, however many
+vectors fall into it, is never a task. A shard's tree splits at the median of its widest dimension down to
 leaves of LEAF rows; every node keeps its tight bounding box. The bound of a query and a box is the sum over
 dimensions of the larger of query*low and query*high: no vector in the box scores more. A queue visits nodes by falling bound and
 stops when the bound is below the kth score so far. Queries, in blocks of QUERY_BLOCK of one cell, first search that cell's shards. The
 kth scores found there and the cells' boxes, a table of at most CELLS rows, decide which further cells a block must meet; what no
-query's bound reaches is never joined. Queries and shards travel as rows of packed arrays and meet by an equi-join on the cell.
+query's bound reaches is never joined. Where all vectors fit one shard, or one cell, there is nothing further to meet and no pass for it. Queries and shards travel as rows of packed arrays.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, as queries or candidates.
 Shorter vectors count as padded with zeros. A null id takes no part. Rows with equal ids are separate candidates, but none of
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._util import arrow_batch, arrow_rows, stored
@@ -34,6 +35,8 @@ SHARD_ROWS = 4_096
 QUERY_BLOCK = 512
 #: A bounded sample of vectors whose median splits make at most CELLS cells of space.
 SAMPLE_ROWS, CELLS = 20_000, 256
+#: Query blocks that meet a shard in one task; of more, groups do, each with a copy of the shard.
+BLOCKS_A_TASK = 64
 HIT = "query_id bigint, row bigint, vec_id bigint, score bigint"
 
 
@@ -164,11 +167,26 @@ def _packed(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy("cell", key).applyInPandas(pack, f"cell bigint, {key} bigint, rows binary, ids binary, points binary, low binary, high binary, dim bigint")
 
 
-def _dealt(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """rows with the number of their shard (or block) in their cell: as many as keep each at about size rows."""
-    counts = {r.cell: -(-r.n // size) for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most CELLS rows
-    n = F.create_map(*[F.lit(x).cast("long") for pair in (counts or {0: 1}).items() for x in pair])[F.col("cell")]
-    return rows.withColumn(key, F.pmod(F.xxhash64("row"), n))
+def _by_cell(counts: dict[int, int], cell: str = "cell") -> Column:
+    return F.create_map(*[F.lit(x).cast("long") for pair in (counts or {0: 1}).items() for x in pair])[F.col(cell)]
+
+
+def _counts(rows: DataFrame, size: int) -> dict[int, int]:
+    """How many shards (or blocks) of about size rows each cell has: at most CELLS rows reach the driver."""
+    return {r.cell: -(-r.n // size) for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+
+
+def _dealt(rows: DataFrame, key: str, counts: dict[int, int]) -> DataFrame:
+    """rows with the number of their shard (or block) in their cell."""
+    return rows.withColumn(key, F.pmod(F.xxhash64("row"), _by_cell(counts)))
+
+
+def _met(asked: DataFrame, to: str, shards: DataFrame, per_cell: dict[int, int], n_blocks: int) -> DataFrame:
+    """A row per asked block (home, block, its queries) and shard of the cell named by to, with both sides' columns."""
+    groups = max(1, -(-n_blocks // BLOCKS_A_TASK))
+    each = asked.withColumn("to_shard", F.explode(F.sequence(F.lit(0).cast("long"), _by_cell(per_cell, to) - 1))).withColumn("group", F.pmod(F.xxhash64("home", "block"), F.lit(groups)))
+    copied = shards.withColumn("to_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    return each.join(copied, (F.col(to) == F.col("cell")) & (F.col("to_shard") == F.col("shard")) & (F.col("group") == F.col("to_group")))
 
 
 def _searched(pairs: DataFrame, k: int) -> DataFrame:
@@ -252,30 +270,42 @@ def _boxes(shards: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
     return [(r.cell, np.frombuffer(bytes(r.low)), np.frombuffer(bytes(r.high))) for r in rows]
 
 
-def planned(vectors: DataFrame, is_query: str, k: int, shard_rows: int, query_block: int, cells: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The shards, the query blocks, the hits of each query in its own cell, and the pairs of query blocks and further cells that must still meet."""
+def planned(vectors: DataFrame, is_query: str, k: int, shard_rows: int, query_block: int, cells: int) -> tuple[DataFrame, DataFrame | None]:
+    """The hits of each query in its own cell, and the pairs of query blocks and shards of further cells that must still meet (none: there are no further cells)."""
     plain = stored(vectors, "vectors")
     n_rows = plain.count()
-    rate = min(1.0, SAMPLE_ROWS / max(1, n_rows))
-    drawn = plain.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))).select("v").limit(2 * SAMPLE_ROWS).collect()
-    dim = max((len(r.v) for r in drawn), default=1)
-    sample = _points([np.array(r.v, float) for r in drawn], dim)
-    splits = median_splits(sample, max(1, min(cells, -(-n_rows // shard_rows)))) if len(sample) else []
-    base = stored(_placed(plain, splits, dim), "vector-cells")
-    shards = stored(_packed(_dealt(base, "shard", shard_rows), "shard"), "shards")
+    splits: Splits = []
+    if n_rows > shard_rows:
+        rate = min(1.0, SAMPLE_ROWS / n_rows)
+        drawn = plain.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))).select("v").limit(2 * SAMPLE_ROWS).collect()
+        dim = max((len(r.v) for r in drawn), default=1)
+        sample = _points([np.array(r.v, float) for r in drawn], dim)
+        splits = median_splits(sample, max(1, min(cells, -(-n_rows // shard_rows)))) if len(sample) else []
+    if splits:
+        base = stored(_placed(plain, splits, dim), "vector-cells")
+    else:
+        base = plain.withColumn("cell", F.lit(0).cast("long")).withColumn("row", F.monotonically_increasing_id())
+    per_cell = _counts(base, shard_rows)
     queries = base.where(is_query)
-    blocks = _packed(_dealt(queries, "block", query_block), "block").select("cell", "block", F.col("ids").alias("q_ids"), F.col("points").alias("q_points"), F.col("dim").alias("q_dim"))
-    blocks = stored(blocks, "query-blocks")
-    first = blocks.withColumnsRenamed({"cell": "home"}).withColumn("floors", F.lit(None).cast("binary")).join(shards, F.col("home") == shards["cell"])
-    found = stored(_best(_searched(first, k), k), "first-hits")
-    pairs = stored(_near(_with_floors(blocks, found, k), _boxes(shards)), "near-pairs")
-    return shards, blocks, found, pairs
+    blocks_of = _counts(queries, query_block)
+    n_blocks = sum(blocks_of.values())
+    shards = _packed(_dealt(base, "shard", per_cell), "shard")
+    blocks = _packed(_dealt(queries, "block", blocks_of), "block").select("cell", "block", F.col("ids").alias("q_ids"), F.col("points").alias("q_points"), F.col("dim").alias("q_dim"))
+    if splits:
+        shards, blocks = stored(shards, "shards"), stored(blocks, "query-blocks")
+    first = blocks.withColumnRenamed("cell", "home").withColumn("floors", F.lit(None).cast("binary"))
+    found = _best(_searched(_met(first, "home", shards, per_cell, n_blocks), k), k)
+    if not splits:
+        return found, None
+    found = stored(found, "first-hits")
+    near = stored(_near(_with_floors(blocks, found, k), _boxes(shards)), "near-pairs")
+    asked = near.join(blocks.withColumnRenamed("cell", "b_cell"), (F.col("home") == F.col("b_cell")) & (F.col("home_block") == F.col("block"))).drop("b_cell", "home_block")
+    return found, _met(asked, "to_cell", shards, per_cell, n_blocks)
 
 
 def top_k(vectors: DataFrame, is_query: str, k: int = 5, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK, cells: int = CELLS) -> DataFrame:
     """query_id, rank, vec_id, score. vectors: integer_vectors(); is_query: SQL condition on vec_id that names the queries."""
-    shards, blocks, found, pairs = planned(vectors, is_query, k, shard_rows, query_block, cells)
-    asked = pairs.join(blocks.withColumnRenamed("cell", "b_cell"), (F.col("home") == F.col("b_cell")) & (F.col("home_block") == F.col("block")))
-    rest = _searched(asked.drop("b_cell").join(shards, F.col("to_cell") == F.col("cell")), k)
-    both = found.select("query_id", "row", "vec_id", "score").unionByName(rest)
-    return _best(both, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found, pairs = planned(vectors, is_query, k, shard_rows, query_block, cells)
+    if pairs is not None:
+        found = _best(found.select("query_id", "row", "vec_id", "score").unionByName(_searched(pairs, k)), k)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

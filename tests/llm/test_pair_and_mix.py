@@ -64,6 +64,20 @@ def near_copies(seed, groups=6, copies=12, words=60):
     return rows
 
 
+def test_equal_vectors_are_no_single_task(spark, monkeypatch):
+    monkeypatch.setattr(kdtree_search, "BLOCKS_A_TASK", 2)
+    vectors = kdtree_search.integer_vectors(spark.range(20_000).select(F.col("id").alias("vec_id"), F.array(F.lit(0.5), F.lit(0.25)).alias("embedding")), "vec_id", "embedding")
+    found, pairs = kdtree_search.planned(vectors, "vec_id % 50 = 0", 5, 1_000, 20, kdtree_search.CELLS)
+    assert pairs is None
+    met = {}
+    monkeypatch.setattr(kdtree_search, "_searched", lambda rows, k: met.setdefault("rows", rows) and rows.selectExpr("0L as query_id", "0L as row", "0L as vec_id", "0L as score"))
+    kdtree_search.planned(vectors, "vec_id % 50 = 0", 5, 1_000, 20, kdtree_search.CELLS)
+    keys = met["rows"].groupBy("cell", "shard", "group").agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in keys) == 20 * 20 and len(keys) >= 150 and max(r.n for r in keys) <= 10
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in found.where("query_id in (0, 100)").collect())
+    assert got == [(0, r, r) for r in range(1, 6)] + [(100, r, r - 1) for r in range(1, 6)]
+
+
 @pytest.mark.parametrize("percent,block", [(90, 4000), (80, 5), (70, 3)])
 def test_join_matches_brute_force(spark, percent, block):
     rows = near_copies(percent)
@@ -308,8 +322,10 @@ def test_search_skips_cells_that_no_query_needs(spark):
     points = np.concatenate([c + rng.normal(size=(60, 8)) * 0.2 for c in centres])
     df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id bigint, embedding array<float>")
     vectors = kdtree_search.integer_vectors(df, "vec_id", "embedding")
-    shards, blocks, found, pairs = kdtree_search.planned(vectors, "vec_id % 50 = 0", 5, 60, 4, 40)
-    assert pairs.count() < 0.5 * blocks.count() * shards.select("cell").distinct().count()
+    found, pairs = kdtree_search.planned(vectors, "vec_id % 50 = 0", 5, 60, 4, 40)
+    pairs = pairs.select("home", "block", "cell", "shard").collect()
+    n_blocks, n_cells = (len({k(r) for r in pairs}) for k in (lambda r: (r.home, r.block), lambda r: r.cell))
+    assert len(pairs) < 0.5 * n_blocks * n_cells and len(set(pairs)) == len(pairs)
     whole = np.floor(256 * points.astype(np.float32).astype(float)).astype(int)
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in kdtree_search.top_k(vectors, "vec_id % 50 = 0", 5, 60, 4, 40).collect()}
     want = {(q, r + 1): (i, -s) for q in range(0, len(whole), 50) for r, (s, i) in enumerate(sorted((-int(whole[q] @ x), i) for i, x in enumerate(whole) if i != q)[:5])}
