@@ -54,8 +54,8 @@ def _order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     orders = t(spark, sf_dir, "orders").withColumn("path", F.concat_ws("|", "o_orderstatus", F.when(F.col("o_orderstatus") == "F", F.col("o_custkey") % 50).otherwise(F.lit(0))))
     spans = lambda text: F.from_json(F.to_json(F.array(F.struct(text.alias("text")))), f"array<{SPAN}>").alias("spans")
-    row = F.row_number().over(Window.partitionBy("path").orderBy("o_orderkey")) - 1
-    cells = orders.select("path", row.alias("row"), F.posexplode(F.array(*[c.cast("string") for c in (F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderkey") % 7, F.col("o_orderstatus"))])).alias("col", "text"))
+    orders = orders.withColumn("row", F.row_number().over(Window.partitionBy("path").orderBy("o_orderkey")) - 1)
+    cells = orders.select("path", "row", F.posexplode(F.array(*[c.cast("string") for c in (F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderkey") % 7, F.col("o_orderstatus"))])).alias("col", "text"))
     number = 2 + 8 * F.col("row") + 2 * F.col("col")
     frame = orders.select("path").distinct().select("path", F.inline(F.array(*[F.struct(F.lit(b).alias("block_id"), F.lit(k).alias("kind"), F.lit(x).alias("text")) for b, k, x in ((0, "heading", "Orders"), (1, "table", ""), (10**9, "paragraph", "end"))])))
     parts = [
