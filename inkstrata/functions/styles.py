@@ -117,6 +117,48 @@ def first_indent(start: Column, first: Column, hanging: Column) -> Column:
     return zero(start) + zero(first) - zero(hanging)
 
 
+def span_attributes(text: Column, span: Column, scale: Column, paged: Column) -> Column:
+    """A struct (text, attributes): what a span shows, and its attributes as an array of (key, value).
+
+    span: a struct with code, font, size, bold, italic, superscript, subscript, color, highlight, underline, strikethrough, caps, link. Capitals are of the shown text
+    alone. A code span has its own family and colour whatever the author said. An own size is scaled, rounded unless pages are drawn, and one at least;
+    raised and lowered text takes seven tenths of it, superscript winning. A link underlines; one with # names an anchor.
+    """
+    yes = lambda name: F.coalesce(span[name], F.lit(False))
+    size = F.greatest(F.lit(1.0), F.when(paged, span["size"] * scale).otherwise(F.round(span["size"] * scale)))
+    size = F.when(span["size"].isNotNull(), size)
+    raised, lowered = yes("superscript"), yes("subscript") & ~yes("superscript")
+    mark = lambda name: F.when(yes(name), F.lit("true"))
+    anchor = F.startswith(span["link"], F.lit("#"))
+    values = {
+        "code": mark("code"), "family": F.when(~yes("code"), span["font"]), "size": F.when(raised | lowered, size * 0.7).otherwise(size).cast("string"),
+        "baseline": F.when(raised, size * 0.35).when(lowered, size * -0.15).cast("string"), "bold": mark("bold"), "italic": mark("italic"), "color": F.when(~yes("code"), span["color"]),
+        "highlight": span["highlight"], "underline": F.when(yes("underline") | span["link"].isNotNull(), F.lit("true")), "strikethrough": mark("strikethrough"),
+        "link": F.when(~anchor, span["link"]), "anchor": F.when(anchor, F.substring(span["link"], F.lit(2), F.length(span["link"]))),
+    }
+    said = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items()]), lambda a: a["value"].isNotNull())
+    return F.struct(F.when(yes("caps"), F.upper(text)).otherwise(text).alias("text"), said.alias("attributes"))
+
+
+def paragraph_layout(said: Column, scale: Column, line_floor: Column, gap_floor: Column) -> Column:
+    """A struct of what a paragraph's format comes to: before, after, multiple, least and most line height, head, first and tail indents; null where it says nothing.
+
+    said: a struct with before, after, line (a struct of rule: multiple, exact or at least; and value), start, end, first, hanging. A gap behind it that is more than nothing
+    is gap_floor at least. A multiple has line_floor as its least height and no most; an exact height is both, one at least only the least. If any indent is
+    said, the others count as none; the tail counts from the right edge, so it is negative.
+    """
+    rule, value = said["line"]["rule"], said["line"]["value"]
+    after = said["after"] * scale
+    any_indent = F.coalesce(said["start"], said["end"], said["first"], said["hanging"]).isNotNull()
+    start = F.coalesce(said["start"], F.lit(0.0)) * scale
+    return F.struct(
+        (said["before"] * scale).alias("before"), F.when(after > 0, F.greatest(after, gap_floor)).otherwise(after).alias("after"), F.when(rule == "multiple", value).alias("multiple"),
+        F.when(rule == "multiple", line_floor).when(rule.isNotNull(), value * scale).alias("least"), F.when(rule == "exact", value * scale).when(rule.isNotNull(), F.lit(0.0)).alias("most"),
+        F.when(any_indent, start).alias("head"), F.when(any_indent, start + (F.coalesce(said["first"], F.lit(0.0)) * scale) - (F.coalesce(said["hanging"], F.lit(0.0)) * scale)).alias("first"),
+        (-(said["end"] * scale)).alias("tail"),
+    )
+
+
 def running_head_y(sheet_top: Column, sheet_height: Column, distance: Column, height: Column, half_gap: Column, at_foot: bool) -> Column:
     """Where a running head or foot begins: at its distance from the sheet's edge, else centred in half the gap."""
     if at_foot:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.styles import span_attributes
 from .grouped import stream_groups
 
 
@@ -53,6 +54,57 @@ def attribute_intervals(spans: DataFrame, part: list[str], order: list[str], len
     return rows.select(*part, F.col("s.key").alias("key"), F.col("s.value").alias("value"), F.col("_start").alias("start"), F.col("_end").alias("end"))
 
 
+#: Attributes whose values add up where they overlap; of others one wins.
+ADDED = {"bookmark", "comment"}
+
+
+def overlaid(layers: DataFrame, part: str) -> DataFrame:
+    """part, start, end, key, value: layers that overlap as disjoint intervals, cut wherever one of the document's begins or ends.
+
+    layers: part (long), layer (int), start, end, key, value. In an interval a key has the value of the highest layer, of equal ones that which began last, then the
+    larger value; values of bookmarks and comments add up, sorted. One ordered pass over a document, which holds what is open.
+    """
+
+    def sweep(rows: list[tuple]) -> Iterator[tuple]:
+        doc, opened, open_ = rows[0][0], 0, {}
+        for at, until in _between(sorted({x for r in rows for x in (r[2], r[3])})):
+            while opened < len(rows) and rows[opened][2] <= at:  # rows come by their starts
+                _, layer, start, end, key, value = rows[opened]
+                open_.setdefault(key, []).append((layer, start, value, end))
+                opened += 1
+            for key in sorted(open_):
+                open_[key] = [x for x in open_[key] if x[3] > at]
+                if open_[key] and key in ADDED:
+                    yield doc, at, until, key, ",".join(sorted({x[2] for x in open_[key]}))
+                elif open_[key]:
+                    yield doc, at, until, key, max(open_[key])[2]
+
+    rows = layers.where("start < end and value is not null").select(part, "layer", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "key", "value")
+    return stream_groups(rows, [part], ["start"], sweep, f"{part} bigint, start bigint, end bigint, key string, value string")
+
+
+def _between(places: list[int]) -> Iterator[tuple[int, int]]:
+    return zip(places, places[1:], strict=False)
+
+
+def attribute_layers(spans: DataFrame, blocks: DataFrame, comments: DataFrame, part: str, order: list[str], scale: Column, paged: Column) -> DataFrame:
+    """The layers of documents' texts, for overlaid(): blocks' ids and headings (1), spans' attributes (2), bookmarks and the numbers of the comments
+    that are known (3). spans: part, order, block, text, span (styles.span_attributes), bookmarks and comment_ids; blocks: part, block, block_id, heading; comments:
+    part, id, number. A document's text is its spans' shown texts, one after the other.
+    """
+    shown = spans.withColumn("_shown", span_attributes(F.col("text"), F.col("span"), scale, paged)).withColumn("_len", F.length("_shown.text").cast("long"))
+    before = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = shown.withColumn("start", F.coalesce(F.sum("_len").over(before), F.lit(0))).withColumn("end", F.col("start") + F.col("_len"))
+    row = lambda layer, key, value: [F.lit(layer).alias("layer"), "start", "end", key.alias("key"), value.cast("string").alias("value")]
+    own = placed.select(part, F.lit(2).alias("layer"), "start", "end", F.inline("_shown.attributes"))
+    ranges = placed.groupBy(part, "block").agg(F.min("start").alias("start"), F.max("end").alias("end")).join(blocks, [part, "block"])
+    ids = ranges.select(part, *row(1, F.lit("block_id"), F.col("block_id")))
+    heads = ranges.where("heading is not null").select(part, *row(1, F.lit("heading"), F.col("heading")))
+    marks = placed.select(part, "start", "end", F.explode("bookmarks").alias("name")).select(part, *row(3, F.lit("bookmark"), F.col("name")))
+    noted = placed.select(part, "start", "end", F.explode("comment_ids").alias("id")).join(comments, [part, "id"]).select(part, *row(3, F.lit("comment"), F.col("number")))
+    return own.unionByName(ids).unionByName(heads).unionByName(marks).unionByName(noted)
+
+
 def spliced(ranges: DataFrame, edits: DataFrame, part: list[str], start: str, length: str) -> DataFrame:
     """Block ranges after one edit per document (edit_at, removed, added): later ones shift, touched ones are marked for a new render."""
     rows = ranges.join(edits, part, "left")

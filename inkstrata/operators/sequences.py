@@ -83,6 +83,20 @@ def comment_numbers(comments: DataFrame, anchors: DataFrame, part: list[str]) ->
     return rows.withColumn("number", F.coalesce("n", most + rest).cast("int")).drop("n")
 
 
+def numbered(rows: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
+    """Adds name: a row's place, from 1, among all rows in the given order, which should tell rows apart.
+
+    Rows are dealt by ranges of the order and written; a range numbers its own, and starts behind the rows of those before it. Only a row per
+    range is added up in one task, and broadcast.
+    """
+    ranged = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_own", own).join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+
+
 def open_ranges(events: DataFrame, part: list[str], order: str, change: str) -> DataFrame:
     """Adds n_open: how many ranges are open behind each event. change: +1 opens, -1 closes, 0 neither."""
     w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

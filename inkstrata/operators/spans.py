@@ -94,3 +94,8 @@ def document_markdown(blocks: DataFrame, part: list[str], order: str, kind: str
     rows = rows.withColumn("_piece", F.concat(glue, piece))
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_piece").alias("t"))))
     return rows.groupBy(*part).agg(F.array_join(F.transform(ordered, lambda s: s["t"]), "").alias("markdown"))
+
+
+def largest_run(spans: DataFrame, part: list[str], size: str = "size") -> DataFrame:
+    """part, size: the largest size that a paragraph's spans state; sizes of nothing or less say none."""
+    return spans.groupBy(*part).agg(F.max(F.when(F.col(size) > 0, F.col(size))).alias("size"))
