@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,11 +21,40 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, its size known. It goes when the session's JVM ends."""
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Jobs that are planned inside give their shuffle files back when they end, not when the driver's garbage is collected: what they made is a table by then."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, and its path, for discarded(): its lineage is cut, its size known, and it outlives lost executors. What is left goes when
+    the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_end(spark):
+        df.write.parquet(path)
+    kept_until_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return written_at(df, name)[0]
+
+
+def kept_until_exit(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def discarded(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of written_at(), once nothing reads them any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
