@@ -5,8 +5,6 @@ from __future__ import annotations
 import ctypes
 import hashlib
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,25 +12,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.written import discarded, kept_until_exit, shared_folder, written_at
+
+__all__ = ["discarded", "kept_until_exit", "shared_folder"]
+
 #: White space between words: blank and the controls 9 to 13.
 GAP = r"[\x20\x09-\x0D]+"
 #: Rows of an Arrow batch at most.
 BATCH_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a fresh local one only where that is unset and all runs on this machine, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="inkstrata-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Lets no Arrow batch of this session hold more than BATCH_ROWS rows: texts are long, and a batch is held several times, by the
     JVM outside its heap and by Python. Smaller settings stay."""
@@ -42,27 +31,15 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes df as a table in the shared folder and reads it back: cuts the lineage and outlives lost executors. Gives the table's
-    path as well, for discarded(); what is left goes when the session's JVM ends."""
-    spark = df.sparkSession
-    bounded_batches(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path), path
+    """df as a table in the shared folder, and its path, for discarded()."""
+    bounded_batches(df.sparkSession)
+    return written_at(df, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     return stored_at(df, name)[0]
 
 
-def discarded(spark: SparkSession, path: str) -> None:
-    """Deletes a table of stored_at(), once nothing reads it any more."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def passing(docs: DataFrame, names: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """work(docs) with docs' own columns unchanged, whatever they are called: all but the named ones travel under private names, so
     none clashes with what work adds, and only docs' columns come back."""

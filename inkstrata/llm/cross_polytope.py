@@ -355,8 +355,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 10, tables: int = TABLES
     rest = met(index.further_probes(known, about.norms))
     both = found.select("query_id", "row", "vec_id", "score").unionByName(rest)
     answer = stored(_best(both, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "nearest")
-    for path in (base_at, cells_at, found_at):
-        discarded(spark, path)
+    discarded(spark, base_at, cells_at, found_at)
     return answer
 
 

@@ -23,17 +23,16 @@ every token is unknown. Only doc_id and text are read; other columns are ignored
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import arrow_batch, arrow_rows, even_keys, hash_of, lean, mix64, packed, raw_text, stored, unpacked, word_hashes
+from ._util import arrow_batch, arrow_rows, discarded, even_keys, hash_of, lean, mix64, packed, raw_text, stored, stored_at, unpacked, word_hashes
 
 BURN_IN, SAMPLES = 4, 4  # of Dense
 #: Exchanges with sweeps behind each; the last round's sweeps are the samples.
@@ -345,27 +344,11 @@ def _world(state: DataFrame, hot: np.ndarray, n_values: int, values: Callable[[d
     return each, others
 
 
-def _dropped(df: DataFrame) -> None:
-    """Deletes a stored() table that nothing reads any more, and lets Spark delete the shuffle files that nothing refers to."""
-    spark, files = df.sparkSession, df.inputFiles()
-    if files:
-        where = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _freed(spark: SparkSession) -> None:
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def scored(
-    docs: DataFrame, learns: str, vocab: int | None = None, contexts: int | None = None, tails: int | None = None,
-    block_chars: int = 7 * BLOCK_TOKENS, bucket_chars: int = BUCKET_CHARS, discount: float = DISCOUNT, strength: float = STRENGTH,
+    docs: DataFrame, learns: str, block_chars: int = 7 * BLOCK_TOKENS, bucket_chars: int = BUCKET_CHARS, discount: float = DISCOUNT, strength: float = STRENGTH,
 ) -> DataFrame:
     """SCORE_DDL and train_tokens for every row of docs. learns: SQL condition on doc_id that names the training rows. block_chars: about
     seven a token.
-
-    vocab, contexts and tails once bounded the model; they are accepted and have no effect.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("learns", F.coalesce(F.expr(learns), F.lit(False)))
@@ -373,8 +356,7 @@ def scored(
     n_buckets, block_tokens = max(1, -(-size // bucket_chars)), max(1, block_chars // 7)
     buckets = even_keys(n_buckets, n_buckets)  # one to a partition
     hot = _hot_words(docs, learns)
-    state = stored(_sent(docs, hot, buckets, block_tokens, True).groupBy("bucket").applyInPandas(_counted, STATE_DDL), "lm-state")
-    _freed(spark)
+    state, path = stored_at(_sent(docs, hot, buckets, block_tokens, True).groupBy("bucket").applyInPandas(_counted, STATE_DDL), "lm-state")
     frequent, others = _world(state, hot, 2, lambda own: np.stack((own["n"], np.minimum(own["n"], 1))))
     total, distinct = others[0] + sum(v[0] for v in frequent.values()), others[1] + sum(v[0] > 0 for v in frequent.values())
     hot_n = np.array([frequent.get(int(w), [0])[0] for w in hot.view(np.int64)], np.int64)
@@ -428,10 +410,8 @@ def scored(
     for round_ in range(ROUNDS):
         contexts_of = lambda own: (own["su"] + np.bincount(own["ci"], own["t"], len(own["uk"])).astype(np.int64))[None, :]
         replies = _exchanged(state, contexts_of, buckets, 1)
-        new = stored(state.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(sampler(round_, *parent_of(state)), STATE_DDL), "lm-state")
-        _dropped(state)
-        _freed(spark)
-        state = new
+        last, (state, path) = path, stored_at(state.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(sampler(round_, *parent_of(state)), STATE_DDL), "lm-state")
+        discarded(spark, last)
 
     # what all buckets hold of each context and frequent word, per sample
     each, rest = _world(state, hot, 2 * SWEEPS, lambda own: np.concatenate((own["tops"].reshape(SWEEPS, -1), own["tts"].reshape(SWEEPS, -1))))
@@ -448,8 +428,7 @@ def scored(
         return _framed(int(mine["bucket"].iloc[0]), own | {"cu": sums[0], "tus": sums[1:].ravel(), "t": none, "su": none, "tt": none})
 
     final = stored(state.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(settle, STATE_DDL), "lm-final")
-    _dropped(state)
-    _freed(spark)
+    discarded(spark, path)
 
     def score(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         mine = rows["ws"].notna()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ball_kmeans, cross_polytope, jaccard_join, kdtree_search, language_id, license_scan, mixing, packing, pitman_yor, quality_rules, suffix_sigma, toxicity, warc
-from ._util import fold, table
+from ._util import discarded, fold, stored, table
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     manifest = warc.write_archive(records, root, shards)
     back = warc.read_archive(manifest, root, with_payload=False)
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    digests = stored(back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-digests")
+    discarded(spark, root)
+    return digests
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

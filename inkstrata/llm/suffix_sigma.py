@@ -314,6 +314,5 @@ def collocations(docs: DataFrame, max_n: int = 4, least: int = 30, top: int = 20
     totals = phrases.where("words = 0").select(F.col("lang").alias("t_lang"), F.col("f").alias("n"))
     answer = ranked.join(totals, F.col("lang") == F.col("t_lang")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
     out, _ = stored_at(answer, "collocations")
-    for p in paths:
-        discarded(spark, p)
+    discarded(spark, *paths)
     return out

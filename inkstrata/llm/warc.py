@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._util import arrow_batch, arrow_rows, shared_dir, stored
+from ._util import arrow_batch, arrow_rows, kept_until_exit, shared_folder, stored
 
 ROLL_BYTES = 64 << 20
 #: Fixed date, so that reruns give the same bytes.
@@ -241,4 +241,7 @@ def read_archive(manifest: DataFrame, root: str, with_payload: bool = True) -> D
 
 
 def archive_root(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    """A new folder for an archive in the shared one, which goes when the session's JVM ends."""
+    root = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    kept_until_exit(spark, root)
+    return root

@@ -168,14 +168,14 @@ def test_language_model(spark, prose):
     count = collections.Counter(w for i, t in prose if not held(i) for w in tok(t))
     n, v = sum(count.values()), len(count)
     df = spark.createDataFrame(prose, DOCS).withColumn("score", F.lit(1))
-    got = pitman_yor.scored(df, learns, vocab=8, contexts=6, tails=4, block_chars=2000).collect()
+    got = pitman_yor.scored(df, learns, block_chars=2000).collect()
     assert len(got) == len(prose)
     want = sorted((str(i), len(tok(t)), sum(count[w] > 0 for w in tok(t)), round(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tok(t)), 6)) for i, t in prose)
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
     assert {r.train_tokens for r in got} == {n}
     test = [r for r in got if held(r.doc_id)]
     assert sum(r.score for r in test) > sum(r.base_score for r in test)
-    again = pitman_yor.scored(df.repartition(3), learns, vocab=8, contexts=6, tails=4, block_chars=2000).collect()
+    again = pitman_yor.scored(df.repartition(3), learns, block_chars=2000).collect()
     assert sorted((str(r.doc_id), round(r.score, 9)) for r in again) == sorted((str(r.doc_id), round(r.score, 9)) for r in got)
     assert pitman_yor.scored(spark.createDataFrame([], DOCS), learns).count() == 0
     alone = pitman_yor.scored(spark.createDataFrame([(1, "x y")], DOCS), "doc_id < 0").collect()
@@ -187,7 +187,7 @@ def test_language_model_knows_the_contexts_of_rare_words(spark):
     rows = [(i, " ".join(f"p{k} q{k}" for k in rng.choices(range(60), k=20))) for i in range(80)]
     tests = [(-1 - k, f"p{k} q{j}") for k in range(20) for j in (k, (k + 7) % 60)]
     got = collections.defaultdict(list)
-    for r in pitman_yor.scored(spark.createDataFrame(rows + tests, DOCS), "doc_id >= 0", vocab=8, contexts=6, tails=4, block_chars=900, bucket_chars=700).collect():
+    for r in pitman_yor.scored(spark.createDataFrame(rows + tests, DOCS), "doc_id >= 0", block_chars=900, bucket_chars=700).collect():
         got[r.doc_id].append(r.score)
     for k in range(20):
         fits, other = sorted(got[-1 - k], reverse=True)
