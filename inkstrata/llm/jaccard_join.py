@@ -17,7 +17,7 @@ in doubt are compared member by member, in blocks. All links that decide a compo
 Where links are to be counted, each set's overlaps with its component come from inverted lists that are skipped by position to the sizes that
 can link, and are derived from the overlaps of a highly similar set that was answered before, by the lists of their differences only.
 
-Shingles are compared by 64-bit hashes, sets by 128-bit digests. Defined results: null and wordless texts have no set and link with
+Shingles are compared by 64-bit hashes, sets by 128-bit digests; sets that may link get numbers of their own, by which they are joined from there on. Defined results: null and wordless texts have no set and link with
 nothing (component: the row's own id). Rows with equal ids are separate members. Null ids count for links, never as a component's
 smallest id unless it has no other. An empty table gives no rows. Only doc_id and text are read.
 """
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import arrow_batch, arrow_rows, even_keys, lean, mix64, packed, passing, raw_text, stored, unpacked, word_hashes
+from ._util import arrow_batch, arrow_rows, discarded, even_keys, lean, mix64, packed, passing, raw_text, stored, stored_at, unpacked, word_hashes
 from .components import HOT_KEYS, components
 
 WIDTH = 3
@@ -471,7 +471,7 @@ def decided(sets: DataFrame, percent: int, parts: int, block_sets: int = BLOCK_S
         left, right = ([r for r in rows if r["block"] == b] for b in (i, j))
         if not left or not right:
             return []
-        most, out = 1 - percent / 100 + 1e-9, []
+        most, links, doubts, union_ = 1 - percent / 100 + 1e-9, [], [], Union()
         lists = Lists(_arrays(right), percent)
         known, ids = Answers(lists), np.array([right[k]["lo"] for k in lists.order], np.int64)
         radii = np.array([right[k]["radius"] for k in lists.order])
@@ -481,9 +481,12 @@ def decided(sets: DataFrame, percent: int, parts: int, block_sets: int = BLOCK_S
             once = ids < r["lo"] if i == j else np.ones(lists.n, bool)
             hit = once & (100 * both >= percent * union)
             near = once & ~hit & (1.0 - both / union <= most + r["radius"] + radii)
-            out += [("link", comp, r["lo"], q, None, None) for q in ids[hit].tolist()]
-            out += [("doubt", comp, r["lo"], q, None, None) for q in ids[near].tolist()]
-        return out
+            for q in ids[hit].tolist():  # of all links only those that connect what is not connected yet
+                if union_.root(q) != union_.root(r["lo"]):
+                    union_.join(q, r["lo"])
+                    links.append(("link", comp, r["lo"], q, None, None))
+            doubts += [(r["lo"], q) for q in ids[near].tolist() if union_.root(q) != union_.root(r["lo"])]
+        return links + [("doubt", comp, a, b, None, None) for a, b in doubts if union_.root(a) != union_.root(b)]
 
     first = stored(blocks(sets), "jaccard-blocks")
     found = stored(_grouped(first.where("n_blocks = 1").select("comp", "lo", "own"), ["comp"], whole, parts), "jaccard-links").select("kind", "a", "b")
@@ -572,25 +575,29 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block_se
     near = rows.where(F.col("n_shingles") > 0).where(F.col("shared") * 100 >= F.col("n_shingles") * percent)
     # of equal sets, one document brings its text
     some = near.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"))
-    some = stored(some.where("doc_id is not null").select("doc_id").distinct(), "jaccard-texts")
+    some, some_at = stored_at(some.where("doc_id is not null").select("doc_id").distinct(), "jaccard-texts")
     texts = docs.select("doc_id", "text").join(some, "doc_id", "left_semi").unionByName(docs.select("doc_id", "text").where("doc_id is null"))
-    whole = stored(sets_of(texts, width).where(F.octet_length("own") > 0).dropDuplicates(["hi", "lo"]), "jaccard-sets")
-    lists = stored(keyed(whole, percent), "jaccard-index").select(F.explode("keys").alias("key"), "lo")
+    # a set's number is one of the written table's rows: digests of 128 bits tell sets apart, and their numbers do from here on
+    whole = sets_of(texts, width).where(F.octet_length("own") > 0).dropDuplicates(["hi", "lo"]).withColumnRenamed("lo", "lo2")
+    whole, whole_at = stored_at(whole.withColumn("lo", F.monotonically_increasing_id()), "jaccard-sets")
+    lists, lists_at = stored_at(keyed(whole, percent), "jaccard-index")
+    lists = lists.select(F.explode("keys").alias("key"), "lo")
     shared = lists.groupBy("key").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).where("least <> most").select(F.col("key").alias("k"), "least")
-    shared = stored(shared, "jaccard-lists")
+    shared, shared_at = stored_at(shared, "jaccard-lists")
     edges = lists.join(shared, lists["key"] == F.col("k")).select("lo", "least")
     candidates = stored(components(edges, "lo", "least"), "jaccard-candidates")
+    discarded(spark, some_at, lists_at, shared_at)
     sets = whole.join(candidates.select(F.col("node").alias("c_lo"), F.col("root").alias("comp")), F.col("lo") == F.col("c_lo")).select("comp", "lo", "own")
     found = decided(sets, percent, parts, block_sets, block_shingles)
     roots = stored(components(found, "a", "b").select(F.col("node").alias("r_lo"), "root"), "jaccard-roots")
+    named_sets = stored(whole.select("hi", "lo2", "lo").join(roots, F.col("lo") == F.col("r_lo")).select(F.col("hi").alias("s_hi"), F.col("lo2").alias("s_lo"), "root", "lo"), "jaccard-named")
     filled = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "hi", "lo")
-    filled = filled.join(roots, filled["lo"] == F.col("r_lo"), "left")
+    filled = filled.join(named_sets.select("s_hi", "s_lo", "root"), (F.col("hi") == F.col("s_hi")) & (filled["lo"] == F.col("s_lo")), "left")
     filled = filled.select("doc_id", "n_shingles", "hi", "lo", F.when(F.col("root").isNull(), F.col("hi")).otherwise(F.lit(0)).alias("g1"), F.coalesce("root", "lo").alias("g2"))
     filled = stored(filled, "jaccard-groups")
     least = filled.groupBy("g1", "g2").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).withColumnsRenamed({"g1": "h1", "g2": "h2"})
     least = stored(least, "jaccard-least")
     same = lambda of: (F.col("g1") == of["h1"]) & (F.col("g2") == of["h2"])
-    # a group of more than one in HOT_GROUPS of all rows would fill a task of the join by itself; there are fewer than HOT_GROUPS of those
     # a group of more than one in HOT_KEYS of all rows would fill a task of the join by itself; there are fewer than HOT_KEYS of those
     hot = F.col("n") * HOT_KEYS > F.lit(filled.count())
     large, other = least.where(hot).drop("n"), least.where(~hot).drop("n")
@@ -600,17 +607,23 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block_se
     named = named.unionByName(rest.join(other, same(other)).select(*want))
     empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "hi", "lo", F.lit(None).cast("long").alias("g1"), F.lit(None).cast("long").alias("g2"))
     if not links:
+        discarded(spark, whole_at)
         return named.unionByName(empty)
-    copies = stored(near.groupBy("hi", "lo").agg(F.count("*").alias("weight")), "jaccard-copies")
-    linked = whole.join(roots, F.col("lo") == F.col("r_lo")).select(F.col("root").alias("comp"), "hi", "lo", "own").join(copies, ["hi", "lo"]).select("comp", "lo", "own", "weight")
+    copies = stored(near.groupBy("hi", "lo").agg(F.count("*").alias("weight")), "jaccard-copies").withColumnsRenamed({"hi": "c_hi", "lo": "c_lo"})
+    weighed = named_sets.join(copies, (F.col("s_hi") == F.col("c_hi")) & (F.col("s_lo") == F.col("c_lo"))).select(F.col("lo").alias("w_lo"), F.col("root").alias("comp"), "weight")
+    linked = whole.select("lo", "own").join(weighed, F.col("lo") == F.col("w_lo")).select("comp", "lo", "own", "weight")
     others = link_counts(linked, percent, parts, block_sets)
-    counts = copies.join(others, "lo", "left").select(F.col("lo").alias("c_lo"), F.col("weight").alias("n"), (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links")).where("n_links > 0")
+    others = named_sets.join(others, "lo").select("s_hi", "s_lo", "n_links")
+    counts = copies.join(others, (F.col("c_hi") == F.col("s_hi")) & (F.col("c_lo") == F.col("s_lo")), "left")
+    counts = counts.select("c_hi", "c_lo", F.col("weight").alias("n"), (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links")).where("n_links > 0")
     counts = stored(counts, "jaccard-links-per-set")
+    discarded(spark, whole_at)
     hot = F.col("n") * HOT_KEYS > F.lit(filled.count())
     large, other = counts.where(hot).drop("n"), counts.where(~hot).drop("n")
-    at_once = named.join(F.broadcast(large), F.col("lo") == F.col("c_lo"))
-    rest = named.join(F.broadcast(large.select("c_lo")), F.col("lo") == F.col("c_lo"), "left_anti").join(other, F.col("lo") == F.col("c_lo"), "left")
-    counted = at_once.unionByName(rest).drop("c_lo").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+    equal = (F.col("hi") == F.col("c_hi")) & (F.col("lo") == F.col("c_lo"))
+    at_once = named.join(F.broadcast(large), equal)
+    rest = named.join(F.broadcast(large.select("c_hi", "c_lo")), equal, "left_anti").join(other, equal, "left")
+    counted = at_once.unionByName(rest).drop("c_hi", "c_lo").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
     return counted.unionByName(empty.withColumn("n_links", F.lit(0).cast("long")))
 
 
