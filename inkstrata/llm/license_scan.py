@@ -6,8 +6,12 @@ up, so any run of K + WINDOW - 1 tokens that it shares with a template is found;
 template's gives the matched template tokens and the span of the document. A match's tokens are then marked as used, and the band is aligned
 again until nothing more passes, so notices that follow each other are all reported.
 
-The index depends on the templates only, a fixed list, and is sent with the tasks; documents are scanned whole, one by one, and
-nothing is shuffled. Defined results: null, empty and unmatched texts have an empty list of matches. Repeated rows get equal lists; one
+Templates of fewer than K tokens are looked up as they are, in full. `SPDX-License-Identifier:` lines are read by rule: a match per line, named SPDX- and the expression that
+stands there, whatever it is.
+
+The index depends on the templates only. They may be given as a table: Spark hashes and winnows it, its size is measured, and only an index of at most INDEX_BYTES is
+sent with the tasks; a larger one is cut into parts by template, and the documents are scanned part by part. Documents are scanned whole, one by one, and
+nothing of them is shuffled. Templates without a token match nothing; of several templates of one name each counts. Defined results: null, empty and unmatched texts have an empty list of matches. Repeated rows get equal lists; one
 document may match several templates, or one several times; of matches that overlap, the one with more matched tokens stays (then the
 one with more coverage, the earlier one, the smaller name). A notice with more than about BAND foreign tokens inside comes back as one match for
 each part that passes by itself. An empty table gives no rows. Other columns pass through; an own column named matches is replaced.
@@ -24,8 +28,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ._util import arrow_rows
+from ._util import arrow_batch, arrow_rows, discarded, stored, stored_at
 from .language_id import ddl_of
 
 K, WINDOW = 3, 2
@@ -35,6 +40,8 @@ MATCH, MISMATCH, GAP_COST = 2, -1, -1
 MIN_PERCENT, MIN_TOKENS = 60, 24
 #: Templates of fewer tokens than SHORT must match in full.
 SHORT = 8
+#: Bytes of an index that is sent with the tasks.
+INDEX_BYTES = 32 << 20
 
 # Short public license notices, by their common names.
 TEMPLATES = {
@@ -56,13 +63,12 @@ TEMPLATES = {
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "SPDX-MIT": "SPDX-License-Identifier: MIT",
-    "SPDX-Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
-    "SPDX-GPL-3.0": "SPDX-License-Identifier: GPL-3.0-or-later",
     "All-rights-reserved": "All rights reserved.",
 }
 
 _token = re.compile(r"[^\W_]+")
+_id = r"\(*[A-Za-z0-9][A-Za-z0-9.+-]*[A-Za-z0-9+]\)*"
+_spdx = re.compile(rf"SPDX-License-Identifier:[ \t]*({_id}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_id})*)")
 
 
 def token_spans(text: str) -> tuple[list[str], list[tuple[int, int]]]:
@@ -99,20 +105,54 @@ class Index:
     hashes: np.ndarray  # sorted
     owner: np.ndarray
     place: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by number of tokens: sorted hashes of whole templates, and which these are
+
+
+def _fingerprints(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens' codes of a template, its winnowed hashes and their places."""
+    codes = _codes(token_spans(text or "")[0])
+    h = gram_hashes(codes)
+    places = winnowed(h)
+    return codes, h[places], places
+
+
+def _indexed(templates: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]) -> Index:
+    names, codes = [t[0] for t in templates], [t[1] for t in templates]
+    hashes = np.concatenate([np.zeros(0, np.uint64), *(t[2] for t in templates)])
+    owner = np.repeat(np.arange(len(templates)), [len(t[2]) for t in templates])
+    place = np.concatenate([np.zeros(0, np.int64), *(t[3] for t in templates)])
+    order = np.lexsort((place, owner, hashes))
+    short = {}
+    for n in range(1, K):
+        own = [i for i, c in enumerate(codes) if len(c) == n]
+        whole = np.array([gram_hashes(codes[i], n)[0] for i in own], np.uint64)
+        ranks = np.argsort(whole, kind="stable")
+        short[n] = whole[ranks], np.array(own, np.int64)[ranks]
+    return Index(names, codes, hashes[order], owner[order], place[order], short)
 
 
 def build_index(templates: dict[str, str] | None = None) -> Index:
-    """The inverted index. Templates of fewer than K tokens can't be found and are left out."""
-    names, codes, rows = [], [], []
-    for name, text in (templates or TEMPLATES).items():
-        own = _codes(token_spans(text)[0])
-        h = gram_hashes(own)
-        if len(h):
-            rows += [(int(h[p]), len(names), int(p)) for p in winnowed(h)]
-            names.append(name)
-            codes.append(own)
-    rows.sort()
-    return Index(names, codes, np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
+    """The inverted index of a small list of templates."""
+    return _indexed([(name, *_fingerprints(text)) for name, text in (templates or TEMPLATES).items()])
+
+
+def indexes_of(templates: DataFrame, most: int = INDEX_BYTES) -> Iterator[Index]:
+    """The inverted index of a table of templates (name, text), in parts of at most about so many bytes (a single template may have more)."""
+    schema = pa.schema([("name", pa.string()), ("codes", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(name, *(x.tobytes() for x in _fingerprints(text))) for name, text in arrow_rows(batch, "name", "text")]
+            if rows:
+                yield arrow_batch(schema, list(zip(*rows, strict=True)))
+
+    made, path = stored_at(templates.select(F.col("name").cast("string").alias("name"), "text").mapInArrow(run, "name string, codes binary, hashes binary, places binary"), "templates")
+    size = made.agg(F.coalesce(F.sum(F.octet_length("codes") + 3 * F.octet_length("hashes")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // most))
+    for part in range(parts):
+        rows = made.where(F.pmod(F.xxhash64("name", "codes"), F.lit(parts)) == part).orderBy("name", "codes").collect()
+        yield _indexed([(r.name, np.frombuffer(r.codes, np.uint64), np.frombuffer(r.hashes, np.uint64), np.frombuffer(r.places, np.int64)) for r in rows])
+    discarded(templates.sparkSession, path)
 
 
 def banded(doc: np.ndarray, template: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int, int, int]:
@@ -152,7 +192,7 @@ def banded(doc: np.ndarray, template: np.ndarray, diagonal: int, band: int) -> t
 USED = np.uint64(1 << 40)
 
 
-def scan(text: str | None, index: Index, min_percent: int = MIN_PERCENT, min_tokens: int = MIN_TOKENS) -> list[dict]:
+def scan(text: str | None, index: Index, min_percent: int = MIN_PERCENT, min_tokens: int = MIN_TOKENS, identifiers: bool = True) -> list[dict]:
     """The matches of one whole text: template, coverage (matched share of its tokens, in percent), span in code points."""
     if not text or not (words := _token.findall(text)):
         return []
@@ -161,8 +201,12 @@ def scan(text: str | None, index: Index, min_percent: int = MIN_PERCENT, min_tok
     at = np.searchsorted(index.hashes, h)
     at[at == len(index.hashes)] = 0
     kept = np.nonzero(index.hashes[at] == h)[0] if len(index.hashes) else at[:0]
-    if not len(kept):
-        return []
+    found: list[dict] = []
+    for m in _spdx.finditer(text) if identifiers and "SPDX-" in text else ():
+        found.append({"template": f"SPDX-{' '.join(m[1].split())}", "coverage": 100.0, "matched_tokens": len(_token.findall(m.group())), "start": m.start(), "end": m.end()})
+    whole = [(n, p, i) for n, (hashes, owners) in index.short.items() if len(hashes) for p, i in _exact(codes, n, hashes, owners)]
+    if not len(kept) and not whole:
+        return _apart(found)
     votes: dict[tuple[int, int], list[int]] = {}  # places of the hits
     for p in kept.tolist():
         a, b = np.searchsorted(index.hashes, h[p]), np.searchsorted(index.hashes, h[p], "right")
@@ -170,7 +214,7 @@ def scan(text: str | None, index: Index, min_percent: int = MIN_PERCENT, min_tok
             key = int(index.owner[r]), (p - int(index.place[r])) // BAND
             votes.setdefault(key, []).append(p)
     _, spans = token_spans(text)
-    found: list[dict] = []
+    found += [{"template": index.names[i], "coverage": 100.0, "matched_tokens": n, "start": spans[p][0], "end": spans[p + n - 1][1]} for n, p, i in whole]
     free: dict[int, np.ndarray] = {}  # per template, the document's tokens that none of its matches has used
     for (owner, group), hits in sorted(votes.items(), key=lambda v: (-len(v[1]), v[0])):
         template, own = index.codes[owner], free.setdefault(owner, codes.copy())
@@ -186,25 +230,48 @@ def scan(text: str | None, index: Index, min_percent: int = MIN_PERCENT, min_tok
                 break
             found.append({"template": index.names[owner], "coverage": 100.0 * matched / len(template), "matched_tokens": matched, "start": spans[first + a][0], "end": spans[first + b - 1][1]})
             own[first + a : first + b] = USED
+    return _apart(found)
+
+
+def _exact(codes: np.ndarray, n: int, hashes: np.ndarray, owners: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(place, template) where templates of n tokens stand as they are."""
+    h = gram_hashes(codes, n)
+    first, last = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
+    for p in np.flatnonzero(last > first).tolist():
+        yield from ((p, int(i)) for i in owners[first[p] : last[p]])
+
+
+def _apart(found: list[dict]) -> list[dict]:
+    """Of matches that overlap, the best, in order."""
     best: list[dict] = []
     taken: list[tuple[int, int]] = []  # spans of best, sorted and apart
-    for f in sorted(found, key=lambda f: (-f["matched_tokens"], -f["coverage"], f["start"], f["template"])):
+    for f in sorted(found, key=lambda f: (-f["matched_tokens"], -f["coverage"], f["start"], f["template"] or "")):
         k = bisect.bisect(taken, (f["start"], f["end"]))
         if (k == 0 or taken[k - 1][1] <= f["start"]) and (k == len(taken) or f["end"] <= taken[k][0]):
             taken.insert(k, (f["start"], f["end"]))
             best.append(f)
-    return sorted(best, key=lambda f: (f["start"], f["template"]))
+    return sorted(best, key=lambda f: (f["start"], f["template"] or ""))
+
+
+MATCHES = "array<struct<template:string,coverage:double,matched_tokens:bigint,start:bigint,`end`:bigint>>"
 
 
-def scanned(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """Adds matches to all columns of docs (an own column of that name is replaced)."""
-    rows = docs.select(*[c for c in docs.columns if c != "matches"])
-    index = build_index(templates)
+def scanned(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, most: int = INDEX_BYTES) -> DataFrame:
+    """Adds matches to all columns of docs (an own column of that name is replaced). templates: a small list, or a table (name, text)."""
+    rows = docs.select(*[c for c in docs.columns if c != "matches"]).withColumn("matches", F.lit(None).cast(MATCHES))
     kind = pa.list_(pa.struct([("template", pa.string()), ("coverage", pa.float64()), ("matched_tokens", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [scan(text, index) for (text,) in arrow_rows(batch, "text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, "matches"])
+    def with_matches(rows: DataFrame, index: Index, first: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [_apart((known or []) + scan(text, index, identifiers=first)) if known else scan(text, index, identifiers=first) for text, known in arrow_rows(batch, "text", "matches")]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=batch.schema.names)
+
+        return rows.mapInArrow(run, ddl_of(rows))
 
-    return rows.mapInArrow(run, f"{ddl_of(rows)}, matches array<struct<template:string,coverage:double,matched_tokens:bigint,start:bigint,`end`:bigint>>")
+    before = None
+    for i, index in enumerate(indexes_of(templates, most) if isinstance(templates, DataFrame) else [build_index(templates)]):
+        if before is not None:  # the parts before have their say as a table: only one part is held at a time
+            before = stored(before, "license-matches")
+        before = with_matches(rows if before is None else before, index, i == 0)
+    return before

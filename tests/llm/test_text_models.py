@@ -83,6 +83,23 @@ def test_repeated_notices_are_all_found(spark):
     assert [p["template"] for p in parts] == ["MIT", "MIT"] and sum(p["matched_tokens"] for p in parts) >= len(license_scan.token_spans(" ".join(mit))[0]) - 2
 
 
+def test_templates_come_as_a_table_in_parts_and_short_ones_count(spark):
+    rng = random.Random(8)
+    made = {f"T{i}": " ".join(rng.choice(["share", "copy", "grant", "use", "sell", "notice"]) + str(rng.randrange(400)) for _ in range(rng.choice([12, 30, 80]))) for i in range(300)}
+    rows = [*made.items(), ("GPLv2", "GPLv2"), ("Public", "public domain"), ("none", " -- "), ("null", None), (None, "nameless grant here")]
+    table = spark.createDataFrame(rows, "name string, text string")
+    texts = [(i, f"intro {made[f'T{7 * i}']} and {made[f'T{7 * i + 1}']} end") for i in range(30)]
+    texts += [(100, "under GPLv2, or the Public Domain."), (101, "nameless grant here"), (102, "# SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause */"), (103, "SPDX-License-Identifier: LicenseRef-x.y"), (104, "SPDX-License-Identifier:"), (105, None)]
+    docs = spark.createDataFrame([(i, t, "own", 1) for i, t in texts], "doc_id bigint, text string, template string, start int")
+    whole = {r.doc_id: [(m.template, m.start, m.end) for m in r.matches] for r in license_scan.scanned(docs, table).collect()}
+    parts = list(license_scan.indexes_of(table, most=30_000))
+    assert len(parts) > 3 and sum(len(p.names) for p in parts) == len(rows)
+    assert {r.doc_id: [(m.template, m.start, m.end) for m in r.matches] for r in license_scan.scanned(docs, table, most=30_000).collect()} == whole
+    assert all([t for t, _, _ in whole[i]] == [f"T{7 * i}", f"T{7 * i + 1}"] for i in range(30))
+    assert [t for t, _, _ in whole[100]] == ["GPLv2", "Public"] and whole[101][0][0] is None and whole[104] == whole[105] == []
+    assert whole[102][0][0] == "SPDX-(MIT OR Apache-2.0) AND BSD-3-Clause" and whole[103][0][0] == "SPDX-LicenseRef-x.y"
+
+
 def brute_notices(codes, templates):
     """Whole-text alignments of every template, without bands or fingerprints: (start, end, name) in tokens."""
     found = []
