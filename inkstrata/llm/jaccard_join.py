@@ -42,6 +42,9 @@ from .components import HOT_KEYS, components
 WIDTH = 3
 #: Text of the corpus per bucket of shingles in bytes, shingles of a block that are screened at once, and documents of a block at most.
 BUCKET_BYTES, SCREEN_SHINGLES, OWNERS = 4_000_000, 1_000_000, (1 << 16) - 1
+#: Buckets at most, so that blocks send a bounded number of messages however large the corpus is; and shingles of a bucket that are counted at once, in order, so that
+#: a bucket that grows with it is held packed, not unpacked.
+MOST_BUCKETS, COUNTED = 8_192, 4_000_000
 PERCENT = 90
 #: Bounds of a comparing task: sets, and shingles in all.
 BLOCK_SETS, BLOCK_SHINGLES = 4000, 1 << 20
@@ -174,21 +177,42 @@ def _answered(rows: pd.DataFrame) -> pd.DataFrame:
     docs, asked = rows[~mine], rows[mine]
     if not len(asked):
         return docs
-    keys, owners = [unpacked(x) for x in asked["keys"]], [np.frombuffer(x, np.uint16) for x in asked["owners"]]
-    every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
-    ranked = every[order]
-    first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-    times = np.diff(np.append(first, len(ranked)))
-    shared = np.empty(len(every), bool)
-    shared[order] = np.repeat(times > 1, times)
-    out = []
-    for block, own, hit in zip(asked["block"], owners, np.split(shared, np.cumsum([len(x) for x in keys])[:-1]), strict=True):
-        if len(found := own[hit & (own != OWNERS)]):
-            out.append((asked["bucket"].iloc[0], block, None, None, None, None, np.bincount(found).astype(np.int64).tobytes(), None, None))
+    owners = [np.frombuffer(x, np.uint16) for x in asked["owners"]]
+    total = sum(len(x) for x in owners)
+    counts = [np.zeros(int(own[own != OWNERS].astype(np.int64).max(initial=-1)) + 1, np.int64) for own in owners]
+    for keys, cuts in _slices(asked["keys"], -(-total // COUNTED)):
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        ranked = every[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(ranked)), bool), ranked[1:] != ranked[:-1])))
+        shared = np.empty(len(every), bool)
+        shared[order] = np.repeat(np.diff(np.append(first, len(ranked))) > 1, np.diff(np.append(first, len(ranked))))
+        for count, own, cut, hit in zip(counts, owners, cuts, np.split(shared, np.cumsum([len(x) for x in keys])[:-1]), strict=True):
+            found = own[cut][hit & (own[cut] != OWNERS)]
+            count += np.bincount(found, minlength=len(count))
+    out = [(asked["bucket"].iloc[0], block, None, None, None, None, count.tobytes(), None, None) for block, count in zip(asked["block"], counts, strict=True) if count.any()]
     return pd.DataFrame([*docs.itertuples(index=False, name=None), *out], columns=MESSAGE.names)
 
 
+def _slices(packs: pd.Series, n: int) -> Iterator[tuple[list[np.ndarray], list[slice]]]:
+    """Sorted packed numbers in n ranges, one after the other: each pack's numbers in the range, and where they stand in it."""
+    if n < 2:
+        keys = [unpacked(x) for x in packs]
+        yield keys, [slice(0, len(k)) for k in keys]
+        return
+    ends = [unpacked(x)[[0, -1]] for x in packs if len(x)]
+    low, high = int(min(e[0] for e in ends)), int(max(e[1] for e in ends)) + 1
+    borders = [low + (high - low) * i // n for i in range(n + 1)]  # hashes spread evenly
+    for a, b in zip(borders, borders[1:], strict=False):
+        keys, cuts = [], []
+        for x in packs:
+            every = unpacked(x)
+            cut = slice(*np.searchsorted(every, np.array([a, b], np.uint64)).tolist())
+            keys.append(every[cut].copy())
+            cuts.append(cut)
+        yield keys, cuts
+
+
 def _rows_of(rows: pd.DataFrame) -> pd.DataFrame:
     """The documents of a block, with the sums of all buckets' answers."""
     mine = rows["ids"].notna()
@@ -205,7 +229,7 @@ def _rows_of(rows: pd.DataFrame) -> pd.DataFrame:
 def screened(docs: DataFrame, width: int, bucket_bytes: int = BUCKET_BYTES, block_shingles: int = SCREEN_SHINGLES) -> DataFrame:
     """ROW_DDL of each document: size and digest of its set, and how many of its shingles another document has, too."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_buckets = max(1, -(-size // bucket_bytes))
+    n_buckets = max(1, min(MOST_BUCKETS, -(-size // bucket_bytes)))
     parts = max(1, n_buckets // 8)
     buckets = even_keys(n_buckets, parts)
 

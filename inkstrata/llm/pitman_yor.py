@@ -40,6 +40,8 @@ ROUNDS, SWEEPS = 2, 3
 DISCOUNT, STRENGTH = 0.7, 5.0
 #: Tokens and documents of a block at most, and characters of the corpus per bucket of pairs.
 BLOCK_TOKENS, BLOCK_DOCS, BUCKET_CHARS = 2_000_000, 1 << 16, 16_000_000
+#: Buckets at most: blocks send, and buckets exchange, a bounded number of messages each, and a bucket grows with corpora beyond 64 GB.
+MOST_BUCKETS = 4_096
 #: A word is spread over all buckets if it is more than one in HOT_SHARE tokens of a sample of about HOT_SAMPLE documents.
 HOT_SHARE, HOT_SAMPLE = 4096, 2000
 _word_id = lambda h: h >> np.uint64(16)
@@ -353,7 +355,7 @@ def scored(
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("learns", F.coalesce(F.expr(learns), F.lit(False)))
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n_buckets, block_tokens = max(1, -(-size // bucket_chars)), max(1, block_chars // 7)
+    n_buckets, block_tokens = max(1, min(MOST_BUCKETS, -(-size // bucket_chars))), max(1, block_chars // 7)
     buckets = even_keys(n_buckets, n_buckets)  # one to a partition
     hot = _hot_words(docs, learns)
     state, path = stored_at(_sent(docs, hot, buckets, block_tokens, True).groupBy("bucket").applyInPandas(_counted, STATE_DDL), "lm-state")
