@@ -95,17 +95,20 @@ class Reader:
                     self.blocks(node, depth + 1)
 
     def list(self, node: Node, level: int, style: str | None) -> None:
-        style = node.get("text:style-name") or style
-        for item in node.nodes("text:list-item", "text:list-header"):
-            for c in item.nodes("text:p", "text:h", "text:list", "table:table"):
-                if c.name == "text:p":
-                    self.paragraph(c, None, item=(level, style))
-                elif c.name == "text:h":
-                    self.paragraph(c, c.get("text:outline-level", "1"))
-                elif c.name == "table:table":
-                    self.table(c)
-                elif level < MAX_DEPTH:
-                    self.list(c, level + 1, style)
+        """A list and those in it, however deep they are nested."""
+        todo: list[tuple[Node, int, str | None]] = [(node, level, style)]
+        while todo:
+            c, level, style = todo.pop()
+            if c.name == "text:list":
+                style = c.get("text:style-name") or style
+                inside = [x for item in c.nodes("text:list-item", "text:list-header") for x in item.nodes("text:p", "text:h", "text:list", "table:table")]
+                todo += [(x, level + (x.name == "text:list"), style) for x in reversed(inside)]
+            elif c.name == "text:p":
+                self.paragraph(c, None, item=(level, style))
+            elif c.name == "text:h":
+                self.paragraph(c, c.get("text:outline-level", "1"))
+            else:
+                self.table(c)
 
     def paragraph(self, node: Node, outline: str | None, item: tuple[int, str | None] | None = None) -> None:
         graphics: list[tuple[str, dict]] = []
