@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,31 @@ def near_copies(seed, groups=6, copies=12, words=60):
     return rows
 
 
+def test_a_buckets_shingles_are_counted_in_ranges(monkeypatch):
+    rng, blocks = np.random.default_rng(1), {}
+    rows = [(1, 99, [1], *[b""] * 4, None, None)]
+    for block in range(20):
+        keys = np.unique(rng.integers(0, 1 << 12, 200).astype(np.uint64) << np.uint64(30))
+        owners = rng.integers(0, 30, len(keys)).astype(np.uint16)
+        owners[::17] = jaccard_join.OWNERS
+        blocks[block] = keys, owners
+        rows.append((1, block, *[None] * 5, jaccard_join.packed(keys), owners.tobytes()))
+    times = collections.Counter(k for keys, _ in blocks.values() for k in keys.tolist())
+    want = {b: np.bincount([o for k, o in zip(keys.tolist(), owners.tolist(), strict=True) if times[k] > 1 and o != jaccard_join.OWNERS]).tolist() for b, (keys, owners) in blocks.items()}
+    for at_once in (4_000_000, 300):
+        monkeypatch.setattr(jaccard_join, "COUNTED", at_once)
+        found = jaccard_join._answered(pd.DataFrame(rows, columns=jaccard_join.MESSAGE.names))
+        got = {r.block: np.trim_zeros(np.frombuffer(r.shared, np.int64), "b").tolist() for r in found.itertuples() if r.ids is None}
+        assert got == want and sum(r.ids is not None for r in found.itertuples()) == 1
+
+
+def test_few_buckets_change_nothing(spark, monkeypatch):
+    rows = [*near_copies(3), (-1, None, "a"), (-2, "", "a")]
+    monkeypatch.setattr(jaccard_join, "MOST_BUCKETS", 1)
+    got = jaccard_join.joined(documents(spark, rows), percent=80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 80)
+
+
 def test_equal_vectors_are_no_single_task(spark, monkeypatch):
     monkeypatch.setattr(kdtree_search, "BLOCKS_A_TASK", 2)
     vectors = kdtree_search.integer_vectors(spark.range(20_000).select(F.col("id").alias("vec_id"), F.array(F.lit(0.5), F.lit(0.25)).alias("embedding")), "vec_id", "embedding")
