@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import versions
+from ..operators import pages, versions
 from ..operators.written import written
 from . import extract
-from .catalogue import query, t
+from .catalogue import LINES, lines_of, query, t
 
 # a document per order: a block per line with a reference, and in every other one the reference's definition at the end
 _BLOCKS = "b AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice) - 1 AS i, 'b' || CAST(l_quantity AS INTEGER) AS body FROM lineitem)"
@@ -79,3 +79,34 @@ def deferred_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = extract.Deferred(written(_order_tables(spark, sf_dir), "order-tables"))
     first = work.markdown().where("n_deferred = 0").select("path", F.lit(False).alias("deferred"), "markdown")
     return first.unionByName(work.finished().select("path", F.lit(True).alias("deferred"), "markdown"))
+
+
+@query(f"""
+WITH RECURSIVE {LINES}, s(k, line, h, top) AS (
+  SELECT l_orderkey, line, l_quantity * 2, CAST(0 AS DOUBLE) FROM lines WHERE line = 1
+  UNION ALL SELECT n.l_orderkey, n.line, n.l_quantity * 2, CASE WHEN 60 - (s.top + s.h) % 60 < n.l_quantity * 2 AND n.l_quantity * 2 <= 60 THEN s.top + s.h + 60 - (s.top + s.h) % 60 ELSE s.top + s.h END FROM s JOIN lines AS n ON n.l_orderkey = s.k AND n.line = s.line + 1),
+r AS (SELECT k, line, h, top, CAST(floor(top / 60) AS INTEGER) AS page FROM s), n AS (SELECT k, max(greatest(page + 1, ceil((top + h) / 60)))::INTEGER AS n_pages FROM r GROUP BY k),
+h AS (SELECT k, page, min(line) AS first_row, count(*) AS n_rows FROM r GROUP BY k, page),
+d AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 > 0 THEN o_custkey % 40 END AS tm, 10.0 AS bm, 12.0 AS hh, o_orderkey % 2 = 0 AS printing, o_orderkey % 7 > 0 AS draws, CASE WHEN o_orderkey % 3 > 0 THEN 5.0 END AS dist, o_orderstatus AS st FROM orders),
+b AS (SELECT d.*, n_pages, CASE WHEN draws THEN greatest(coalesce(tm, 0) + bm, hh + 8.0) + CASE WHEN printing THEN 0.0 ELSE 24.0 END ELSE 0.0 END AS band FROM d JOIN n ON n.k = d.k),
+p AS (SELECT *, unnest(range(n_pages)) AS page FROM b), t AS (SELECT *, CAST(page * (60.0 + band) AS DOUBLE) AS top, CASE WHEN page = 0 AND k % 2 = 1 THEN 'first' WHEN page % 2 = 1 AND k % 3 = 0 THEN 'even' WHEN k % 4 > 0 THEN 'default' END AS applies FROM p)
+SELECT t.k AS o_orderkey, CAST(t.page AS INTEGER) AS page, t.top, h.first_row, coalesce(h.n_rows, 0) AS n_rows, CASE applies WHEN 'first' THEN st WHEN 'even' THEN 'p' || t.page + 1 WHEN 'default' THEN st || ' ' || t.page + 1 || '/' || n_pages END AS head,
+       CASE WHEN applies IS NOT NULL THEN CAST(coalesce(t.top + dist, t.top - band / 2 + (band / 2 - hh) / 2) AS DOUBLE) END AS head_y FROM t LEFT JOIN h ON h.k = t.k AND h.page = t.page
+""")
+def paged_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines on sheets: settled rows, bands by options, and running heads of first, even and other pages with their numbers."""
+    rows = lines_of(spark, sf_dir).select(F.col("l_orderkey").alias("o_orderkey"), F.col("line").cast("long").alias("line"), (F.col("l_quantity") * 2).alias("height"))
+    k = F.col("o_orderkey")
+    orders = t(spark, sf_dir, "orders")
+    docs = orders.select(
+        k, F.when(k % 5 > 0, F.col("o_custkey") % 40).cast("double").alias("top_margin"), F.lit(10.0).alias("bottom_margin"), F.when(k % 3 > 0, F.lit(5.0)).alias("head_distance"), F.lit(12.0).alias("head_height"), F.lit(8.0).alias("foot_height"),
+        (k % 2 == 0).alias("printing"), (k % 7 > 0).alias("draws"),
+    )
+    piece = lambda text=None, field=None: F.struct(F.lit(text).cast("string").alias("text") if not hasattr(text, "alias") else text.alias("text"), F.lit(field).cast("string").alias("field"))
+    status = F.col("o_orderstatus")
+    kinds = [(k % 2 == 1, "first", F.array(piece(status))), (k % 3 == 0, "even", F.array(piece("p"), piece(field="page"))), (k % 4 > 0, "default", F.array(piece(status), piece(" "), piece(field="page"), piece("/"), piece(field="numpages")))]
+    entries = None
+    for has, applies, pieces in kinds:
+        own = orders.where(has).select(k, F.lit(applies).alias("applies"), pieces.alias("pieces"))
+        entries = own if entries is None else entries.unionByName(own)
+    return pages.paged_view(rows, docs, entries, "o_orderkey", "line", "height", 60.0)
