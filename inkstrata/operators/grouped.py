@@ -6,12 +6,19 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.types import DataType, StructField, StructType
 
 OUT = 8192
 
 
+def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with all of a group in one partition. They are dealt by a hash of the keys, not by the keys: where rows come dealt by the keys already, say as a union of
+    windows, the planner leaves such a shuffle out, and then may merge or split the partitions below, which nothing above forbids."""
+    return rows.repartition(F.xxhash64(*keys))
+
+
 def stream_groups(rows: DataFrame, keys: list[str], order: list[str], work: Callable[[list[tuple]], Iterator[tuple]], ddl: str) -> DataFrame:
     """Rows that work() makes of each group's rows (tuples in column order, sorted by order).
 
@@ -44,7 +51,7 @@ def stream_groups(rows: DataFrame, keys: list[str], order: list[str], work: Call
             yield flushed()
 
     schema = to_arrow_schema(StructType.fromDDL(ddl))
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, ddl)
+    return dealt(rows, keys).sortWithinPartitions(*keys, *order).mapInArrow(run, ddl)
 
 
 def scan_groups(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str], start: Callable[[], Callable], name: str, kind: DataType) -> DataFrame:
@@ -67,4 +74,4 @@ def scan_groups(rows: DataFrame, keys: list[str], order: list[str], inputs: list
                 said.append(step(*values))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, arrow)], names=[*batch.schema.names, name])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
+    return dealt(rows, keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)

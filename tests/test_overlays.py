@@ -43,3 +43,25 @@ def test_rows_are_numbered_through_all_ranges(spark):
     got = sequences.numbered(df, ["k", F.desc("i")], "place").collect()
     assert {(r.k, r.i): r.place for r in got} == {row: n + 1 for n, row in enumerate(sorted(rows, key=lambda r: (r[0], -r[1])))}
     assert sequences.numbered(df.where("i < 0"), ["k"]).collect() == []
+
+
+def test_groups_of_a_union_of_windows_stay_whole(spark):
+    from pyspark.sql import Window
+
+    from inkstrata.operators import grouped
+
+    numbered = F.row_number().over(Window.partitionBy("doc").orderBy("n"))
+    rows = spark.range(60_000).select((F.col("id") % 5_000).alias("doc"), F.col("id").alias("n"))
+    wide = rows.withColumn("pad", F.repeat(F.col("n").cast("string"), 200)).withColumn("n", numbered).select("doc", "n", F.length("pad").alias("size"))
+    slim = rows.withColumn("n", numbered).where("n <= 2").select("doc", (F.col("n") + 100).alias("n"), F.lit(0).alias("size"))
+    wanted = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "60k"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        out = grouped.stream_groups(wide.unionByName(slim).select("doc", "n", "size"), ["doc"], ["n"], lambda g: iter([(g[0][0], len(g))]), "doc bigint, n int")
+        got = out.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 5_000 and {r.n for r in got} == {14}
