@@ -64,4 +64,6 @@ def test_groups_of_a_union_of_windows_stay_whole(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+    plan = grouped.dealt(wide.unionByName(slim), ["doc"])._jdf.queryExecution().executedPlan().toString()
+    assert "xxhash64(doc" in plan and plan.index("xxhash64(doc") < plan.index("Union")
     assert len(got) == 5_000 and {r.n for r in got} == {14}
