@@ -388,4 +388,4 @@ def merged(rows: DataFrame, keys: list[str], fields: list[tuple[str, pa.DataType
         if out:
             yield batch_of(out)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*names).mapInArrow(run, sql)
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys).select(*names).mapInArrow(run, sql)

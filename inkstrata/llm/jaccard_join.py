@@ -461,7 +461,8 @@ def _grouped(rows: DataFrame, keys: list[str], work: Callable[[tuple, list[dict]
         if held and (out := work(key, held)):
             yield arrow_batch(LINK, list(zip(*out, strict=True)))
 
-    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(lean(run), LINK_DDL)
+    # by a hash of the keys: a shuffle by the keys themselves is left out behind a join by them, whose skewed partitions may then be split
+    return rows.repartition(parts, F.xxhash64(*keys)).sortWithinPartitions(*keys).mapInArrow(lean(run), LINK_DDL)
 
 
 def _arrays(rows: list[dict], field: str = "own") -> list[np.ndarray]:
