@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import arrow_rows, discarded, lean, stored_at
+from ._util import arrow_rows, discarded, even_keys, lean, stored_at
 from .components import joined_to_one
 
 UND = "und"
@@ -119,7 +119,9 @@ def _cut(raw: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def suffixes(docs: DataFrame, max_n: int, borders: list[bytes]) -> DataFrame:
-    """docs (lang, text) -> (bucket, suffix, n): each task's distinct suffixes and the range that each falls into."""
+    """docs (lang, text) -> (bucket, suffix, n): each task's distinct suffixes and the range that each falls into, by keys that a shuffle into as many
+    partitions deals evenly."""
+    keys = even_keys(len(borders) + 1, len(borders) + 1)
     schema = pa.schema([("bucket", pa.int64()), ("suffix", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +133,7 @@ def suffixes(docs: DataFrame, max_n: int, borders: list[bytes]) -> DataFrame:
             if len(found):
                 reader = _Sorted(found)
                 at = [0, *(bisect.bisect_right(reader, b) for b in borders), len(found)]
-                bucket = np.repeat(np.arange(len(borders) + 1), np.diff(at))
+                bucket = np.repeat(keys, np.diff(at))
                 whole = pa.RecordBatch.from_arrays([pa.array(bucket), found, pa.array(n)], schema=schema)
                 for i in range(0, len(found), 10_000):
                     yield whole.slice(i, 10_000)
@@ -259,7 +261,7 @@ def phrase_counts(docs: DataFrame, max_n: int, least: int) -> tuple[DataFrame, s
     about = docs.agg(F.count("*").alias("docs"), F.sum(F.octet_length(F.col("text").cast("string"))).alias("bytes")).first()
     ranges = min(RANGES, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(about.bytes or 0) // RANGE_BYTES)))
     borders = _borders(docs, max_n, max(1, about.docs), ranges)
-    dealt = suffixes(docs, max_n, borders).repartition(ranges, "bucket").sortWithinPartitions(F.desc("suffix"))
+    dealt = suffixes(docs, max_n, borders).repartition(len(borders) + 1, "bucket").sortWithinPartitions(F.desc("suffix"))
     whole = counted(dealt, max_n, least).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0))
     return stored_at(whole, "phrases")
 
