@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import markdown
+from .written import discarded
 
 DDL = "doc bigint, block_id bigint, start bigint, length bigint, kind string, text string, links array<string>"
 DEFINES = r"(?m)^[ \t]*\[[^\n]*\]:"
@@ -152,12 +153,16 @@ class BlockTable:
     def create(self, texts: DataFrame) -> None:
         self._write(texts, from_texts(texts), 0, list(range(self.buckets)), {})
 
+    def versions(self) -> list[int]:
+        """The versions whose manifests are complete, in order: only their numbers are listed."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = path(f"{self.root}/manifest").getFileSystem(self.spark._jsc.hadoopConfiguration())
+        listed = [s.getPath() for s in files.listStatus(path(f"{self.root}/manifest"))]
+        return sorted(int(p.getName()) for p in listed if files.exists(path(p, "_SUCCESS")))
+
     def manifest(self) -> dict[int, int]:
         """The version that counts of each bucket: one small row per bucket."""
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
-        listed = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(fs_path)
-        done = [s.getPath() for s in listed if s.getPath().getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return {r.bucket: r.version for r in self.spark.read.parquet(max(p.toString() for p in done)).collect()}
+        return {r.bucket: r.version for r in self.spark.read.parquet(f"{self.root}/manifest/{self.versions()[-1]:09d}").collect()}
 
     def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
         """The current rows of texts or blocks, of all buckets or some: only their files are read."""
@@ -172,13 +177,17 @@ class BlockTable:
             out = out.unionByName(rows.where(F.col("bucket").isin(own)))
         return out.drop("bucket")
 
-    def apply(self, edits: DataFrame) -> None:
-        """One edit per edited document: doc, at, removed, added. Edits of documents that aren't there do nothing."""
+    def apply(self, edits: DataFrame, version: int | None = None) -> None:
+        """One edit per edited document: doc, at, removed, added. Edits of documents that aren't there do nothing. version: of the update, above all before (the
+        next); an update whose version, or a later one, is there already does nothing, so a batch that runs again changes nothing."""
+        done = self.versions()
+        if version is not None and version <= done[-1]:
+            return
         keyed = edits.select("doc", F.col("at").cast("int").alias("at"), F.col("removed").cast("int").alias("removed"), "added")
         if not keyed.groupBy("doc").count().where("count > 1").isEmpty():
             raise ValueError("several edits of one document: apply them one after another")
         buckets = [r.bucket for r in keyed.select(self._bucket()).distinct().collect()]  # at most self.buckets
-        before = self.manifest()
+        before, version = self.manifest(), done[-1] + 1 if version is None else version
         if not buckets:
             return
         texts, blocks = self.read("texts", buckets), self.read("blocks", buckets)
@@ -186,4 +195,13 @@ class BlockTable:
         other = lambda rows: rows.join(keyed.select("doc"), "doc", "left_anti")
         new_texts = other(texts).unionByName(changed.select("doc", "text"))
         own = blocks.join(keyed.select("doc"), "doc", "left_semi")
-        self._write(new_texts, other(blocks).unionByName(updated(own, changed)), max(before.values()) + 1, buckets, before)
+        self._write(new_texts, other(blocks).unionByName(updated(own, changed)), version, buckets, before)
+
+    def vacuum(self) -> list[int]:
+        """Deletes the versions of which no bucket counts, and manifests but the last; gives their numbers. No reader of an older state may be at work."""
+        kept, done = set(self.manifest().values()), self.versions()
+        gone = [v for v in done if v not in kept]
+        for v in gone:
+            discarded(self.spark, f"{self.root}/texts/version={v}", f"{self.root}/blocks/version={v}")
+        discarded(self.spark, *(f"{self.root}/manifest/{v:09d}" for v in done[:-1]))
+        return gone

@@ -67,3 +67,28 @@ def test_the_path_is_chosen_per_document(spark):
     assert [r.full for r in changed.orderBy("doc").collect()] == [c[4] for c in cases]
     got = rows(versions.updated(versions.from_texts(texts), changed))
     assert got == rows(versions.from_texts(changed.select("doc", "text"))) and changed.where(F.col("full")).count() == 3
+
+
+def test_streamed_edits_apply_in_order_and_once(spark, tmp_path):
+    from inkstrata.streaming import edits as streaming
+
+    texts = {1: "one [a]\n\n[a]: x", 2: "two", 3: "three"}
+    table = versions.BlockTable(spark, str(tmp_path / "t"), buckets=4)
+    table.create(spark.createDataFrame(list(texts.items()), "doc bigint, text string"))
+    folder = tmp_path / "edits"
+    folder.mkdir()
+    ddl = "doc bigint, at int, removed int, added string, seq int"
+    stream = spark.readStream.schema(ddl).parquet(str(folder))
+    for batch in ([(1, 0, 3, "first", 1), (1, 5, 0, "!", 2), (2, 3, 0, "\n\nmore", 1)], [(1, 0, 1, "F", 3), (9, 0, 0, "nobody", 1)], []):
+        spark.createDataFrame(batch, ddl).coalesce(1).write.mode("append").parquet(str(folder))
+        streaming.apply_stream(stream, table, str(tmp_path / "c"), once=True).awaitTermination(120)
+        for doc, at, removed, added, _ in batch:
+            if doc in texts:
+                texts[doc] = texts[doc][:at] + added + texts[doc][at + removed :]
+    assert {r.doc: r.text for r in table.read("texts").collect()} == texts
+    want = rows(versions.from_texts(spark.createDataFrame(list(texts.items()), "doc bigint, text string")))
+    assert rows(table.read("blocks")) == want
+    last = table.versions()[-1]
+    table.apply(spark.createDataFrame([(1, 0, 0, "again")], "doc bigint, at int, removed int, added string"), last)  # ran already
+    gone = table.vacuum()
+    assert gone and table.versions() == [last] and rows(table.read("blocks")) == want
