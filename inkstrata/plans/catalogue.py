@@ -459,23 +459,23 @@ def deep_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH RECURSIVE s AS (SELECT l_orderkey AS doc, l_linenumber AS n, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2), e AS (SELECT l_orderkey AS doc, max(l_linenumber) AS n FROM lineitem GROUP BY 1),
-styles AS (SELECT s.doc, s.n * 20 + k AS style, CASE WHEN s.n * 20 + k > 20 THEN s.n * 20 + k - 1 WHEN s.doc % 3 = 0 THEN e.n * 20 + 19 END AS parent,
-  CASE WHEN k = 0 AND q % 5 = 0 THEN CAST(CAST(q AS INTEGER) AS VARCHAR) END AS size, CASE WHEN s.n = 1 AND k = 0 THEN 'F' || s.doc END AS font FROM s JOIN e ON e.doc = s.doc, range(20) AS r(k)),
+styles AS (SELECT s.doc, s.n * 12 + k AS style, CASE WHEN s.n * 12 + k > 12 THEN s.n * 12 + k - 1 WHEN s.doc % 3 = 0 THEN e.n * 12 + 11 END AS parent,
+  CASE WHEN k = 0 AND q % 5 = 0 THEN CAST(CAST(q AS INTEGER) AS VARCHAR) END AS size, CASE WHEN s.n = 1 AND k = 0 THEN 'F' || s.doc END AS font FROM s JOIN e ON e.doc = s.doc, range(12) AS r(k)),
 props AS (SELECT doc, style, unnest(['size', 'font']) AS prop, unnest([size, font]) AS value FROM styles),
 own AS (SELECT * FROM props WHERE value IS NOT NULL),
 chain AS (SELECT doc, style, style AS at, 0 AS depth FROM styles UNION ALL SELECT c.doc, c.style, s.parent, depth + 1 FROM chain AS c JOIN styles AS s ON s.doc = c.doc AND s.style = c.at WHERE s.parent IS NOT NULL AND s.parent <> c.style AND depth < 200)
 SELECT c.doc AS l_orderkey, c.style, prop, arg_min(value, depth) AS value FROM chain AS c JOIN own AS p ON p.doc = c.doc AND p.style = c.at GROUP BY 1, 2, 3
 """)
 def document_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains within documents, some of over a hundred styles, some closed to a cycle: twenty styles per line of an order, each based on the one before."""
+    """Chains within documents, some of over eighty styles, some closed to a cycle: twelve styles per line of an order, each based on the one before."""
     rows = t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"))
-    rows = rows.withColumn("last", F.max("l_linenumber").over(Window.partitionBy("l_orderkey"))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    number = F.col("l_linenumber") * 20 + F.col("k")
-    parent = F.when(number > 20, number - 1).when(F.col("l_orderkey") % 3 == 0, F.col("last") * 20 + 19)
+    rows = rows.withColumn("last", F.max("l_linenumber").over(Window.partitionBy("l_orderkey"))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    number = F.col("l_linenumber") * 12 + F.col("k")
+    parent = F.when(number > 12, number - 1).when(F.col("l_orderkey") % 3 == 0, F.col("last") * 12 + 11)
     size = F.when((F.col("k") == 0) & (F.col("q") % 5 == 0), F.col("q").cast("int").cast("string"))
     font = F.when((F.col("l_linenumber") == 1) & (F.col("k") == 0), F.concat(F.lit("F"), F.col("l_orderkey").cast("string")))
     stated = F.array(F.struct(F.lit("size").alias("prop"), size.alias("value")), F.struct(F.lit("font").alias("prop"), font.alias("value")))
-    declared = rows.select(F.col("l_orderkey").cast("string").alias("doc"), F.lit("style").alias("scope"), number.cast("string").alias("id"), parent.cast("string").alias("parent"), F.inline(stated))
+    declared = rows.select(F.col("l_orderkey").cast("string").alias("doc"), F.lit("style").alias("scope"), number.cast("string").alias("id"), parent.cast("string").alias("parent"), F.inline_outer(F.filter(stated, lambda s: s["value"].isNotNull())))
     found = chains.long_form(chains.sheets(declared, "doc"), "doc", "style")
     return found.select(F.col("doc").cast("long").alias("l_orderkey"), F.col("style").cast("long").alias("style"), "prop", "value")
 
