@@ -18,17 +18,22 @@ SPAN_FIELDS = [f.split(":")[0] for f in SPAN.removeprefix("struct<").removesuffi
 BLOCK_DDL = f"path string, block_id int, table_id int, row int, col int, kind string, level int, ordered boolean, marker string, ref string, row_span int, col_span int, header_rows int, width double, height double, spans array<{SPAN}>, error string"
 
 
+_NO_MARKS = dict.fromkeys(SPAN_FIELDS)
+
+
 def span(text: str, **marks: object) -> dict:
-    return {**dict.fromkeys(SPAN_FIELDS), **marks, "text": text}
+    return {**_NO_MARKS, **marks, "text": text}
 
 
 def joined_spans(spans: list[dict]) -> list[dict]:
     """Neighbours alike in all but text become one; spans with bookmarks, comments or page fields stay apart."""
+    if len(spans) == 1:
+        return spans if spans[0]["text"] or spans[0]["bookmarks"] else []
     out: list[dict] = []
+    apart = lambda x: x["bookmarks"] or x["comment_ids"] or x["page_field"]
     for s in spans:
         if not s["text"] and not s["bookmarks"]:
             continue
-        apart = lambda x: x["bookmarks"] or x["comment_ids"] or x["page_field"]
         if out and not apart(s) and not apart(out[-1]) and all(out[-1][k] == s[k] for k in SPAN_FIELDS if k != "text"):
             out[-1] = {**out[-1], "text": out[-1]["text"] + s["text"]}
         else:
@@ -111,8 +116,8 @@ def repeated(blocks: DataFrame) -> DataFrame:
     return rows.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in blocks.columns if c not in REPEATS])
 
 
-#: Rows that are handed on at once.
-HELD_ROWS = 4_096
+#: Rows that are handed on at once, and files that are taken from a batch at once: a worker holds no more of them as Python objects.
+HELD_ROWS, HELD_FILES = 2_048, 64
 
 
 def failure(e: Exception) -> str:
@@ -120,37 +125,48 @@ def failure(e: Exception) -> str:
     return getattr(e, "kind", None) or (str(e) if isinstance(e, ValueError) else "") or type(e).__name__
 
 
+def taken(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[tuple]:
+    """The batches' rows as tuples, of which so many exist at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, at_once):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, at_once).columns), strict=True)
+
+
 def rows_of(files: DataFrame, columns: list[str], ddl: str, reader: Callable[..., Iterable[dict]]) -> DataFrame:
     """ddl rows (with path and error) of each file from reader(values of columns); a null content counts as empty. A file that can't be
     read, for whatever reason, gives one row with its error: damaged files come in every shape, and one of them must not end the job."""
     kind = StructType.fromDDL(ddl)
     schema = to_arrow_schema(kind)
-    blank = dict.fromkeys(kind.names)
 
     def table(held: list[tuple[str, list[dict]]]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from pa.Table.from_pylist([{**blank, **r, "path": path} for path, rows in held for r in rows], schema).to_batches(HELD_ROWS)
+            for path, rows in held:
+                for r in rows:
+                    r["path"] = path
+            every = [r for _, rows in held for r in rows]
+            columns = [pa.array([r.get(f.name) for r in every], f.type) for f in schema]
+            yield from pa.Table.from_arrays(columns, schema=schema).to_batches(HELD_ROWS)
         except Exception as e:  # a value of another type than its column's: which file has it?
             if len(held) > 1:
                 for one in held:
                     yield from table([one])
             else:
-                yield pa.RecordBatch.from_pylist([{**blank, "path": held[0][0], "error": failure(e)}], schema)
+                yield pa.RecordBatch.from_pylist([{"path": held[0][0], "error": failure(e)}], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[str, list[dict]]] = []
         size = 0
-        for batch in batches:
-            for path, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    rows = list(reader(*(b"" if v is None else v for v in values)))
-                except Exception as e:
-                    rows = [{"error": failure(e)}]
+        for path, *values in taken(batches, HELD_FILES):
+            try:
+                rows = list(reader(*(b"" if v is None else v for v in values)))
+            except Exception as e:
+                rows = [{"error": failure(e)}]
+            if rows:
                 held.append((path, rows))
                 size += len(rows)
-                if size >= HELD_ROWS:
-                    yield from table(held)
-                    held, size = [], 0
+            if size >= HELD_ROWS:
+                yield from table(held)
+                held, size = [], 0
         if size:
             yield from table(held)
 
