@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grouped import stream_groups
+from .grouped import stream_groups, stream_tables
 
 SHEET = "map<string,string>"
 
@@ -43,25 +46,71 @@ def sheets(declared: DataFrame, part: str) -> DataFrame:
     """part, style, known, props: what each style of a document's sheet says, its own, inherited and default values together; a row without a
     style holds the defaults. declared: part, scope (style or default), id, parent, prop, value, a property stated at most once per style.
 
-    One shuffle by document, whose sheet is read in one pass, whatever the chains' lengths.
+    One shuffle by document; the styles of many documents are resolved together, in as many steps as the logarithm of the longest chain. inherited() says the same of
+    one sheet.
     """
 
-    def resolve(rows: list[tuple]) -> Iterator[tuple]:
-        doc, parents, own, defaults = rows[0][0], {}, {}, {}
-        for _, scope, style, parent, prop, value in rows:
-            if scope == "default":
-                if prop is not None:
-                    defaults[prop] = value
-                continue
-            parents[style] = parent if parent is not None else parents.get(style)
-            if prop is not None and value is not None:
-                own.setdefault(style, {})[prop] = value
-        yield doc, None, list(defaults.items())
-        for style, values in inherited(parents, own).items():
-            yield doc, style, list({**defaults, **values}.items())
-
     rows = declared.where("scope in ('style', 'default')").select(part, "scope", "id", "parent", "prop", "value")
-    return stream_groups(rows, [part], ["scope", "id", "prop"], resolve, f"{part} string, style string, props {SHEET}")
+    return stream_tables(rows, part, ["scope", "id", "prop"], lambda table: _resolved(table, part), f"{part} string, style string, props {SHEET}")
+
+
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """A column as numbers of its distinct values, null being one."""
+    coded = pc.dictionary_encode(column, null_encoding="encode").combine_chunks()
+    coded = pa.concat_arrays(coded.chunks) if isinstance(coded, pa.ChunkedArray) else coded
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def _resolved(table: pa.Table, part: str) -> pa.Table:
+    """sheets() of whole documents, for the styles of all of them at once: what a style lacks it asks its ancestor 1, 2, 4, ... steps up, which by then knows the
+    nearest value of as many styles from it on; so it meets the nearest one first, around a cycle, too."""
+    doc, docs = _codes(table.column(part))
+    ids, names = _codes(table.column("id"))
+    prop, props = _codes(table.column("prop"))
+    key = doc * len(names) + ids
+    known = pc.is_valid(table.column("value")).to_numpy()
+    style = pc.equal(table.column("scope"), "style").to_numpy()
+    named = pc.is_valid(table.column("prop")).to_numpy()
+    nodes, node_of = np.unique(key[style], return_inverse=True)
+    at = np.flatnonzero(style)
+
+    above = pc.index_in(table.column("parent"), value_set=names).to_numpy()
+    above = np.where(pc.is_valid(table.column("parent")).to_numpy(), np.nan_to_num(above.astype(float), nan=-1), -1).astype(np.int64)[at]
+    parent = np.full(len(nodes), -1, np.int64)
+    said = pc.is_valid(table.column("parent")).to_numpy()[at]  # of different parents the last counts, also one that no style has
+    parent[node_of[said]] = np.where(above[said] >= 0, doc[at][said] * len(names) + above[said], -1)
+    place = np.minimum(np.searchsorted(nodes, parent), max(0, len(nodes) - 1))
+    jump = np.where((parent >= 0) & (nodes[place] == parent), place, -1) if len(nodes) else parent
+    most = int(np.bincount(nodes // len(names)).max()) if len(nodes) else 0
+    jumps = []
+    while (jump >= 0).any() and (1 << len(jumps)) <= most:
+        jumps.append(jump)
+        jump = np.where(jump >= 0, jump[jump], -1)
+
+    stated = np.full((len(docs) + len(nodes), len(props)), -1, np.int32)  # the row that a document's defaults, and then a style, take a property's value from
+    general = ~style & named
+    for p in range(len(props)):
+        mine = np.flatnonzero((prop == p) & named)
+        if not len(mine):
+            continue
+        default = np.full(len(docs), -1, np.int32)
+        of = mine[general[mine]]
+        default[doc[of]] = of
+        value = np.full(len(nodes), -1, np.int32)
+        of = (prop[at] == p) & named[at] & known[at]
+        value[node_of[of]] = at[of]
+        for jump in jumps:
+            open_ = np.flatnonzero((value < 0) & (jump >= 0))
+            value[open_] = value[jump[open_]]
+        stated[: len(docs), p] = default
+        stated[len(docs) :, p] = np.where(value >= 0, value, default[nodes // len(names)] if len(nodes) else value)
+    has = stated >= 0
+    offsets = np.concatenate(([0], np.cumsum(has.sum(1)))).astype(np.int32)
+    values = table.column("value").take(pa.array(stated[has])).combine_chunks()
+    values = pa.concat_arrays(values.chunks) if isinstance(values, pa.ChunkedArray) else values
+    entries = pa.MapArray.from_arrays(pa.array(offsets), props.take(pa.array(np.nonzero(has)[1])), values)
+    style_names = pa.concat_arrays([pa.nulls(len(docs), names.type), names.take(pa.array(nodes % len(names)))])
+    return pa.table({part: docs.take(pa.array(np.concatenate((np.arange(len(docs)), nodes // len(names))))), "style": style_names, "props": entries})
 
 
 def long_form(of: DataFrame, *names: str) -> DataFrame:

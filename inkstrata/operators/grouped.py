@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.types import DataType, StructField, StructType
 
 OUT = 8192
+#: Rows of whole groups that stream_tables() hands on at once.
+TOGETHER = 1 << 17
 
 
 def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,6 +57,32 @@ def stream_groups(rows: DataFrame, keys: list[str], order: list[str], work: Call
     return dealt(rows, keys).sortWithinPartitions(*keys, *order).mapInArrow(run, ddl)
 
 
+def stream_tables(rows: DataFrame, key: str, order: list[str], work: Callable[[pa.Table], pa.Table], ddl: str, together: int = TOGETHER) -> DataFrame:
+    """Rows that work() makes of tables of whole groups, sorted by key (a column) and order: for recurrences that run over the columns of many groups at once. A table has
+    about so many rows, or one group, if that has more."""
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, wanted = [], 0, together
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < wanted:
+                continue
+            table = pa.Table.from_batches(held)
+            keys = table.column(key)
+            last = pc.is_null(keys) if not keys[-1].is_valid else pc.fill_null(pc.equal(keys, keys[-1]), False)
+            cut = pc.index(last, True).as_py()  # where the last group begins, which may go on
+            if cut:
+                yield from work(table.slice(0, cut)).cast(schema).to_batches(OUT)
+            held, size = table.slice(cut).to_batches(), table.num_rows - cut
+            wanted = max(together, 2 * size)
+        if size:
+            yield from work(pa.Table.from_batches(held)).cast(schema).to_batches(OUT)
+
+    return dealt(rows, [key]).sortWithinPartitions(key, *order).mapInArrow(run, ddl)
+
+
 def scan_groups(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str], start: Callable[[], Callable], name: str, kind: DataType) -> DataFrame:
     """rows with a column more: what the group's step, made by start(), says of each row's inputs in order.
 

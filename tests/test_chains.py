@@ -95,3 +95,30 @@ def test_markdown_lists_go_on_and_quotes_keep_theirs():
     assert said(markdown.read(b"> - a\n> - b\n>\n> c")) == [("listItem", "a"), ("listItem", "b"), ("paragraph", "c")]
     rows = markdown.read(b"![a](b.png){width=50%} `` ` `` ` c `")
     assert said(rows) == [("paragraph", " ` c"), ("image", "")]
+
+
+def test_sheets_of_many_documents_at_once_say_what_a_walk_says(spark, monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from inkstrata.operators import grouped
+
+    draw, rows, want = random.Random(7), [], {}
+    for d in range(60):
+        n = draw.randint(0, 12)
+        parents = {str(i): draw.choice([None, "gone", *map(str, range(n))]) for i in range(n)}
+        own = {s: {p: f"{d}{s}{p}" for p in "abc" if draw.random() < 0.3} for s in parents}
+        defaults = {p: f"{d}{p}" for p in "bcd" if draw.random() < 0.5}
+        rows += [(f"d{d}", "default", "", None, p, v) for p, v in defaults.items()] or [(f"d{d}", "default", "", None, None, None)]
+        rows += [(f"d{d}", "style", s, up, p, v) for s, up in parents.items() for p, v in (own[s].items() or [(None, None)])]
+        want[f"d{d}", None] = defaults
+        want |= {(f"d{d}", s): {**defaults, **values} for s, values in chains.inherited(parents, own).items()}
+    for together in (1, 50, 1 << 17):  # tables that end inside of a batch, and one of all
+        calls = []
+        work = lambda t: calls.append(t.num_rows) or chains._resolved(t, "path")  # noqa: E731, B023
+        monkeypatch.setattr(grouped, "dealt", lambda r, keys: r.coalesce(1))
+        ddl = f"path string, style string, props {chains.SHEET}"
+        out = grouped.stream_tables(spark.createDataFrame(rows, SHEET), "path", ["scope", "id", "prop"], work, ddl, together).collect()
+        assert {(r.path, r.style): r.props for r in out} == want and len(out) == len(want)
+    assert pa.types.is_map(chains._resolved(pa.table(dict(zip(["path", "scope", "id", "parent", "prop", "value"], map(list, zip(*rows)), strict=True))), "path").schema.field("props").type)
