@@ -475,7 +475,7 @@ def document_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.when((F.col("k") == 0) & (F.col("q") % 5 == 0), F.col("q").cast("int").cast("string"))
     font = F.when((F.col("l_linenumber") == 1) & (F.col("k") == 0), F.concat(F.lit("F"), F.col("l_orderkey").cast("string")))
     stated = F.array(F.struct(F.lit("size").alias("prop"), size.alias("value")), F.struct(F.lit("font").alias("prop"), font.alias("value")))
-    declared = rows.select(F.col("l_orderkey").cast("string").alias("doc"), F.lit("style").alias("scope"), number.cast("string").alias("id"), parent.cast("string").alias("parent"), F.inline_outer(F.filter(stated, lambda s: s["value"].isNotNull())))
+    declared = rows.select(F.col("l_orderkey").cast("string").alias("doc"), F.lit("style").alias("scope"), number.cast("string").alias("id"), parent.cast("string").alias("parent"), F.inline_outer(F.when(size.isNotNull() | font.isNotNull(), F.filter(stated, lambda s: s["value"].isNotNull()))))
     found = chains.long_form(chains.sheets(declared, "doc"), "doc", "style")
     return found.select(F.col("doc").cast("long").alias("l_orderkey"), F.col("style").cast("long").alias("style"), "prop", "value")
 
