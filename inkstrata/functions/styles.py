@@ -118,7 +118,13 @@ def first_indent(start: Column, first: Column, hanging: Column) -> Column:
 
 
 def span_attributes(text: Column, span: Column, scale: Column, paged: Column) -> Column:
-    """A struct (text, attributes): what a span shows, and its attributes as an array of (key, value).
+    """A struct (text, attributes): what a span shows, and its attributes as an array of (key, value)."""
+    every = span_values(text, span, scale, paged)
+    return F.struct(every["text"].alias("text"), F.filter(every["attributes"], lambda a: a["value"].isNotNull()).alias("attributes"))
+
+
+def span_values(text: Column, span: Column, scale: Column, paged: Column) -> Column:
+    """span_attributes() with those that a span doesn't have, too, their values null: whoever makes rows of them drops those more cheaply.
 
     span: a struct with code, font, size, bold, italic, superscript, subscript, color, highlight, underline, strikethrough, caps, link. Capitals are of the shown text
     alone. A code span has its own family and colour whatever the author said. An own size is scaled, rounded unless pages are drawn, and one at least;
@@ -136,7 +142,7 @@ def span_attributes(text: Column, span: Column, scale: Column, paged: Column) ->
         "highlight": span["highlight"], "underline": F.when(yes("underline") | span["link"].isNotNull(), F.lit("true")), "strikethrough": mark("strikethrough"),
         "link": F.when(~anchor, span["link"]), "anchor": F.when(anchor, F.substring(span["link"], F.lit(2), F.length(span["link"]))),
     }
-    said = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items()]), lambda a: a["value"].isNotNull())
+    said = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items()])
     return F.struct(F.when(yes("caps"), F.upper(text)).otherwise(text).alias("text"), said.alias("attributes"))
 
 

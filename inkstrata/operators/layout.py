@@ -7,8 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.styles import span_attributes
+from ..functions.styles import span_values
 from .grouped import stream_groups
+from .written import written
 
 
 def band_height(top: Column, bottom: Column, header: Column, footer: Column, gap: float, draws: Column) -> Column:
@@ -92,11 +93,13 @@ def attribute_layers(spans: DataFrame, blocks: DataFrame, comments: DataFrame, p
     that are known (3). spans: part, order, block, text, span (styles.span_attributes), bookmarks and comment_ids; blocks: part, block, block_id, heading; comments:
     part, id, number. A document's text is its spans' shown texts, one after the other.
     """
-    shown = spans.withColumn("_shown", span_attributes(F.col("text"), F.col("span"), scale, paged)).withColumn("_len", F.length("_shown.text").cast("long"))
+    shown = spans.withColumn("_shown", span_values(F.col("text"), F.col("span"), scale, paged)).withColumn("_len", F.length("_shown.text").cast("long"))
     before = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = shown.withColumn("start", F.coalesce(F.sum("_len").over(before), F.lit(0))).withColumn("end", F.col("start") + F.col("_len"))
+    # the windows above run once, into a table that each kind of layer reads
+    placed = written(placed.select(part, "block", "start", "end", F.col("_shown.attributes").alias("attributes"), "bookmarks", "comment_ids"), "placed-spans")
     row = lambda layer, key, value: [F.lit(layer).alias("layer"), "start", "end", key.alias("key"), value.cast("string").alias("value")]
-    own = placed.select(part, F.lit(2).alias("layer"), "start", "end", F.inline("_shown.attributes"))
+    own = placed.select(part, F.lit(2).alias("layer"), "start", "end", F.inline("attributes")).where("value is not null")
     ranges = placed.groupBy(part, "block").agg(F.min("start").alias("start"), F.max("end").alias("end")).join(blocks, [part, "block"])
     ids = ranges.select(part, *row(1, F.lit("block_id"), F.col("block_id")))
     heads = ranges.where("heading is not null").select(part, *row(1, F.lit("heading"), F.col("heading")))

@@ -67,3 +67,10 @@ def test_groups_of_a_union_of_windows_stay_whole(spark):
     plan = grouped.dealt(wide.unionByName(slim), ["doc"])._jdf.queryExecution().executedPlan().toString()
     assert "xxhash64(doc" in plan and plan.index("xxhash64(doc") < plan.index("Union")
     assert len(got) == 5_000 and {r.n for r in got} == {14}
+
+
+def test_places_of_spans_are_found_once_for_all_layers(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["attributed_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(_len" not in plan  # the layers read a written table
