@@ -12,22 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.written import discarded, kept_until_exit, shared_folder, written_at
+from ..operators.written import bounded_batches, discarded, kept_until_exit, shared_folder, written_at
 
 __all__ = ["discarded", "kept_until_exit", "shared_folder"]
 
 #: White space between words: blank and the controls 9 to 13.
 GAP = r"[\x20\x09-\x0D]+"
-#: Rows of an Arrow batch at most.
-BATCH_ROWS = 1000
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Lets no Arrow batch of this session hold more than BATCH_ROWS rows: texts are long, and a batch is held several times, by the
-    JVM outside its heap and by Python. Smaller settings stay."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:

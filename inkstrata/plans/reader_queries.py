@@ -13,7 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from ..functions import highlight, scripts, styles, text, units
 from ..operators import layout, sequences, tables
 from ..operators import units as text_units
-from ..operators.written import written
+from ..operators.written import bounded_batches, written
 from ..sources import archive, docx, encoding, hwp, kinds, markdown, odt, pictures, properties
 from . import extract, fixtures, sinks
 from .catalogue import query, t
@@ -206,6 +206,7 @@ def _coded(value: pd.Series, kind: pd.Series) -> pd.Series:
 
 
 def _coded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)  # whole texts, several times over
     docs = t(spark, sf_dir, "documents").where("text is not null and text <> ''")
     return encoding.texts(docs.select(F.col("doc_id").cast("string").alias("path"), _coded("text", F.pmod("doc_id", F.lit(6)).cast("int")).alias("content")))
 
