@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import stored
+from ._util import discarded, stored_at
 
 
 #: Keys with more than this share of a side's rows are joined without a shuffle: there are fewer of them than this number.
@@ -50,10 +50,11 @@ def _are_stars(pairs: DataFrame) -> bool:
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of an edge between two nodes; root is the least node of its component. Ids are longs."""
-    pairs = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    pairs, at = stored_at(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     while not _are_stars(pairs):
-        large = stored(_linked(pairs, larger=True).where("u <> v").distinct(), "stars")
-        step = _linked(large, larger=False)
-        pairs = stored(step.where("u <> v").distinct(), "stars")
+        large, large_at = stored_at(_linked(pairs, larger=True).where("u <> v").distinct(), "stars")
+        pairs, new_at = stored_at(_linked(large, larger=False).where("u <> v").distinct(), "stars")
+        discarded(edges.sparkSession, at, large_at)  # a round reads only the one before it
+        at = new_at
     roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

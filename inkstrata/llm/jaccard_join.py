@@ -45,6 +45,9 @@ BUCKET_BYTES, SCREEN_SHINGLES, OWNERS = 4_000_000, 1_000_000, (1 << 16) - 1
 #: Buckets at most, so that blocks send a bounded number of messages however large the corpus is; and shingles of a bucket that are counted at once, in order, so that
 #: a bucket that grows with it is held packed, not unpacked.
 MOST_BUCKETS, COUNTED = 8_192, 4_000_000
+#: Bits of a shingle's hash that the screen sends, by the bytes of text up to which they do: with a block's shingles, differences of 34 bits fill two bytes and those of 42
+#: three. Two shingles with equal bits count as shared, so a document more may pass the screen; its whole set is compared then.
+KEY_BITS = ((8_000_000_000, 34), (2_000_000_000_000, 42), (math.inf, 48))
 PERCENT = 90
 #: Bounds of a comparing task: sets, and shingles in all.
 BLOCK_SETS, BLOCK_SHINGLES = 4000, 1 << 20
@@ -137,8 +140,8 @@ LINK_DDL = "kind string, comp bigint, a bigint, b bigint, radius double, own bin
 class Screen:
     """Collects a task's documents into blocks of bounded size, and tells buckets of shingles which of them a block holds."""
 
-    def __init__(self, width: int, buckets: np.ndarray, part: int, block_shingles: int):
-        self.width, self.buckets, self.n_buckets, self.room, self.block = width, buckets, len(buckets), block_shingles, part << 32
+    def __init__(self, width: int, buckets: np.ndarray, part: int, block_shingles: int, bits: int = KEY_BITS[-1][1]):
+        self.bits, self.width, self.buckets, self.n_buckets, self.room, self.block = bits, width, buckets, len(buckets), block_shingles, part << 32
         self.ids: list[int | None] = []
         self.sets: list[np.ndarray] = []
         self.held = 0
@@ -152,7 +155,7 @@ class Screen:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(x) for x in self.sets], np.int64)
-        every = np.concatenate([np.zeros(0, np.uint64), *self.sets]) >> np.uint64(16)
+        every = np.concatenate([np.zeros(0, np.uint64), *self.sets]) >> np.uint64(64 - self.bits)
         owners = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
         order = np.argsort(every, kind="stable")
         every, owners = every[order], owners[order]
@@ -163,7 +166,7 @@ class Screen:
         keys, own = every[first], np.where(times > 1, np.uint16(OWNERS), owners[first])
         digests = np.array([digest(x) for x in self.sets], np.int64).reshape(-1, 2)
         rows = [(int(self.buckets[self.block % self.n_buckets]), self.block, self.ids, sizes.tobytes(), digests[:, 0].tobytes(), digests[:, 1].tobytes(), shared.tobytes(), None, None)]
-        ends = np.searchsorted(((keys >> np.uint64(16)) * np.uint64(self.n_buckets)) >> np.uint64(32), np.arange(self.n_buckets + 1, dtype=np.uint64))
+        ends = np.searchsorted(((keys >> np.uint64(self.bits - 32)) * np.uint64(self.n_buckets)) >> np.uint64(32), np.arange(self.n_buckets + 1, dtype=np.uint64))
         for bucket in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
             cut = slice(ends[bucket], ends[bucket + 1])
             rows.append((int(self.buckets[bucket]), self.block, *[None] * 5, packed(keys[cut]), own[cut].tobytes()))
@@ -194,6 +197,17 @@ def _answered(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([*docs.itertuples(index=False, name=None), *out], columns=MESSAGE.names)
 
 
+def _sparse(rows: pd.DataFrame) -> pd.DataFrame:
+    """_answered() with the counts that aren't 0 only, and whose they are. Most documents of a block have no shingle in a bucket once there are many buckets: a count of
+    each would make the answers grow with documents times buckets."""
+    rows = _answered(rows)
+    for i in np.flatnonzero(rows["ids"].isna()):
+        count = np.frombuffer(rows["shared"].iat[i], np.int64)
+        own = np.flatnonzero(count)
+        rows.iloc[i, rows.columns.get_indexer(["shared", "owners"])] = count[own].astype(np.int32).tobytes(), own.astype(np.uint16).tobytes()
+    return rows
+
+
 def _slices(packs: pd.Series, n: int) -> Iterator[tuple[list[np.ndarray], list[slice]]]:
     """Sorted packed numbers in n ranges, one after the other: each pack's numbers in the range, and where they stand in it."""
     if n < 2:
@@ -219,9 +233,8 @@ def _rows_of(rows: pd.DataFrame) -> pd.DataFrame:
     own = rows[mine].iloc[0]
     sizes, his, los, shared = (np.frombuffer(own[n], np.int64) for n in ("sizes", "his", "los", "shared"))
     shared = shared.copy()
-    for raw in rows[~mine]["shared"]:
-        found = np.frombuffer(raw, np.int64)
-        shared[: len(found)] += found
+    for raw, owners in rows[~mine][["shared", "owners"]].itertuples(index=False, name=None):
+        shared[np.frombuffer(owners, np.uint16)] += np.frombuffer(raw, np.int32)
     ids = pd.array([None if pd.isna(x) else int(x) for x in own["ids"]], "Int64")
     return pd.DataFrame({"doc_id": ids, "n_shingles": sizes, "hi": his, "lo": los, "shared": shared})
 
@@ -232,9 +245,10 @@ def screened(docs: DataFrame, width: int, bucket_bytes: int = BUCKET_BYTES, bloc
     n_buckets = max(1, min(MOST_BUCKETS, -(-size // bucket_bytes)))
     parts = max(1, n_buckets // 8)
     buckets = even_keys(n_buckets, parts)
+    bits = next(b for most, b in KEY_BITS if size <= most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        screen = Screen(width, buckets, TaskContext.get().partitionId(), block_shingles)
+        screen = Screen(width, buckets, TaskContext.get().partitionId(), block_shingles, bits)
         for batch in batches:
             for doc_id, text in arrow_rows(batch, "doc_id", "text"):
                 yield from screen.add(doc_id, text)
@@ -242,7 +256,7 @@ def screened(docs: DataFrame, width: int, bucket_bytes: int = BUCKET_BYTES, bloc
             yield from screen.flush()
 
     sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), MESSAGE_DDL)
-    answered = sent.repartition(parts, "bucket").groupBy("bucket").applyInPandas(_answered, MESSAGE_DDL)
+    answered = sent.repartition(parts, "bucket").groupBy("bucket").applyInPandas(_sparse, MESSAGE_DDL)
     return answered.groupBy("block").applyInPandas(_rows_of, ROW_DDL)
 
 
@@ -469,8 +483,9 @@ def _arrays(rows: list[dict], field: str = "own") -> list[np.ndarray]:
     return [np.frombuffer(r[field], np.uint64) for r in rows]
 
 
-def decided(sets: DataFrame, percent: int, parts: int, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(a, b) links for sets (comp, lo, own), enough to connect each candidate component as all its links would."""
+def decided(sets: DataFrame, percent: int, parts: int, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES, spent: list[str] | None = None) -> DataFrame:
+    """(a, b) links for sets (comp, lo, own), enough to connect each candidate component as all its links would. spent: takes the path of the table that holds the sets,
+    for discarded() once the links are read."""
 
     def blocks(items: DataFrame) -> DataFrame:
         need = F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum(F.octet_length("own")) / (8 * block_shingles)))
@@ -513,7 +528,9 @@ def decided(sets: DataFrame, percent: int, parts: int, block_sets: int = BLOCK_S
             doubts += [(r["lo"], q) for q in ids[near].tolist() if union_.root(q) != union_.root(r["lo"])]
         return links + [("doubt", comp, a, b, None, None) for a, b in doubts if union_.root(a) != union_.root(b)]
 
-    first = stored(blocks(sets), "jaccard-blocks")
+    first, first_at = stored_at(blocks(sets), "jaccard-blocks")
+    if spent is not None:
+        spent.append(first_at)
     found = stored(_grouped(first.where("n_blocks = 1").select("comp", "lo", "own"), ["comp"], whole, parts), "jaccard-links").select("kind", "a", "b")
     items = first.where("n_blocks > 1").select("comp", "lo", "own", F.lit(0.0).alias("radius"))
     large, n_before = items.select("comp", "lo", "own"), None
@@ -613,8 +630,10 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block_se
     candidates = stored(components(edges, "lo", "least"), "jaccard-candidates")
     discarded(spark, some_at, lists_at, shared_at)
     sets = whole.join(candidates.select(F.col("node").alias("c_lo"), F.col("root").alias("comp")), F.col("lo") == F.col("c_lo")).select("comp", "lo", "own")
-    found = decided(sets, percent, parts, block_sets, block_shingles)
+    spent: list[str] = []
+    found = decided(sets, percent, parts, block_sets, block_shingles, spent)
     roots = stored(components(found, "a", "b").select(F.col("node").alias("r_lo"), "root"), "jaccard-roots")
+    discarded(spark, *spent)
     named_sets = stored(whole.select("hi", "lo2", "lo").join(roots, F.col("lo") == F.col("r_lo")).select(F.col("hi").alias("s_hi"), F.col("lo2").alias("s_lo"), "root", "lo"), "jaccard-named")
     filled = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "hi", "lo")
     filled = filled.join(named_sets.select("s_hi", "s_lo", "root"), (F.col("hi") == F.col("s_hi")) & (filled["lo"] == F.col("s_lo")), "left")

@@ -83,6 +83,29 @@ def test_a_buckets_shingles_are_counted_in_ranges(monkeypatch):
         assert got == want and sum(r.ids is not None for r in found.itertuples()) == 1
 
 
+def test_answers_dont_grow_with_buckets(spark):
+    """A document costs its shared shingles, not a count for each bucket that its block asks."""
+    rows = [(i, " ".join(f"w{i // 2 * 40 + k}" for k in range(40)), "a") for i in range(400)]
+    jaccard = lambda buckets: jaccard_join.screened(documents(spark, rows), 3, buckets)
+    size = sum(len(t) for _, t, _ in rows)
+    sent = []
+    for n in (4, 400):
+        screen = jaccard_join.Screen(3, np.arange(n), 0, 1 << 20)
+        for i, text, _ in rows[::2]:
+            list(screen.add(i, text))
+        (first,) = screen.flush()
+        for i, text, _ in rows[1::2]:
+            list(screen.add(i, text))
+        (second,) = screen.flush()
+        frames = pd.concat([first.to_pandas(), second.to_pandas()])
+        answers = [jaccard_join._sparse(g.reset_index(drop=True)) for _, g in frames.groupby("bucket")]
+        sent.append(sum(len(x) for a in answers for x in a[a["ids"].isna()]["shared"]))
+        assert sum(np.frombuffer(x, np.int32).sum() for a in answers for x in a[a["ids"].isna()]["shared"]) == 400 * 38
+    assert sent[1] <= 400 * 38 * 4
+    by_buckets = [sorted((r.doc_id, r.shared) for r in jaccard(-(-size // n)).collect()) for n in (4, 400)]
+    assert by_buckets[0] == by_buckets[1] == [(i, 38) for i in range(400)]
+
+
 def test_few_buckets_change_nothing(spark, monkeypatch):
     rows = [*near_copies(3), (-1, None, "a"), (-2, "", "a")]
     monkeypatch.setattr(jaccard_join, "MOST_BUCKETS", 1)
