@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.types import DataType, StructField, StructType
@@ -14,19 +14,31 @@ from pyspark.sql.types import DataType, StructField, StructType
 OUT = 8192
 #: Rows of whole groups that stream_tables() hands on at once.
 TOGETHER = 1 << 17
+#: Rows that a task sorts or groups at once, about.
+PART_ROWS = 500_000
 
 
-def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+def parts_of(rows: DataFrame) -> int:
+    """How many partitions rows ask for, so that a task's memory doesn't grow with them. They are counted: a scan's rows are, without reading them."""
+    return -(-rows.count() // PART_ROWS)
+
+
+def spread(rows: DataFrame, parts: int, *keys: Column | str) -> DataFrame:
+    """rows by keys in so many partitions, or the session's, if those are more: what is grouped, sorted or joined by the keys next needs no other shuffle."""
+    return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*keys)
+
+
+def dealt(rows: DataFrame, keys: list[str], parts: int = 0) -> DataFrame:
     """rows with all of a group in one partition. They are dealt by a hash of the keys, not by the keys: where rows come dealt by the keys already, say as a union of
-    windows, the planner leaves such a shuffle out, and then may merge or split the partitions below, which nothing above forbids."""
-    return rows.repartition(F.xxhash64(*keys))
+    windows, the planner leaves such a shuffle out, and then may merge or split the partitions below, which nothing above forbids. parts: as in spread()."""
+    return spread(rows, parts, F.xxhash64(*keys))
 
 
-def stream_groups(rows: DataFrame, keys: list[str], order: list[str], work: Callable[[list[tuple]], Iterator[tuple]], ddl: str) -> DataFrame:
+def stream_groups(rows: DataFrame, keys: list[str], order: list[str], work: Callable[[list[tuple]], Iterator[tuple]], ddl: str, parts: int = 0) -> DataFrame:
     """Rows that work() makes of each group's rows (tuples in column order, sorted by order).
 
     Groups share a partition and stream through it, so small groups cost no call or frame of their own; only the rows of one group
-    are held at a time.
+    are held at a time. parts: partitions, as parts_of() counts them; by default the session's.
     """
     at = [rows.columns.index(k) for k in keys]
 
@@ -54,7 +66,7 @@ def stream_groups(rows: DataFrame, keys: list[str], order: list[str], work: Call
             yield flushed()
 
     schema = to_arrow_schema(StructType.fromDDL(ddl))
-    return dealt(rows, keys).sortWithinPartitions(*keys, *order).mapInArrow(run, ddl)
+    return dealt(rows, keys, parts).sortWithinPartitions(*keys, *order).mapInArrow(run, ddl)
 
 
 def stream_tables(rows: DataFrame, key: str, order: list[str], work: Callable[[pa.Table], pa.Table], ddl: str, together: int = TOGETHER) -> DataFrame:

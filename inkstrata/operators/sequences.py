@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -212,6 +213,33 @@ def settled(groups: DataFrame, part: str, order: str, height: str, body: float)
     return stream_groups(rows, [part], [order], lay_out, f"{part} bigint, {order} bigint, top double, page int")
 
 
+def held_pages(groups: DataFrame, part: str, order: str, height: str, body: float, parts: int = 0) -> DataFrame:
+    """part (long), page, n_pages, first_row (long), n_rows (long): every page of the documents as settled() lays them out, with what begins on it. A page that only a tall
+    row runs through has no first row. parts: as in stream_groups()."""
+    def lay_out(rows: list[tuple]) -> Iterator[tuple]:
+        at, n_pages, held = 0.0, 0, {}
+        for _, number, h in rows:
+            room = body - at % body
+            if room < h <= body:
+                at += room
+            page = int(at // body)
+            first, n = held.get(page, (number, 0))
+            held[page] = first, n + 1
+            at += h
+            n_pages = max(n_pages, page + 1, math.ceil(at / body))
+        for page in range(n_pages):
+            yield rows[0][0], page, n_pages, *held.get(page, (None, 0))
+
+    rows = groups.select(part, order, F.col(height).cast("double").alias("h"))
+    return stream_groups(rows, [part], [order], lay_out, f"{part} bigint, page int, n_pages int, first_row bigint, n_rows bigint", parts)
+
+
+def picked_header(entries: Column, page: Column) -> Column:
+    """Of a document's headers (an array of applies, entry), the entry that picked_headers() takes on a page; null, if none fits."""
+    of = lambda kind: F.get(F.filter(entries, lambda e: e["applies"] == kind), F.lit(0))
+    return F.coalesce(F.when(page == 0, of("first")), F.when((page + 1) % 2 == 0, of("even")), of("default"))["entry"]
+
+
 def picked_headers(pages: DataFrame, entries: DataFrame, part: list[str]) -> DataFrame:
     """part, page, entry: of a document's headers (or footers), page 0 takes first, even human pages even, all else default."""
     rows = pages.join(entries, part)

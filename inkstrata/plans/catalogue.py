@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, scripts, slots, styles, text, units
-from ..operators import chains, layout, sequences, spans, tables
+from ..operators import chains, grouped, layout, sequences, spans, tables
 from ..operators import units as text_units
 from ..sources import kinds
 
@@ -297,7 +297,8 @@ LINES = f"lines AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey OR
 
 
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "lineitem").withColumn("line", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)))
+    rows = t(spark, sf_dir, "lineitem")
+    return grouped.spread(rows, grouped.parts_of(rows), "l_orderkey").withColumn("line", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)))
 
 
 # --- spans, runs, census --------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import pages, versions
+from ..operators import grouped, pages, versions
 from ..operators.written import written
 from . import extract
 from .catalogue import LINES, lines_of, query, t
@@ -109,4 +109,4 @@ def paged_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     for has, applies, pieces in kinds:
         own = orders.where(has).select(k, F.lit(applies).alias("applies"), pieces.alias("pieces"))
         entries = own if entries is None else entries.unionByName(own)
-    return pages.paged_view(rows, docs, entries, "o_orderkey", "line", "height", 60.0)
+    return pages.paged_view(rows, docs, entries, "o_orderkey", "line", "height", 60.0, grouped.parts_of(t(spark, sf_dir, "lineitem")))
