@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import RAW_CLOSE, RAW_NOTE, RAW_OPEN, escaped
-from .grouped import stream_groups
+from .grouped import parts_of, spread, stream_groups
 
 MAX_SPAN = 512
 
@@ -24,7 +24,7 @@ def simple_grids(cells: DataFrame, part: list[str]) -> DataFrame:
 
 def giant_tables(cells: DataFrame, part: list[str], min_rows: int = 50, min_cells: int = 500) -> DataFrame:
     """part, n_rows, n_cells, giant: at least min_rows rows, and rows times the widest row at least min_cells."""
-    rows = cells.groupBy(*part, "row").agg(F.sum("col_span").alias("width"))
+    rows = spread(cells, parts_of(cells), *part, "row").groupBy(*part, "row").agg(F.sum("col_span").alias("width"))
     size = rows.groupBy(*part).agg(F.count("*").alias("n_rows"), F.max("width").alias("width"))
     n = F.col("n_rows") * F.col("width")
     return size.select(*part, "n_rows", n.alias("n_cells"), ((F.col("n_rows") >= min_rows) & (n >= min_cells)).alias("giant"))

@@ -54,5 +54,6 @@ def page_index(rows: DataFrame, part: list[str], top: str, lead: float, pitch: f
 
 def split_giants(cells: DataFrame, part: list[str]) -> tuple[DataFrame, DataFrame]:
     """Cells of ordinary tables, and of giant ones, which a second job may take without holding up the first."""
-    sizes = tables.giant_tables(cells, part).where("giant").select(*part)
+    # a row per giant table is held by a hash, where the cells of all tables would be sorted
+    sizes = tables.giant_tables(cells, part).where("giant").select(*part).hint("shuffle_hash")
     return cells.join(sizes, part, "left_anti"), cells.join(sizes, part, "left_semi")
