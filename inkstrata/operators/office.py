@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import chains
-from .sequences import as_of
+from .grouped import parts_of, spread
 
 
 def resolved_formats(declared: DataFrame) -> DataFrame:
@@ -81,14 +81,20 @@ def nearest(*values: Column) -> Column:
 def cell_styles(declared: DataFrame) -> DataFrame:
     """path, table, row, col, times, style, column_style of OpenDocument cells: the cell's own style, else its row's default, else its
     column's; names that no cell style has count as none. declared: sources.formats rows of open_declared()."""
-    part = F.split("id", "/")
-    known = declared.where("scope = 'style' and id like 'table-cell/%'").select(F.col("path").alias("k_path"), F.substring_index("id", "/", -1).alias("k_name")).distinct()
-    cells = declared.where("scope = 'cell'").select("path", F.get(part, 0).cast("int").alias("table"), F.get(part, 1).cast("int").alias("row"), F.get(part, 2).cast("int").alias("col"), F.col("value").cast("int").alias("times"), "style", F.col("parent").alias("row_default"))
-    columns = declared.where("scope = 'column'").select("path", F.get(part, 0).cast("int").alias("table"), F.get(part, 1).cast("int").alias("col"), F.struct(F.col("value").alias("column_style"), F.col("style").alias("default")).alias("column"))
-    rows = as_of(cells, columns, ["path", "table"], "col", "column")
+    part, is_cell, is_column = F.split("id", "/"), F.col("scope") == "cell", F.col("scope") == "column"
+    place = lambda i, of: F.when(of, F.get(part, i).cast("int"))
+    mark = F.when(is_column, F.struct(F.struct(F.col("value").alias("column_style"), F.col("style").alias("default")).alias("v")))
+    rows = declared.where("scope in ('cell', 'column') or (scope = 'style' and id like 'table-cell/%')").select(
+        "path", is_cell.alias("is_cell"), place(0, is_cell | is_column).alias("table"), place(1, is_cell).alias("row"), F.when(is_cell, F.get(part, 2)).when(is_column, F.get(part, 1)).cast("int").alias("col"),
+        F.when(is_cell, F.col("value").cast("int")).alias("times"), "style", F.col("parent").alias("row_default"), mark.alias("mark"), F.when(F.col("scope") == "style", F.substring_index("id", "/", -1)).alias("name"),
+    )
+    # a document is dealt once: the column is the last one before a cell, and the names that are known are one array
+    before = Window.partitionBy("path", "table").orderBy("col", "is_cell").rowsBetween(Window.unboundedPreceding, 0)
+    rows = spread(rows, parts_of(declared), "path").withColumn("column", F.last("mark", ignorenulls=True).over(before)["v"])
+    rows = rows.withColumn("known", F.collect_set("name").over(Window.partitionBy("path"))).where("is_cell")
     for name in ("style", "row_default", "default"):
         own = F.col("column.default") if name == "default" else F.col(name)
-        rows = rows.withColumn(f"_{name}", own).join(known, (F.col("path") == F.col("k_path")) & (F.col(f"_{name}") == F.col("k_name")), "left").withColumn(f"_{name}", F.col("k_name")).drop("k_path", "k_name")
+        rows = rows.withColumn(f"_{name}", F.when(F.array_contains("known", own), own))
     return rows.select("path", "table", "row", "col", "times", nearest(F.col("_style"), F.col("_row_default"), F.col("_default")).alias("style"), F.col("column.column_style").alias("column_style"))
 
 
