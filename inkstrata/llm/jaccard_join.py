@@ -201,11 +201,12 @@ def _sparse(rows: pd.DataFrame) -> pd.DataFrame:
     """_answered() with the counts that aren't 0 only, and whose they are. Most documents of a block have no shingle in a bucket once there are many buckets: a count of
     each would make the answers grow with documents times buckets."""
     rows = _answered(rows)
+    shared, owners = list(rows["shared"]), list(rows["owners"])
     for i in np.flatnonzero(rows["ids"].isna()):
-        count = np.frombuffer(rows["shared"].iat[i], np.int64)
+        count = np.frombuffer(shared[i], np.int64)
         own = np.flatnonzero(count)
-        rows.iloc[i, rows.columns.get_indexer(["shared", "owners"])] = count[own].astype(np.int32).tobytes(), own.astype(np.uint16).tobytes()
-    return rows
+        shared[i], owners[i] = count[own].astype(np.int32).tobytes(), own.astype(np.uint16).tobytes()
+    return rows.assign(shared=shared, owners=owners)
 
 
 def _slices(packs: pd.Series, n: int) -> Iterator[tuple[list[np.ndarray], list[slice]]]:
