@@ -5,6 +5,8 @@ Offsets count UTF-16 code units, as editors do; a null text gives null. Everythi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ RAW_OPEN, RAW_CLOSE = "<raw>", "</raw>"
 RAW_NOTE = "[table — merged cells or block content; structure not mapped, cells below are literal]"
 
 
+def bound(value: Column, work: Callable[[Column], Column]) -> Column:
+    """What work() makes of a value that is evaluated once, however often work() names it, within functions of arrays too."""
+    return F.transform(F.array(value), work)[0]
+
+
 def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 

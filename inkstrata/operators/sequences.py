@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .grouped import scan_groups, stream_groups
+from .grouped import parts_of, scan_groups, stream_groups
 from .written import written
 
 
@@ -98,6 +100,21 @@ def numbered(rows: DataFrame, order: list[Column | str], name: str = "rank") ->
     return ranged.withColumn("_own", own).join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
 
 
+def numbered_within(rows: DataFrame, part: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """Adds name: a row's place, from 1, among those of its part in the given order, which should tell rows apart.
+
+    As in numbered(), rows are dealt by ranges, so a part with most of the rows is many tasks; a range is sorted once, and its rows counted up as they are written.
+    """
+    parts = max(parts_of(rows), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = rows.repartitionByRange(parts, *part, *order).sortWithinPartitions(*part, *order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = written(ranged.withColumn("_range", F.shiftright("_id", 33)), "ranges")
+    sizes = ranged.groupBy(*part, "_range").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy(*part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = written(sizes.select(*[F.col(p).alias(f"_{p}") for p in part], F.col("_range").alias("_of"), (F.col("_first") - F.coalesce(F.sum("_n").over(before), F.lit(0)) - 1).alias("_start")), "starts")
+    same = reduce(and_, [F.col(p).eqNullSafe(F.col(f"_{p}")) for p in part], F.col("_range") == F.col("_of"))
+    return ranged.join(starts, same).withColumn(name, F.col("_id") - F.col("_start")).select(*rows.columns, name)
+
+
 def open_ranges(events: DataFrame, part: list[str], order: str, change: str) -> DataFrame:
     """Adds n_open: how many ranges are open behind each event. change: +1 opens, -1 closes, 0 neither."""
     w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scripts import firm_class, split
-from ..functions.text import inline_markdown
+from ..functions.text import bound, inline_markdown
+
+#: What Markdown can express of a span.
+INLINE = ["bold", "italic", "strikethrough", "code", "link"]
 
 
 def islands(rows: DataFrame, part: list[str], order: list[str], same: list[str], barrier: Column | None = None, name: str = "island") -> DataFrame:
@@ -71,6 +76,22 @@ def block_inline(spans: DataFrame, part: list[str], order: str, in_cell: bool =
     return merged.groupBy(*part).agg(F.array_join(F.transform(ordered, lambda s: s["t"]), "").alias("inline"))
 
 
+def inline_of(spans: Column, in_cell: bool = False) -> Column:
+    """block_inline() of one block's array of spans (text, INLINE), without a row per span. Most blocks have one span, which needs no merging."""
+    said = lambda s: [s["link"] if c == "link" else F.coalesce(s[c], F.lit(False)) for c in INLINE]
+    mark = lambda text, bold, italic, strike, code, link: inline_markdown(text, bold, italic, strike, code, link, in_cell)
+
+    def merged(spans: Column) -> Column:
+        alike = lambda i: reduce(and_, [a.eqNullSafe(b) for a, b in zip(said(spans[i]), said(spans[i - 1]), strict=True)])
+        starts = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (i == 0) | ~alike(i))
+        text = lambda run: F.array_join(F.transform(run, lambda s: s["text"]), "")
+        runs = lambda at: F.transform(at, lambda i, k: F.slice(spans, i + 1, F.coalesce(F.get(at, k + 1), F.size(spans)) - i))
+        shown = F.transform(bound(starts, runs), lambda run: bound(F.struct(text(run).alias("t"), run[0].alias("s")), lambda r: mark(r["t"], *said(r["s"]))))
+        return F.array_join(shown, "")
+
+    return F.when(F.size(spans) == 1, F.coalesce(mark(spans[0]["text"], *said(spans[0])), F.lit(""))).when(F.size(spans) > 1, bound(spans, merged)).otherwise(F.lit(""))
+
+
 def block_markdown(kind: Column, level: Column, ordered: Column, marker: Column, inline: Column, ref: Column) -> Column:
     """A block's Markdown. inline: of heading, paragraph and list item, or a rendered table; ref: image id, label or formula."""
     mark = F.when(F.trim(F.coalesce(marker, F.lit(""))) == "", F.lit("1. ")).when(F.endswith(marker, F.lit(" ")), marker).otherwise(F.concat(marker, F.lit(" ")))
@@ -85,14 +106,17 @@ def block_markdown(kind: Column, level: Column, ordered: Column, marker: Column,
     )
 
 
-def document_markdown(blocks: DataFrame, part: list[str], order: str, kind: str = "kind", piece: str = "piece") -> DataFrame:
-    """One text per document: empty pieces go, neighbouring list items are joined by a line feed, all else by a blank line."""
+def document_markdown(blocks: DataFrame, part: list[str], order: str, kind: str = "kind", piece: str = "piece", within: str | None = None) -> DataFrame:
+    """One text per document: empty pieces go, neighbouring list items are joined by a line feed, all else by a blank line. within: the order of the pieces that one
+    block comes in, joined as they are."""
     rows = blocks.where(F.length(piece) > 0)
-    w = Window.partitionBy(*part).orderBy(order)
+    orders = [order, within] if within else [order]
+    w = Window.partitionBy(*part).orderBy(*orders)
     both_items = (F.col(kind) == "listItem") & (F.lag(kind).over(w) == "listItem")
-    glue = F.when(F.lag(kind).over(w).isNull(), F.lit("")).when(both_items, F.lit("\n")).otherwise(F.lit("\n\n"))
+    goes_on = F.lag(order).over(w) == F.col(order) if within else F.lit(False)
+    glue = F.when(F.lag(kind).over(w).isNull() | goes_on, F.lit("")).when(both_items, F.lit("\n")).otherwise(F.lit("\n\n"))
     rows = rows.withColumn("_piece", F.concat(glue, piece))
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_piece").alias("t"))))
+    ordered = F.array_sort(F.collect_list(F.struct(*orders, F.col("_piece").alias("t"))))
     return rows.groupBy(*part).agg(F.array_join(F.transform(ordered, lambda s: s["t"]), "").alias("markdown"))
 
 

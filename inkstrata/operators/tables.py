@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import RAW_CLOSE, RAW_NOTE, RAW_OPEN, escaped
+from ..functions.text import RAW_CLOSE, RAW_NOTE, RAW_OPEN, bound, escaped
 from .grouped import parts_of, spread, stream_groups
 
 MAX_SPAN = 512
@@ -22,6 +22,44 @@ def simple_grids(cells: DataFrame, part: list[str]) -> DataFrame:
     return rows.groupBy(*part).agg(((F.min("n") == F.max("n")) & F.bool_and("plain")).alias("simple"))
 
 
+def block_grids(blocks: DataFrame, part: list[str], min_rows: int = 50, min_cells: int = 500) -> DataFrame:
+    """part, simple as simple_grids() has it, giant as giant_tables() has it, first and last (rows), size (rows of blocks of the largest row) and n (of all): both answers
+    from one sum by rows. blocks: part, row, kind, col_span, row_span (of cells) of the cells and of what stands in them."""
+    cell = F.col("kind") == "cell"
+    single = lambda c: F.coalesce(F.col(c), F.lit(1)) == 1
+    plain = F.when(cell, single("col_span") & single("row_span")).otherwise(F.col("kind") == "paragraph")
+    rows = blocks.groupBy(*part, "row").agg(F.count(F.when(cell, 1)).alias("cells"), F.bool_and(plain).alias("plain"), F.count("*").alias("size"), F.sum(F.when(cell, F.col("col_span"))).alias("width"))
+    giant = (F.count("*") >= min_rows) & (F.count("*") * F.max("width") >= min_cells)
+    return rows.groupBy(*part).agg(
+        ((F.min("cells") == F.max("cells")) & F.bool_and("plain")).alias("simple"), F.coalesce(giant, F.lit(False)).alias("giant"), F.min("row").alias("first"), F.max("row").alias("last"), F.max("size").alias("size"), F.sum("size").alias("n"),
+    )
+
+
+def chunked(blocks: DataFrame, part: list[str]) -> DataFrame:
+    """part, chunk, markdown: tables in stretches of whole rows, which line feeds join. blocks: part, chunk, simple, first, last, row, col, inner (stands in a cell; false:
+    the cell), block_id, text (marked up; of a cell none)."""
+    known = ["simple", "first", "last"]
+    found = F.array_sort(F.collect_list(F.struct("row", "col", "inner", "block_id", "text")))
+    kept = F.filter(found, lambda s: ~s["inner"] | (s["text"] != ""))
+    chunks = blocks.groupBy(*part, "chunk", *known).agg(kept.alias("kept"), F.count(F.when(~F.col("inner") & (F.col("row") == F.col("first")), 1)).alias("n"))
+    simple, rule = F.col("simple"), F.concat(F.lit("\n| "), F.array_join(F.array_repeat(F.lit("---"), F.col("n").cast("int")), " | "), F.lit(" |"))
+    opened, closed = F.when(simple, F.lit("| ")).otherwise(F.lit("")), F.when(simple, F.lit(" |")).otherwise(F.lit(""))
+    ended = lambda row: F.when(simple & (row == F.col("first")), F.concat(closed, rule)).otherwise(closed)
+
+    def shown(rows: Column) -> Column:
+        def glued(s: Column, i: Column) -> Column:
+            before = rows[i - 1]
+            glue = F.when(s["inner"], F.when(before["inner"], F.lit(" ")).otherwise(F.lit(""))).when(i == 0, opened)
+            return F.concat(glue.when(before["row"] == s["row"], F.lit(" | ")).otherwise(F.concat(ended(before["row"]), F.lit("\n"), opened)), s["text"])
+
+        return F.concat(F.array_join(F.transform(rows, glued), ""), ended(F.element_at(rows, -1)["row"]))
+
+    body = bound(F.col("kept"), shown)
+    head = F.when(~simple & (F.element_at("kept", 1)["row"] == F.col("first")), F.lit(f"{RAW_OPEN}\n{RAW_NOTE}\n")).otherwise(F.lit(""))
+    foot = F.when(~simple & (F.element_at("kept", -1)["row"] == F.col("last")), F.lit(f"\n{RAW_CLOSE}")).otherwise(F.lit(""))
+    return chunks.select(*part, "chunk", F.concat(head, body, foot).alias("markdown"))
+
+
 def giant_tables(cells: DataFrame, part: list[str], min_rows: int = 50, min_cells: int = 500) -> DataFrame:
     """part, n_rows, n_cells, giant: at least min_rows rows, and rows times the widest row at least min_cells."""
     rows = spread(cells, parts_of(cells), *part, "row").groupBy(*part, "row").agg(F.sum("col_span").alias("width"))

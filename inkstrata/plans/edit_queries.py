@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import grouped, pages, versions
+from ..operators import grouped, pages, sequences, versions
 from ..operators.written import written
 from . import extract
 from .catalogue import LINES, lines_of, query, t
@@ -53,15 +53,16 @@ def _order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.blocks import BLOCK_DDL, SPAN
 
     orders = t(spark, sf_dir, "orders").withColumn("path", F.concat_ws("|", "o_orderstatus", F.when(F.col("o_orderstatus") == "F", F.col("o_custkey") % 50).otherwise(F.lit(0))))
-    spans = lambda text: F.from_json(F.to_json(F.array(F.struct(text.alias("text")))), f"array<{SPAN}>").alias("spans")
-    orders = orders.withColumn("row", F.row_number().over(Window.partitionBy("path").orderBy("o_orderkey")) - 1)
-    cells = orders.select("path", "row", F.posexplode(F.array(*[c.cast("string") for c in (F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderkey") % 7, F.col("o_orderstatus"))])).alias("col", "text"))
-    number = 2 + 8 * F.col("row") + 2 * F.col("col")
+    unmarked = [F.lit(None).cast(f.split(":")[1]).alias(f.split(":")[0]) for f in SPAN.removeprefix("struct<").removesuffix(">").split(",") if f != "text:string"]
+    spans = lambda text: F.array(F.struct(text.cast("string").alias("text"), *unmarked)).alias("spans")
+    orders = sequences.numbered_within(orders.select("path", "o_orderkey", "o_custkey", "o_orderstatus"), ["path"], ["o_orderkey"], "row").withColumn("row", (F.col("row") - 1).cast("int"))
+    texts = F.array(*[c.cast("string") for c in (F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderkey") % 7, F.col("o_orderstatus"))])
+    cells = orders.select("path", "row", F.posexplode(texts).alias("col", "text")).select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("inner"))
+    inner, own = F.col("inner"), lambda value: F.when(~F.col("inner"), value)
     frame = orders.select("path").distinct().select("path", F.inline(F.array(*[F.struct(F.lit(b).alias("block_id"), F.lit(k).alias("kind"), F.lit(x).alias("text")) for b, k, x in ((0, "heading", "Orders"), (1, "table", ""), (10**9, "paragraph", "end"))])))
     parts = [
         frame.select("path", "block_id", "kind", F.when(F.col("kind") == "heading", 2).alias("level"), spans(F.col("text"))),
-        cells.select("path", number.alias("block_id"), F.lit(1).alias("table_id"), "row", "col", F.lit("cell").alias("kind"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span")),
-        cells.select("path", (number + 1).alias("block_id"), F.lit(1).alias("table_id"), "row", "col", F.lit("paragraph").alias("kind"), spans(F.col("text"))),
+        cells.select("path", (2 + 8 * F.col("row") + 2 * F.col("col") + inner.cast("int")).alias("block_id"), F.lit(1).alias("table_id"), "row", "col", F.when(inner, F.lit("paragraph")).otherwise(F.lit("cell")).alias("kind"), own(F.lit(1)).alias("row_span"), own(F.lit(1)).alias("col_span"), F.when(inner, spans(F.col("text"))).alias("spans")),
     ]
     rows = spark.createDataFrame([], BLOCK_DDL)
     for p in parts:
@@ -76,7 +77,7 @@ SELECT path, count(*) >= 125 AS deferred, '## Orders' || chr(10) || chr(10) || s
 """)
 def deferred_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The extract in two jobs: documents with a giant table get it back in the second one, at its place."""
-    work = extract.Deferred(written(_order_tables(spark, sf_dir), "order-tables"))
+    work = extract.Deferred(_order_tables(spark, sf_dir))
     first = work.markdown().where("n_deferred = 0").select("path", F.lit(False).alias("deferred"), "markdown")
     return first.unionByName(work.finished().select("path", F.lit(True).alias("deferred"), "markdown"))
 

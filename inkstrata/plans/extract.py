@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import extract_header
-from ..operators import spans, tables
+from ..operators import grouped, spans, tables
 from ..operators.written import written
 from ..sources import docx, encoding, hwp, kinds, markdown, odt
 
-INLINE = ["bold", "italic", "strikethrough", "code", "link"]
-
 
 def blocks_of(files: DataFrame) -> DataFrame:
     """Block rows of all office and Markdown files. files: path, ext, kind, content."""
@@ -21,44 +19,53 @@ def blocks_of(files: DataFrame) -> DataFrame:
     return out.unionByName(markdown.blocks(files.where("kind = 'markdown'")))
 
 
-def _span_rows(blocks: DataFrame) -> DataFrame:
-    rows = blocks.select("path", "block_id", F.posexplode("spans").alias("span_ord", "s"))
-    return rows.select("path", "block_id", "span_ord", F.col("s.text").alias("text"), *[F.coalesce(F.col(f"s.{c}"), F.lit(False)).alias(c) if c != "link" else F.col("s.link").alias(c) for c in INLINE])
+#: Blocks and cells of a table that are put together at once, about.
+TOGETHER = 8192
+TABLE = ["path", "table_id"]
+
+
+def _in_tables(blocks: DataFrame) -> DataFrame:
+    return blocks.where("table_id is not null and error is null")
+
+
+def grids_of(blocks: DataFrame) -> DataFrame:
+    return written(tables.block_grids(_in_tables(blocks), TABLE), "grids")
+
+
+def table_chunks(blocks: DataFrame, grids: DataFrame) -> DataFrame:
+    """path, table_id, chunk, markdown: stretches of a pipe table where the grid is simple, else of the literal cells, of the tables in grids (grids_of()). A table's chunks,
+    in order and joined by line feeds, are the table. Blocks in tables stand in cells of theirs, as readers write them.
+
+    A chunk has as many whole rows as TOGETHER holds, so a giant table is put together by many tasks.
+    """
+    rows = _in_tables(blocks).withColumn("inner", F.col("kind") != "cell").join(grids, TABLE)
+    literal = F.when(F.col("kind") == "image", F.concat(F.lit("[image "), F.col("ref"), F.lit("]"))).when(F.col("kind") == "unsupportedGraphic", F.concat(F.lit("["), F.col("ref"), F.lit("]"))).when(F.col("kind") == "formula", F.col("ref")).otherwise(F.array_join(F.transform("spans", lambda s: s["text"]), ""))
+    own = F.when(~F.col("inner"), F.lit("")).when(F.col("simple"), spans.inline_of(F.col("spans"), True)).otherwise(F.replace(literal, F.lit("\n"), F.lit(" ")))
+    chunk = F.floor(F.col("row") / F.greatest(F.lit(1), F.floor(F.lit(TOGETHER) / F.col("size"))))
+    rows = rows.select(*TABLE, chunk.alias("chunk"), "simple", "first", "last", "row", "col", "inner", "block_id", F.coalesce(own, F.lit("")).alias("text"))
+    parts = -(-(grids.agg(F.sum("n")).first()[0] or 0) // grouped.PART_ROWS)
+    return tables.chunked(grouped.spread(rows, parts, *TABLE, "chunk"), TABLE)
 
 
-def table_markdown(blocks: DataFrame) -> DataFrame:
-    """path, table_id, markdown: a pipe table where the grid is simple, else the literal cells."""
-    cells = blocks.where("kind = 'cell'").select("path", "table_id", "row", "col", "row_span", "col_span")
-    inner = blocks.where("kind <> 'cell' and table_id is not null").select("path", "table_id", "row", "col", "block_id", "kind", "ref", "spans")
-    key = ["path", "table_id", "row", "col"]
-    piped = spans.block_inline(_span_rows(inner), ["path", "block_id"], "span_ord", in_cell=True)
-    plain = F.when(F.col("kind") == "image", F.concat(F.lit("[image "), F.col("ref"), F.lit("]"))).when(F.col("kind") == "unsupportedGraphic", F.concat(F.lit("["), F.col("ref"), F.lit("]"))).when(F.col("kind") == "formula", F.col("ref")).otherwise(F.array_join(F.transform("spans", lambda s: s["text"]), ""))
-    rows = inner.join(piped, ["path", "block_id"], "left").withColumn("plain", F.coalesce(plain, F.lit("")))
-    ordered = lambda c: F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("block_id", F.coalesce(F.col(c), F.lit("")).alias("t")))), lambda s: s["t"]), lambda x: x != ""), " ")
-    content = rows.groupBy(*key).agg(ordered("inline").alias("inline"), ordered("plain").alias("plain"), F.bool_and(F.col("kind") == "paragraph").alias("only"))
-    full = cells.join(content, key, "left").withColumn("only_paragraphs", F.coalesce("only", F.lit(True)))
-    grids = tables.simple_grids(full, ["path", "table_id"])
-    full = full.join(grids, ["path", "table_id"])
-    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias("text")
-    simple = tables.pipe_tables(full.where("simple").select(*key, text("inline")), ["path", "table_id"], escape=False)
-    raw = tables.raw_tables(full.where("not simple").select(*key, text("plain")), ["path", "table_id"])
-    return simple.unionByName(raw)
+def table_markdown(blocks: DataFrame, grids: DataFrame) -> DataFrame:
+    """path, table_id, markdown: the tables of table_chunks() as wholes."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "markdown"))), lambda s: s["markdown"])
+    return table_chunks(blocks, grids).groupBy(*TABLE).agg(F.array_join(texts, "\n").alias("markdown"))
 
 
 def _pieces(blocks: DataFrame, nested: DataFrame) -> DataFrame:
     """path, block_id, kind and piece of the blocks outside tables; nested: table_markdown() of the tables that are known."""
     top = blocks.where("table_id is null and error is null")
-    inline = spans.block_inline(_span_rows(top), ["path", "block_id"], "span_ord")
     own = nested.withColumnRenamed("table_id", "block_id").withColumnRenamed("markdown", "table_md")
-    rows = top.join(inline, ["path", "block_id"], "left").join(own, ["path", "block_id"], "left")
-    body = F.coalesce("table_md", "inline", F.lit(""))
+    rows = top.join(own, ["path", "block_id"], "left")
+    body = F.coalesce(F.col("table_md"), spans.inline_of(F.col("spans")), F.lit(""))
     piece = spans.block_markdown(F.col("kind"), F.col("level"), F.col("ordered"), F.col("marker"), body, F.col("ref"))
     return rows.select("path", "block_id", "kind", piece.alias("piece"))
 
 
 def markdown_of(blocks: DataFrame) -> DataFrame:
     """path, markdown, error."""
-    texts = spans.document_markdown(_pieces(blocks, table_markdown(blocks.where("error is null"))), ["path"], "block_id")
+    texts = spans.document_markdown(_pieces(blocks, table_markdown(blocks, grids_of(blocks))), ["path"], "block_id")
     every = blocks.groupBy("path").agg(F.max("error").alias("error"))
     return every.join(texts, "path", "left").select("path", F.coalesce("markdown", F.lit("")).alias("markdown"), "error")
 
@@ -69,16 +76,13 @@ PLACEHOLDER = "[table]"
 
 class Deferred:
     """The extract in two jobs, so that giant tables don't hold up the rest: markdown() has a placeholder line for each, finished() puts them back at their
-    places and writes only their documents anew. blocks: a written block table."""
+    places and writes only their documents anew. blocks: block rows, a written table or what is cheaply made of one, as they are read several times."""
 
     def __init__(self, blocks: DataFrame):
-        cells = blocks.where("kind = 'cell'")
-        giants = tables.giant_tables(cells.select("path", "table_id", "row", "col_span"), ["path", "table_id"]).where("giant").select(F.col("path").alias("g_path"), F.col("table_id").alias("g_table"))
-        self.giants = written(giants, "giant-tables")
-        inside = (F.col("path") == F.col("g_path")) & (F.col("table_id") == F.col("g_table"))
-        ordinary, self.later = blocks.join(self.giants, inside, "left_anti"), blocks.join(self.giants, inside, "left_semi")
-        pieces = _pieces(ordinary, table_markdown(ordinary.where("error is null")))
-        waits = self.giants.select(F.col("g_path").alias("path"), F.col("g_table").alias("block_id"), F.lit(True).alias("deferred"))
+        self.blocks, grids = blocks, grids_of(blocks)
+        pieces = _pieces(blocks, table_markdown(blocks, grids.where("not giant")))
+        self.giants = grids.where("giant")
+        waits = self.giants.select("path", F.col("table_id").alias("block_id"), F.lit(True).alias("deferred"))
         marked = pieces.join(waits, ["path", "block_id"], "left").withColumn("deferred", F.coalesce("deferred", F.lit(False)))
         self.pieces = written(marked.withColumn("piece", F.when(F.col("deferred"), F.lit(PLACEHOLDER)).otherwise(F.col("piece"))), "pieces")
         self.every = written(blocks.groupBy("path").agg(F.max("error").alias("error")), "extract-errors")
@@ -92,10 +96,13 @@ class Deferred:
 
     def finished(self) -> DataFrame:
         """path and the whole markdown of the documents with giant tables."""
-        back = table_markdown(self.later).select("path", F.col("table_id").alias("block_id"), F.col("markdown").alias("table_md"))
-        own = self.pieces.join(self.giants.select(F.col("g_path").alias("path")).distinct(), "path", "left_semi")
-        whole = own.join(back, ["path", "block_id"], "left").withColumn("piece", F.when(F.col("deferred"), F.coalesce("table_md", F.lit(""))).otherwise(F.col("piece")))
-        return spans.document_markdown(whole.drop("table_md"), ["path"], "block_id").select("path", "markdown")
+        shown = self.pieces.where("deferred").select("path", F.col("block_id").alias("table_id"))  # not those within cells
+        follows = F.row_number().over(Window.partitionBy(*TABLE).orderBy("chunk")) > 1
+        piece = F.when(follows, F.concat(F.lit("\n"), "markdown")).otherwise(F.col("markdown"))
+        back = table_chunks(self.blocks, self.giants.join(shown, TABLE, "left_semi")).select("path", F.col("table_id").alias("block_id"), "chunk", F.lit("table").alias("kind"), piece.alias("piece"))
+        own = self.pieces.where("not deferred").join(self.giants.select("path").distinct(), "path", "left_semi")
+        whole = own.select("path", "block_id", F.lit(0).cast("long").alias("chunk"), "kind", "piece").unionByName(back)
+        return spans.document_markdown(whole, ["path"], "block_id", within="chunk").select("path", "markdown")
 
 
 def extracted(files: DataFrame) -> DataFrame:
