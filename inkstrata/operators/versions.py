@@ -15,23 +15,30 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import markdown
 from .written import discarded
 
 DDL = "doc bigint, block_id bigint, start bigint, length bigint, kind string, text string, links array<string>"
+NAMES = [c.split(" ")[0] for c in DDL.split(", ")]
 DEFINES = r"(?m)^[ \t]*\[[^\n]*\]:"
 FENCES = r"(?m)^ {0,3}(?:`{3,}|~{3,})"
+_line = re.compile(r"[^\n]*\n|[^\n]+\Z")
 _schema = pa.schema([("doc", pa.int64()), ("block_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("kind", pa.string()), ("text", pa.string()), ("links", pa.list_(pa.string()))])
 
 
 def segments(source: str) -> Iterator[tuple[str, int, str]]:
     """(kind, start, text) of the source blocks."""
     at, run, begin, fence = 0, [], 0, None
+    fences = "```" in source or "~~~" in source
 
     def closed() -> Iterator[tuple[str, int, str]]:
+        if run[0].lstrip(" \t")[:1].isalpha():  # as headings, items and definitions don't begin
+            yield "paragraph", begin, "".join(run).rstrip("\n")
+            run.clear()
+            return
         place = begin
         while run and markdown.DEFINITION.match(run[0].rstrip("\n")):
             yield "definition", place, run[0].rstrip("\n")
@@ -42,8 +49,8 @@ def segments(source: str) -> Iterator[tuple[str, int, str]]:
             yield kind, place, text
         run.clear()
 
-    for line in re.findall(r"[^\n]*\n|[^\n]+\Z", source):
-        mark = markdown.FENCE.match(line.rstrip("\r\n"))
+    for line in _line.findall(source):
+        mark = markdown.FENCE.match(line.rstrip("\r\n")) if fences else None
         if fence is not None:
             run.append(line)
             if mark and mark[2][0] == fence[0] and len(mark[2]) >= len(fence) and not mark[3].strip():
@@ -51,18 +58,20 @@ def segments(source: str) -> Iterator[tuple[str, int, str]]:
                 run.clear()
                 fence = None
         elif mark:
-            yield from closed()
+            if run:
+                yield from closed()
             run.append(line)
             begin, fence = at, mark[2]
         elif not line.strip():
-            yield from closed()
+            if run:
+                yield from closed()
         else:
             begin = begin if run else at
             run.append(line)
         at += len(line)
     if fence is not None:
         yield "code", begin, "".join(run).rstrip("\n")
-    else:
+    elif run:
         yield from closed()
 
 
@@ -75,25 +84,41 @@ def definitions_of(lines: list[str]) -> dict[str, str]:
 
 
 def rendered(sources: DataFrame) -> DataFrame:
-    """DDL rows of sources: doc, base (the source's offset in the document), id_base, source, definitions (lines; null: the source's own)."""
+    """DDL rows of sources: doc, base (the source's offset in the document), id_base, source, definitions (lines; null: the source's own), and full (of edited_texts()), if
+    they have it, which their rows get, too."""
+    more = [c for c in sources.columns if c == "full"]
+    schema = pa.schema([*_schema, *((c, pa.bool_()) for c in more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, base, id_base, source, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            # columns, not rows: nothing is kept per block that Python's garbage collector has to visit
+            docs, ids, starts, lengths, kinds, texts, ends, links, origin = [], [], [], [], [], [], [0], [], []
+            given = zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True)
+            for place, (doc, base, id_base, source, lines) in enumerate(given):
                 parts = list(segments(source or ""))
-                links = definitions_of(lines if lines is not None else [t for k, _, t in parts if k == "definition"])
-                for n, (kind, start, text) in enumerate(parts):
-                    shown, targets = text, []
+                known = definitions_of(lines if lines is not None else [t for k, _, t in parts if k == "definition"])
+                for kind, start, text in parts:
+                    starts.append(base + start)
+                    lengths.append(len(text))
+                    kinds.append(kind)
                     if kind not in ("definition", "code"):
                         title = markdown.HEADING.match(text) if kind == "heading" else None
-                        spans = markdown.inline(title[2] or "" if title else text, links, targets)
-                        shown, targets = "".join(s["text"] for s in spans), [s["link"] for s in spans if s["link"]] + targets
-                    rows.append((doc, id_base + n, base + start, len(text), kind, shown if kind != "definition" else text, targets))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _schema, strict=True)], schema=_schema)
-
-    return sources.select("doc", "base", "id_base", "source", "definitions").mapInArrow(run, DDL)
+                        pictures: list[str] = []
+                        spans = markdown.runs(title[2] or "" if title else text, known, pictures, {})
+                        text = "".join([t for t, _ in spans])
+                        links += [own["link"] for _, own in spans if own.get("link")]
+                        links += pictures
+                    texts.append(text)
+                    ends.append(len(links))
+                docs += [doc] * len(parts)
+                ids += range(id_base, id_base + len(parts))
+                origin += [place] * len(parts)
+            if docs:
+                links_of = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(links, pa.string()))
+                own = [pa.array(c, f.type) for c, f in zip((docs, ids, starts, lengths, kinds, texts), _schema, strict=False)]
+                yield pa.RecordBatch.from_arrays([*own, links_of, *(c.take(pa.array(origin, pa.int64())) for c in batch.columns[5:])], schema=schema)
+
+    return sources.select("doc", "base", "id_base", "source", "definitions", *more).mapInArrow(run, ", ".join([DDL, *(f"{c} boolean" for c in more)]))
 
 
 def from_texts(texts: DataFrame) -> DataFrame:
@@ -114,25 +139,37 @@ def edited_texts(texts: DataFrame, edits: DataFrame) -> DataFrame:
     return rows.select("doc", "old", F.concat(before, "added", after).alias("text"), "at", "removed", (F.length("added") - F.col("removed")).cast("long").alias("delta"), full.alias("full"))
 
 
-def updated(blocks: DataFrame, changed: DataFrame) -> DataFrame:
-    """The blocks of changed documents (edited_texts()) after their edits; blocks: their rows before."""
-    end, edit_end = F.col("start") + F.col("length"), F.col("at") + F.col("removed")
-    about = changed.select("doc", "at", "removed", "delta", "full", F.length("old").alias("size"))
-    rows = blocks.join(about, "doc")
-    spans = rows.groupBy("doc").agg(
-        F.max(F.when(end < F.col("at"), F.col("start"))).alias("from"), F.min(F.when(F.col("start") > edit_end, end)).alias("to"), F.max("block_id").alias("last"),
+def refreshed(blocks: DataFrame, changed: DataFrame) -> DataFrame:
+    """blocks after the edits of changed (edited_texts(), best a written table: it is read several times), and full, of edited documents; those of other documents stay.
+
+    Blocks meet the edits once, by document; what a fragment begins and ends with follows from a document's blocks where they are then.
+    """
+    end, edit_end, edited = F.col("start") + F.col("length"), F.col("at") + F.col("removed"), F.col("full").isNotNull()
+    about = changed.select("doc", "at", "removed", "delta", "full", F.length("old").cast("long").alias("size"))
+    rows = blocks.join(about, "doc", "left")
+    first, last = F.max(F.when(end < F.col("at"), F.col("start"))), F.min(F.when(F.col("start") > edit_end, end))
+    base = lambda c: F.when(F.col("full"), F.lit(0)).otherwise(F.coalesce(c, F.lit(0))).cast("long")
+    stop = lambda c, size: F.when(F.col("full"), size).otherwise(F.coalesce(c, size)).cast("long")
+    of = Window.partitionBy("doc")
+    placed = rows.withColumn("from", base(first.over(of))).withColumn("to", stop(last.over(of), F.col("size")))
+    kept = placed.where(~edited | (F.col("start") < F.col("from")) | (F.col("start") >= F.col("to")))
+    shifted = F.col("start") + F.when(edited & (F.col("start") >= F.col("to")), F.col("delta")).otherwise(F.lit(0))
+    known = rows.where(edited).groupBy("doc").agg(
+        first.alias("from"), last.alias("to"), F.max("block_id").alias("last"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "definition", F.struct("start", "text")))), lambda d: d["text"]).alias("definitions"),
     )
-    cut = changed.join(spans, "doc", "left").select(
-        "doc", "text", "delta", "full", F.when(F.col("full"), F.lit(0)).otherwise(F.coalesce("from", F.lit(0))).cast("long").alias("base"),
-        F.when(F.col("full"), F.length("old")).otherwise(F.coalesce("to", F.length("old"))).cast("long").alias("end"),
+    cut = changed.select("doc", "text", "delta", "full", F.length("old").alias("size")).join(known, "doc", "left").select(
+        "doc", "text", "delta", "full", base(F.col("from")).alias("base"), stop(F.col("to"), F.col("size")).alias("end"),
         (F.coalesce("last", F.lit(-1)) + 1).cast("long").alias("id_base"), F.when(~F.col("full"), F.coalesce("definitions", F.array().cast("array<string>"))).alias("definitions"),
     )
     source = F.substring("text", (F.col("base") + 1).cast("int"), (F.col("end") - F.col("base") + F.col("delta")).cast("int"))
-    fresh = rendered(cut.select("doc", "base", "id_base", source.alias("source"), "definitions"))
-    kept = blocks.join(cut.select("doc", "delta", "base", "end"), "doc").where((F.col("start") < F.col("base")) | (F.col("start") >= F.col("end")))
-    shifted = F.col("start") + F.when(F.col("start") >= F.col("end"), F.col("delta")).otherwise(F.lit(0))
-    return kept.withColumn("start", shifted).select(*[c.split(" ")[0] for c in DDL.split(", ")]).unionByName(fresh)
+    fresh = rendered(cut.select("doc", "base", "id_base", source.alias("source"), "definitions", "full"))
+    return kept.withColumn("start", shifted).select(*NAMES, "full").unionByName(fresh)
+
+
+def updated(blocks: DataFrame, changed: DataFrame) -> DataFrame:
+    """The blocks of changed documents (edited_texts()) after their edits; blocks: their rows before."""
+    return refreshed(blocks, changed).where("full is not null").select(*NAMES)
 
 
 class BlockTable:
@@ -194,8 +231,7 @@ class BlockTable:
         changed = edited_texts(texts, keyed)
         other = lambda rows: rows.join(keyed.select("doc"), "doc", "left_anti")
         new_texts = other(texts).unionByName(changed.select("doc", "text"))
-        own = blocks.join(keyed.select("doc"), "doc", "left_semi")
-        self._write(new_texts, other(blocks).unionByName(updated(own, changed)), version, buckets, before)
+        self._write(new_texts, refreshed(blocks, changed).select(*NAMES), version, buckets, before)
 
     def vacuum(self) -> list[int]:
         """Deletes the versions of which no bucket counts, and manifests but the last; gives their numbers. No reader of an older state may be at work."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import grouped, pages, sequences, versions
@@ -15,9 +15,9 @@ _BLOCKS = "b AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_ord
 
 
 def _line_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_extendedprice")
-    rows = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.row_number().over(w).alias("i"), F.concat(F.lit("b"), F.col("l_quantity").cast("int").cast("string"), F.lit(" [r]")).alias("body"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "body"))), lambda s: s["body"]), "\n\n")
+    rows = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), "l_linenumber", "l_quantity", "l_extendedprice")
+    body = lambda s: F.concat(F.lit("b"), s["l_quantity"].cast("int").cast("string"), F.lit(" [r]"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice"))), body), "\n\n")
     definition = F.when(F.col("doc") % 2 == 0, F.concat(F.lit("\n\n[r]: u"), F.col("doc").cast("string"))).otherwise(F.lit(""))
     return rows.groupBy("doc").agg(joined.alias("text")).withColumn("text", F.concat("text", definition))
 
@@ -41,10 +41,8 @@ def splice_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = F.when(doc % 3 == 0, F.lit("NEW")).when(doc % 3 == 1, F.concat(F.lit("[r]: s"), doc.cast("string"), F.lit("\n\n"))).otherwise(F.lit("# more\n\n"))
     wanted = (doc % 3 == 0) | ((doc % 3 == 1) & (doc % 5 == 0)) | several
     edits = texts.where(wanted).select("doc", place.cast("int").alias("at"), F.when(doc % 3 == 0, 1).otherwise(0).alias("removed"), added.alias("added"))
-    changed = versions.edited_texts(texts, edits)
-    own = blocks.join(edits.select("doc"), "doc", "left_semi")
-    after = versions.updated(own, changed).join(changed.select("doc", "full"), "doc")
-    rows = after.unionByName(blocks.join(edits.select("doc"), "doc", "left_anti").withColumn("full", F.lit(False)))
+    changed = written(versions.edited_texts(texts, edits), "edited")
+    rows = versions.refreshed(blocks, changed).withColumn("full", F.coalesce("full", F.lit(False)))
     return rows.select("doc", "start", "length", "kind", "text", "links", F.col("full").alias("full_render"))
 
 
