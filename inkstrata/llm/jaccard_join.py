@@ -45,10 +45,13 @@ BUCKET_BYTES, SCREEN_SHINGLES, OWNERS = 4_000_000, 1_000_000, (1 << 16) - 1
 #: Buckets at most, so that blocks send a bounded number of messages however large the corpus is; and shingles of a bucket that are counted at once, in order, so that
 #: a bucket that grows with it is held packed, not unpacked.
 MOST_BUCKETS, COUNTED = 8_192, 4_000_000
-#: Bits of a shingle's hash that the screen sends, by the bytes of text up to which they do: with a block's shingles, differences of 34 bits fill two bytes and those of 42
-#: three. Two shingles with equal bits count as shared, so a document more may pass the screen; its whole set is compared then.
-KEY_BITS = ((8_000_000_000, 34), (2_000_000_000_000, 42), (math.inf, 48))
+#: Bits of a shingle's hash that the screen sends, by the bytes of text up to which they do: of a block's shingles, differences take about 17 bits less. Two shingles with equal bits count as shared, so a document more may pass the screen; its whole set is compared then.
+KEY_BITS = ((8_000_000_000, 34), (32_000_000_000, 36), (2_000_000_000_000, 42), (math.inf, 48))
 PERCENT = 90
+#: Shingles of sets, of which there are about as many as index keys, per bucket of the index.
+INDEX_SHINGLES = 2_000_000
+#: Ids up to which they are sent to all tasks, so that the texts that are looked up by them are not shuffled.
+FEW_IDS = 1_000_000
 #: Bounds of a comparing task: sets, and shingles in all.
 BLOCK_SETS, BLOCK_SHINGLES = 4000, 1 << 20
 
@@ -174,6 +177,47 @@ class Screen:
         self.ids, self.sets, self.held, self.block = [], [], 0, self.block + 1
 
 
+def _bits(values: np.ndarray, width: int) -> bytes:
+    return np.packbits((values[:, None] >> np.arange(width, dtype=np.uint64)).astype(np.uint8) & 1).tobytes()
+
+
+def _of_bits(raw: np.ndarray, n: int, width: int) -> np.ndarray:
+    bits = np.unpackbits(raw, count=n * width).reshape(n, width)
+    return (bits.astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+
+def _slim(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """MESSAGE rows as they travel: keys' differences and their owners (0: of several documents) in as many bits as the largest of a message takes, all in keys."""
+    at, out = batch.schema.get_field_index("keys"), []
+    keys, owners = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("keys", "owners"))
+    for raw, own in zip(keys, owners, strict=True):
+        if raw is None:
+            out.append(None)
+            continue
+        every, own = unpacked(raw), np.frombuffer(own, np.uint16) + np.uint16(1)  # OWNERS turns to 0
+        steps = np.diff(every)
+        wide, owned = int(steps.max(initial=0)).bit_length(), int(own.max()).bit_length()
+        head = np.array([len(every), wide | owned << 8], np.uint32).tobytes() + every[:1].tobytes()
+        out.append(head + _bits(steps, wide) + _bits(own.astype(np.uint64), owned))
+    none = pa.nulls(batch.num_rows, pa.binary())
+    return batch.set_column(at, "keys", pa.array(out, pa.binary())).set_column(batch.schema.get_field_index("owners"), "owners", none)
+
+
+def _whole(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rows that _slim() was given."""
+    keys, owners = list(rows["keys"]), list(rows["owners"])
+    for i, raw in enumerate(keys):
+        if raw is None:
+            continue
+        n, widths = np.frombuffer(raw, np.uint32, 2).tolist()
+        wide, owned, body = widths & 255, widths >> 8, np.frombuffer(raw, np.uint8, offset=16)
+        cut = -(-(n - 1) * wide // 8)
+        steps = _of_bits(body[:cut], n - 1, wide)
+        keys[i] = packed(np.cumsum(np.concatenate((np.frombuffer(raw, np.uint64, 1, 8), steps)), dtype=np.uint64))
+        owners[i] = (_of_bits(body[cut:], n, owned).astype(np.uint16) - np.uint16(1)).tobytes()
+    return rows.assign(keys=keys, owners=owners)
+
+
 def _answered(rows: pd.DataFrame) -> pd.DataFrame:
     """MESSAGE rows for a bucket's shingles: per block, how many of each of its documents' stand in another block as well. Rows of documents pass."""
     mine = rows["keys"].notna()
@@ -252,27 +296,87 @@ def screened(docs: DataFrame, width: int, bucket_bytes: int = BUCKET_BYTES, bloc
         screen = Screen(width, buckets, TaskContext.get().partitionId(), block_shingles, bits)
         for batch in batches:
             for doc_id, text in arrow_rows(batch, "doc_id", "text"):
-                yield from screen.add(doc_id, text)
+                yield from map(_slim, screen.add(doc_id, text))
         if screen.ids:
-            yield from screen.flush()
+            yield from map(_slim, screen.flush())
 
     sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), MESSAGE_DDL)
-    answered = sent.repartition(parts, "bucket").groupBy("bucket").applyInPandas(_sparse, MESSAGE_DDL)
+    answered = sent.repartition(parts, "bucket").groupBy("bucket").applyInPandas(lambda rows: _sparse(_whole(rows)), MESSAGE_DDL)
     return answered.groupBy("block").applyInPandas(_rows_of, ROW_DDL)
 
 
-def keyed(sets: DataFrame, percent: int) -> DataFrame:
-    """(lo, keys) of each set: the index lists that it stands in."""
-    schema = pa.schema([("lo", pa.int64()), ("keys", pa.list_(pa.int64()))])
+INDEX = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("los", pa.binary()), ("least", pa.binary())])
+INDEX_DDL = "bucket bigint, keys binary, los binary, least binary"
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte of all: those of one block differ in their low bytes only, so the others compress away."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def _edges(keys: np.ndarray, los: np.ndarray) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
+    """Each key once, sorted, with the least number that has it, and each other number with the least of its key's."""
+    order = np.argsort(keys, kind="stable")
+    keys, los = keys[order], los[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    least = np.minimum.reduceat(los, first) if len(first) else los[:0]
+    every = np.repeat(least, np.diff(np.append(first, len(keys))))
+    other = los != every
+    return keys[first], least, pd.DataFrame({"lo": los[other], "least": every[other]}).drop_duplicates()
+
+
+def candidate_edges(sets: DataFrame, percent: int, bucket_shingles: int = INDEX_SHINGLES, block_keys: int = SCREEN_SHINGLES) -> DataFrame:
+    """(lo, least): the sets that stand in one list of the index, each with the one of the least number, for sets (lo, own).
+
+    Blocks of sets send their keys, each once, sorted and packed in 48 bits, to buckets; two keys with equal bits make a candidate more, whose whole set is compared then.
+    """
+    size = sets.agg(F.coalesce(F.sum(F.octet_length("own")), F.lit(0))).first()[0] // 8
+    n_buckets = max(1, min(MOST_BUCKETS, -(-size // bucket_shingles)))
+    parts = max(1, n_buckets // 8)
+    buckets = even_keys(n_buckets, parts)
+
+    def flushed(keys: list[np.ndarray], los: list[int]) -> pa.RecordBatch:
+        every, least, within = _edges(np.concatenate(keys) >> np.uint64(16), np.repeat(np.array(los, np.int64), [len(k) for k in keys]))
+        rows = [(int(buckets[los[0] % n_buckets]), None, _planes(within["lo"].to_numpy()), _planes(within["least"].to_numpy()))] if len(within) else []
+        ends = np.searchsorted(((every >> np.uint64(16)) * np.uint64(n_buckets)) >> np.uint64(32), np.arange(n_buckets + 1, dtype=np.uint64))
+        for bucket in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+            cut = slice(ends[bucket], ends[bucket + 1])
+            rows.append((int(buckets[bucket]), packed(every[cut]), _planes(least[cut]), None))
+        return arrow_batch(INDEX, list(zip(*rows, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(percent)
+        classes, keys, los, held = Classes(percent), [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = [(lo, index_keys(np.frombuffer(own, np.uint64), classes)) for lo, own in arrow_rows(batch.slice(at, 256), "lo", "own")]
-                yield arrow_batch(schema, list(zip(*rows, strict=True)))
-
-    return sets.select("lo", "own").mapInArrow(lean(run), "lo bigint, keys array<bigint>")
+            for lo, own in arrow_rows(batch, "lo", "own"):
+                mine = index_keys(np.frombuffer(own, np.uint64), classes)
+                if len(mine):
+                    keys.append(mine.view(np.uint64))
+                    los.append(lo)
+                    held += len(mine)
+                if held >= block_keys:
+                    yield flushed(keys, los)
+                    keys, los, held = [], [], 0
+        if held:
+            yield flushed(keys, los)
+
+    def met(rows: pd.DataFrame) -> pd.DataFrame:
+        asked = rows[rows["keys"].notna()]
+        out = [pd.DataFrame({"lo": _numbers(los), "least": _numbers(least)}) for los, least in rows[rows["keys"].isna()][["los", "least"]].itertuples(index=False, name=None)]
+        if len(asked):
+            out.append(_edges(np.concatenate([unpacked(x) for x in asked["keys"]]), np.concatenate([_numbers(x) for x in asked["los"]]))[2])
+        return pd.concat(out)
+
+    sent = sets.select("lo", "own").mapInArrow(lean(run), INDEX_DDL)
+    return sent.repartition(parts, "bucket").groupBy("bucket").applyInPandas(met, "lo bigint, least bigint")
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast unless there are too many."""
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
@@ -616,20 +720,21 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block_se
     rows = stored(screened(docs, width), "jaccard-rows")
     # a linked set shares this many of its shingles with one other, so at least as many with any
     near = rows.where(F.col("n_shingles") > 0).where(F.col("shared") * 100 >= F.col("n_shingles") * percent)
-    # of equal sets, one document brings its text
-    some = near.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"))
-    some, some_at = stored_at(some.where("doc_id is not null").select("doc_id").distinct(), "jaccard-texts")
-    texts = docs.select("doc_id", "text").join(some, "doc_id", "left_semi").unionByName(docs.select("doc_id", "text").where("doc_id is null"))
+    # of equal sets, one document brings its text; an id of one row brings no other set, so only rows that share one are told apart by their sets
+    brought = near.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"))
+    some, some_at = stored_at(brought.where("doc_id is not null").select("doc_id").distinct(), "jaccard-texts")
+    odd, odd_at = stored_at(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "jaccard-shared-ids")
+    brought, brought_at = stored_at(brought.join(odd, "doc_id", "left_semi").unionByName(brought.where("doc_id is null")), "jaccard-brought")
+    texts = docs.select("doc_id", "text")
+    once = sets_of(texts.join(_few(some), "doc_id", "left_semi").join(_few(odd), "doc_id", "left_anti"), width)
+    more = sets_of(texts.join(_few(some), "doc_id", "left_semi").join(_few(odd), "doc_id", "left_semi").unionByName(texts.where("doc_id is null")), width)
+    more = more.join(brought.select("hi", "lo"), ["hi", "lo"], "left_semi").dropDuplicates(["hi", "lo"])
     # a set's number is one of the written table's rows: digests of 128 bits tell sets apart, and their numbers do from here on
-    whole = sets_of(texts, width).where(F.octet_length("own") > 0).dropDuplicates(["hi", "lo"]).withColumnRenamed("lo", "lo2")
+    whole = once.unionByName(more).where(F.octet_length("own") > 0).withColumnRenamed("lo", "lo2")
     whole, whole_at = stored_at(whole.withColumn("lo", F.monotonically_increasing_id()), "jaccard-sets")
-    lists, lists_at = stored_at(keyed(whole, percent), "jaccard-index")
-    lists = lists.select(F.explode("keys").alias("key"), "lo")
-    shared = lists.groupBy("key").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).where("least <> most").select(F.col("key").alias("k"), "least")
-    shared, shared_at = stored_at(shared, "jaccard-lists")
-    edges = lists.join(shared, lists["key"] == F.col("k")).select("lo", "least")
+    edges, edges_at = stored_at(candidate_edges(whole, percent), "jaccard-edges")
     candidates = stored(components(edges, "lo", "least"), "jaccard-candidates")
-    discarded(spark, some_at, lists_at, shared_at)
+    discarded(spark, some_at, odd_at, brought_at, edges_at)
     sets = whole.join(candidates.select(F.col("node").alias("c_lo"), F.col("root").alias("comp")), F.col("lo") == F.col("c_lo")).select("comp", "lo", "own")
     spent: list[str] = []
     found = decided(sets, percent, parts, block_sets, block_shingles, spent)
@@ -696,7 +801,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     # an id of one row needs no set
     odd = stored(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("a_id")), "jaccard-repeated")
     split = lambda of, how: of.join(odd, F.col("doc_id") == F.col("a_id"), how)
-    drop = stored(found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("d_id")).distinct(), "jaccard-dropped")
+    drop = _few(stored(found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("d_id")).distinct(), "jaccard-dropped"))
     stay = split(found.where("n_shingles > 0 and doc_id = component_id"), "left_semi").groupBy("g1", "g2").agg(F.min(F.struct("doc_id", "hi", "lo")).alias("s"))
     stay = stored(stay.select(F.col("s.doc_id").alias("k_id"), F.col("s.hi").alias("k_hi"), F.col("s.lo").alias("k_lo")), "jaccard-stays")
 

@@ -433,3 +433,38 @@ def test_join_of_very_long_texts(spark):
     rows = [(1, long, "s"), (2, long.replace("w5000 ", "other "), "s"), (3, long[: len(long) // 2], "s")]
     got = sorted((r.doc_id, r.component_id) for r in jaccard_join.joined(documents(spark, rows)).collect())
     assert got == [(1, 1), (2, 1), (3, 3)]
+
+
+@pytest.mark.parametrize("bucket,block", [(1 << 20, 1 << 20), (50, 300)])
+def test_candidates_meet_in_packed_buckets(spark, bucket, block):
+    rows = [(i, t) for i, (_, t, _) in enumerate(near_copies(11))]
+    sets = {i: jaccard_join.shingle_set(t) for i, t in rows}
+    frame = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items() if len(x)], "lo bigint, own binary").repartition(3)
+    got = {(r.lo, r.least) for r in jaccard_join.candidate_edges(frame, 80, bucket, block).collect()}
+    classes, lists = jaccard_join.Classes(80), collections.defaultdict(list)
+    for i, x in sets.items():
+        for key in jaccard_join.index_keys(x, classes).tolist():
+            lists[key].append(i)
+    want = {(i, min(held)) for held in lists.values() for i in held if i != min(held)}
+    joined = lambda pairs: sorted(map(tuple, components.components(spark.createDataFrame(list(pairs), "a bigint, b bigint"), "a", "b").collect()))
+    assert want and joined(got) == joined(want) and len(got) <= 4 * len(want)
+
+
+def test_sets_are_told_apart_where_ids_repeat(spark):
+    a, b, c = ("x%d " % k * 3 + " ".join(f"w{k}{i}" for i in range(30)) for k in range(3))
+    rows = [(1, a, "x"), (1, b, "x"), (2, a, "x"), (2, c, "x"), (3, b, "x"), (None, a, "x"), (None, c, "x"), (4, c, "x"), (4, c, "x")]
+    got = sorted((r.doc_id or 0, r.component_id, r.n_links) for r in jaccard_join.joined(documents(spark, rows), links=True).collect())
+    assert got == sorted([(1, 1, 2), (1, 1, 1), (2, 1, 2), (2, 2, 3), (3, 1, 1), (0, 1, 2), (0, 2, 3), (4, 2, 3), (4, 2, 3)])
+
+
+def test_messages_of_the_screen_travel_in_few_bits():
+    screen = jaccard_join.Screen(3, np.arange(7), 0, 1 << 20, 36)
+    for i, (_, text, _) in enumerate([*near_copies(4, words=300), (0, None, "x"), (0, "a", "x")]):
+        list(screen.add(i, text))
+    (batch,) = screen.flush()
+    slim = jaccard_join._slim(batch)
+    back = jaccard_join._whole(slim.to_pandas())
+    want = batch.to_pandas()
+    assert list(back["keys"]) == list(want["keys"]) and list(back["owners"]) == list(want["owners"])
+    sent = lambda b: sum(len(x) for n in ("keys", "owners") for x in b.column(b.schema.get_field_index(n)).to_pylist() if x is not None)
+    assert sent(slim) < 0.7 * sent(batch)

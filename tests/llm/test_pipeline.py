@@ -2,12 +2,13 @@
 
 import collections
 import os
+import pathlib
 import random
 
 import pytest
 
 import corpus_pipeline
-from inkstrata.llm import jaccard_join
+from inkstrata.llm import _util, jaccard_join
 from inkstrata.llm._util import stored
 
 DATA = "/root/testdata/sf0.001"
@@ -81,3 +82,21 @@ def test_stages_leave_own_columns_alone(spark):
     none = docs.where("doc_id < 0")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, DATA).count() == 0, name
+
+
+def test_a_stage_leaves_only_the_table_that_the_next_reads(spark):
+    where = pathlib.Path(_util.shared_folder(spark).removeprefix("file:"))
+    before = set(where.iterdir())
+    corpus_pipeline.run(spark, DATA)
+    assert sorted(x.name.rsplit("-", 1)[0] for x in set(where.iterdir()) - before if x.name.startswith("pipeline-")) == ["pipeline-mixing"]
+
+
+def test_texts_are_not_shuffled_by_the_ids_that_stay(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = jaccard_join.deduplicated(docs, width=5, percent=80)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan
