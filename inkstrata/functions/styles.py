@@ -123,6 +123,10 @@ def span_attributes(text: Column, span: Column, scale: Column, paged: Column) ->
     return F.struct(every["text"].alias("text"), F.filter(every["attributes"], lambda a: a["value"].isNotNull()).alias("attributes"))
 
 
+#: The keys of span_values(), in its order.
+SPAN_KEYS = ("code", "family", "size", "baseline", "bold", "italic", "color", "highlight", "underline", "strikethrough", "link", "anchor")
+
+
 def span_values(text: Column, span: Column, scale: Column, paged: Column) -> Column:
     """span_attributes() with those that a span doesn't have, too, their values null: whoever makes rows of them drops those more cheaply.
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.styles import span_values
-from .grouped import stream_groups
+from ..functions.styles import SPAN_KEYS, span_values
+from .grouped import stream_groups, stream_tables
 from .written import written
 
 
@@ -56,56 +59,108 @@ def attribute_intervals(spans: DataFrame, part: list[str], order: list[str], len
 
 
 #: Attributes whose values add up where they overlap; of others one wins.
-ADDED = {"bookmark", "comment"}
+ADDED = ("bookmark", "comment")
+#: Layers times intervals that are laid over each other at once.
+LAID = 1 << 22
 
 
-def overlaid(layers: DataFrame, part: str) -> DataFrame:
+def overlaid(layers: DataFrame, part: str, laid: int = LAID) -> DataFrame:
     """part, start, end, key, value: layers that overlap as disjoint intervals, cut wherever one of the document's begins or ends.
 
-    layers: part (long), layer (int), start, end, key, value. In an interval a key has the value of the highest layer, of equal ones that which began last, then the
-    larger value; values of bookmarks and comments add up, sorted. One ordered pass over a document, which holds what is open.
+    layers: part (long), layer (int), start, end, key, value. Further columns are keys of their own, with a value or an array of values, so that a range that states many keys is
+    one row. In an interval a key has the value of the highest layer, of equal ones that which began last, then the larger value; values of bookmarks and comments
+    add up, sorted. Documents are laid out together, in columns.
     """
-
-    def sweep(rows: list[tuple]) -> Iterator[tuple]:
-        doc, opened, open_ = rows[0][0], 0, {}
-        for at, until in _between(sorted({x for r in rows for x in (r[2], r[3])})):
-            while opened < len(rows) and rows[opened][2] <= at:  # rows come by their starts
-                _, layer, start, end, key, value = rows[opened]
-                open_.setdefault(key, []).append((layer, start, value, end))
-                opened += 1
-            for key in sorted(open_):
-                open_[key] = [x for x in open_[key] if x[3] > at]
-                if open_[key] and key in ADDED:
-                    yield doc, at, until, key, ",".join(sorted({x[2] for x in open_[key]}))
-                elif open_[key]:
-                    yield doc, at, until, key, max(open_[key])[2]
-
-    rows = layers.where("start < end and value is not null").select(part, "layer", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "key", "value")
-    return stream_groups(rows, [part], ["start"], sweep, f"{part} bigint, start bigint, end bigint, key string, value string")
-
-
-def _between(places: list[int]) -> Iterator[tuple[int, int]]:
-    return zip(places, places[1:], strict=False)
+    own = [c for c in layers.columns if c not in (part, "layer", "start", "end", "key", "value")]
+    rows = layers.where("start < end" if own else "start < end and value is not null")
+    rows = rows.select(part, "layer", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "key", "value", *own)
+    return stream_tables(rows, part, [], lambda table: _laid(table, part, own, laid), f"{part} bigint, start bigint, end bigint, key string, value string")
+
+
+def _stated(table: pa.Table, own: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], pa.Array]:
+    """What rows state: for each value its row, the number of its key, all keys in order, and the values."""
+    columns = {c: table.column(c).combine_chunks() for c in ("key", "value", *own)}
+    flat = np.flatnonzero(pc.and_(columns["key"].is_valid(), columns["value"].is_valid()).to_numpy(zero_copy_only=False))
+    said = columns["key"].take(pa.array(flat)).dictionary_encode()
+    names = sorted({*own, *said.dictionary.to_pylist()})
+    place = {k: i for i, k in enumerate(names)}
+    rows, keys = [flat], [np.array([place[k] for k in said.dictionary.to_pylist()], np.int64)[said.indices.to_numpy()] if len(flat) else flat]
+    values = [columns["value"].take(pa.array(flat)).cast(pa.string())]
+    for name in own:
+        column, at = columns[name], None
+        if pa.types.is_list(column.type):
+            at, column = pc.list_parent_indices(column).to_numpy(), pc.list_flatten(column)
+        valid = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        rows.append(valid if at is None else at[valid])
+        keys.append(np.full(len(valid), place[name], np.int64))
+        values.append(column.drop_null().cast(pa.string()))
+    return np.concatenate(rows).astype(np.int64), np.concatenate(keys).astype(np.int64), names, pa.concat_arrays(values)
+
+
+def _laid(table: pa.Table, part: str, own: list[str], laid: int) -> pa.Table:
+    """overlaid() of whole documents."""
+    row, key, names, value = _stated(table, own)
+    docs = table.column(part).combine_chunks().dictionary_encode("encode")
+    doc, layer, start, end = (c.to_numpy(zero_copy_only=False).astype(np.int64)[row] for c in (docs.indices, *(table.column(n).combine_chunks() for n in ("layer", "start", "end"))))
+    value = value.dictionary_encode()
+    ordered = pc.array_sort_indices(value.dictionary)
+    words, rank = value.dictionary.take(ordered), np.empty(len(value.dictionary), np.int64)
+    rank[ordered.to_numpy()] = np.arange(len(rank))
+    word = rank[value.indices.to_numpy()]
+    # intervals lie between neighbours of all places, so those from a range's first place to its last are its document's
+    positions, at = np.unique(np.concatenate((start, end)), return_inverse=True)
+    places, at = np.unique(np.tile(doc, 2) * len(positions) + at, return_inverse=True)
+    first, last = at[: len(row)], at[len(row) :]
+    strength = np.empty(len(row), np.int64)
+    strength[by := np.lexsort((word, start, layer))] = np.arange(len(row))
+    adds = np.isin(key, [i for i, n in enumerate(names) if n in ADDED])
+    strength[adds] = word[adds]
+    bits = max(1, len(row), len(words)).bit_length()
+    before = np.concatenate(([0], np.cumsum(np.cumsum(np.bincount(first, minlength=len(places)) - np.bincount(last, minlength=len(places))))))
+    out, low = [], 0
+    while low < len(places) - 1:
+        high = max(low + 1, int(np.searchsorted(before, before[low] + laid, "right")) - 1)
+        mine = np.flatnonzero((first < high) & (last > low))
+        a, n = np.maximum(first[mine], low), np.minimum(last[mine], high) - np.maximum(first[mine], low)
+        interval = np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)
+        every = (interval * len(names) + np.repeat(key[mine], n)) << bits | np.repeat(strength[mine], n)
+        more = np.repeat(adds[mine], n)
+        won, summed = np.sort(every[~more]), np.unique(every[more])
+        won = won[np.append(won[1:] >> bits != won[:-1] >> bits, np.ones(min(1, len(won)), bool))]
+        cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(summed)), bool), summed[1:] >> bits != summed[:-1] >> bits)))
+        mask = (1 << bits) - 1
+        lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(summed)), pa.int32()), words.take(pa.array(summed & mask)))
+        cells = np.concatenate((won >> bits, summed[cut] >> bits))
+        order = np.argsort(cells, kind="stable")
+        texts = pa.concat_arrays([words.take(pa.array(word[by[won & mask]])), pc.binary_join(lists, ",")]).take(pa.array(order))
+        interval, said = np.divmod(cells[order], max(1, len(names)))
+        at, until = places[interval], places[interval + 1]
+        columns = [docs.dictionary.take(pa.array(at // len(positions))), positions[at % len(positions)], positions[until % len(positions)], pa.array(names, pa.string()).take(pa.array(said)), texts]
+        out.append(pa.table(dict(zip((part, "start", "end", "key", "value"), columns, strict=True))))
+        low = high
+    kinds = pa.schema([(part, docs.dictionary.type), ("start", pa.int64()), ("end", pa.int64()), ("key", pa.string()), ("value", pa.string())])
+    return pa.concat_tables(out) if out else kinds.empty_table()
 
 
 def attribute_layers(spans: DataFrame, blocks: DataFrame, comments: DataFrame, part: str, order: list[str], scale: Column, paged: Column) -> DataFrame:
-    """The layers of documents' texts, for overlaid(): blocks' ids and headings (1), spans' attributes (2), bookmarks and the numbers of the comments
+    """The layers of documents' texts, for overlaid(), a row for all that a span states: blocks' ids and headings (1), spans' attributes (2), bookmarks and the numbers of the comments
     that are known (3). spans: part, order, block, text, span (styles.span_attributes), bookmarks and comment_ids; blocks: part, block, block_id, heading; comments:
     part, id, number. A document's text is its spans' shown texts, one after the other.
     """
-    shown = spans.withColumn("_shown", span_values(F.col("text"), F.col("span"), scale, paged)).withColumn("_len", F.length("_shown.text").cast("long"))
+    said = span_values(F.col("text"), F.col("span"), scale, paged)
+    shown = spans.select("*", F.length(said["text"]).cast("long").alias("_len"), *[said["attributes"][i]["value"].alias(k) for i, k in enumerate(SPAN_KEYS)])
     before = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = shown.withColumn("start", F.coalesce(F.sum("_len").over(before), F.lit(0))).withColumn("end", F.col("start") + F.col("_len"))
     # the windows above run once, into a table that each kind of layer reads
-    placed = written(placed.select(part, "block", "start", "end", F.col("_shown.attributes").alias("attributes"), "bookmarks", "comment_ids"), "placed-spans")
+    placed = written(placed.select(part, "block", "start", "end", *SPAN_KEYS, F.col("bookmarks").alias("bookmark"), "comment_ids"), "placed-spans")
     row = lambda layer, key, value: [F.lit(layer).alias("layer"), "start", "end", key.alias("key"), value.cast("string").alias("value")]
-    own = placed.select(part, F.lit(2).alias("layer"), "start", "end", F.inline("attributes")).where("value is not null")
+    none = F.lit(None).cast("string")
+    own = placed.select(part, *row(2, none, none), *SPAN_KEYS, "bookmark")
     ranges = placed.groupBy(part, "block").agg(F.min("start").alias("start"), F.max("end").alias("end")).join(blocks, [part, "block"])
-    ids = ranges.select(part, *row(1, F.lit("block_id"), F.col("block_id")))
-    heads = ranges.where("heading is not null").select(part, *row(1, F.lit("heading"), F.col("heading")))
-    marks = placed.select(part, "start", "end", F.explode("bookmarks").alias("name")).select(part, *row(3, F.lit("bookmark"), F.col("name")))
+    kinds = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in ("block_id", "heading")])
+    heads = ranges.select(part, "start", "end", F.inline(kinds)).where("value is not null").select(part, *row(1, F.col("key"), F.col("value")))
     noted = placed.select(part, "start", "end", F.explode("comment_ids").alias("id")).join(comments, [part, "id"]).select(part, *row(3, F.lit("comment"), F.col("number")))
-    return own.unionByName(ids).unionByName(heads).unionByName(marks).unionByName(noted)
+    return own.unionByName(heads.unionByName(noted), allowMissingColumns=True)
 
 
 def spliced(ranges: DataFrame, edits: DataFrame, part: list[str], start: str, length: str) -> DataFrame:

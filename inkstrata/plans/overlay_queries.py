@@ -43,11 +43,14 @@ def attributed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("doc"), "line", F.floor((F.col("line") - 1) / 3).alias("block"), F.concat(F.lit("s"), q.cast("int").cast("string")).alias("text"), span.alias("span"),
         F.array(F.concat(F.lit("b"), (supp % 4).cast("string"))).alias("bookmarks"), F.array(F.col("line"), F.col("line") + 1).alias("comment_ids"),
     )
-    blocks = rows.select("doc", "block").distinct().select("doc", "block", (100 + F.col("block")).alias("block_id"), F.when(F.col("block") == 0, 2).alias("heading"))
-    comments = rows.where("line % 2 = 0").select("doc", F.col("line").alias("id"), (F.col("line") / 2).cast("int").alias("number"))
+    # how many lines an order has says which blocks and comments it has, without numbering them again
+    docs = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.count("*").alias("n"))
+    blocks = docs.select("doc", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 3))).alias("block"))
+    blocks = blocks.select("doc", "block", (100 + F.col("block")).alias("block_id"), F.when(F.col("block") == 0, 2).alias("heading"))
+    comments = docs.where("n > 1").select("doc", F.explode(F.sequence(F.lit(1), F.floor(F.col("n") / 2).cast("int"))).alias("number")).select("doc", (F.col("number") * 2).alias("id"), "number")
     text = layout.attribute_layers(rows, blocks, comments, "doc", ["line"], F.lit(1.5), F.col("doc") % 2 == 0)
-    over = lambda layer, start, end, color: rows.where("line = 1 and doc % 3 = 0").select("doc", F.lit(layer).alias("layer"), F.lit(start).cast("long").alias("start"), F.lit(end).cast("long").alias("end"), F.lit("highlight").alias("key"), F.lit(color).alias("value"))
-    out = layout.overlaid(text.unionByName(over(9, 1, 4, "yellow")).unionByName(over(8, 2, 9, "red")), "doc")
+    over = lambda layer, start, end, color: docs.where("doc % 3 = 0").select("doc", F.lit(layer).alias("layer"), F.lit(start).cast("long").alias("start"), F.lit(end).cast("long").alias("end"), F.lit("highlight").alias("key"), F.lit(color).alias("value"))
+    out = layout.overlaid(text.unionByName(over(9, 1, 4, "yellow").unionByName(over(8, 2, 9, "red")), allowMissingColumns=True), "doc")
     return out.withColumnRenamed("doc", "l_orderkey")
 
 

@@ -74,3 +74,36 @@ def test_places_of_spans_are_found_once_for_all_layers(spark):
 
     plan = entry.queries()["attributed_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "sum(_len" not in plan  # the layers read a written table
+
+
+def test_layers_laid_in_columns_equal_a_sweep_of_every_document():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    rows = [(rng.choice((None, -4, 2, 1 << 40)), rng.randrange(3), a := rng.randrange(40), a + rng.randrange(1, 12), rng.choice(("bookmark", "size", None)), rng.choice(("é", "z", "10", "9", None)), rng.choice((None, "true")), rng.choice((None, [], ["b", None], ["é", "a"]))) for _ in range(400)]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0))
+    want = set()
+    for doc in {r[0] for r in rows}:
+        every = [(lay, a, b, k, v) for d, lay, a, b, key, value, code, marks in rows if d == doc for k, v in [(key, value), ("code", code), *(("bookmark", m) for m in marks or [])] if k is not None and v is not None]
+        cuts = sorted({x for r in every for x in r[1:3]})
+        for at, until in zip(cuts, cuts[1:], strict=False):
+            for key in {r[3] for r in every}:
+                over = [(lay, a, v) for lay, a, b, k, v in every if k == key and a <= at and b >= until]
+                if over:
+                    want.add((doc, at, until, key, ",".join(sorted({x[2] for x in over})) if key in layout.ADDED else max(over)[2]))
+    names = ["doc", "layer", "start", "end", "key", "value", "code", "bookmark"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
+    table = pa.table({n: pa.array(c, k) for n, c, k in zip(names, zip(*rows, strict=True), kinds, strict=True)})
+    for laid in (1 << 22, 50, 1):
+        got = [tuple(r.values()) for r in layout._laid(table, "doc", ["code", "bookmark"], laid).to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert layout._laid(table.slice(0, 0), "doc", ["code", "bookmark"], 1).num_rows == 0
+
+
+def test_a_span_is_one_row_of_its_layers(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["attributed_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline(attributes" not in plan and "row_number()" not in plan  # neither a row per attribute nor the lines numbered again
